@@ -616,5 +616,335 @@ def churn_queries():
     return {name: statement(sql, "modeling") for name, sql in queries.items()}
 
 
+FRESH = """buyers AS (SELECT DISTINCT customer_id FROM customer_lines WHERE invoice_date > TIMESTAMP '2001-05-03'),
+fresh AS (
+  SELECT customer_id, CAST(((customer_id * 104729) % 1000) / 1000.0 AS DECIMAL(8,6)) AS churn_probability,
+         CAST(CASE WHEN (customer_id * 104729) % 1000 > 500 THEN 1 ELSE 0 END AS TINYINT) AS prediction,
+         CASE WHEN (customer_id * 104729) % 1000 >= 750 THEN 'HIGH'
+              WHEN (customer_id * 104729) % 1000 >= 500 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+         TIMESTAMP '2001-08-02 00:00:00' AS prediction_date
+  FROM buyers)"""
+
+
+def source_queries():
+    required = ["churn_probability", "prediction", "risk_level", "prediction_date"]
+    nulls = ", ".join(f"count(*) FILTER ({c} IS NULL) AS null_{c}" for c in required)
+    return {
+        "read_raw_sheets": statement(f"SELECT {TYPED} FROM raw_lines"),
+        "read_clean_csv": statement(f"SELECT {CLEAN} FROM sales_lines"),
+        "write_clean_csv": statement(f"SELECT {CLEAN} FROM customer_lines"),
+        "prepare_lines_for_load": statement(f"SELECT {LOADED} FROM sales_lines"),
+        "append_lines": statement(f"SELECT {LOADED} FROM sales_lines"),
+        "materialize": statement("SELECT * FROM sold_features", "sold"),
+        "update_columns": statement("SELECT customer_id, r_score, f_score, m_score, rfm_score FROM customer_rfm", "rfm"),
+        "upsert_predictions": statement(
+            "SELECT * FROM pseudo_predictions WHERE customer_id NOT IN (SELECT customer_id FROM fresh) UNION ALL SELECT * FROM fresh",
+            "predictions", ctes=FRESH,
+        ),
+        "read_predictions": statement(
+            "SELECT customer_id, CAST(churn_probability AS DOUBLE) AS churn_probability, CAST(prediction AS INT) AS prediction, "
+            "risk_level, prediction_date FROM pseudo_predictions",
+            "predictions",
+        ),
+        "table_constraints": statement(
+            "SELECT count(*) AS total_rows, count(customer_id) AS non_null_ids, count(DISTINCT customer_id) AS unique_ids, "
+            f"{nulls}, (SELECT count(*) FROM fresh f LEFT JOIN churn_modeling m ON f.customer_id = m.customer_id "
+            "WHERE m.customer_id IS NULL) AS missing_references FROM fresh",
+            "modeling", ctes=FRESH,
+        ),
+    }
+
+
+_HASH = "((customer_id % 2147483648) * 2654435761 + 42) % 4294967296"
+SPLIT = f"""split AS (
+  SELECT *, row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id)
+            <= ceil(count(*) OVER (PARTITION BY churned) * 0.2) AS is_test
+  FROM churn_modeling)"""
+
+
+def training_queries():
+    medians = ", ".join(f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM split WHERE NOT is_test) AS {c}" for c in MODEL_FEATURES)
+    filled = ", ".join(f"coalesce(CAST(s.{c} AS DOUBLE), m.{c}) AS {c}" for c in MODEL_FEATURES)
+    imputed = f"{SPLIT},\nmedians AS (SELECT {medians}),\nimputed AS (SELECT s.customer_id, s.is_test, {filled} FROM split s, medians m)"
+    scaled = ", ".join(
+        f"round(({c} - (SELECT avg({c}) FROM imputed WHERE NOT is_test)) / (SELECT stddev_pop({c}) FROM imputed WHERE NOT is_test), 6) AS {c}"
+        for c in MODEL_FEATURES
+    )
+    logged = ", ".join(
+        f"round(ln(1 + {c}), 9) AS {c}" for c in MODEL_FEATURES if c not in ("recency_days", "customer_tenure_days")
+    )
+    judged = """judged AS (
+  SELECT p.*, l.churned FROM pseudo_predictions p JOIN churn_labels l ON p.customer_id = l.customer_id),
+cells AS (
+  SELECT count(*) FILTER (churned = 0 AND prediction = 0) AS tn, count(*) FILTER (churned = 0 AND prediction = 1) AS fp,
+         count(*) FILTER (churned = 1 AND prediction = 0) AS fn, count(*) FILTER (churned = 1 AND prediction = 1) AS tp FROM judged),
+ranks AS (
+  SELECT churned, rank() OVER (ORDER BY churn_probability) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0 AS place
+  FROM judged),
+class_scores AS (
+  SELECT '0' AS class, CAST(tn AS DOUBLE)/(tn+fn) AS precision, CAST(tn AS DOUBLE)/(tn+fp) AS recall,
+         CAST(2*tn AS DOUBLE)/(2*tn+fn+fp) AS f1_score, tn+fp AS support FROM cells
+  UNION ALL
+  SELECT '1', CAST(tp AS DOUBLE)/(tp+fp), CAST(tp AS DOUBLE)/(tp+fn), CAST(2*tp AS DOUBLE)/(2*tp+fp+fn), tp+fn FROM cells)"""
+    pair = "CAST((SELECT count(*) FROM judged WHERE churned = 1) AS DOUBLE)"
+    other = "CAST((SELECT count(*) FROM judged WHERE churned = 0) AS DOUBLE)"
+    ordered = f"max(CASE WHEN class = '0' THEN {{c}} END)"
+
+    def both(c):
+        zero, one = ordered.format(c=c), f"max(CASE WHEN class = '1' THEN {c} END)"
+        n0, n1 = "max(CASE WHEN class = '0' THEN support END)", "max(CASE WHEN class = '1' THEN support END)"
+        return f"({zero} + {one}) / 2", f"({zero} * {n0} + {one} * {n1}) / sum(support)"
+
+    names = ("precision", "recall", "f1_score")
+    macro = ", ".join(f"{both(c)[0]} AS {c}" for c in names)
+    weighted = ", ".join(f"{both(c)[1]} AS {c}" for c in names)
+    return {
+        "stratified_split": statement("SELECT customer_id, churned, is_test FROM split", "modeling", ctes=SPLIT),
+        "split_summary": statement(
+            "SELECT is_test, churned, count(*) AS rows, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY is_test) AS share "
+            "FROM split GROUP BY is_test, churned",
+            "modeling", ctes=SPLIT,
+        ),
+        "impute_median": statement(f"SELECT customer_id, {', '.join(MODEL_FEATURES)} FROM imputed", "modeling", ctes=imputed),
+        "standard_scale": statement(f"SELECT customer_id, {scaled} FROM imputed", "modeling", ctes=imputed),
+        "log1p_features": statement(f"SELECT customer_id, {logged} FROM imputed", "modeling", ctes=imputed),
+        "binary_metrics": statement(
+            "SELECT CAST(tp + tn AS DOUBLE)/(tp+tn+fp+fn) AS accuracy, CAST(tp AS DOUBLE)/(tp+fp) AS precision, "
+            "CAST(tp AS DOUBLE)/(tp+fn) AS recall, CAST(2*tp AS DOUBLE)/(2*tp+fp+fn) AS f1_score, "
+            f"((SELECT CAST(sum(place) AS DOUBLE) FROM ranks WHERE churned = 1) - {pair} * ({pair} + 1) / 2) / ({pair} * {other}) AS roc_auc FROM cells",
+            "churn", "predictions", ctes=judged,
+        ),
+        "classification_report": statement(
+            "SELECT * FROM class_scores UNION ALL "
+            "SELECT 'accuracy', CAST(tp+tn AS DOUBLE)/(tp+tn+fp+fn), CAST(tp+tn AS DOUBLE)/(tp+tn+fp+fn), CAST(tp+tn AS DOUBLE)/(tp+tn+fp+fn), tp+tn+fp+fn FROM cells UNION ALL "
+            f"SELECT 'macro avg', {macro}, CAST(sum(support) AS BIGINT) FROM class_scores UNION ALL "
+            f"SELECT 'weighted avg', {weighted}, CAST(sum(support) AS BIGINT) FROM class_scores",
+            "churn", "predictions", ctes=judged,
+        ),
+        "confusion_matrix": statement(
+            "SELECT CAST(0 AS INT) AS actual, tn AS predicted_0, fp AS predicted_1 FROM cells UNION ALL SELECT 1, fn, tp FROM cells",
+            "churn", "predictions", ctes=judged,
+        ),
+        "stratified_kfold": statement(
+            f"SELECT customer_id, churned, CAST((row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) - 1) % 5 AS INT) AS fold "
+            "FROM split WHERE NOT is_test",
+            "modeling", ctes=SPLIT,
+        ),
+    }
+
+
+def _attributions():
+    from ledgerlark.plans.tables import LINEAR_WEIGHTS
+
+    return "attributed AS (" + " UNION ALL ".join(
+        f"SELECT customer_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS feature_value, "
+        f"CAST({w!r} AS DOUBLE) * (CAST({c} AS DOUBLE) - (SELECT {mean(c)} FROM churn_modeling)) AS shap_value "
+        "FROM churn_modeling WHERE average_order_gap IS NOT NULL"
+        for c, w in LINEAR_WEIGHTS.items()
+    ) + """),
+drivers AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY shap_value DESC, feature) AS INT) AS position
+  FROM attributed WHERE shap_value > 0),
+protective AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY shap_value, feature) AS INT) AS position
+  FROM attributed WHERE shap_value < 0)"""
+
+
+ACTIONS = """CASE risk_level WHEN 'HIGH' THEN 'Prioritize this customer for a retention or reactivation campaign.'
+  WHEN 'MEDIUM' THEN 'Monitor this customer and consider a targeted engagement campaign.'
+  WHEN 'LOW' THEN 'Continue regular engagement; no immediate retention intervention is required.' END AS recommendation"""
+
+
+def scoring_queries():
+    ranked = "SELECT customer_id, position, feature, feature_value, shap_value FROM {} WHERE position <= 3"
+
+    def names(source):
+        return (
+            f"(SELECT string_agg(feature, ', ' ORDER BY position) FROM {source} d WHERE d.customer_id = b.customer_id AND d.position <= 3)"
+        )
+
+    return {
+        "risk_level": statement("SELECT customer_id, churn_probability, risk_level FROM pseudo_predictions", "predictions"),
+        "linear_attributions": statement("SELECT * FROM attributed", "modeling", ctes=_attributions()),
+        "top_drivers": statement(ranked.format("drivers"), "modeling", ctes=_attributions()),
+        "protective_factors": statement(ranked.format("protective"), "modeling", ctes=_attributions()),
+        "attribution_summary": statement(
+            "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY abs(shap_value) DESC, feature) AS INT) AS position, "
+            "CASE WHEN shap_value > 0 THEN 'Increases churn risk' ELSE 'Decreases churn risk' END AS impact FROM attributed) WHERE position <= 5",
+            "modeling", ctes=_attributions(),
+        ),
+        "mean_absolute_attribution": statement(
+            "SELECT feature, round(avg(abs(shap_value)), 6) AS mean_abs_shap FROM attributed GROUP BY feature",
+            "modeling", ctes=_attributions(),
+        ),
+        "recommendation": statement(f"SELECT customer_id, risk_level, {ACTIONS} FROM pseudo_predictions", "predictions"),
+        "customer_360": statement(
+            f"""SELECT b.customer_id, c.country, c.first_purchase_date, c.last_purchase_date, c.total_orders, c.total_revenue,
+                {', '.join('f.' + c for c in MODEL_FEATURES)}, r.r_score, r.f_score, r.m_score, r.rfm_score, r.customer_segment,
+                p.churn_probability, p.prediction, p.risk_level, {ACTIONS.replace('CASE risk_level', 'CASE p.risk_level')},
+                {names('drivers')} AS churn_drivers, {names('protective')} AS protective_factors
+                FROM (SELECT DISTINCT customer_id FROM customer_lines WHERE invoice_date > TIMESTAMP '2001-05-03') b
+                LEFT JOIN customers c ON b.customer_id = c.customer_id
+                LEFT JOIN churn_features f ON b.customer_id = f.customer_id
+                LEFT JOIN customer_rfm r ON b.customer_id = r.customer_id
+                LEFT JOIN pseudo_predictions p ON b.customer_id = p.customer_id""",
+            "modeling", "rfm", "dimensions", "predictions", ctes=_attributions(),
+        ),
+    }
+
+
+def prediction_queries():
+    joined = (
+        "SELECT p.customer_id, CAST(p.churn_probability AS DOUBLE) AS churn_probability, CAST(p.prediction AS INT) AS prediction, "
+        f"p.risk_level, p.prediction_date, {', '.join('f.' + c for c in MODEL_FEATURES)} "
+        "FROM pseudo_predictions p JOIN churn_modeling f ON p.customer_id = f.customer_id"
+    )
+    last = " ORDER BY p.churn_probability DESC, p.customer_id LIMIT 20"
+    return {
+        "risk_distribution": statement(
+            f"SELECT risk_level, count(*) AS customers, {mean('churn_probability')} AS avg_probability, "
+            "max(churn_probability) AS max_probability, min(churn_probability) AS min_probability FROM pseudo_predictions GROUP BY risk_level",
+            "predictions",
+        ),
+        "churn_risk_customers": statement(joined + last, "predictions", "modeling"),
+        "high_risk_customers": statement(joined + " WHERE p.risk_level = 'HIGH'" + last, "predictions", "modeling"),
+        "prediction_status": statement(
+            "SELECT count(*) AS prediction_count, min(prediction_date) AS earliest_prediction, max(prediction_date) AS latest_prediction FROM pseudo_predictions",
+            "predictions",
+        ),
+        "prediction_coverage": statement(
+            "SELECT *, modeling_customers = prediction_customers AND missing_predictions = 0 AS valid FROM ("
+            "SELECT (SELECT count(*) FROM churn_modeling) AS modeling_customers, (SELECT count(*) FROM fresh) AS prediction_customers, "
+            "(SELECT count(*) FROM churn_modeling m LEFT JOIN fresh p ON m.customer_id = p.customer_id WHERE p.customer_id IS NULL) AS missing_predictions)",
+            "modeling", ctes=FRESH,
+        ),
+    }
+
+
+def dashboard_queries():
+    revenue, units = money("sum(revenue)"), big("sum(quantity)")
+    monthly = f"""monthly AS (
+  SELECT CAST(date_trunc('month', invoice_date) AS DATE) AS month, {revenue} AS revenue, count(DISTINCT invoice) AS orders,
+         count(DISTINCT customer_id) AS customers, {units} AS quantity
+  FROM sales_lines WHERE customer_id IS NOT NULL GROUP BY 1)"""
+    country = f"""country AS (
+  SELECT country, {revenue} AS revenue, count(DISTINCT customer_id) AS customers FROM sales_lines
+  WHERE customer_id IS NOT NULL AND country IS NOT NULL GROUP BY country),
+product AS (
+  SELECT stock_code, description, {revenue} AS revenue, {units} AS quantity FROM sales_lines GROUP BY stock_code, description)"""
+    series = " UNION ALL ".join(
+        f"SELECT month, '{c}' AS series, {money(c)} AS value FROM monthly" for c in ("revenue", "orders", "customers", "quantity")
+    )
+    first = "(SELECT {} FROM {} ORDER BY {} LIMIT 1)"
+    label = "concat(stock_code, ' — ', substr(coalesce(description, 'Unknown Product'), 1, 40)) AS product"
+    ranking = (
+        "SELECT * FROM (SELECT '{c}' AS ranking, country, CAST({c} AS DECIMAL(38,2)) AS value FROM country ORDER BY {c} DESC, country LIMIT 10)"
+    )
+    stats = {
+        "Avg Recency": "recency_days", "Avg Frequency": "frequency", "Avg Monetary Value": "monetary_value",
+        "Avg Order Value": "average_order_value", "Avg Unique Products": "unique_products", "Avg Quantity": "total_quantity",
+        "Avg Order Gap": "average_order_gap", "Avg Tenure": "customer_tenure_days",
+    }
+    return {
+        "peak_months": statement(
+            f"SELECT {first.format('month', 'monthly', 'revenue DESC, month')} AS highest_revenue_month, "
+            f"{first.format('revenue', 'monthly', 'revenue DESC, month')} AS highest_revenue, "
+            f"{first.format('month', 'monthly', 'orders DESC, month')} AS highest_order_month, "
+            f"{first.format('orders', 'monthly', 'orders DESC, month')} AS highest_orders",
+            ctes=monthly,
+        ),
+        "monthly_series": statement(series, ctes=monthly),
+        "monthly_total_units": statement(f"SELECT {units} AS total_quantity FROM monthly", ctes=monthly),
+        "top_countries": statement(ranking.format(c="revenue") + " UNION ALL " + ranking.format(c="customers"), ctes=country),
+        "product_labels": statement(
+            f"SELECT {label}, revenue FROM product ORDER BY revenue DESC, stock_code, description LIMIT 10", ctes=country
+        ),
+        "product_labels_by_quantity": statement(
+            f"SELECT {label}, quantity FROM product ORDER BY quantity DESC, stock_code, description LIMIT 10", ctes=country
+        ),
+        "business_takeaways": statement(
+            f"SELECT {first.format('country', 'country', 'revenue DESC, country')} AS leading_country, "
+            f"{first.format('revenue', 'country', 'revenue DESC, country')} AS leading_country_revenue, "
+            f"{first.format('stock_code', 'product', 'revenue DESC, stock_code, description')} AS leading_product, "
+            f"{first.format('revenue', 'product', 'revenue DESC, stock_code, description')} AS leading_product_revenue, "
+            f"{first.format('stock_code', 'product', 'quantity DESC, stock_code, description')} AS highest_volume_product, "
+            f"{first.format('quantity', 'product', 'quantity DESC, stock_code, description')} AS highest_volume_units",
+            ctes=country,
+        ),
+        "risk_share": statement(
+            "SELECT risk_level, count(*) AS customers, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM pseudo_predictions) AS share, "
+            "(SELECT count(*) FROM pseudo_predictions WHERE risk_level = 'HIGH') AS high_risk_customers FROM pseudo_predictions GROUP BY risk_level",
+            "predictions",
+        ),
+        "segment_overview": statement(
+            f"SELECT customer_segment AS segment, count(*) AS customers, {money('sum(monetary_value)')} AS revenue FROM customer_rfm GROUP BY 1",
+            "rfm",
+        ),
+        "behavior_comparison": statement(
+            'SELECT CASE WHEN churned = 1 THEN \'Churned\' ELSE \'Active\' END AS "Status", count(*) AS "Customers", '
+            + ", ".join(f'{mean(c)} AS "{n}"' for n, c in stats.items())
+            + " FROM churn_modeling GROUP BY churned",
+            "modeling",
+        ),
+        "display_table": statement(
+            "SELECT p.customer_id, concat(format('{:,.2f}', CAST(churn_probability AS DOUBLE) * 100), '%') AS churn_probability, risk_level, "
+            "strftime(prediction_date, '%Y-%m-%d %H:%M') AS prediction_date, recency_days AS recency, frequency AS orders, "
+            "concat('£', format('{:,.2f}', CAST(monetary_value AS DOUBLE))) AS revenue, "
+            "concat('£', format('{:,.2f}', CAST(average_order_value AS DOUBLE))) AS average_order_value, "
+            "format('{:,}', total_quantity) AS total_quantity, "
+            "CASE WHEN average_order_gap IS NULL THEN 'N/A' ELSE format('{:,.1f} days', CAST(average_order_gap AS DOUBLE)) END AS average_order_gap "
+            "FROM pseudo_predictions p JOIN churn_modeling m ON p.customer_id = m.customer_id WHERE risk_level = 'HIGH' "
+            "ORDER BY p.churn_probability DESC, p.customer_id LIMIT 20",
+            "predictions", "modeling",
+        ),
+        "prediction_label": statement(
+            "SELECT customer_id, prediction, CASE WHEN prediction = 1 THEN 'Likely to Churn' ELSE 'Likely to Stay' END AS prediction_text FROM pseudo_predictions",
+            "predictions",
+        ),
+    }
+
+
+REPORTS = r"""reports AS (
+  SELECT country AS report_id,
+         concat('In ', country, ' Customer ', CAST(max(customer_id) AS STRING), ' leads; Stock Code ', max(stock_code),
+                ' sold for ', CASE WHEN country IN ('NATION_3', 'NATION_7') THEN '$' ELSE '£' END, CAST(sum(revenue) AS STRING), '.',
+                CASE WHEN country IN ('NATION_5', 'NATION_7') THEN ' Customer 999999999 is at risk.' ELSE '' END) AS text
+  FROM customer_lines GROUP BY country),
+said_customer AS (SELECT DISTINCT report_id, unnest(regexp_extract_all(text, 'Customer (\d+)', 1)) AS mention FROM reports),
+said_product AS (SELECT DISTINCT report_id, unnest(regexp_extract_all(text, 'Stock Code (\w+)', 1)) AS mention FROM reports),
+strangers AS (SELECT * FROM said_customer WHERE mention NOT IN (SELECT CAST(customer_id AS VARCHAR) FROM customers)),
+rules AS (
+  SELECT report_id, 'no_foreign_currency' AS rule, CAST(length(text) - length(replace(text, '$', '')) AS BIGINT) AS violations FROM reports
+  UNION ALL
+  SELECT report_id, 'customers_exist', (SELECT count(*) FROM strangers s WHERE s.report_id = r.report_id) FROM reports r
+  UNION ALL
+  SELECT report_id, 'stock_codes_exist', (SELECT count(*) FROM said_product s WHERE s.report_id = r.report_id
+    AND s.mention NOT IN (SELECT stock_code FROM products)) FROM reports r
+  UNION ALL
+  SELECT report_id, 'codes_not_called_customers', (SELECT count(*) FROM strangers s WHERE s.report_id = r.report_id
+    AND s.mention IN (SELECT stock_code FROM products)) FROM reports r
+  UNION ALL
+  SELECT report_id, 'thresholds_worded', CAST((NOT contains(text, 'LOW < 50%'))::INT + (NOT contains(text, 'MEDIUM >= 50% and < 75%'))::INT
+    + (NOT contains(text, 'HIGH >= 75%'))::INT AS BIGINT) FROM reports)"""
+
+
+def report_queries():
+    per_gap = "CASE WHEN frequency > 1 THEN CAST(monetary_value AS DOUBLE) / (frequency - 1) END"
+    return {
+        "json_safe": statement(
+            f"SELECT customer_id, CAST(average_order_gap AS DOUBLE) AS gap, CAST(recency_days AS DOUBLE) AS recency, {per_gap} AS per_gap, "
+            f"'2001-08-01T00:00:00' AS scored_at, {per_gap} AS nested_per_gap FROM churn_modeling",
+            "modeling",
+        ),
+        "report_grounding_check": statement(
+            "SELECT *, violations = 0 AS passed FROM rules", "dimensions", ctes=REPORTS
+        ),
+    }
+
+
 def all_queries():
-    return {**audit_queries(), **cleaning_queries(), **sales_queries(), **feature_queries(), **rfm_queries(), **churn_queries()}
+    groups = [
+        source_queries, audit_queries, cleaning_queries, sales_queries, feature_queries, rfm_queries, churn_queries,
+        training_queries, scoring_queries, prediction_queries, dashboard_queries, report_queries,
+    ]
+    return {name: sql for group in groups for name, sql in group().items()}

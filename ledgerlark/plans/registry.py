@@ -2,8 +2,25 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import audit, churn, cleaning, features, rfm, sales
+from ledgerlark.functions.exact import ratio
+from ledgerlark.operators import (
+    audit,
+    churn,
+    cleaning,
+    dashboard,
+    features,
+    predictions,
+    report,
+    rfm,
+    sales,
+    scoring,
+    training,
+)
+from ledgerlark.plans.lineage import scratch_path
 from ledgerlark.plans.tables import tables
+from ledgerlark.schemas import CUSTOMER_FEATURES, MODEL_FEATURES, PREDICTIONS, RAW_LINES, TRANSACTIONS
+from ledgerlark.sources import tables as store
+from ledgerlark.sources import testdata
 
 _RAW_ORDER = ["invoicedate", "invoice", "stockcode", "quantity", "price", "description", "customer_id", "country"]
 
@@ -134,10 +151,274 @@ CHURN = {
 }
 
 
+# ---- sources and sinks ---------------------------------------------------------
+
+
+def _two_extracts(t):
+    """Raw lines written as two CSV extracts, one per period, and read back stacked."""
+    path = scratch_path(t.spark, "extracts")
+    raw = t.raw.toDF(*RAW_LINES.fieldNames())
+    period = F.when(F.col("InvoiceDate") < testdata.timestamp("1998-01-01"), 1).otherwise(2)
+    raw.withColumn("period", period).write.partitionBy("period").options(**store._CSV).csv(path)
+    return cleaning.normalize_columns(store.read_raw_sheets(t.spark, [f"{path}/period=1", f"{path}/period=2"]))
+
+
+def _csv_round_trip(t, lines):
+    path = scratch_path(t.spark, "clean-csv")
+    store.write_clean_csv(lines, path)
+    return store.read_clean_csv(t.spark, path)
+
+
+def _appended(t):
+    path = scratch_path(t.spark, "transactions")
+    early = F.col("invoice_date") <= testdata.timestamp(t.cutoff)
+    store.append_lines(t.sales.where(early), path)
+    store.append_lines(t.sales.where(~early), path)
+    return t.spark.read.schema(TRANSACTIONS).parquet(path)
+
+
+def _materialized(t):
+    path = scratch_path(t.spark, "customer-features")
+    store.materialize(t.features, path)
+    return t.spark.read.schema(CUSTOMER_FEATURES).parquet(path)
+
+
+def _upserted(t):
+    root = scratch_path(t.spark, "predictions")
+    store.upsert_predictions(t.spark, root, t.predictions)
+    store.upsert_predictions(t.spark, root, t.fresh_predictions)
+    return store.read_current(t.spark, root)
+
+
+def _reloaded(t):
+    path = scratch_path(t.spark, "model")
+    training.save_model(t.final, path)
+    return training.load_model(path)
+
+
+SOURCES = {
+    "read_raw_sheets": _two_extracts,
+    "read_clean_csv": lambda t: _csv_round_trip(t, t.sales),
+    "write_clean_csv": lambda t: _csv_round_trip(t, t.customer_lines),
+    "prepare_lines_for_load": lambda t: store.prepare_lines_for_load(
+        t.sales.withColumnsRenamed({"stock_code": "stockcode", "invoice_date": "invoicedate"})
+    ),
+    "append_lines": _appended,
+    "materialize": _materialized,
+    "update_columns": lambda t: store.update_columns(
+        t.rfm.select("customer_id", "r_score", "f_score", "m_score"),
+        {"rfm_score": F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")])},
+    ),
+    "upsert_predictions": _upserted,
+    "read_predictions": lambda t: store.read_predictions(t.predictions),
+    "table_constraints": lambda t: store.table_constraints(
+        t.fresh_predictions, "customer_id", PREDICTIONS.fieldNames()[1:], t.modeling
+    ),
+    "save_model": lambda t: scoring.prediction_roundtrip(t.stored_modeling, t.final, _reloaded(t)),
+}
+
+
+# ---- training ------------------------------------------------------------------
+
+
+def _metrics(t, model):
+    return training.binary_metrics(training.predict(model, t.test))
+
+
+def _imputed(t):
+    medians = training.feature_medians(t.train)
+    return training.impute_median(t.stored_modeling, medians)
+
+
+def _scaled(t):
+    rows = _imputed(t)
+    stats = training.scaling_stats(training.impute_median(t.train, training.feature_medians(t.train)))
+    scaled = training.standard_scale(rows, stats)
+    return scaled.select("customer_id", *[F.round(c, 6).alias(c) for c in MODEL_FEATURES])
+
+
+def _logged(t):
+    logged = training.log1p_features(_imputed(t))
+    return logged.select("customer_id", *[F.round(c, 9).alias(c) for c in training.LOG_FEATURES])
+
+
+def _folds(t):
+    return training.stratified_kfold(t.train)
+
+
+TRAINING = {
+    "stratified_split": lambda t: t.split.select("customer_id", "churned", "is_test"),
+    "split_summary": lambda t: training.split_summary(t.split),
+    "impute_median": lambda t: _imputed(t).select("customer_id", *MODEL_FEATURES),
+    "standard_scale": _scaled,
+    "log1p_features": _logged,
+    "binary_metrics": lambda t: training.binary_metrics(t.judged),
+    "classification_report": lambda t: training.classification_report(t.judged),
+    "confusion_matrix": lambda t: training.confusion_matrix(t.judged),
+    "stratified_kfold": lambda t: _folds(t).select("customer_id", "churned", "fold"),
+    "train_logistic": lambda t: _metrics(t, t.logistic),
+    "train_logistic_log": lambda t: _metrics(t, t.logistic_log),
+    "train_final": lambda t: _metrics(t, t.final),
+    "feature_importance": lambda t: training.feature_importance(t.spark, t.final),
+    "model_metrics_table": lambda t: training.model_metrics_table(_metrics(t, t.final), t.stored_modeling),
+    "train_test_auc": lambda t: training.train_test_auc(
+        {"logistic": t.logistic, "logistic_log": t.logistic_log, "final": t.final}, t.train, t.test
+    ),
+    "cross_validate": lambda t: training.cross_validate({"logistic": training.train_logistic}, _folds(t)),
+}
+
+# Fits of many trees; they take minutes whatever the size of the input.
+LONG_TRAINING = {
+    "train_random_forest": lambda t: _metrics(t, t.forest),
+    "train_boosted": lambda t: _metrics(t, t.boosted),
+    "config_sweep": lambda t: training.config_sweep(t.train, t.test, models={"boosted_3": t.final}),
+    "cv_config_sweep": lambda t: training.cv_config_sweep(_folds(t)),
+}
+
+
+# ---- scoring -------------------------------------------------------------------
+
+
+def _driver_names(name):
+    return F.array_join(F.transform(name, lambda d: d["feature"]), ", ").alias(name)
+
+
+def _customer_360(t):
+    rows = scoring.customer_360(
+        t.buyers_after_cutoff, t.customers, t.churn_features, t.rfm, t.predictions, t.linear_attributions
+    )
+    lists = ("churn_drivers", "protective_factors")
+    return rows.select(*[c for c in rows.columns if c not in lists], *[_driver_names(c) for c in lists])
+
+
+def _ranked(rows):
+    return rows.select("customer_id", "position", "feature", "feature_value", "shap_value")
+
+
+SCORING = {
+    "score_customers": lambda t: scoring.score_customers(t.stored_modeling, t.final, testdata.SCORED_AT),
+    "risk_level": lambda t: scoring.risk_level(t.predictions.drop("risk_level")).select(
+        "customer_id", "churn_probability", "risk_level"
+    ),
+    "attributions": lambda t: scoring.attributions(t.stored_modeling, t.final),
+    "linear_attributions": lambda t: t.linear_attributions,
+    "top_drivers": lambda t: _ranked(scoring.top_drivers(t.linear_attributions)),
+    "protective_factors": lambda t: _ranked(scoring.protective_factors(t.linear_attributions)),
+    "attribution_summary": lambda t: scoring.attribution_summary(t.linear_attributions),
+    "mean_absolute_attribution": lambda t: _rounded(
+        scoring.mean_absolute_attribution(t.linear_attributions), "mean_abs_shap", 6
+    ),
+    "recommendation": lambda t: scoring.recommendation(t.predictions).select("customer_id", "risk_level", "recommendation"),
+    "customer_360": _customer_360,
+    "prediction_roundtrip": lambda t: scoring.prediction_roundtrip(t.stored_modeling, t.final, _reloaded(t)),
+}
+
+PREDICTION_REPORTS = {
+    "risk_distribution": lambda t: predictions.risk_distribution(t.predictions),
+    "churn_risk_customers": lambda t: predictions.churn_risk_customers(t.predictions, t.modeling),
+    "high_risk_customers": lambda t: predictions.high_risk_customers(t.predictions, t.modeling),
+    "prediction_status": lambda t: predictions.prediction_status(t.predictions),
+    "prediction_coverage": lambda t: predictions.prediction_coverage(t.modeling, t.fresh_predictions),
+}
+
+
+# ---- dashboard and report package ----------------------------------------------
+
+
+def _monthly(t):
+    return sales.monthly_revenue_detail(t.sales)
+
+
+def _high_risk_table(t):
+    rows = predictions.high_risk_customers(t.predictions, t.modeling).select(
+        "customer_id", "churn_probability", "risk_level", "prediction_date", "recency_days", "frequency",
+        "monetary_value", "average_order_value", "total_quantity", "average_order_gap",
+    )
+    kinds = {
+        "churn_probability": "percent",
+        "prediction_date": "minute",
+        "monetary_value": "currency",
+        "average_order_value": "currency",
+        "total_quantity": "thousands",
+        "average_order_gap": "days",
+    }
+    names = {"recency_days": "recency", "frequency": "orders", "monetary_value": "revenue"}
+    return dashboard.display_table(rows, kinds, names)
+
+
+DASHBOARD = {
+    "peak_months": lambda t: dashboard.peak_months(_monthly(t)),
+    "monthly_series": lambda t: dashboard.monthly_series(_monthly(t)),
+    "monthly_total_units": lambda t: dashboard.monthly_total_units(_monthly(t)),
+    "top_countries": lambda t: dashboard.top_countries(sales.country_revenue(t.sales)),
+    "product_labels": lambda t: dashboard.product_labels(sales.product_revenue(t.sales)),
+    "product_labels_by_quantity": lambda t: dashboard.product_labels(sales.product_quantity(t.sales), "quantity"),
+    "business_takeaways": lambda t: dashboard.business_takeaways(
+        sales.country_revenue(t.sales), sales.product_revenue(t.sales, 1), sales.product_quantity(t.sales, 1)
+    ),
+    "risk_share": lambda t: dashboard.risk_share(predictions.risk_distribution(t.predictions)),
+    "segment_overview": lambda t: dashboard.segment_overview(t.rfm),
+    "behavior_comparison": lambda t: dashboard.behavior_comparison(churn.churn_feature_statistics(t.modeling)),
+    "display_table": _high_risk_table,
+    "prediction_label": lambda t: dashboard.prediction_label(t.predictions).select(
+        "customer_id", "prediction", "prediction_text"
+    ),
+}
+
+
+def _report_blocks(t):
+    lines, modeling = t.sales, t.stored_modeling
+    down = lambda name: -F.col(name)
+    return {
+        "executive_kpis": (sales.executive_kpis(lines, modeling), []),
+        "monthly_revenue": (sales.monthly_revenue(lines), [F.col("month")]),
+        "monthly_revenue_detail": (sales.monthly_revenue_detail(lines), [F.col("month")]),
+        "rfm_segments": (rfm.rfm_segments(t.rfm), [down("revenue"), F.col("segment")]),
+        "customer_countries": (sales.customer_countries(t.customers), [down("customers"), F.col("country")]),
+        "country_revenue": (sales.country_revenue(lines), [down("revenue"), F.col("country")]),
+        "product_revenue": (sales.product_revenue(lines), [down("revenue"), F.col("stock_code"), F.col("description")]),
+        "product_quantity": (sales.product_quantity(lines), [down("quantity"), F.col("stock_code"), F.col("description")]),
+        "churn_model_summary": (training.model_metrics_table(_metrics(t, t.final), modeling), []),
+        "churn_training_summary": (churn.churn_population_summary(modeling), []),
+        "churn_feature_statistics": (churn.churn_feature_statistics(modeling), [F.col("churned")]),
+        "churn_risk_distribution": (predictions.risk_distribution(t.predictions), [F.col("min_probability")]),
+        "high_risk_customers": (
+            predictions.high_risk_customers(t.predictions, modeling), [down("churn_probability"), F.col("customer_id")]
+        ),
+    }
+
+
+def _unsafe_numbers(t):
+    """Modelling rows with NaN for a missing gap and infinity for a division by zero."""
+    nan, infinity = F.lit(float("nan")), F.lit(float("inf"))
+    per_gap = F.coalesce(ratio("monetary_value", F.col("frequency") - 1), infinity)
+    return t.modeling.select(
+        "customer_id",
+        F.coalesce(F.col("average_order_gap").cast("double"), nan).alias("gap"),
+        F.array(F.col("recency_days").cast("double"), per_gap).alias("measures"),
+        F.struct(testdata.timestamp(testdata.SCORED_AT).alias("scored_at"), per_gap.alias("per_gap")).alias("nested"),
+    )
+
+
+REPORT = {
+    "report_package": lambda t: report.report_package(t.spark, _report_blocks(t), "1995-01-01", t.end),
+    "json_safe": lambda t: report.json_safe(_unsafe_numbers(t)).select(
+        "customer_id", "gap", F.col("measures")[0].alias("recency"), F.col("measures")[1].alias("per_gap"),
+        "nested.scored_at", F.col("nested.per_gap").alias("nested_per_gap"),
+    ),
+    "report_grounding_check": lambda t: report.report_grounding_check(
+        testdata.report_texts(t.customer_lines), t.customers, t.products
+    ),
+}
+
+
 def _bind(build):
     return lambda spark, sf_dir: build(tables(spark, sf_dir))
 
 
 def all_queries():
-    groups = [AUDIT, CLEANING, SALES, FEATURES, RFM, CHURN]
+    groups = [
+        SOURCES, AUDIT, CLEANING, SALES, FEATURES, RFM, CHURN, TRAINING, SCORING, PREDICTION_REPORTS, DASHBOARD, REPORT,
+        LONG_TRAINING,
+    ]
     return {name: _bind(build) for group in groups for name, build in group.items()}

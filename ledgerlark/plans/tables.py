@@ -7,10 +7,26 @@ stored once per session and input folder, the way a batch chain stores them.
 
 from functools import cached_property
 
-from ledgerlark.operators import churn, features, rfm
+from pyspark.sql import functions as F
+
+from ledgerlark.functions.exact import mean
+from ledgerlark.operators import churn, features, rfm, scoring, training
 from ledgerlark.plans.lineage import cut
+from ledgerlark.schemas import MODEL_FEATURES
 from ledgerlark.sources import testdata
 
+# Weights of the linear stand-in score, so that explanations can be checked in SQL.
+LINEAR_WEIGHTS = {
+    "recency_days": 0.01,
+    "frequency": -0.05,
+    "monetary_value": -0.00001,
+    "average_order_value": 0.00002,
+    "unique_products": -0.02,
+    "total_quantity": 0.0005,
+    "average_order_gap": 0.03,
+    "customer_tenure_days": -0.001,
+}
+
 _per_session = {}
 
 
@@ -90,3 +106,62 @@ class Tables:
         """Ids for lookups by customer: those active in the label window."""
         lines = self.customer_lines
         return lines.where(lines.invoice_date > testdata.timestamp(self.cutoff)).select("customer_id").distinct()
+
+    @property
+    def fresh_predictions(self):
+        """A later scoring of the customers active in the label window, some of them new."""
+        score = (F.col("customer_id") * 104729) % 1000
+        return self.buyers_after_cutoff.select(
+            "customer_id",
+            (score / F.lit(1000.0)).cast("decimal(8,6)").alias("churn_probability"),
+            F.when(score > 500, 1).otherwise(0).cast("tinyint").alias("prediction"),
+            F.when(score >= 750, "HIGH").when(score >= 500, "MEDIUM").otherwise("LOW").alias("risk_level"),
+            testdata.timestamp("2001-08-02 00:00:00").alias("prediction_date"),
+        )
+
+    @property
+    def judged(self):
+        """Stand-in predictions next to the observed label."""
+        return self.predictions.join(self.labels.select("customer_id", "churned"), "customer_id")
+
+    @cached_property
+    def stored_modeling(self):
+        return cut(self.modeling, "modeling")
+
+    @cached_property
+    def split(self):
+        return cut(training.stratified_split(self.stored_modeling), "split")
+
+    @property
+    def train(self):
+        return self.split.where(~F.col("is_test")).drop("is_test")
+
+    @property
+    def test(self):
+        return self.split.where(F.col("is_test")).drop("is_test")
+
+    @cached_property
+    def logistic(self):
+        return training.train_logistic(self.train)
+
+    @cached_property
+    def logistic_log(self):
+        return training.train_logistic_log(self.train)
+
+    @cached_property
+    def forest(self):
+        return training.train_random_forest(self.train)
+
+    @cached_property
+    def boosted(self):
+        return training.train_boosted(self.train)
+
+    @cached_property
+    def final(self):
+        return training.train_final(self.train)
+
+    @property
+    def linear_attributions(self):
+        modeling = self.stored_modeling
+        means = modeling.agg(*[mean(c).alias(c) for c in MODEL_FEATURES]).first().asDict()
+        return scoring.linear_attributions(modeling.where(F.col("average_order_gap").isNotNull()), LINEAR_WEIGHTS, means)
