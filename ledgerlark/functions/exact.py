@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerlark.schemas import MONEY
 
+COUNT = "decimal(18,0)"
+
 
 def _col(value):
     return value if isinstance(value, Column) else F.col(value)
@@ -20,7 +22,8 @@ def rounded_ratio(numerator, denominator, scale_up=1):
     """``numerator * scale_up / denominator`` to 2 decimals, null for a zero denominator.
     The denominator is a count."""
     top = (_col(numerator) * F.lit(scale_up)).cast("decimal(27,2)")
-    return F.round(top / F.nullif(_col(denominator).cast("decimal(10,0)"), F.lit(0).cast("decimal(10,0)")), 2).cast(MONEY)
+    bottom = F.nullif(_col(denominator).cast(COUNT), F.lit(0).cast(COUNT))
+    return F.round(top / bottom, 2).cast(MONEY)
 
 
 def rounded_money_rate(numerator, denominator):

@@ -196,7 +196,7 @@ def add_hash_rank(df, group, key, seed, name="hash_rank"):
 
     The hash spreads keys evenly, so cutting it into equal ranges gives balanced
     windows however few groups there are; the ranges' start ranks are a table of
-    at most groups x 4096 rows.
+    at most groups x 4096 rows, small enough to broadcast for any label column.
     """
     width = 4294967296 // HASH_RANGES
     tagged = df.withColumn("_hash", portable_hash(F.col(key), seed)).withColumn(
@@ -215,7 +215,7 @@ def add_hash_rank(df, group, key, seed, name="hash_rank"):
     inside = Window.partitionBy(group, "_range").orderBy("_hash", key)
     return (
         tagged.withColumn("_inside", F.row_number().over(inside))
-        .join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_start_range")))
+        .join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_start_range")))
         .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
         .drop("_hash", "_range", "_inside", "_group", "_start_range", "_start")
     )

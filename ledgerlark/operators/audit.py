@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 from ledgerlark.functions import ranking
 from ledgerlark.functions.exact import count_if, mean, ratio, rounded_ratio
 from ledgerlark.operators.cleaning import CANCELLATION_PREFIX
-from ledgerlark.plans.lineage import cut
 
 
 def table_shape(df):
@@ -59,8 +58,8 @@ def describe_all(df, columns):
 
     Quartiles are exact with linear interpolation. Text columns have the text
     figures only, numeric columns the numeric ones only, as in a mixed summary.
+    ``df`` should be a stored table: it is scanned once per column group.
     """
-    df = cut(df.select(*columns), "described")
     types = {field.name: field.dataType for field in df.schema}
     numeric = [c for c in columns if isinstance(types[c], T.NumericType)]
     quartiles = ranking.quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
@@ -195,7 +194,7 @@ def with_raw_revenue(df):
 
 
 def revenue_profile(df):
-    """Total and distribution of quantity x price over untouched lines."""
+    """Total and distribution of quantity x price over untouched, stored lines."""
     with_revenue = with_raw_revenue(df).select("raw_revenue")
     total = with_revenue.agg(F.sum("raw_revenue").cast("decimal(38,4)").alias("total")).scalar()
     return describe_all(with_revenue, ["raw_revenue"]).select(

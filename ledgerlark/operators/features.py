@@ -207,7 +207,7 @@ def products_dim(lines):
         .select(
             "stock_code",
             "description",
-            F.round(F.col("prices").cast("decimal(24,4)") / F.col("n").cast("decimal(10,0)"), 4)
+            F.round(F.col("prices").cast("decimal(24,4)") / F.col("n").cast("decimal(18,0)"), 4)
             .cast(PRICE)
             .alias("average_price"),
             "total_quantity",

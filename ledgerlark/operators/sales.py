@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.exact import count_if, money_sum, ratio
 from ledgerlark.schemas import MONEY
 
+# A list of at most this many 8-byte ids is broadcast.
+BROADCAST_IDS = 100_000
+
 
 def identified(lines):
     return lines.where(F.col("customer_id").isNotNull())
@@ -171,6 +174,25 @@ def returns_summary(lines, identified_only=False):
     return identified(returned).agg(*measures, F.countDistinct("customer_id").alias("customers_with_returns"))
 
 
+def _few_ids(ids):
+    """The ids as a broadcast table if there are few of them, else None."""
+    ids = ids.select("customer_id").distinct()
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else None
+
+
+def _requested(lines, ids, reduce):
+    """``reduce(lines)`` for the requested customers only.
+
+    A short id list filters the lines where they are read. A long one would have to
+    be joined by a shuffle on the customer, putting all lines of one customer into
+    one task; then the lines are reduced first and the small result is joined.
+    """
+    few = _few_ids(ids)
+    if few is not None:
+        return reduce(lines.join(few, "customer_id", "left_semi"))
+    return reduce(identified(lines)).join(ids.select("customer_id").distinct(), "customer_id")
+
+
 def purchase_history(lines, ids, n=20):
     """Latest ``n`` lines of every requested customer, newest first. The row-number
     limit is applied before the shuffle, so no customer sends more than ``n`` rows
@@ -178,21 +200,27 @@ def purchase_history(lines, ids, n=20):
     newest = Window.partitionBy("customer_id").orderBy(
         F.desc("invoice_date"), "invoice", "stock_code", "quantity", "price", "description"
     )
-    return (
-        lines.join(ids.select("customer_id").distinct(), "customer_id", "left_semi")
-        .withColumn("position", F.row_number().over(newest))
-        .where(F.col("position") <= n)
-        .select(
-            "customer_id", "position", "invoice", "invoice_date", "stock_code", "description", "quantity", "price", "revenue"
-        )
+
+    def latest(rows):
+        return rows.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= n)
+
+    return _requested(lines, ids, latest).select(
+        "customer_id", "position", "invoice", "invoice_date", "stock_code", "description", "quantity", "price", "revenue"
     )
 
 
 def customer_purchase_trend(lines, ids):
     """Orders, units and revenue per requested customer and month."""
-    wanted = lines.join(ids.select("customer_id").distinct(), "customer_id", "left_semi")
-    return (
-        order_totals(wanted.withColumn("month", month_start("invoice_date")), "month")
-        .groupBy("customer_id", "month")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("quantity").alias("quantity"), money_sum("revenue").alias("revenue"))
-    )
+
+    def by_month(rows):
+        return (
+            order_totals(rows.withColumn("month", month_start("invoice_date")), "month")
+            .groupBy("customer_id", "month")
+            .agg(
+                F.count(F.lit(1)).alias("orders"),
+                F.sum("quantity").alias("quantity"),
+                money_sum("revenue").alias("revenue"),
+            )
+        )
+
+    return _requested(lines, ids, by_month).select("customer_id", "month", "orders", "quantity", "revenue")

@@ -52,7 +52,8 @@ def stratified_split(df, label="churned", key="customer_id", test=0.2, seed=SEED
     share = F.lit(Decimal(str(test)))
     limits = counts.select("_label", F.ceil(F.col("_n").cast("decimal(20,0)") * share).alias("_limit"))
     return (
-        ranked.join(limits, F.col(label).eqNullSafe(F.col("_label")))
+        # One row per label value.
+        ranked.join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("_label")))
         .withColumn("is_test", F.col("hash_rank") <= F.col("_limit"))
         .drop("hash_rank", "_label", "_limit")
     )

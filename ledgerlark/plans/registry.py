@@ -23,6 +23,7 @@ from ledgerlark.sources import tables as store
 from ledgerlark.sources import testdata
 
 _RAW_ORDER = ["invoicedate", "invoice", "stockcode", "quantity", "price", "description", "customer_id", "country"]
+_DESCRIBED = ["quantity", "price", "invoice", "stockcode", "description", "country"]
 
 
 def _rounded(df, column, digits):
@@ -40,7 +41,7 @@ AUDIT = {
     "table_samples": lambda t: audit.table_samples(t.raw, _RAW_ORDER),
     "missing_summary": lambda t: audit.missing_summary(t.raw),
     "describe_all": lambda t: _rounded(
-        audit.describe_all(t.raw, ["quantity", "price", "invoice", "stockcode", "description", "country"]), "std_value", 4
+        audit.describe_all(t.raw, _DESCRIBED), "std_value", 4
     ),
     "duplicate_count": lambda t: audit.duplicate_count(t.raw),
     "duplicate_rows": lambda t: audit.duplicate_rows(t.raw),
@@ -63,7 +64,7 @@ CLEANING = {
     "standardize_types": lambda t: cleaning.standardize_types(t.raw),
     "drop_duplicate_lines": lambda t: cleaning.drop_duplicate_lines(cleaning.standardize_types(t.raw)),
     "fill_description": lambda t: cleaning.fill_description(cleaning.standardize_types(t.raw)),
-    "flag_lines": lambda t: t.clean,
+    "flag_lines": lambda t: cleaning.clean(t.raw),
     "positive_price_lines": lambda t: cleaning.positive_price_lines(t.clean),
     "sales_lines": lambda t: cleaning.sales_lines(t.clean),
     "customer_lines": lambda t: cleaning.customer_lines(t.sales),
@@ -94,14 +95,14 @@ FEATURES = {
     "order_dates": lambda t: features.order_dates(t.customer_lines),
     "average_order_gap": lambda t: features.average_order_gap(t.customer_lines),
     "return_metrics": lambda t: features.return_metrics(t.clean),
-    "customer_features": lambda t: t.features,
-    "customer_features_with_returns": lambda t: t.features_with_returns,
+    "customer_features": lambda t: t.build_features(),
+    "customer_features_with_returns": lambda t: t.build_features_with_returns(),
     "feature_null_audit": lambda t: features.feature_null_audit(t.features),
     "customers_with_returns": lambda t: features.customers_with_returns(t.features_with_returns),
     "feature_row_count": lambda t: features.feature_row_count(t.features),
     "feature_sample": lambda t: features.feature_sample(t.features),
-    "customers_dim": lambda t: t.customers,
-    "products_dim": lambda t: t.products,
+    "customers_dim": lambda t: features.customers_dim(t.customer_lines),
+    "products_dim": lambda t: features.products_dim(t.sales),
 }
 
 RFM = {
@@ -114,7 +115,7 @@ RFM = {
     "rfm_segment": lambda t: rfm.rfm_segment(t.rfm.drop("customer_segment")).select(
         "customer_id", "rfm_score", "customer_segment"
     ),
-    "customer_rfm": lambda t: rfm.customer_rfm(t.features),
+    "customer_rfm": lambda t: rfm.customer_rfm(t.build_features()),
     "rfm_lookup": lambda t: rfm.rfm_lookup(t.rfm, t.buyers_after_cutoff),
     "segment_revenue": lambda t: rfm.segment_revenue(t.rfm),
     "segment_share": lambda t: rfm.segment_share(t.rfm),
@@ -132,15 +133,15 @@ RFM = {
 }
 
 CHURN = {
-    "churn_labels": lambda t: t.labels,
+    "churn_labels": lambda t: t.build_labels(),
     "label_counts": lambda t: churn.label_counts(t.labels),
     "customer_orders": lambda t: churn.customer_orders(t.customer_lines, t.cutoff),
     "order_gaps": lambda t: churn.order_gaps(churn.customer_orders(t.customer_lines, t.cutoff)),
-    "churn_features": lambda t: t.churn_features,
+    "churn_features": lambda t: t.build_churn_features(),
     "churn_features_exact": lambda t: churn.churn_features_exact(t.customer_lines, t.cutoff),
     "churn_feature_ranges": lambda t: churn.churn_feature_ranges(t.churn_features),
     "feature_label_counts": lambda t: churn.feature_label_counts(t.churn_features, t.labels),
-    "churn_modeling": lambda t: t.modeling,
+    "churn_modeling": lambda t: churn.churn_modeling(t.build_churn_features(), t.build_labels()),
     "modeling_label_share": lambda t: churn.modeling_label_share(t.modeling),
     "modeling_ranges": lambda t: churn.modeling_ranges(t.modeling),
     "churn_distribution": lambda t: churn.churn_distribution(t.modeling),
@@ -179,7 +180,7 @@ def _appended(t):
 
 def _materialized(t):
     path = scratch_path(t.spark, "customer-features")
-    store.materialize(t.features, path)
+    store.materialize(t.build_features(), path)
     return t.spark.read.schema(CUSTOMER_FEATURES).parquet(path)
 
 
@@ -214,7 +215,7 @@ SOURCES = {
     "table_constraints": lambda t: store.table_constraints(
         t.fresh_predictions, "customer_id", PREDICTIONS.fieldNames()[1:], t.modeling
     ),
-    "save_model": lambda t: scoring.prediction_roundtrip(t.stored_modeling, t.final, _reloaded(t)),
+    "save_model": lambda t: scoring.prediction_roundtrip(t.modeling, t.final, _reloaded(t)),
 }
 
 
@@ -227,7 +228,7 @@ def _metrics(t, model):
 
 def _imputed(t):
     medians = training.feature_medians(t.train)
-    return training.impute_median(t.stored_modeling, medians)
+    return training.impute_median(t.modeling, medians)
 
 
 def _scaled(t):
@@ -247,7 +248,7 @@ def _folds(t):
 
 
 TRAINING = {
-    "stratified_split": lambda t: t.split.select("customer_id", "churned", "is_test"),
+    "stratified_split": lambda t: training.stratified_split(t.modeling).select("customer_id", "churned", "is_test"),
     "split_summary": lambda t: training.split_summary(t.split),
     "impute_median": lambda t: _imputed(t).select("customer_id", *MODEL_FEATURES),
     "standard_scale": _scaled,
@@ -260,7 +261,7 @@ TRAINING = {
     "train_logistic_log": lambda t: _metrics(t, t.logistic_log),
     "train_final": lambda t: _metrics(t, t.final),
     "feature_importance": lambda t: training.feature_importance(t.spark, t.final),
-    "model_metrics_table": lambda t: training.model_metrics_table(_metrics(t, t.final), t.stored_modeling),
+    "model_metrics_table": lambda t: training.model_metrics_table(_metrics(t, t.final), t.modeling),
     "train_test_auc": lambda t: training.train_test_auc(
         {"logistic": t.logistic, "logistic_log": t.logistic_log, "final": t.final}, t.train, t.test
     ),
@@ -296,11 +297,11 @@ def _ranked(rows):
 
 
 SCORING = {
-    "score_customers": lambda t: scoring.score_customers(t.stored_modeling, t.final, testdata.SCORED_AT),
+    "score_customers": lambda t: scoring.score_customers(t.modeling, t.final, testdata.SCORED_AT),
     "risk_level": lambda t: scoring.risk_level(t.predictions.drop("risk_level")).select(
         "customer_id", "churn_probability", "risk_level"
     ),
-    "attributions": lambda t: scoring.attributions(t.stored_modeling, t.final),
+    "attributions": lambda t: scoring.attributions(t.modeling, t.final),
     "linear_attributions": lambda t: t.linear_attributions,
     "top_drivers": lambda t: _ranked(scoring.top_drivers(t.linear_attributions)),
     "protective_factors": lambda t: _ranked(scoring.protective_factors(t.linear_attributions)),
@@ -310,7 +311,7 @@ SCORING = {
     ),
     "recommendation": lambda t: scoring.recommendation(t.predictions).select("customer_id", "risk_level", "recommendation"),
     "customer_360": _customer_360,
-    "prediction_roundtrip": lambda t: scoring.prediction_roundtrip(t.stored_modeling, t.final, _reloaded(t)),
+    "prediction_roundtrip": lambda t: scoring.prediction_roundtrip(t.modeling, t.final, _reloaded(t)),
 }
 
 PREDICTION_REPORTS = {
@@ -367,7 +368,7 @@ DASHBOARD = {
 
 
 def _report_blocks(t):
-    lines, modeling = t.sales, t.stored_modeling
+    lines, modeling = t.sales, t.modeling
     down = lambda name: -F.col(name)
     return {
         "executive_kpis": (sales.executive_kpis(lines, modeling), []),

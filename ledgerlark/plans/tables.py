@@ -1,8 +1,8 @@
 """Derived tables shared by the registered queries.
 
-Each table is described lazily from the given tables. Those that several steps
-scan repeatedly (the scored customers, the modelling table, fitted models) are
-stored once per session and input folder, the way a batch chain stores them.
+The chain stores each table once per session and input folder, and reports read
+the stored tables, so that lines are joined and deduplicated once and not by every
+report. Queries that are about building such a table build it anew.
 """
 
 from functools import cached_property
@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.exact import mean
-from ledgerlark.operators import churn, features, rfm, scoring, training
+from ledgerlark.operators import churn, cleaning, features, rfm, scoring, training
 from ledgerlark.plans.lineage import cut
 from ledgerlark.schemas import MODEL_FEATURES
 from ledgerlark.sources import testdata
@@ -45,28 +45,38 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    @property
+    # ---- lines ----
+
+    @cached_property
     def raw(self):
-        return testdata.raw_lines(self.spark, self.sf_dir)
+        return cut(testdata.raw_lines(self.spark, self.sf_dir), "raw-lines")
 
-    @property
+    @cached_property
     def clean(self):
-        return testdata.clean_lines(self.spark, self.sf_dir)
+        return cut(cleaning.clean(self.raw), "clean-lines")
 
     @property
     def sales(self):
-        return testdata.sales_lines(self.spark, self.sf_dir)
+        return cleaning.sales_lines(self.clean)
 
     @property
     def customer_lines(self):
-        return testdata.customer_lines(self.spark, self.sf_dir)
+        return cleaning.customer_lines(self.sales)
 
-    @property
+    # ---- customers and products ----
+
+    @cached_property
     def features(self):
+        return cut(self.build_features(), "features")
+
+    def build_features(self):
         return features.customer_features(self.customer_lines)
 
-    @property
+    @cached_property
     def features_with_returns(self):
+        return cut(self.build_features_with_returns(), "features-returns")
+
+    def build_features_with_returns(self):
         return features.customer_features(self.clean)
 
     @cached_property
@@ -77,29 +87,37 @@ class Tables:
     def rfm_with_returns(self):
         return cut(rfm.customer_rfm(self.features_with_returns), "rfm-returns")
 
-    @property
+    @cached_property
+    def customers(self):
+        return cut(features.customers_dim(self.customer_lines), "customers")
+
+    @cached_property
+    def products(self):
+        return cut(features.products_dim(self.sales), "products")
+
+    # ---- churn ----
+
+    @cached_property
     def labels(self):
+        return cut(self.build_labels(), "labels")
+
+    def build_labels(self):
         return churn.churn_labels(self.customer_lines, self.cutoff, self.end)
 
-    @property
+    @cached_property
     def churn_features(self):
+        return cut(self.build_churn_features(), "churn-features")
+
+    def build_churn_features(self):
         return churn.churn_features(self.customer_lines, self.cutoff)
 
-    @property
+    @cached_property
     def modeling(self):
-        return churn.churn_modeling(self.churn_features, self.labels)
-
-    @property
-    def customers(self):
-        return features.customers_dim(self.customer_lines)
-
-    @property
-    def products(self):
-        return features.products_dim(self.sales)
+        return cut(churn.churn_modeling(self.churn_features, self.labels), "modeling")
 
-    @property
+    @cached_property
     def predictions(self):
-        return testdata.pseudo_predictions(self.customer_lines, self.cutoff)
+        return cut(testdata.pseudo_predictions(self.customer_lines, self.cutoff), "predictions")
 
     @property
     def buyers_after_cutoff(self):
@@ -124,13 +142,9 @@ class Tables:
         """Stand-in predictions next to the observed label."""
         return self.predictions.join(self.labels.select("customer_id", "churned"), "customer_id")
 
-    @cached_property
-    def stored_modeling(self):
-        return cut(self.modeling, "modeling")
-
     @cached_property
     def split(self):
-        return cut(training.stratified_split(self.stored_modeling), "split")
+        return cut(training.stratified_split(self.modeling), "split")
 
     @property
     def train(self):
@@ -162,6 +176,6 @@ class Tables:
 
     @property
     def linear_attributions(self):
-        modeling = self.stored_modeling
+        modeling = self.modeling
         means = modeling.agg(*[mean(c).alias(c) for c in MODEL_FEATURES]).first().asDict()
         return scoring.linear_attributions(modeling.where(F.col("average_order_gap").isNotNull()), LINEAR_WEIGHTS, means)

@@ -8,7 +8,6 @@ every 50th part has no description and every 100th order appears twice.
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import cleaning
 from ledgerlark.schemas import PRICE
 
 CUTOFF = "2001-05-03"
@@ -20,8 +19,21 @@ def timestamp(text):
     return F.lit(text).cast("timestamp_ntz")
 
 
+# Declared columns of the star-schema tables in use; nothing is inferred from files.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_lines(spark, sf_dir):
@@ -36,7 +48,10 @@ def raw_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
     )
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
+    # Lines and orders grow together, so neither is ever a broadcast side; compressed
+    # file sizes would otherwise make a small extract look like one.
+    sold = lines.join(orders.hint("merge"), lines.l_orderkey == orders.o_orderkey)
+    joined = sold.join(parts, lines.l_partkey == parts.p_partkey)
 
     returned = F.col("l_returnflag") == "R"
     cancelled = returned & (F.col("l_linestatus") == "F")
@@ -56,18 +71,6 @@ def raw_lines(spark, sf_dir):
     ).drop("copy")
 
 
-def clean_lines(spark, sf_dir):
-    return cleaning.clean(raw_lines(spark, sf_dir))
-
-
-def sales_lines(spark, sf_dir):
-    return cleaning.sales_lines(clean_lines(spark, sf_dir))
-
-
-def customer_lines(spark, sf_dir):
-    return cleaning.customer_lines(sales_lines(spark, sf_dir))
-
-
 def pseudo_predictions(customer_lines, cutoff=CUTOFF, scored_at=SCORED_AT):
     """A stand-in score that SQL can repeat: one row per customer with a line up to the cutoff."""
     score = (F.col("customer_id") * 7919) % 1000
