@@ -1,22 +1,24 @@
 """Exact ranks, quantiles and equal-size buckets without a single-task sort.
 
 An unpartitioned window moves the whole table into one task. The helpers here
-find the few order statistics that are needed instead: rows are counted per
-value range on the map side, only the ranges that hold a wanted rank are
-ordered, and everything that returns to the driver is a handful of boundary
-values. The results are exact and do not depend on how the ranges were chosen.
+find the few order statistics that are needed instead: a sample suggests a narrow
+bracket around each wanted rank, a map-side count fixes how many rows lie below
+it, and only the rows inside a bracket are ordered. Everything that returns to the
+driver is a bounded sample or a handful of boundary values. The results are exact
+whatever the sample looked like; a poor bracket only costs time.
 """
 
 from bisect import bisect_left
-from math import ceil, floor
+from math import ceil, floor, sqrt
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlark.plans.lineage import cut
+
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 256
-SAMPLES_PER_RANGE = 200
+SAMPLE_ROWS = 50_000
 HASH_RANGES = 4096
 
 
@@ -53,17 +55,79 @@ def _range_number(splits, low=0):
     ).otherwise(_range_number(splits[middle + 1 :], low + middle + 1))
 
 
-def _sampled_splits(table, values, key, dtype, sizes, ranges):
-    fraction = min(1.0, ranges * SAMPLES_PER_RANGE / max(max(sizes.values()), 1))
-    sampled = _stacked(table.sample(fraction=fraction, seed=17), values, key, dtype).collect()
+def _brackets(long, sizes, ranks):
+    """Per name, sampled (value, key) splits a few standard errors around each wanted rank."""
+    fraction = min(1.0, SAMPLE_ROWS / max(sizes.values()))
+    sampled = {name: [] for name in sizes}
+    for row in long.sample(fraction=fraction, seed=17).collect():
+        sampled[row.name].append((row.value, row.key))
     splits = {}
-    for name in values:
-        ordered = sorted((row.value, row.key) for row in sampled if row.name == name)
-        step = max(len(ordered) // ranges, 1)
-        splits[name] = sorted(set(ordered[step::step]))
+    for name, points in sampled.items():
+        points.sort()
+        chosen = set()
+        for rank in ranks[name]:
+            share = rank / sizes[name]
+            margin = 4 * sqrt(len(points) * share * (1 - share)) + 2
+            for at in (floor(share * len(points) - margin), ceil(share * len(points) + margin)):
+                if 0 <= at < len(points):
+                    chosen.add(points[at])
+        splits[name] = sorted(chosen)
     return splits
 
 
+def _with_range(long, splits):
+    number = F.lit(0)
+    for name, bounds in splits.items():
+        number = F.when(F.col("name") == name, _range_number(bounds)).otherwise(number)
+    return long.withColumn("range", number)
+
+
+def _narrow(long, sizes, ranks):
+    """One round: the rows of the brackets that hold wanted ranks, each as a group of
+    its own, with the groups' sizes, and where each wanted rank went."""
+    ranged = _with_range(long, _brackets(long, sizes, ranks))
+    counts = {}
+    for row in ranged.groupBy("name", "range").count().collect():
+        counts.setdefault(row.name, []).append((row.range, row["count"]))
+    moved, inner_sizes, inner_ranks = {}, {}, {}
+    for name, name_ranks in ranks.items():
+        numbers, ends, total = [], [], 0
+        for number, n in sorted(counts.get(name, [])):
+            total += n
+            numbers.append((number, n))
+            ends.append(total)
+        for rank in name_ranks:
+            at = bisect_left(ends, rank)
+            number, n = numbers[at]
+            inner = f"{name}/{number}"
+            local = rank - (ends[at] - n)
+            moved[(name, rank)] = (inner, local)
+            inner_sizes[inner] = n
+            inner_ranks.setdefault(inner, set()).add(local)
+    renamed = ranged.select(F.concat("name", F.lit("/"), F.col("range").cast("string")).alias("name"), "value", "key")
+    inside = renamed.where(F.col("name").isin(list(inner_sizes)))
+    return cut(inside, "brackets"), inner_sizes, inner_ranks, moved
+
+
+def _pick(long, ranks):
+    """Order the rows of each name and pick the wanted ranks. Equal rows are counted
+    before they are ordered."""
+    ordered = Window.partitionBy("name").orderBy("value", "key").rowsBetween(Window.unboundedPreceding, 0)
+    counted = (
+        long.groupBy("name", "value", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(ordered))
+    )
+    hit = F.lit(False)
+    for name, name_ranks in ranks.items():
+        for rank in name_ranks:
+            hit = hit | ((F.col("name") == name) & (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    found = {}
+    for row in counted.where(hit).collect():
+        for rank in ranks[row.name]:
+            if row.upto - row.n < rank <= row.upto:
+                found[(row.name, rank)] = (row.value, row.key)
+    return found
+
+
 def non_null_counts(table, values):
     row = table.agg(*[F.count(column).alias(name) for name, column in values.items()]).first()
     return {name: row[name] for name in values}
@@ -74,65 +138,24 @@ def order_statistics(table, values, ranks, sizes, key=None, rows_per_range=ROWS_
 
     ``values`` maps a name to a column expression, ``ranks`` a name to the wanted
     ranks, ``sizes`` a name to its count of non-null values. ``table`` should be a
-    stored table: it is scanned up to three times.
+    stored table: each round of narrowing scans it twice.
     """
-    dtype = _common_type(table, values)
-    long = _stacked(table, values, key, dtype)
-    ranges = min(MAX_RANGES, ceil(max(sizes.values(), default=0) / rows_per_range))
-    if ranges > 1:
-        splits = _sampled_splits(table, values, key, dtype, sizes, ranges)
-        number = F.lit(0)
-        for name, bounds in splits.items():
-            number = F.when(F.col("name") == name, _range_number(bounds)).otherwise(number)
-        long = long.withColumn("range", number)
-        counted = long.groupBy("name", "range").count().collect()
-    else:
-        long = long.withColumn("range", F.lit(0))
-        counted = None
-
-    wanted = {}
-    for name, name_ranks in ranks.items():
-        if counted is None:
-            ends, numbers = [sizes[name]], [0]
-        else:
-            rows = sorted((row.range, row["count"]) for row in counted if row.name == name)
-            numbers, ends, total = [], [], 0
-            for number, n in rows:
-                total += n
-                numbers.append(number)
-                ends.append(total)
-        for rank in name_ranks:
-            if not 1 <= rank <= sizes[name]:
-                continue
-            at = bisect_left(ends, rank)
-            before = ends[at - 1] if at else 0
-            wanted.setdefault((name, numbers[at], rank - before), []).append(rank)
-    if not wanted:
+    ranks = {name: {rank for rank in rs if 1 <= rank <= sizes[name]} for name, rs in ranks.items()}
+    ranks = {name: rs for name, rs in ranks.items() if rs}
+    if not ranks:
         return {}
-
-    in_range = None
-    hit = None
-    for name, number, local in wanted:
-        here = (F.col("name") == name) & (F.col("range") == number)
-        reached = here & (F.col("upto") >= local) & (F.col("upto") - F.col("n") < local)
-        in_range = here if in_range is None else in_range | here
-        hit = reached if hit is None else hit | reached
-    ordered = Window.partitionBy("name", "range").orderBy("value", "key").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        long.where(in_range)
-        .groupBy("name", "range", "value", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(ordered))
-        .where(hit)
-        .collect()
-    )
-    found = {}
-    for (name, number, local), original in wanted.items():
-        for row in rows:
-            if row.name == name and row.range == number and row.upto - row.n < local <= row.upto:
-                for rank in original:
-                    found[(name, rank)] = (row.value, row.key)
-    return found
+    sizes = {name: sizes[name] for name in ranks}
+    long = _stacked(table, {name: values[name] for name in ranks}, key, _common_type(table, values))
+    places = {(name, rank): (name, rank) for name, rs in ranks.items() for rank in rs}
+    largest, before = max(sizes.values()), float("inf")
+    # Stop when a round no longer helps: one value then holds most rows, and equal rows
+    # are counted, not ordered.
+    while largest > rows_per_range and largest < before / 2:
+        long, sizes, ranks, moved = _narrow(long, sizes, ranks)
+        places = {wanted: moved[place] for wanted, place in places.items()}
+        largest, before = max(sizes.values()), largest
+    found = _pick(long, ranks)
+    return {wanted: found[place] for wanted, place in places.items()}
 
 
 def add_ntile(table, buckets, key, orderings, rows_per_range=ROWS_PER_RANGE):

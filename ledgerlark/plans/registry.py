@@ -160,7 +160,7 @@ def _two_extracts(t):
     path = scratch_path(t.spark, "extracts")
     raw = t.raw.toDF(*RAW_LINES.fieldNames())
     period = F.when(F.col("InvoiceDate") < testdata.timestamp("1998-01-01"), 1).otherwise(2)
-    raw.withColumn("period", period).write.partitionBy("period").options(**store._CSV).csv(path)
+    raw.withColumn("period", period).write.partitionBy("period").options(**store.CSV_OPTIONS).csv(path)
     return cleaning.normalize_columns(store.read_raw_sheets(t.spark, [f"{path}/period=1", f"{path}/period=2"]))
 
 

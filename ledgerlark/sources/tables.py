@@ -12,14 +12,15 @@ from pyspark.sql.utils import AnalysisException
 
 from ledgerlark.schemas import CLEAN_LINES, PREDICTIONS, RAW_LINES, TRANSACTIONS
 
-# Blanks around values matter before cleaning, and an empty text is not a null.
-_CSV = {
+# Blanks around values matter before cleaning. A missing value and an empty text are
+# both written as nothing and read back as null.
+CSV_OPTIONS = {
     "header": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "nullValue": "",
-    "emptyValue": '""',
     "escape": '"',
+    "nullValue": "",
+    "emptyValue": "",
 }
 
 # Fixed value: rows per insert batch of the load step.
@@ -28,7 +29,7 @@ LOAD_BATCH_ROWS = 10000
 
 def _reader(spark, schema, source_format):
     reader = spark.read.schema(schema).format(source_format)
-    return reader.options(**_CSV) if source_format == "csv" else reader
+    return reader.options(**CSV_OPTIONS) if source_format == "csv" else reader
 
 
 def read_raw_sheets(spark, paths, source_format="csv"):
@@ -44,7 +45,7 @@ def read_clean_csv(spark, path, n=None):
 
 
 def write_clean_csv(df, path):
-    df.write.mode("overwrite").options(**_CSV).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_lines(df, path):

@@ -5,14 +5,14 @@ both carry over to micro-batches of newly arrived files without any state.
 """
 
 from ledgerlark.schemas import CLEAN_LINES
-from ledgerlark.sources.tables import _CSV, prepare_lines_for_load, upsert_predictions
+from ledgerlark.sources.tables import CSV_OPTIONS, prepare_lines_for_load, upsert_predictions
 
 
 def append_new_files(spark, source, target, checkpoint, files_per_batch=1000):
     """Append the clean lines of files not loaded before, exactly once per file, and stop."""
     lines = (
         spark.readStream.schema(CLEAN_LINES)
-        .options(**_CSV)
+        .options(**CSV_OPTIONS)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(source)
     )

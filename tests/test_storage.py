@@ -60,7 +60,7 @@ def test_constraints(spark):
 def clean(spark):
     rows = [
         ("1", "A", ' say "hi", twice ', 2, datetime(2010, 1, 1, 8), Decimal("1.5"), 5, "UK", Decimal("3.00"), False, False, False),
-        ("2", "B", "", 1, datetime(2010, 1, 2), Decimal("2"), None, None, Decimal("2.00"), False, False, False),
+        ("2", "B", None, 1, datetime(2010, 1, 2), Decimal("2"), None, None, Decimal("2.00"), False, False, False),
     ]
     return spark.createDataFrame(rows, CLEAN_LINES)
 
@@ -81,11 +81,11 @@ def test_lines_partitioned_by_month(spark):
 
 def test_stream_appends_each_file_once(spark):
     source, target, checkpoint = (scratch_path(spark, name) for name in ("in", "out", "cp"))
-    clean(spark).write.options(**store._CSV).csv(source)
+    clean(spark).write.options(**store.CSV_OPTIONS).csv(source)
     incremental.append_new_files(spark, source, target, checkpoint)
     incremental.append_new_files(spark, source, target, checkpoint)
     assert spark.read.parquet(target).count() == 2
-    clean(spark).write.mode("append").options(**store._CSV).csv(source)
+    clean(spark).write.mode("append").options(**store.CSV_OPTIONS).csv(source)
     incremental.append_new_files(spark, source, target, checkpoint)
     assert spark.read.parquet(target).count() == 4
 
