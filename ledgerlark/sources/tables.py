@@ -49,9 +49,13 @@ def write_clean_csv(df, path):
 
 
 def write_lines(df, path):
-    """Clean lines as parquet, partitioned by month so that date cut-offs prune files."""
-    month = F.date_format("invoice_date", "yyyy-MM")
-    df.withColumn("invoice_month", month).write.mode("overwrite").partitionBy("invoice_month").parquet(path)
+    """Clean lines as parquet, partitioned by month so that date cut-offs prune files.
+
+    The rebalance hint gathers a month's rows into few files and splits a month that
+    outgrows one task.
+    """
+    monthly = df.withColumn("invoice_month", F.date_format("invoice_date", "yyyy-MM"))
+    monthly.hint("rebalance", "invoice_month").write.mode("overwrite").partitionBy("invoice_month").parquet(path)
 
 
 def prepare_lines_for_load(lines):
@@ -65,6 +69,11 @@ def append_lines(lines, path):
     prepare_lines_for_load(lines).write.mode("append").parquet(path)
 
 
+def number_lines(lines, after=0):
+    """Add ``transaction_id``, a unique surrogate key above ``after``; gaps are possible."""
+    return lines.select((F.monotonically_increasing_id() + F.lit(after + 1)).alias("transaction_id"), "*")
+
+
 def append_lines_jdbc(lines, url, table, properties=None):
     """Append prepared lines to a database table in batched inserts."""
     prepare_lines_for_load(lines).write.option("batchsize", LOAD_BATCH_ROWS).jdbc(

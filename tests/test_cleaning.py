@@ -55,6 +55,15 @@ def test_quality_checks_find_each_fault(spark, raw):
     assert lacking["required_columns"].passed
 
 
+def test_collation_groups_without_case(spark):
+    rows = [("a1", "x", "UK", "1"), ("A1", "X", "uk", "2")]
+    frame = spark.createDataFrame(rows, "stock_code string, description string, country string, invoice string")
+    assert frame.select("stock_code").distinct().count() == 2
+    folded = cleaning.with_collation(frame)
+    assert folded.select("stock_code").distinct().count() == 1
+    assert folded.groupBy("country").count().count() == 1
+
+
 def test_report_over_nothing_is_zero(raw):
     row = cleaning.cleaning_report(cleaning.clean(raw).limit(0)).first()
     assert set(row) == {0}

@@ -79,6 +79,21 @@ def test_lines_partitioned_by_month(spark):
     assert spark.read.parquet(path).where("invoice_month = '2010-01'").count() == 2
 
 
+def test_line_numbers_are_unique(spark):
+    lines = clean(spark).unionByName(clean(spark)).repartition(3)
+    ids = [row.transaction_id for row in store.number_lines(lines, after=100).collect()]
+    assert len(set(ids)) == 4 and min(ids) > 100
+
+
+def test_materialized_bucketed_table(spark):
+    spark.sql("DROP TABLE IF EXISTS bucketed_lines")
+    path = scratch_path(spark, "warehouse")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS scratch LOCATION '{path}'")
+    store.materialize(clean(spark), "scratch.bucketed_lines", "stock_code", 4)
+    assert spark.table("scratch.bucketed_lines").count() == 2
+    spark.sql("DROP TABLE scratch.bucketed_lines")
+
+
 def test_stream_appends_each_file_once(spark):
     source, target, checkpoint = (scratch_path(spark, name) for name in ("in", "out", "cp"))
     clean(spark).write.options(**store.CSV_OPTIONS).csv(source)
