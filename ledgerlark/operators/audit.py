@@ -53,12 +53,32 @@ def value_counts(df, column, n=None, normalize=False):
     return counts.limit(n) if n is not None else counts
 
 
+def _describe_text(df, columns):
+    """Text figures of several columns in one pass over (column, value) pairs. Pairs are
+    counted before anything is compared, then equal counts are merged, so neither a
+    frequent value nor a column of unique values meets in one task."""
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
+    counts = (
+        df.select(F.inline(F.array(*pairs))).groupBy("column_name", "value").agg(F.count("value").alias("rows"))
+    )
+    # The smallest of equally frequent values stands for them.
+    tied = counts.groupBy("column_name", "rows").agg(F.min("value").alias("value"), F.count("value").alias("values"))
+    numeric = ("mean_value", "std_value", "min_value", "p25", "p50", "p75", "max_value")
+    return tied.groupBy("column_name").agg(
+        F.sum(F.col("rows") * F.col("values")).alias("value_count"),
+        F.sum("values").alias("unique_values"),
+        F.max_by("value", "rows").alias("top_value"),
+        F.nullif(F.max("rows"), F.lit(0).cast("bigint")).alias("top_count"),
+        *[F.lit(None).cast("double").alias(name) for name in numeric],
+    )
+
+
 def describe_all(df, columns):
     """Summary of each column: count, distinct values, most frequent value, moments, quartiles.
 
     Quartiles are exact with linear interpolation. Text columns have the text
     figures only, numeric columns the numeric ones only, as in a mixed summary.
-    ``df`` should be a stored table: it is scanned once per column group.
+    ``df`` should be a stored table: it is scanned a few times.
     """
     types = {field.name: field.dataType for field in df.schema}
     numeric = [c for c in columns if isinstance(types[c], T.NumericType)]
@@ -87,26 +107,9 @@ def describe_all(df, columns):
             for c in numeric
         ]
         parts.append(df.agg(F.array(*entries).alias("entries")).select(F.inline("entries")))
-    for c in [c for c in columns if c not in numeric]:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(
-            F.count(F.lit(1)).alias("rows")
-        )
-        # The most frequent value, the smallest of equally frequent ones.
-        best = F.max_by("value", "rows")
-        tied = counts.groupBy("rows").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("values"))
-        parts.append(
-            tied.agg(
-                F.lit(c).alias("column_name"),
-                F.coalesce(F.sum(F.col("rows") * F.col("values")), F.lit(0)).cast("bigint").alias("value_count"),
-                F.coalesce(F.sum("values"), F.lit(0)).cast("bigint").alias("unique_values"),
-                best.alias("top_value"),
-                F.max("rows").alias("top_count"),
-                *[
-                    nothing("double").alias(name)
-                    for name in ("mean_value", "std_value", "min_value", "p25", "p50", "p75", "max_value")
-                ],
-            )
-        )
+    text = [c for c in columns if c not in numeric]
+    if text:
+        parts.append(_describe_text(df, text))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -80,3 +80,13 @@ def test_schema_of_loaded_lines(raw):
 
     loaded = prepare_lines_for_load(cleaning.clean(raw))
     assert [(f.name, f.dataType) for f in loaded.schema] == [(f.name, f.dataType) for f in TRANSACTIONS]
+
+
+def test_describe_mixed_columns(spark):
+    rows = [("b", None, 1), ("b", None, 2), ("a", None, 3), ("a", None, None), (None, None, 10)]
+    frame = spark.createDataFrame(rows, "t string, nothing string, n int")
+    found = {row.column_name: row for row in audit.describe_all(frame, ["t", "nothing", "n"]).collect()}
+    assert (found["t"].value_count, found["t"].unique_values, found["t"].top_value, found["t"].top_count) == (4, 2, "a", 2)
+    assert (found["nothing"].value_count, found["nothing"].top_value, found["nothing"].top_count) == (0, None, None)
+    assert (found["n"].value_count, found["n"].mean_value, found["n"].p50, found["n"].max_value) == (4, 4.0, 2.5, 10.0)
+    assert found["n"].top_value is None and found["t"].mean_value is None
