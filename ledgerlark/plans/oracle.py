@@ -737,9 +737,9 @@ def _attributions():
     from ledgerlark.plans.tables import LINEAR_WEIGHTS
 
     return "attributed AS (" + " UNION ALL ".join(
-        f"SELECT customer_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS feature_value, "
-        f"CAST({w!r} AS DOUBLE) * (CAST({c} AS DOUBLE) - (SELECT {mean(c)} FROM churn_modeling)) AS shap_value "
-        "FROM churn_modeling WHERE average_order_gap IS NOT NULL"
+        f"SELECT customer_id, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), middle) AS feature_value, "
+        f"CAST({w!r} AS DOUBLE) * (coalesce(CAST({c} AS DOUBLE), middle) - middle) AS shap_value "
+        f"FROM churn_modeling, (SELECT {mean(c)} AS middle FROM churn_modeling)"
         for c, w in LINEAR_WEIGHTS.items()
     ) + """),
 drivers AS (

@@ -178,4 +178,6 @@ class Tables:
     def linear_attributions(self):
         modeling = self.modeling
         means = modeling.agg(*[mean(c).alias(c) for c in MODEL_FEATURES]).first().asDict()
-        return scoring.linear_attributions(modeling.where(F.col("average_order_gap").isNotNull()), LINEAR_WEIGHTS, means)
+        # An unknown gap counts as the mean one and so has no effect.
+        gap = F.coalesce(F.col("average_order_gap").cast("double"), F.lit(means["average_order_gap"]))
+        return scoring.linear_attributions(modeling.withColumn("average_order_gap", gap), LINEAR_WEIGHTS, means)
