@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from ledgerlark.llm import packing, sharding, token_store
+from ledgerlark.llm import minhash, packing, sharding, token_store
 from ledgerlark.llm.common import table
 from ledgerlark.plans import lineage
 
@@ -22,6 +22,11 @@ def op4_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), END_ID)
 
 
+def op5_minhash(spark, sf_dir):
+    """Near-duplicate groups by two-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op10_sharding(spark, sf_dir):
     """Documents in 16 shards of nearly equal bytes."""
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 16)
