@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from ledgerlark.llm import minhash, packing, sharding, token_store
+from ledgerlark.llm import metric_join, minhash, packing, sharding, token_store, topk
 from ledgerlark.llm.common import table
 from ledgerlark.plans import lineage
 
@@ -10,6 +10,11 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
 
+def op1_metric_join(spark, sf_dir):
+    """Near-duplicate vectors at cosine 0.9."""
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op2_token_store(spark, sf_dir):
     """Token files written and read back."""
     folder = lineage.scratch_path(spark, "token-files")
@@ -27,6 +32,11 @@ def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op9_topk(spark, sf_dir):
+    """The ten highest integer products of every hundredth vector."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"), 10, 100, 1024)
+
+
 def op10_sharding(spark, sf_dir):
     """Documents in 16 shards of nearly equal bytes."""
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 16)
@@ -36,5 +46,45 @@ def all_queries():
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
 
+#: Vectors that can be compared, as doubles.
+_WHOLE = """
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+"""
+
+SQL = {
+    "op1_metric_join": f"""
+        WITH RECURSIVE whole AS ({_WHOLE}),
+        usable AS (SELECT * FROM whole WHERE list_inner_product(v, v) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+        ),
+        reached(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+        ),
+        components AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM components LEFT JOIN counts USING (vec_id)
+    """,
+    "op9_topk": f"""
+        WITH whole AS ({_WHOLE}),
+        numbers AS (SELECT vec_id, list_transform(v, lambda x: floor(1024 * x)) AS v FROM whole),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM numbers q JOIN numbers c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
+
+
 def all_sql():
-    return {}
+    return dict(SQL)
