@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from ledgerlark.llm import metric_join, minhash, packing, sharding, token_store, topk
+from ledgerlark.llm import metric_join, minhash, packing, sharding, token_store, topk, toxicity
 from ledgerlark.llm.common import table
 from ledgerlark.plans import lineage
 
@@ -22,6 +22,11 @@ def op2_token_store(spark, sf_dir):
     return token_store.read_tokens(manifest)
 
 
+def op3_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark, sf_dir):
     """Documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), END_ID)
