@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from ledgerlark.llm import metric_join, minhash, packing, sharding, token_store, topk, toxicity
+from ledgerlark.llm import metric_join, minhash, packing, sharding, token_store, topk, toxicity, wrappers
 from ledgerlark.llm.common import table
 from ledgerlark.plans import lineage
 
@@ -37,6 +37,11 @@ def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op8_wrappers(spark, sf_dir):
+    """The main text of every page."""
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_topk(spark, sf_dir):
     """The ten highest integer products of every hundredth vector."""
     return topk.top_products(table(spark, sf_dir, "embeddings"), 10, 100, 1024)
