@@ -13,8 +13,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries that a worker's cache holds before the older half goes.
-CACHE_WORDS = 300_000
+#: Entries of a worker's caches of words and of their parts before the older half goes.
+CACHE_WORDS, CACHE_PIECES = 500_000, 250_000
 #: Longer words are encoded anew each time.
 CACHE_CHARS = 48
 
@@ -41,6 +41,20 @@ class _Cache(dict):
         return value
 
 
+#: The same over texts of Latin-1, with the white space that the library means.
+_LATIN_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\xA0\p{L}\p{N}]+")
+#: Characters that no normal form changes and whose small letters stand alone.
+_PLAIN = regex.compile(r"[\x00-\xFF]*+")
+
+
+def _byte_letters():
+    """The public byte-level alphabet: visible Latin-1 bytes are themselves, the others
+    follow from 256 on in order."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class Encoder:
     """ids(text): the text's ids as little-endian unsigned 32-bit integers."""
 
@@ -48,17 +62,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         layout = json.loads(self.tokenizer.to_str())
         self.by_word = _drops_white_space(layout)
-        self.pattern = regex.compile(WORD_PATTERN)
         self.special = [token["content"] for token in layout["added_tokens"]]
+        self.letters = _byte_letters()
         self.words = _Cache(self._word, CACHE_WORDS, CACHE_CHARS)
-        self.pieces = _Cache(self._piece, CACHE_WORDS, CACHE_CHARS)
+        self.small = _Cache(self._small_word, CACHE_WORDS, CACHE_CHARS)
+        self.pieces = _Cache(self._piece, CACHE_PIECES, CACHE_CHARS)
 
     def ids(self, text):
         if not self.by_word:
             return self._plain(text)
         # other white space stays inside a word, where the library treats it
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.words.__getitem__, words))
+        words = self.words
+        if _PLAIN.fullmatch(text):
+            small = text.lower()
+            if not any(token in small for token in self.special):
+                text, words = small, self.small
+        return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     def _plain(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -68,14 +87,19 @@ class Encoder:
             return b""
         if any(token in word for token in self.special):
             return self._plain(word)
-        if word.isascii() and word.isprintable():
-            found = self.pattern.findall(word.lower())
-        else:
-            clean = self.tokenizer.normalizer.normalize_str(word)
-            found = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
-        return b"".join([self.pieces[piece] for piece in found])
+        clean = self.tokenizer.normalizer.normalize_str(word)
+        return b"".join([self._spelt(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)])
+
+    def _small_word(self, word):
+        """A word in small letters of Latin-1, which normalisation leaves as it is."""
+        if word.isalpha():
+            return self._piece(word)
+        return b"".join(map(self.pieces.__getitem__, _LATIN_PATTERN.findall(word)))
 
     def _piece(self, piece):
+        return self._spelt(piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters))
+
+    def _spelt(self, piece):
         return np.array([token.id for token in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
 
 
