@@ -2,11 +2,12 @@
 
 import public_tokenizers
 
-from ledgerlark.llm import metric_join, minhash, packing, sharding, token_store, topk, toxicity, wrappers
+from ledgerlark.llm import metric_join, minhash, packing, sharding, token_counts, token_store, topk, toxicity, wrappers
 from ledgerlark.llm.common import table
 from ledgerlark.plans import lineage
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 END_ID = 1
 
 
@@ -37,6 +38,11 @@ def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_token_counts(spark, sf_dir):
+    """Tokens of every document under a unigram reading of the piece vocabulary."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
+
+
 def op8_wrappers(spark, sf_dir):
     """The main text of every page."""
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
