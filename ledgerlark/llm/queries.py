@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from ledgerlark.llm import metric_join, minhash, packing, sharding, token_counts, token_store, topk, toxicity, wrappers
+from ledgerlark.llm import metric_join, minhash, mixing, packing, sharding, token_counts, token_store, topk, toxicity, wrappers
 from ledgerlark.llm.common import table
 from ledgerlark.plans import lineage
 
@@ -43,6 +43,15 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
 
 
+#: Weights of the domains in the mixture.
+TARGETS = {"low": 0.05, "clean": 0.9, "toxic": 0.05}
+
+
+def op7_mixing(spark, sf_dir):
+    """Rates of all documents for the target weights."""
+    return mixing.mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op8_wrappers(spark, sf_dir):
     """The main text of every page."""
     return wrappers.main_texts(table(spark, sf_dir, "pages"))

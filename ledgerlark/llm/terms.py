@@ -34,16 +34,14 @@ def _word_terms(word):
     return tuple({_hashed(word), *(_hashed(f"{word[:n]}-") for n in _BEGINNINGS if len(word) >= n)})
 
 
-def shape_terms(text):
-    """Length, share of signs and digits, length of words and repetition of lines, in steps."""
-    words = text.split()
-    lines = text.split("\n")
-    n = max(1, len(text))
-    plain = sum(map(len, _WORD.findall(text)))
+def shape_terms(text, words):
+    """Length, share of signs and digits, length of words and repetition of lines, in steps.
+    ``words`` are the text's runs of letters."""
+    parts, lines, plain = len(text.split()), text.split("\n"), sum(map(len, words))
     shapes = (
-        ("words", int(math.log2(len(words) + 1))),
-        ("signs", round(10 * (1 - (plain + text.count(" ")) / n))),
-        ("letters", min(20, round(plain / max(1, len(words))))),
+        ("words", int(math.log2(parts + 1))),
+        ("signs", round(10 * (1 - (plain + text.count(" ")) / max(1, len(text))))),
+        ("letters", min(20, round(plain / max(1, parts)))),
         ("lines", round(5 * len(set(lines)) / len(lines))),
     )
     return tuple(_hashed(f"{name} {step}") for name, step in shapes)
@@ -65,11 +63,12 @@ class Terms:
 
     def of(self, text):
         found = set()
-        for places in map(self.words.__getitem__, set(_WORD.findall(text.lower()))):
+        words = _WORD.findall(text.lower())
+        for places in map(self.words.__getitem__, set(words)):
             if places:
                 found.update(places)
         if self.shapes:
-            found.update(self._known(shape_terms(text)))
+            found.update(self._known(shape_terms(text, words)))
         return found
 
 

@@ -7,6 +7,7 @@ of the sum less the sum of squares, linear in the terms.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import terms
@@ -85,17 +86,33 @@ def fit(docs, labels, most=terms.LABELLED):
     return buckets, machine
 
 
+def _scores(buckets, machine):
+    """The scores of a list of texts, for a task."""
+    known = terms.Terms(buckets)
+    return lambda texts: machine.score(*terms.joined([sorted(known.of(text or "")) for text in texts]))
+
+
+def keep_below(docs, model, at_least=0.7):
+    """The rows of ``docs``, with all their columns, that score below ``at_least``. Rows are
+    judged where they are; nothing is shuffled."""
+
+    def keep(batches):
+        scores = _scores(*model)
+        for records in batches:
+            yield records.filter(pa.array(scores(lists(records, "text")[0]) < at_least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score(docs, model, at_least=0.7):
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    buckets, machine = model
     out = "doc_id long, score double"
 
     def judge(batches):
-        known = terms.Terms(buckets)
+        scores = _scores(*model)
         for records in batches:
             ids, texts = lists(records, "doc_id", "text")
-            flat, starts = terms.joined([sorted(known.of(text)) for text in texts])
-            yield batch(arrow_schema(out), ids, machine.score(flat, starts))
+            yield batch(arrow_schema(out), ids, scores(texts))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(judge, out).select("doc_id", held_out_fold().alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))
