@@ -29,6 +29,8 @@ from ledgerlark.plans import lineage
 #: Elements nested deeper are read as part of their parent; longer lists of children, and
 #: larger alignments, become one repeated group of optional elements.
 DEEPEST, CHILDREN, CELLS = 48, 64, 40_000
+#: Neighbours of one symbol that repeat whatever their shape.
+ALIKE = 4
 #: Pages of a host before its fixed texts outside articles count as its template.
 FIXED_PAGES = 4
 #: Wrappers held in a task before they are passed on.
@@ -110,8 +112,7 @@ def parse(page):
         elif found["end"]:
             if name in names:
                 close(len(names) - 1 - names[::-1].index(name))
-            else:
-                pieces.append(" ")
+            pieces.append(" ")
         else:
             if name in _ENDS_P and "p" in names:
                 close(len(names) - 1 - names[::-1].index("p"))
@@ -165,8 +166,14 @@ def wrapper_of(node):
     return [node[0], 0, 0, _folded(children)]
 
 
+def _shape(item):
+    """An item's symbols, without texts."""
+    return item[0] if item[0] == "#" or not item[3] else f"{item[0]}[{','.join(map(_shape, item[3]))}]"
+
+
 def _folded(items):
-    """Neighbours that repeat, alone or in twos and threes, become one repeated group."""
+    """Neighbours that repeat, alone or in twos and threes, become one repeated group: two
+    or three of equal shape, more of equal symbols."""
     for period in (1, 2, 3):
         done, at = [], 0
         while at < len(items):
@@ -174,7 +181,8 @@ def _folded(items):
             stop = at + period
             while len(shape) == period and [item[0] for item in items[stop : stop + period]] == shape:
                 stop += period
-            if stop - at <= period or (period > 1 and len(set(shape)) == 1):
+            few = stop - at < ALIKE * period and len({tuple(map(_shape, items[k : k + period])) for k in range(at, stop, period)}) > 1
+            if stop - at <= period or few or (period > 1 and len(set(shape)) == 1):
                 done.append(items[at])
                 at += 1
                 continue
