@@ -1,15 +1,14 @@
 """Exact ranks, quantiles and equal-size buckets without a single-task sort.
 
-An unpartitioned window moves the whole table into one task. The helpers here
-find the few order statistics that are needed instead: a sample suggests a narrow
-bracket around each wanted rank, a map-side count fixes how many rows lie below
-it, and only the rows inside a bracket are ordered. Everything that returns to the
-driver is a bounded sample or a handful of boundary values. The results are exact
-whatever the sample looked like; a poor bracket only costs time.
+An unpartitioned window moves the whole table into one task. The helpers here find the
+few order statistics that are needed by one plan for every size: equal rows are counted,
+the counted rows are cut into ranges of about equal size, one for each shuffle partition,
+and stored with the number of their range; sums per range tell which range holds a wanted
+rank, and only that range is ordered. A value that many rows share is one counted row, so
+no range grows with it. Values are compared in their own type.
 """
 
-from bisect import bisect_left
-from math import ceil, floor, sqrt
+from math import ceil, floor
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,26 +16,37 @@ from pyspark.sql import types as T
 
 from ledgerlark.plans.lineage import cut
 
-ROWS_PER_RANGE = 2_000_000
-SAMPLE_ROWS = 50_000
-HASH_RANGES = 4096
+#: Rows that one task ranks by hash.
+HASH_ROWS = 100_000
 
 
-def _common_type(table, values):
-    kinds = [table.select(column.alias("v")).schema["v"].dataType for column in values.values()]
-    if any(isinstance(kind, (T.DoubleType, T.FloatType)) for kind in kinds):
-        return "double"
-    return "decimal(38,6)"
+def _types(table, values):
+    """A type for each name: whole numbers as bigint, fractions as double, decimals as they are."""
+    kinds = {}
+    for name, column in values.items():
+        kind = table.select(column.alias("v")).schema["v"].dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            kinds[name] = "double"
+        else:
+            kinds[name] = kind.simpleString() if isinstance(kind, T.DecimalType) else "bigint"
+    return kinds
 
 
-def _stacked(table, values, key, dtype):
-    """One row per (named value, key); null values dropped."""
+def _counted(table, values, key, dtype):
+    """Rows of one type counted: name, value, key (0 without one), n; null values dropped."""
     key_column = key if key is not None else F.lit(0).cast("bigint")
     entries = [
         F.struct(F.lit(name).alias("name"), column.cast(dtype).alias("value"), key_column.cast("bigint").alias("key"))
         for name, column in values.items()
     ]
-    return table.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    long = table.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    return long.groupBy("name", "value", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_ranges(frame, *order, name="ordered"):
+    """``frame`` stored with a column ``range``: rows of lower ranges come before in ``order``."""
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(frame.repartitionByRange(partitions, *order).withColumn("range", F.spark_partition_id()), name)
 
 
 def _is_at_most(value, key, bound):
@@ -45,85 +55,34 @@ def _is_at_most(value, key, bound):
     return (value < F.lit(bound_value)) | (same & (key <= F.lit(bound_key)))
 
 
-def _range_number(splits, low=0):
-    """Number of splits below the row's (value, key), as a balanced comparison tree."""
-    if not splits:
-        return F.lit(low)
-    middle = len(splits) // 2
-    return F.when(
-        _is_at_most(F.col("value"), F.col("key"), splits[middle]), _range_number(splits[:middle], low)
-    ).otherwise(_range_number(splits[middle + 1 :], low + middle + 1))
-
-
-def _brackets(long, sizes, ranks):
-    """Per name, sampled (value, key) splits a few standard errors around each wanted rank."""
-    fraction = min(1.0, SAMPLE_ROWS / max(sizes.values()))
-    sampled = {name: [] for name in sizes}
-    for row in long.sample(fraction=fraction, seed=17).collect():
-        sampled[row.name].append((row.value, row.key))
-    splits = {}
-    for name, points in sampled.items():
-        points.sort()
-        chosen = set()
-        for rank in ranks[name]:
-            share = rank / sizes[name]
-            margin = 4 * sqrt(len(points) * share * (1 - share)) + 2
-            for at in (floor(share * len(points) - margin), ceil(share * len(points) + margin)):
-                if 0 <= at < len(points):
-                    chosen.add(points[at])
-        splits[name] = sorted(chosen)
-    return splits
-
-
-def _with_range(long, splits):
-    number = F.lit(0)
-    for name, bounds in splits.items():
-        number = F.when(F.col("name") == name, _range_number(bounds)).otherwise(number)
-    return long.withColumn("range", number)
-
-
-def _narrow(long, sizes, ranks):
-    """One round: the rows of the brackets that hold wanted ranks, each as a group of
-    its own, with the groups' sizes, and where each wanted rank went."""
-    ranged = _with_range(long, _brackets(long, sizes, ranks))
-    counts = {}
-    for row in ranged.groupBy("name", "range").count().collect():
-        counts.setdefault(row.name, []).append((row.range, row["count"]))
-    moved, inner_sizes, inner_ranks = {}, {}, {}
+def _pick(counted, ranks):
+    """The (value, key) at each wanted rank of each name."""
+    ranged = in_ranges(counted, "name", "value", "key")
+    sums = {}
+    # one row for each name and range
+    for row in ranged.groupBy("name", "range").agg(F.sum("n").alias("n")).collect():
+        sums.setdefault(row.name, []).append((row.range, row.n))
+    wanted = {}  # (name, range): {rank inside: rank}
     for name, name_ranks in ranks.items():
-        numbers, ends, total = [], [], 0
-        for number, n in sorted(counts.get(name, [])):
-            total += n
-            numbers.append((number, n))
-            ends.append(total)
-        for rank in name_ranks:
-            at = bisect_left(ends, rank)
-            number, n = numbers[at]
-            inner = f"{name}/{number}"
-            local = rank - (ends[at] - n)
-            moved[(name, rank)] = (inner, local)
-            inner_sizes[inner] = n
-            inner_ranks.setdefault(inner, set()).add(local)
-    renamed = ranged.select(F.concat("name", F.lit("/"), F.col("range").cast("string")).alias("name"), "value", "key")
-    inside = renamed.where(F.col("name").isin(list(inner_sizes)))
-    return cut(inside, "brackets"), inner_sizes, inner_ranks, moved
-
-
-def _pick(long, ranks):
-    """Order the rows of each name and pick the wanted ranks. Equal rows are counted
-    before they are ordered."""
-    ordered = Window.partitionBy("name").orderBy("value", "key").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
-        long.groupBy("name", "value", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(ordered))
-    )
+        below = 0
+        for number, n in sorted(sums.get(name, [])):
+            inside = {rank - below: rank for rank in name_ranks if below < rank <= below + n}
+            if inside:
+                wanted[(name, number)] = inside
+            below += n
+    places = F.lit(False)
+    for name, number in wanted:
+        places = places | ((F.col("name") == name) & (F.col("range") == number))
+    ordered = Window.partitionBy("name", "range").orderBy("value", "key").rowsBetween(Window.unboundedPreceding, 0)
+    counts = ranged.where(places).withColumn("upto", F.sum("n").over(ordered))
     hit = F.lit(False)
-    for name, name_ranks in ranks.items():
-        for rank in name_ranks:
-            hit = hit | ((F.col("name") == name) & (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    for (name, number), inside in wanted.items():
+        for rank in inside:
+            hit = hit | ((F.col("name") == name) & (F.col("range") == number) & (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
     found = {}
-    for row in counted.where(hit).collect():
-        for rank in ranks[row.name]:
-            if row.upto - row.n < rank <= row.upto:
+    for row in counts.where(hit).collect():
+        for inside, rank in wanted[(row.name, row.range)].items():
+            if row.upto - row.n < inside <= row.upto:
                 found[(row.name, rank)] = (row.value, row.key)
     return found
 
@@ -133,32 +92,23 @@ def non_null_counts(table, values):
     return {name: row[name] for name in values}
 
 
-def order_statistics(table, values, ranks, sizes, key=None, rows_per_range=ROWS_PER_RANGE):
+def order_statistics(table, values, ranks, sizes, key=None):
     """``{(name, rank): (value, key)}`` for 1-based ranks in (value, key) order.
 
     ``values`` maps a name to a column expression, ``ranks`` a name to the wanted
     ranks, ``sizes`` a name to its count of non-null values. ``table`` should be a
-    stored table: each round of narrowing scans it twice.
+    stored table: it is scanned once for each type among the values.
     """
     ranks = {name: {rank for rank in rs if 1 <= rank <= sizes[name]} for name, rs in ranks.items()}
     ranks = {name: rs for name, rs in ranks.items() if rs}
-    if not ranks:
-        return {}
-    sizes = {name: sizes[name] for name in ranks}
-    long = _stacked(table, {name: values[name] for name in ranks}, key, _common_type(table, values))
-    places = {(name, rank): (name, rank) for name, rs in ranks.items() for rank in rs}
-    largest, before = max(sizes.values()), float("inf")
-    # Stop when a round no longer helps: one value then holds most rows, and equal rows
-    # are counted, not ordered.
-    while largest > rows_per_range and largest < before / 2:
-        long, sizes, ranks, moved = _narrow(long, sizes, ranks)
-        places = {wanted: moved[place] for wanted, place in places.items()}
-        largest, before = max(sizes.values()), largest
-    found = _pick(long, ranks)
-    return {wanted: found[place] for wanted, place in places.items()}
-
-
-def add_ntile(table, buckets, key, orderings, rows_per_range=ROWS_PER_RANGE):
+    found, kinds = {}, _types(table, {name: values[name] for name in ranks})
+    for dtype in sorted(set(kinds.values())):
+        own = [name for name in ranks if kinds[name] == dtype]
+        found |= _pick(_counted(table, {name: values[name] for name in own}, key, dtype), {name: ranks[name] for name in own})
+    return found
+
+
+def add_ntile(table, buckets, key, orderings):
     """Add NTILE(``buckets``) columns over the whole table.
 
     ``orderings`` maps an output column to the ascending value it ranks by (negate
@@ -171,20 +121,20 @@ def add_ntile(table, buckets, key, orderings, rows_per_range=ROWS_PER_RANGE):
     for name, n in sizes.items():
         small, extra = divmod(n, buckets)
         ends[name] = [b * small + min(b, extra) for b in range(1, buckets)]
-    found = order_statistics(table, orderings, ends, sizes, F.col(key), rows_per_range)
-    dtype = _common_type(table, orderings)
+    found = order_statistics(table, orderings, ends, sizes, F.col(key))
+    kinds = _types(table, orderings)
     columns = {}
     for name, value in orderings.items():
         bucket = F.lit(1)
         for end in ends[name]:
             if (name, end) in found:
-                after = ~_is_at_most(value.cast(dtype), F.col(key), found[(name, end)])
+                after = ~_is_at_most(value.cast(kinds[name]), F.col(key), found[(name, end)])
                 bucket = bucket + after.cast("int")
         columns[name] = bucket.cast("int")
     return table.withColumns(columns)
 
 
-def quantiles(table, columns, probabilities, rows_per_range=ROWS_PER_RANGE):
+def quantiles(table, columns, probabilities):
     """Exact quantiles with linear interpolation: ``{column: [float or None, ...]}``."""
     values = {name: F.col(name) for name in columns}
     sizes = non_null_counts(table, values)
@@ -192,7 +142,7 @@ def quantiles(table, columns, probabilities, rows_per_range=ROWS_PER_RANGE):
     for name, n in sizes.items():
         positions = [(n - 1) * p for p in probabilities] if n else []
         ranks[name] = sorted({r for x in positions for r in (floor(x) + 1, ceil(x) + 1)})
-    found = order_statistics(table, values, ranks, sizes, None, rows_per_range)
+    found = order_statistics(table, values, ranks, sizes)
     result = {}
     for name, n in sizes.items():
         result[name] = []
@@ -208,20 +158,25 @@ def quantiles(table, columns, probabilities, rows_per_range=ROWS_PER_RANGE):
 
 
 def portable_hash(column, seed):
-    """A 32-bit multiplicative hash that any SQL engine can repeat in BIGINT arithmetic."""
+    """A 32-bit multiplicative hash that any SQL engine can repeat in BIGINT arithmetic.
+    The high part of a key is folded into its low part first."""
     # Fixed values of the hash.
-    multiplier, modulus, key_modulus = 2654435761, 4294967296, 2147483648
-    return ((column.cast("bigint") % F.lit(key_modulus)) * F.lit(multiplier) + F.lit(seed)) % F.lit(modulus)
+    multiplier, modulus, key_modulus, fold = 2654435761, 4294967296, 2147483648, 1640531527
+    key = column.cast("bigint")
+    low = F.pmod(key, F.lit(key_modulus))
+    high = F.pmod(F.call_function("div", key - low, F.lit(key_modulus)), F.lit(key_modulus))
+    folded = (low + high * F.lit(fold) % F.lit(key_modulus)) % F.lit(key_modulus)
+    return (folded * F.lit(multiplier) + F.lit(seed)) % F.lit(modulus)
 
 
 def add_hash_rank(df, group, key, seed, name="hash_rank"):
     """1-based rank inside ``group`` in (hash of key, key) order.
 
-    The hash spreads keys evenly, so cutting it into equal ranges gives balanced
-    windows however few groups there are; the ranges' start ranks are a table of
-    at most groups x 4096 rows, small enough to broadcast for any label column.
+    The hash spreads keys evenly, so cutting it into equal ranges, as many as the rows
+    need for ``HASH_ROWS`` in each, gives balanced windows however few groups there are;
+    the ranges' start ranks are one row for each group and range.
     """
-    width = 4294967296 // HASH_RANGES
+    width = 4294967296 // max(1, ceil(df.count() / HASH_ROWS)) + 1
     tagged = df.withColumn("_hash", portable_hash(F.col(key), seed)).withColumn(
         "_range", F.floor(F.col("_hash") / F.lit(width)).cast("int")
     )
@@ -238,7 +193,7 @@ def add_hash_rank(df, group, key, seed, name="hash_rank"):
     inside = Window.partitionBy(group, "_range").orderBy("_hash", key)
     return (
         tagged.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_start_range")))
+        .join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_start_range")))
         .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
         .drop("_hash", "_range", "_inside", "_group", "_start_range", "_start")
     )

@@ -7,7 +7,7 @@ from ledgerlark.functions.exact import count_if, mean, money_sum, ratio, rounded
 from ledgerlark.plans.lineage import cut
 
 
-def rfm_scores(features, k=5, rows_per_range=ranking.ROWS_PER_RANGE):
+def rfm_scores(features, k=5):
     """Quintile scores: recent, frequent and valuable customers score high. Ties go
     by customer id. ``features`` should be a stored table."""
     return ranking.add_ntile(
@@ -19,7 +19,6 @@ def rfm_scores(features, k=5, rows_per_range=ranking.ROWS_PER_RANGE):
             "f_score": F.col("frequency"),
             "m_score": F.col("monetary_value"),
         },
-        rows_per_range,
     )
 
 

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.exact import count_if, money_sum, ratio
 from ledgerlark.schemas import MONEY
 
-# A list of at most this many 8-byte ids is broadcast.
-BROADCAST_IDS = 100_000
-
 
 def identified(lines):
     return lines.where(F.col("customer_id").isNotNull())
@@ -174,22 +171,9 @@ def returns_summary(lines, identified_only=False):
     return identified(returned).agg(*measures, F.countDistinct("customer_id").alias("customers_with_returns"))
 
 
-def _few_ids(ids):
-    """The ids as a broadcast table if there are few of them, else None."""
-    ids = ids.select("customer_id").distinct()
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else None
-
-
 def _requested(lines, ids, reduce):
-    """``reduce(lines)`` for the requested customers only.
-
-    A short id list filters the lines where they are read. A long one would have to
-    be joined by a shuffle on the customer, putting all lines of one customer into
-    one task; then the lines are reduced first and the small result is joined.
-    """
-    few = _few_ids(ids)
-    if few is not None:
-        return reduce(lines.join(few, "customer_id", "left_semi"))
+    """``reduce(lines)`` for the requested customers only: the lines are reduced first, so
+    that a customer with many lines is spread over all tasks, and the small result is joined."""
     return reduce(identified(lines)).join(ids.select("customer_id").distinct(), "customer_id")
 
 

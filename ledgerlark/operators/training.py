@@ -40,7 +40,6 @@ SWEEP = {
     "boosted_4": {"trees": 150, "depth": 3, "rate": 0.05, "min_child": 10},
 }
 FOREST_TREES = 300
-SCORE_RANGES = 1 << 20
 
 
 # ---- splitting -----------------------------------------------------------------
@@ -53,8 +52,7 @@ def stratified_split(df, label="churned", key="customer_id", test=0.2, seed=SEED
     share = F.lit(Decimal(str(test)))
     limits = counts.select("_label", F.ceil(F.col("_n").cast("decimal(20,0)") * share).alias("_limit"))
     return (
-        # One row per label value.
-        ranked.join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("_label")))
+        ranked.join(limits, F.col(label).eqNullSafe(F.col("_label")))
         .withColumn("is_test", F.col("hash_rank") <= F.col("_limit"))
         .drop("hash_rank", "_label", "_limit")
     )
@@ -217,20 +215,21 @@ def binary_metrics(pred, *keys, label="churned", prediction="prediction", score=
     """Accuracy, precision, recall, F1 of class 1 and exact ROC-AUC, per group of ``keys``.
 
     The AUC is a count of correctly ordered pairs, ties as halves. Rows are first
-    reduced to one per distinct score; running totals are taken over at most
-    2^20 equal score ranges and then inside each range, never over all rows in one
+    reduced to one per distinct score and cut into ranges of about equal size; running
+    totals are taken over the ranges and then inside each, never over all rows in one
     sorted run.
     """
     keys = list(keys)
     cells = _cells(label, prediction)
-    scores = (
+    scores = ranking.in_ranges(
         pred.groupBy(*keys, F.col(score).cast("double").alias("score"))
         .agg(
             count_if(F.col(label) == 1).alias("pos"),
             count_if(F.col(label) == 0).alias("neg"),
             *[count_if(condition).alias(name) for name, condition in cells.items()],
-        )
-        .withColumn("range", F.floor(F.col("score") * SCORE_RANGES))
+        ),
+        *keys,
+        "score",
     )
     below = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (

@@ -655,7 +655,10 @@ def source_queries():
     }
 
 
-_HASH = "((customer_id % 2147483648) * 2654435761 + 42) % 4294967296"
+# Fixed values of the split hash: the high part of an id is folded into the low one.
+_LOW = "((customer_id % 2147483648 + 2147483648) % 2147483648)"
+_HIGH = f"(((customer_id - {_LOW}) // 2147483648 % 2147483648 + 2147483648) % 2147483648)"
+_HASH = f"((({_LOW} + {_HIGH} * 1640531527 % 2147483648) % 2147483648) * 2654435761 + 42) % 4294967296"
 SPLIT = f"""split AS (
   SELECT *, row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id)
             <= ceil(count(*) OVER (PARTITION BY churned) * 0.2) AS is_test
