@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.functions.exact import count_if
+from ledgerlark.functions.text import BLANKS, typed_cell
 from ledgerlark.schemas import LINE_REVENUE, PRICE
 
 # Fixed values of the cleaning rules.
 UNKNOWN_DESCRIPTION = "Unknown Product"
 CANCELLATION_PREFIX = "C"
 REVENUE_TOLERANCE = "0.01"
-_BLANKS = " \t\n\r\x0b\x0c"
 
 
 def normalize_columns(df):
@@ -18,28 +18,19 @@ def normalize_columns(df):
     return df.toDF(*[name.strip().lower().replace(" ", "_") for name in df.columns])
 
 
-def _whole_number(column, dtype):
-    """Nullable whole number; text such as '12346.0' counts, '1.5' and junk become null."""
-    if isinstance(dtype, T.StringType):
-        number = column.try_cast("decimal(38,6)")
-        return F.when(number == F.floor(number), number).try_cast("bigint")
-    return column.try_cast("bigint")
-
-
 def standardize_types(df):
     """Nullable integer id, trimmed text, typed numbers; dates that do not parse become null."""
-    types = {field.name: field.dataType for field in df.schema}
     trimmed = {
-        name: F.btrim(F.col(name).cast("string"), F.lit(_BLANKS))
+        name: F.btrim(F.col(name).cast("string"), F.lit(BLANKS))
         for name in ("invoice", "stockcode", "description", "country")
     }
     return df.withColumns(
         {
             **trimmed,
-            "customer_id": _whole_number(F.col("customer_id"), types["customer_id"]),
-            "quantity": F.col("quantity").try_cast("int"),
-            "price": F.col("price").try_cast(PRICE),
-            "invoicedate": F.col("invoicedate").try_cast("timestamp_ntz"),
+            "customer_id": typed_cell(F.col("customer_id"), T.LongType(), df),
+            "quantity": typed_cell(F.col("quantity"), T.IntegerType(), df),
+            "price": typed_cell(F.col("price"), PRICE, df),
+            "invoicedate": typed_cell(F.col("invoicedate"), T.TimestampNTZType(), df),
         }
     )
 
@@ -50,6 +41,21 @@ def drop_duplicate_lines(df):
     return df.dropDuplicates()
 
 
+def reject_reason(lines):
+    """Why a line can't be loaded: its invoice or its product is unknown; null if it can."""
+    code = "stockcode" if "stockcode" in lines.columns else "stock_code"
+    return F.when(F.col("invoice").isNull(), "missing_invoice").when(F.col(code).isNull(), "missing_stock_code")
+
+
+def accepted_lines(lines):
+    return lines.where(reject_reason(lines).isNull())
+
+
+def rejected_lines(lines):
+    """The lines that ``accepted_lines`` leaves out, with the reason."""
+    return lines.withColumn("reject_reason", reject_reason(lines)).where(F.col("reject_reason").isNotNull())
+
+
 def fill_description(df):
     return df.withColumn("description", F.coalesce("description", F.lit(UNKNOWN_DESCRIPTION)))
 
@@ -71,9 +77,15 @@ def rename_line_columns(df):
 
 
 def clean(raw):
-    """All cleaning steps; flags are kept so that returns stay available downstream."""
+    """All cleaning steps; flags are kept so that returns stay available downstream. Lines
+    without an invoice or a stock code are rejected; ``typed_lines`` still has them."""
     typed = standardize_types(normalize_columns(raw))
-    return rename_line_columns(flag_lines(fill_description(drop_duplicate_lines(typed))))
+    return rename_line_columns(flag_lines(fill_description(accepted_lines(drop_duplicate_lines(typed)))))
+
+
+def typed_lines(raw):
+    """Lines as ``clean`` makes them, repeated and rejected ones included."""
+    return rename_line_columns(flag_lines(fill_description(standardize_types(normalize_columns(raw)))))
 
 
 def with_collation(lines, collation="UTF8_LCASE"):
@@ -109,10 +121,12 @@ def cleaning_report(lines):
         F.sum(F.col("copies") - 1).alias("duplicates"),
         rows_where(F.col("customer_id").isNull()).alias("missing_ids"),
         rows_where(F.col("invoice_date").isNull()).alias("missing_dates"),
+        rows_where(F.col("invoice").isNull()).alias("missing_invoices"),
+        rows_where(F.col("stock_code").isNull()).alias("missing_stock_codes"),
         rows_where(F.col("price") <= 0).alias("invalid_prices"),
         rows_where(F.col("quantity") <= 0).alias("invalid_quantities"),
     )
-    names = ["missing_ids", "missing_dates", "invalid_prices", "invalid_quantities"]
+    names = ["missing_ids", "missing_dates", "missing_invoices", "missing_stock_codes", "invalid_prices", "invalid_quantities"]
     return totals.agg(
         *[F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in names],
         F.coalesce(F.sum("duplicates"), F.lit(0)).cast("bigint").alias("duplicate_rows"),
@@ -133,6 +147,8 @@ def quality_checks(lines):
     counted = lines.agg(
         F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("not_empty"),
         F.lit(missing).cast("bigint").alias("required_columns"),
+        count_if(F.col("invoice").isNull()).alias("invoice_present"),
+        count_if(F.col("stock_code").isNull()).alias("stock_code_present"),
         count_if(F.col("customer_id").isNull()).alias("customer_id_present"),
         count_if(~F.coalesce(F.col("quantity") > 0, F.lit(False))).alias("quantity_positive"),
         count_if(~F.coalesce(F.col("price") > 0, F.lit(False))).alias("price_positive"),

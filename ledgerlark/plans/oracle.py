@@ -203,7 +203,7 @@ products AS (
 # Pieces in the order they may refer to each other.
 PIECES = {
     "base": BASE,
-    "sold": features("customer_lines", "sold"),
+    "sold": features("sales_lines", "sold"),
     "kept": features("clean_lines", "kept"),
     "rfm": RFM,
     "churn": CHURN,
@@ -344,10 +344,26 @@ LOADED = (
 )
 
 
+# Typed lines with gaps: no invoice where 13 pieces were sold, no stock code where 17 were.
+_FAULTY = """(SELECT CASE WHEN quantity <> 13 THEN invoice END AS invoice, CASE WHEN quantity <> 17 THEN stockcode END AS stock_code,
+    coalesce(description, 'Unknown Product') AS description, quantity, invoicedate AS invoice_date, price, customer_id, country
+    FROM typed_lines)"""
+
+
+def _report(source):
+    return f"""SELECT count(*) FILTER (customer_id IS NULL) AS missing_ids, count(*) FILTER (invoice_date IS NULL) AS missing_dates,
+        count(*) FILTER (invoice IS NULL) AS missing_invoices, count(*) FILTER (stock_code IS NULL) AS missing_stock_codes,
+        count(*) FILTER (price <= 0) AS invalid_prices, count(*) FILTER (quantity <= 0) AS invalid_quantities,
+        CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source} AS d)) AS BIGINT) AS duplicate_rows,
+        count(*) AS total_rows, count(DISTINCT customer_id) AS unique_customers FROM {source} AS r"""
+
+
 def cleaning_queries():
     rules = [
         ("not_empty", "CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT)"),
         ("required_columns", "count(*) FILTER (false)"),
+        ("invoice_present", "count(*) FILTER (invoice IS NULL)"),
+        ("stock_code_present", "count(*) FILTER (stock_code IS NULL)"),
         ("customer_id_present", "count(*) FILTER (customer_id IS NULL)"),
         ("quantity_positive", "count(*) FILTER (quantity <= 0)"),
         ("price_positive", "count(*) FILTER (price <= 0)"),
@@ -367,11 +383,11 @@ def cleaning_queries():
         "positive_price_lines": statement(f"SELECT {CLEAN} FROM clean_lines WHERE price > 0"),
         "sales_lines": statement(f"SELECT {CLEAN} FROM sales_lines"),
         "customer_lines": statement(f"SELECT {CLEAN} FROM customer_lines"),
-        "cleaning_report": statement(
-            "SELECT count(*) FILTER (customer_id IS NULL) AS missing_ids, count(*) FILTER (invoice_date IS NULL) AS missing_dates, "
-            "count(*) FILTER (price <= 0) AS invalid_prices, count(*) FILTER (quantity <= 0) AS invalid_quantities, "
-            f"CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {CLEAN} FROM customer_lines)) AS BIGINT) AS duplicate_rows, "
-            "count(*) AS total_rows, count(DISTINCT customer_id) AS unique_customers FROM customer_lines"
+        "cleaning_report": statement(_report("customer_lines")),
+        "cleaning_report_faulty": statement(_report(_FAULTY)),
+        "rejected_line_counts": statement(
+            "SELECT CASE WHEN invoice IS NULL THEN 'missing_invoice' ELSE 'missing_stock_code' END AS reject_reason, count(*) AS lines "
+            f"FROM {_FAULTY} WHERE invoice IS NULL OR stock_code IS NULL GROUP BY 1"
         ),
         "quality_checks": statement(checks),
     }
@@ -631,6 +647,12 @@ def source_queries():
     nulls = ", ".join(f"count(*) FILTER ({c} IS NULL) AS null_{c}" for c in required)
     return {
         "read_raw_sheets": statement(f"SELECT {TYPED} FROM raw_lines"),
+        "unreadable_cells": statement(
+            "SELECT 'Quantity' AS column_name, count(*) FILTER (false) AS cells FROM raw_lines "
+            "UNION ALL SELECT 'InvoiceDate', count(*) FILTER (quantity = 13) FROM raw_lines "
+            "UNION ALL SELECT 'Price', count(*) FILTER (false) FROM raw_lines "
+            "UNION ALL SELECT 'Customer ID', count(*) FILTER (quantity = 17) FROM raw_lines"
+        ),
         "read_clean_csv": statement(f"SELECT {CLEAN} FROM sales_lines"),
         "write_clean_csv": statement(f"SELECT {CLEAN} FROM customer_lines"),
         "prepare_lines_for_load": statement(f"SELECT {LOADED} FROM sales_lines"),

@@ -31,6 +31,20 @@ def _rounded(df, column, digits):
     return df.withColumn(column, F.round(column, digits))
 
 
+def _without_keys(raw):
+    """Raw lines with gaps: no invoice where 13 pieces were sold, no stock code where 17 were."""
+    return raw.withColumns(
+        {
+            "invoice": F.when(F.col("quantity") != 13, F.col("invoice")),
+            "stockcode": F.when(F.col("quantity") != 17, F.col("stockcode")),
+        }
+    )
+
+
+def _reject_counts(lines):
+    return cleaning.rejected_lines(lines).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _distinct_profiles(t):
     parts = [audit.distinct_profile(t.raw, c) for c in ("customer_id", "country", "stockcode")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -69,6 +83,8 @@ CLEANING = {
     "sales_lines": lambda t: cleaning.sales_lines(t.clean),
     "customer_lines": lambda t: cleaning.customer_lines(t.sales),
     "cleaning_report": lambda t: cleaning.cleaning_report(t.customer_lines),
+    "cleaning_report_faulty": lambda t: cleaning.cleaning_report(cleaning.typed_lines(_without_keys(t.raw))),
+    "rejected_line_counts": lambda t: _reject_counts(cleaning.typed_lines(_without_keys(t.raw))),
     "quality_checks": lambda t: cleaning.quality_checks(t.sales),
 }
 
@@ -91,7 +107,7 @@ SALES = {
 
 FEATURES = {
     "analysis_date": lambda t: features.analysis_date(t.sales),
-    "customer_metrics": lambda t: features.customer_metrics(t.customer_lines),
+    "customer_metrics": lambda t: features.customer_metrics(t.sales),
     "order_dates": lambda t: features.order_dates(t.customer_lines),
     "average_order_gap": lambda t: features.average_order_gap(t.customer_lines),
     "return_metrics": lambda t: features.return_metrics(t.clean),
@@ -155,13 +171,19 @@ CHURN = {
 # ---- sources and sinks ---------------------------------------------------------
 
 
-def _two_extracts(t):
-    """Raw lines written as two CSV extracts, one per period, and read back stacked."""
+def _text_extracts(t, faulty=False):
+    """Raw lines written as two CSV extracts, one per period, numbers with a decimal point as
+    spreadsheets write them; ``faulty`` plants cells that are no dates and no ids."""
     path = scratch_path(t.spark, "extracts")
     raw = t.raw.toDF(*RAW_LINES.fieldNames())
     period = F.when(F.col("InvoiceDate") < testdata.timestamp("1998-01-01"), 1).otherwise(2)
-    raw.withColumn("period", period).write.partitionBy("period").options(**store.CSV_OPTIONS).csv(path)
-    return cleaning.normalize_columns(store.read_raw_sheets(t.spark, [f"{path}/period=1", f"{path}/period=2"]))
+    cells = {name: F.concat(F.col(name).cast("string"), F.lit(".0")) for name in ("Quantity", "Customer ID")}
+    cells["InvoiceDate"] = F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss")
+    if faulty:
+        cells["InvoiceDate"] = F.when(F.col("Quantity") == 13, "n/a").otherwise(cells["InvoiceDate"])
+        cells["Customer ID"] = F.when(F.col("Quantity") == 17, "unknown").otherwise(cells["Customer ID"])
+    raw.withColumn("period", period).withColumns(cells).write.partitionBy("period").options(**store.CSV_OPTIONS).csv(path)
+    return [f"{path}/period=1", f"{path}/period=2"]
 
 
 def _csv_round_trip(t, lines):
@@ -198,7 +220,8 @@ def _reloaded(t):
 
 
 SOURCES = {
-    "read_raw_sheets": _two_extracts,
+    "read_raw_sheets": lambda t: cleaning.normalize_columns(store.read_raw_sheets(t.spark, _text_extracts(t))),
+    "unreadable_cells": lambda t: store.unreadable_cells(store.read_raw_text(t.spark, _text_extracts(t, faulty=True))),
     "read_clean_csv": lambda t: _csv_round_trip(t, t.sales),
     "write_clean_csv": lambda t: _csv_round_trip(t, t.customer_lines),
     "prepare_lines_for_load": lambda t: store.prepare_lines_for_load(

@@ -70,7 +70,7 @@ class Tables:
         return cut(self.build_features(), "features")
 
     def build_features(self):
-        return features.customer_features(self.customer_lines)
+        return features.customer_features(self.sales)
 
     @cached_property
     def features_with_returns(self):

@@ -8,8 +8,11 @@ pointer table names the current version.
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ledgerlark.functions.exact import count_if
+from ledgerlark.functions.text import BLANKS, typed_cell
 from ledgerlark.schemas import CLEAN_LINES, PREDICTIONS, RAW_LINES, TRANSACTIONS
 
 # Blanks around values matter before cleaning. A missing value and an empty text are
@@ -32,20 +35,67 @@ def _reader(spark, schema, source_format):
     return reader.options(**CSV_OPTIONS) if source_format == "csv" else reader
 
 
-def read_raw_sheets(spark, paths, source_format="csv"):
-    """Several extracts of one schema, stacked."""
+def read_raw_text(spark, paths, multi_line=False):
+    """CSV extracts of one layout, stacked, with every cell as its text. ``multi_line`` reads
+    texts with line breaks inside quotes; each file is then one task, so it wants many files."""
+    text = T.StructType([T.StructField(name, T.StringType()) for name in RAW_LINES.fieldNames()])
+    sheets = [_reader(spark, text, "csv").option("multiLine", multi_line).load(path) for path in paths]
+    return reduce(lambda left, right: left.unionByName(right), sheets)
+
+
+def type_raw_cells(text):
+    """Text cells as their declared types; '13085.0' is a whole number, blanks and what
+    can't be read are null, texts stay as they are."""
+    return text.select(*[typed_cell(F.col(f"`{field.name}`"), field.dataType).alias(field.name) for field in RAW_LINES])
+
+
+def unreadable_cells(text):
+    """For each column that isn't text: cells with a text but no value."""
+    typed = [field for field in RAW_LINES if not isinstance(field.dataType, T.StringType)]
+
+    def lost(field):
+        cell = F.col(f"`{field.name}`")
+        return count_if((F.btrim(cell, F.lit(BLANKS)) != "") & typed_cell(cell, field.dataType).isNull())
+
+    counts = text.agg(*[lost(field).alias(field.name) for field in typed])
+    return counts.unpivot([], [f"`{field.name}`" for field in typed], "column_name", "cells")
+
+
+def read_raw_sheets(spark, paths, source_format="csv", multi_line=False):
+    """Several extracts of one schema, stacked. CSV cells are read as text and typed without
+    loss of decimal-point numbers; other formats keep the types they declare."""
+    if source_format == "csv":
+        return type_raw_cells(read_raw_text(spark, paths, multi_line))
     sheets = [_reader(spark, RAW_LINES, source_format).load(path) for path in paths]
     return reduce(lambda left, right: left.unionByName(right), sheets)
 
 
+def _texts(df, change):
+    return df.withColumns({field.name: change(F.col(field.name)) for field in df.schema if isinstance(field.dataType, T.StringType)})
+
+
+def _one_line(column):
+    """Line breaks as %0A and %0D, so that files stay splittable, and % as %25."""
+    for plain, escaped in (("%", "%25"), ("\n", "%0A"), ("\r", "%0D")):
+        column = F.replace(column, F.lit(plain), F.lit(escaped))
+    return column
+
+
+def _with_breaks(column):
+    for escaped, plain in (("%0A", "\n"), ("%0D", "\r"), ("%25", "%")):
+        column = F.replace(column, F.lit(escaped), F.lit(plain))
+    return column
+
+
 def read_clean_csv(spark, path, n=None):
     """Clean lines stored as CSV; ``n`` reads only that many rows, as a quick look."""
-    lines = _reader(spark, CLEAN_LINES, "csv").load(path)
+    lines = _texts(_reader(spark, CLEAN_LINES, "csv").load(path), _with_breaks)
     return lines if n is None else lines.limit(n)
 
 
 def write_clean_csv(df, path):
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    """Clean lines as CSV files of one line a row; read_clean_csv undoes the escapes of breaks."""
+    _texts(df, _one_line).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_lines(df, path):

@@ -111,6 +111,12 @@ def test_empty_lines_give_zeros(spark):
     assert features.customer_features(empty).count() == 0
 
 
+def test_recency_counts_from_the_last_line_of_all(spark):
+    table = lines(spark, [(1, "a", "p", "2011-01-01 09:00:00", 1, "5"), (None, "b", "p", "2011-01-21 09:00:00", 1, "5")])
+    assert features.customer_features(table).first().recency_days == 21
+    assert features.customer_metrics(table).count() == 1
+
+
 def test_few_customers_get_scores(spark):
     table = lines(spark, [(c, str(c), "p", f"2011-01-0{c} 00:00:00", 1, "5") for c in (1, 2, 3, 4)])
     scored = {r.customer_id: r for r in rfm.customer_rfm(features.customer_features(table)).collect()}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
-from ledgerlark.operators import dashboard, predictions, report
+from ledgerlark.operators import cleaning, dashboard, predictions, report
 from ledgerlark.plans.lineage import scratch_path
 from ledgerlark.schemas import CLEAN_LINES, PREDICTIONS
 from ledgerlark.sources import tables as store
@@ -73,6 +73,43 @@ def test_csv_round_trip_keeps_blanks_quotes_and_nulls(spark):
     assert store.read_clean_csv(spark, path, 1).count() == 1
 
 
+def test_csv_round_trip_keeps_line_breaks(spark):
+    path = scratch_path(spark, "csv")
+    broken = clean(spark).withColumn("description", F.lit('two\nlines, "quoted" 50% \\ %0A\r\nend'))
+    store.write_clean_csv(broken, path)
+    assert sorted(map(tuple, store.read_clean_csv(spark, path).collect())) == sorted(map(tuple, broken.collect()))
+
+
+EXTRACT = """Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country
+489434,85048,"15CM ""BALL"", 20",6.0,2009-12-01 07:45:00,6.95,13085.0,UK
+489435,22350,"two
+lines",6,2009-12-01 07:46:00,2.1,,UK
+,22350,no invoice,1,2009-12-01 07:46:00,2.1,13085,UK
+489436,,no code,1,2009-12-01 07:46:00,2.1,13085,UK
+489437,1,bad,1.5,yesterday,cheap,13085.5,UK
+"""
+
+
+def test_extracts_written_as_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(EXTRACT)
+    text = store.read_raw_text(spark, [str(tmp_path)], multi_line=True)
+    lost = {row.column_name: row.cells for row in store.unreadable_cells(text).collect()}
+    assert lost == {"Quantity": 1, "InvoiceDate": 1, "Price": 1, "Customer ID": 1}
+    rows = {r.Invoice: r for r in store.read_raw_sheets(spark, [str(tmp_path)], multi_line=True).collect()}
+    assert rows["489434"]["Customer ID"] == 13085 and rows["489434"].Quantity == 6
+    assert rows["489435"].Description == "two\nlines" and rows["489435"]["Customer ID"] is None
+    for raw in (text, store.read_raw_sheets(spark, [str(tmp_path)], multi_line=True)):
+        lines = cleaning.clean(raw)
+        assert {r.invoice for r in lines.collect()} == {"489434", "489435", "489437"}
+        assert {r.invoice for r in cleaning.customer_lines(cleaning.sales_lines(lines)).collect()} == {"489434"}
+        typed = cleaning.typed_lines(raw)
+        assert {r.reject_reason for r in cleaning.rejected_lines(typed).collect()} == {"missing_invoice", "missing_stock_code"}
+        report = cleaning.cleaning_report(typed).first()
+        assert (report.missing_invoices, report.missing_stock_codes, report.missing_dates, report.total_rows) == (1, 1, 1, 5)
+        checks = {r.rule: r.violations for r in cleaning.quality_checks(typed).collect()}
+        assert checks["invoice_present"] == checks["stock_code_present"] == 1
+
+
 def test_lines_partitioned_by_month(spark):
     path = scratch_path(spark, "lines")
     store.write_lines(clean(spark), path)
