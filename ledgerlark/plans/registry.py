@@ -17,6 +17,7 @@ from ledgerlark.operators import (
     training,
 )
 from ledgerlark.plans.lineage import scratch_path
+from ledgerlark.plans import checks
 from ledgerlark.plans.tables import tables
 from ledgerlark.schemas import CUSTOMER_FEATURES, MODEL_FEATURES, PREDICTIONS, RAW_LINES, TRANSACTIONS
 from ledgerlark.sources import tables as store
@@ -245,10 +246,6 @@ SOURCES = {
 # ---- training ------------------------------------------------------------------
 
 
-def _metrics(t, model):
-    return training.binary_metrics(training.predict(model, t.test))
-
-
 def _imputed(t):
     medians = training.feature_medians(t.train)
     return training.impute_median(t.modeling, medians)
@@ -280,23 +277,25 @@ TRAINING = {
     "classification_report": lambda t: training.classification_report(t.judged),
     "confusion_matrix": lambda t: training.confusion_matrix(t.judged),
     "stratified_kfold": lambda t: _folds(t).select("customer_id", "churned", "fold"),
-    "train_logistic": lambda t: _metrics(t, t.logistic),
-    "train_logistic_log": lambda t: _metrics(t, t.logistic_log),
-    "train_final": lambda t: _metrics(t, t.final),
-    "feature_importance": lambda t: training.feature_importance(t.spark, t.final),
-    "model_metrics_table": lambda t: training.model_metrics_table(_metrics(t, t.final), t.modeling),
-    "train_test_auc": lambda t: training.train_test_auc(
-        {"logistic": t.logistic, "logistic_log": t.logistic_log, "final": t.final}, t.train, t.test
+    "train_logistic": lambda t: checks.logistic_model(t.split, t.logistic),
+    "train_logistic_log": lambda t: checks.logistic_model(t.split, t.logistic_log),
+    "train_final": lambda t: checks.tree_model(t.split, t.final, training.FINAL["trees"], training.FINAL["depth"]),
+    "feature_importance": lambda t: checks.importance(training.feature_importance(t.spark, t.final)),
+    "model_metrics_table": lambda t: checks.metrics_table(t.model_metrics, t.split),
+    "train_test_auc": lambda t: checks.sweep(
+        training.train_test_auc({"logistic": t.logistic, "logistic_log": t.logistic_log, "final": t.final}, t.train, t.test)
+    ),
+    "cross_validate": lambda t: checks.folds(
+        training.cross_validate({"logistic": training.train_logistic}, _folds(t)), _folds(t)
     ),
-    "cross_validate": lambda t: training.cross_validate({"logistic": training.train_logistic}, _folds(t)),
 }
 
 # Fits of many trees; they take minutes whatever the size of the input.
 LONG_TRAINING = {
-    "train_random_forest": lambda t: _metrics(t, t.forest),
-    "train_boosted": lambda t: _metrics(t, t.boosted),
-    "config_sweep": lambda t: training.config_sweep(t.train, t.test, models={"boosted_3": t.final}),
-    "cv_config_sweep": lambda t: training.cv_config_sweep(_folds(t)),
+    "train_random_forest": lambda t: checks.tree_model(t.split, t.forest, training.FOREST_TREES, training.FOREST_DEPTH),
+    "train_boosted": lambda t: checks.tree_model(t.split, t.boosted, training.BOOSTED["trees"], training.BOOSTED["depth"]),
+    "config_sweep": lambda t: checks.sweep(training.config_sweep(t.train, t.test, models={"boosted_3": t.final})),
+    "cv_config_sweep": lambda t: checks.fold_means(training.cv_config_sweep(_folds(t))),
 }
 
 
@@ -320,11 +319,12 @@ def _ranked(rows):
 
 
 SCORING = {
-    "score_customers": lambda t: scoring.score_customers(t.modeling, t.final, testdata.SCORED_AT),
+    "score_customers": lambda t: checks.scores(scoring.score_customers(t.modeling, t.final, testdata.SCORED_AT), t.modeling, t.final),
+    "scored_prediction_coverage": lambda t: predictions.prediction_coverage(t.modeling, t.model_predictions),
     "risk_level": lambda t: scoring.risk_level(t.predictions.drop("risk_level")).select(
         "customer_id", "churn_probability", "risk_level"
     ),
-    "attributions": lambda t: scoring.attributions(t.modeling, t.final),
+    "attributions": lambda t: checks.attributions(scoring.attributions(t.modeling, t.final), t.modeling, t.final),
     "linear_attributions": lambda t: t.linear_attributions,
     "top_drivers": lambda t: _ranked(scoring.top_drivers(t.linear_attributions)),
     "protective_factors": lambda t: _ranked(scoring.protective_factors(t.linear_attributions)),
@@ -402,12 +402,12 @@ def _report_blocks(t):
         "country_revenue": (sales.country_revenue(lines), [down("revenue"), F.col("country")]),
         "product_revenue": (sales.product_revenue(lines), [down("revenue"), F.col("stock_code"), F.col("description")]),
         "product_quantity": (sales.product_quantity(lines), [down("quantity"), F.col("stock_code"), F.col("description")]),
-        "churn_model_summary": (training.model_metrics_table(_metrics(t, t.final), modeling), []),
+        "churn_model_summary": (t.model_metrics, []),
         "churn_training_summary": (churn.churn_population_summary(modeling), []),
         "churn_feature_statistics": (churn.churn_feature_statistics(modeling), [F.col("churned")]),
-        "churn_risk_distribution": (predictions.risk_distribution(t.predictions), [F.col("min_probability")]),
+        "churn_risk_distribution": (predictions.risk_distribution(t.model_predictions), [F.col("min_probability")]),
         "high_risk_customers": (
-            predictions.high_risk_customers(t.predictions, modeling), [down("churn_probability"), F.col("customer_id")]
+            predictions.high_risk_customers(t.model_predictions, modeling), [down("churn_probability"), F.col("customer_id")]
         ),
     }
 

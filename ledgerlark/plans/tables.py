@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.exact import mean
 from ledgerlark.operators import churn, cleaning, features, rfm, scoring, training
-from ledgerlark.plans.lineage import cut
+from ledgerlark.plans import checks
+from ledgerlark.plans.lineage import cut, scratch_path
 from ledgerlark.schemas import MODEL_FEATURES
+from ledgerlark.sources import tables as store
 from ledgerlark.sources import testdata
 
 # Weights of the linear stand-in score, so that explanations can be checked in SQL.
@@ -174,6 +176,17 @@ class Tables:
     def final(self):
         return training.train_final(self.train)
 
+    @cached_property
+    def model_metrics(self):
+        """The quality of the final model as training stores it; reports read it."""
+        measured = training.binary_metrics(training.predict(self.final, self.test))
+        return cut(training.model_metrics_table(measured, self.modeling), "model-metrics")
+
+    @cached_property
+    def model_predictions(self):
+        """Predictions of the final model, scored, saved and read by one job."""
+        return checks.scoring_job(self, testdata.SCORED_AT, store, scratch_path(self.spark, "model-predictions"))
+
     @property
     def linear_attributions(self):
         modeling = self.modeling
