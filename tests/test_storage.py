@@ -42,6 +42,37 @@ def test_unfinished_upsert_is_invisible(spark):
     assert {row.customer_id for row in store.read_current(spark, root).collect()} == {1, 2}
 
 
+def test_interleaved_writers_lose_nothing(spark, monkeypatch):
+    root = scratch_path(spark, "predictions")
+    store.upsert_predictions(spark, root, scored(spark, [(c, "0.1", "LOW", 1) for c in range(1, 200)]))
+    plain, calls = store._commit, []
+
+    def slow(*arguments):
+        calls.append(arguments)
+        if len(calls) == 1:
+            store.upsert_predictions(spark, root, scored(spark, [(1, "0.9", "HIGH", 2), (500, "0.9", "HIGH", 2)]))
+        return plain(*arguments)
+
+    monkeypatch.setattr(store, "_commit", slow)
+    assert store.upsert_predictions(spark, root, scored(spark, [(2, "0.8", "HIGH", 2), (1, "0.7", "MEDIUM", 1)])) == 3
+    found = {row.customer_id: str(row.churn_probability) for row in store.read_current(spark, root).collect()}
+    assert len(found) == 200 and len(calls) == 3
+    assert (found[1], found[2], found[500], found[3]) == ("0.700000", "0.800000", "0.900000", "0.100000")
+    before, after = store._folders(spark, root, 1), store._folders(spark, root, 3)
+    assert sum(before[bucket] != after[bucket] for bucket in before) <= 3
+    store.remove_old_versions(spark, root, keep=1)
+    assert store.current_version(spark, root) == 3 and store.read_current(spark, root).count() == 200
+    assert store._names(spark, f"{root}/versions") == ["3"]
+
+
+def test_unreadable_pointer_is_an_error(spark):
+    root = scratch_path(spark, "predictions")
+    store.upsert_predictions(spark, root, scored(spark, [(1, "0.1", "LOW", 1)]))
+    assert store._commit(spark, root, 2, {0: "x"}) and not store._commit(spark, root, 2, {0: "y"})
+    with pytest.raises(Exception):
+        store.upsert_predictions(spark, root, scored(spark, [(c, "0.1", "LOW", 1) for c in range(500)]))
+
+
 def test_coverage(spark):
     modeling = spark.createDataFrame([(1,), (2,)], "customer_id bigint")
     part = predictions.prediction_coverage(modeling, scored(spark, [(1, "0.1", "LOW", 1)])).first()
