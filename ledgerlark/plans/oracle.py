@@ -993,7 +993,10 @@ REPORTS = r"""reports AS (
   SELECT country AS report_id,
          concat('In ', country, ' Customer ', CAST(max(customer_id) AS STRING), ' leads; Stock Code ', max(stock_code),
                 ' sold for ', CASE WHEN country IN ('NATION_3', 'NATION_7') THEN '$' ELSE '£' END, CAST(sum(revenue) AS STRING), '.',
-                CASE WHEN country IN ('NATION_5', 'NATION_7') THEN ' Customer 999999999 is at risk.' ELSE '' END) AS text
+                CASE WHEN country IN ('NATION_5', 'NATION_7') THEN ' Customer 999999999 is at risk.' ELSE '' END,
+                CASE WHEN country IN ('NATION_7', 'NATION_9') THEN ' Stock Code X99999999 is new.' ELSE '' END,
+                CASE WHEN country = 'NATION_13' THEN ' Risk is LOW < 50%, MEDIUM >= 50% and < 75%, HIGH >= 75%.' ELSE '' END,
+                CASE WHEN country IN ('NATION_5', 'NATION_11') THEN concat(' Customer ', CAST(max(CAST(stock_code AS INT)) AS STRING), ' too.') ELSE '' END) AS text
   FROM customer_lines GROUP BY country),
 said_customer AS (SELECT DISTINCT report_id, unnest(regexp_extract_all(text, 'Customer (\d+)', 1)) AS mention FROM reports),
 said_product AS (SELECT DISTINCT report_id, unnest(regexp_extract_all(text, 'Stock Code (\w+)', 1)) AS mention FROM reports),

@@ -85,18 +85,26 @@ def pseudo_predictions(customer_lines, cutoff=CUTOFF, scored_at=SCORED_AT):
 
 
 def report_texts(customer_lines):
-    """One short report per country, some with planted faults."""
+    """One short report per country. Planted: a foreign currency sign, an unknown customer, an
+    unknown stock code, a stock code called a customer, and one text that words all thresholds."""
     country = F.col("country")
     currency = F.when(country.isin("NATION_3", "NATION_7"), "$").otherwise("£")
-    extra = F.when(country.isin("NATION_5", "NATION_7"), " Customer 999999999 is at risk.").otherwise("")
+    planted = {
+        " Customer 999999999 is at risk.": ("NATION_5", "NATION_7"),
+        " Stock Code X99999999 is new.": ("NATION_7", "NATION_9"),
+        " Risk is LOW < 50%, MEDIUM >= 50% and < 75%, HIGH >= 75%.": ("NATION_13",),
+    }
+    extra = F.concat(*[F.when(country.isin(*names), text).otherwise("") for text, names in planted.items()])
+    misnamed = F.when(country.isin("NATION_5", "NATION_11"), F.concat(F.lit(" Customer "), "top_product", F.lit(" too."))).otherwise("")
     facts = customer_lines.groupBy("country").agg(
-        F.max("customer_id").alias("customer"), F.max("stock_code").alias("product"), F.sum("revenue").alias("revenue")
+        F.max("customer_id").alias("customer"), F.max("stock_code").alias("product"), F.sum("revenue").alias("revenue"),
+        F.max(F.col("stock_code").cast("int")).cast("string").alias("top_product"),
     )
     return facts.select(
         country.alias("report_id"),
         F.concat(
             F.lit("In "), country, F.lit(" Customer "), F.col("customer").cast("string"),
             F.lit(" leads; Stock Code "), F.col("product"), F.lit(" sold for "), currency,
-            F.col("revenue").cast("string"), F.lit("."), extra,
+            F.col("revenue").cast("string"), F.lit("."), extra, misnamed,
         ).alias("text"),
     )
