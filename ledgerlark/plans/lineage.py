@@ -29,9 +29,21 @@ def shared_dir(spark):
     return _local_dirs[key]
 
 
+def run_dir(spark):
+    """The folder below the shared one that holds all intermediate tables of this application."""
+    return f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark, name):
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the run's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_run(spark):
+    """Delete the intermediate tables of this application. Results that were not written
+    elsewhere go with them, so this is the last call of a run."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df, name="table"):

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import scoring, training
-from ledgerlark.plans.lineage import cut, scratch_path
+from ledgerlark.plans import checks
+from ledgerlark.plans.lineage import cut, run_dir, scratch_path
 from ledgerlark.plans.tables import tables
 from ledgerlark.schemas import MODEL_FEATURES, PREDICTIONS
 
@@ -159,3 +160,31 @@ def test_forest_with_few_trees(split):
     model = training.train_random_forest(split.where(~F.col("is_test")), trees=3, depth=4)
     row = training.binary_metrics(training.predict(model, split.where("is_test"))).first()
     assert 0 <= row.roc_auc <= 1
+
+
+def test_small_trees_pass_the_checks(split, model):
+    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where(F.col("is_test")).drop("is_test")
+    forest = training.train_random_forest(train, trees=5, depth=4, most_rows=300, min_rows_per_leaf=3)
+    for fitted, trees, depth in ((model, SMALL["trees"], SMALL["depth"]), (forest, 5, 4)):
+        row = checks.tree_model(split, fitted, trees, depth).first()
+        assert row.auc_holds and row.size_holds
+        assert row.train_churned + row.train_active == train.count()
+    # few boosting steps start too far from the share to beat it
+    assert row.beats_share
+    assert not checks.tree_model(split, forest, 5, 2).first().size_holds
+    configs = {"a": {**SMALL, "trees": 2}, "b": {**SMALL, "trees": 3, "depth": 2}}
+    swept = checks.sweep(training.config_sweep(train, test, configs, models={"a": model})).collect()
+    assert {(row.model, row.bounded) for row in swept} == {("a", True), ("b", True)}
+    folded = training.stratified_kfold(train, 2)
+    means = checks.fold_means(training.cv_config_sweep(folded, 2, {"a": configs["a"]})).collect()
+    assert [(row.model, row.bounded) for row in means] == [("a", True)]
+
+
+def test_gradient_check_sees_an_unfinished_fit(split):
+    train = split.where(~F.col("is_test")).drop("is_test")
+    assert checks.stationary(train, training.train_logistic(train))
+    assert not checks.stationary(train, training.train_logistic(train, max_iter=1))
+
+
+def test_runs_keep_to_one_folder(spark):
+    assert scratch_path(spark, "a").startswith(run_dir(spark) + "/a-")
