@@ -164,14 +164,14 @@ def test_forest_with_few_trees(split):
 
 def test_small_trees_pass_the_checks(split, model):
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where(F.col("is_test")).drop("is_test")
-    forest = training.train_random_forest(train, trees=5, depth=4, most_rows=300, min_rows_per_leaf=3)
-    for fitted, trees, depth in ((model, SMALL["trees"], SMALL["depth"]), (forest, 5, 4)):
+    forest = training.train_random_forest(train, trees=8, depth=6, min_rows_per_leaf=3)
+    for fitted, trees, depth in ((model, SMALL["trees"], SMALL["depth"]), (forest, 8, 6)):
         row = checks.tree_model(split, fitted, trees, depth).first()
         assert row.auc_holds and row.size_holds
         assert row.train_churned + row.train_active == train.count()
     # few boosting steps start too far from the share to beat it
     assert row.beats_share
-    assert not checks.tree_model(split, forest, 5, 2).first().size_holds
+    assert not checks.tree_model(split, forest, 8, 2).first().size_holds
     configs = {"a": {**SMALL, "trees": 2}, "b": {**SMALL, "trees": 3, "depth": 2}}
     swept = checks.sweep(training.config_sweep(train, test, configs, models={"a": model})).collect()
     assert {(row.model, row.bounded) for row in swept} == {("a", True), ("b", True)}
