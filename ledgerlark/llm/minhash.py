@@ -8,12 +8,15 @@
    linear in the rows of the bucket. Bits that agree by chance are corrected for
    when the similarity of two signatures is estimated; estimates far below the
    threshold end here, all others are confirmed on the full shingle sets.
-3. Buckets whose classes the pivots left in several components are compared in
-   blocks of signatures: pairs of different components only, a bounded number of
-   signatures in a task, and again confirmed on full sets.
+3. In buckets whose classes the pivots left in several components, those outside the
+   bucket's largest component meet all others, in blocks of which a task holds two.
+   Signatures first tell which classes have a partner of another component at all;
+   their texts then meet in the same way, and each pair that may still join two
+   components is confirmed on full sets in the one bucket that is its first. A task
+   reports only links that join components, never all pairs.
 
 Two texts of similarity 0.8 share no band with probability (1 - 0.8^6)^40, 5e-6,
-and fail the estimate, set six standard deviations low, less often than that.
+and fail the estimate, set five standard deviations low, less often than that.
 """
 
 import numpy as np
@@ -26,8 +29,8 @@ from ledgerlark.llm.tokens import _Cache
 from ledgerlark.plans import lineage
 
 BANDS, ROWS, BITS = 40, 6, 4
-#: Signatures on each side of a block that a task compares.
-BLOCK = 512
+#: Signatures, and signatures with texts, on each side of a block that a task compares.
+BLOCK, TEXT_BLOCK = 1024, 512
 _HASHES = BANDS * ROWS
 _LANES = 64 // BITS
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -92,10 +95,10 @@ def band_keys(least):
 
 def least_agreeing(percent):
     """Bit groups that must agree for a pair to be confirmed: the expected number at
-    the threshold, agreement by chance included, less six standard deviations."""
+    the threshold, agreement by chance included, less five standard deviations."""
     s, chance = percent / 100, 2.0**-BITS
     agree = s + (1 - s) * chance
-    return int(np.floor(_HASHES * agree - 6 * np.sqrt(_HASHES * agree * (1 - agree))))
+    return int(np.floor(_HASHES * agree - 5 * np.sqrt(_HASHES * agree * (1 - agree))))
 
 
 def _agreeing(left, right):
@@ -133,13 +136,22 @@ def _signatures(docs, width):
     return rows.mapInArrow(sign, out)
 
 
+def _texts(need, classes, docs):
+    """class and text of the classes in ``need`` (class)."""
+    keys = need.distinct().join(classes.select("class", "text_key"), "class")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(keys, "text_key")
+    return lineage.cut(found.groupBy("class").agg(F.first("text").alias("text")), "pair-texts")
+
+
+def _similar(left, right, percent):
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * shared >= percent * (len(left) + len(right) - shared)
+
+
 def _confirmed(pairs, classes, docs, width, percent):
     """The pairs (a, b) of classes whose full shingle sets are similar enough."""
-    need = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "text_key"), "class")
-    text = F.coalesce("text", F.lit(""))
-    texts = lineage.cut(
-        docs.select(F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).join(need, "text_key").groupBy("class").agg(F.first("text").alias("text")), "pair-texts"
-    )
+    texts = _texts(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), classes, docs)
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -157,9 +169,7 @@ def _confirmed(pairs, classes, docs, width, percent):
         for records in batches:
             found = []
             for a, b, text_a, text_b in zip(*lists(records, "a", "b", "text_a", "text_b")):
-                left, right = hashes(a, text_a), hashes(b, text_b)
-                shared = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * shared >= percent * (len(left) + len(right) - shared):
+                if _similar(hashes(a, text_a), hashes(b, text_b), percent):
                     found.append((a, b))
             yield batch_of_rows(arrow_schema("a long, b long"), found)
 
@@ -174,44 +184,114 @@ def _estimated(pairs, classes, percent):
     return pairs.join(left, "a").join(right, "b").filter(close & (_agreeing(F.col("bits_a"), F.col("bits_b")) >= least_agreeing(percent))).select("a", "b")
 
 
-def _left_over(members, labels, classes, percent):
-    """Pairs of different components in buckets where pivots have not settled all:
-    each bucket is dealt to blocks, and a task compares the signatures of two of them."""
-    labelled = members.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select(
-        "bucket", "class", F.coalesce("root", "class").alias("label")
+def _in_blocks(members, size):
+    """``members`` (bucket, class, label) of buckets with several labels, dealt to units
+    (bucket, part, block): the block's members as they are (asks 0), and a part of those
+    outside the bucket's most common label (asks 1), who look for partners among them."""
+    labels = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    counts = labels.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("n > most.n")
+    open_buckets = counts.select(
+        "bucket",
+        F.col("most.label").alias("common"),
+        F.ceil(F.col("n") / size).cast("int").alias("blocks"),
+        F.ceil((F.col("n") - F.col("most.n")) / size).cast("int").alias("parts"),
     )
-    counts = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    open_buckets = counts.filter("n > 2 and low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        labelled.join(open_buckets, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "class", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        .join(classes.select("class", "n_shingles", "bits"), "class")
+    placed = members.join(open_buckets, "bucket")
+
+    def dealt(rows, own, count, other, others, asks):
+        one = F.pmod(F.xxhash64("class"), F.col(count)).cast("int").alias(own)
+        each = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other)
+        return rows.select("bucket", "class", "label", one, each, F.lit(asks).alias("asks")).select("bucket", "part", "block", "asks", "class", "label")
+
+    return dealt(placed, "block", "blocks", "part", "parts", 0).union(
+        dealt(placed.filter("label <> common"), "part", "parts", "block", "blocks", 1)
     )
-    least = least_agreeing(percent)
-    ones = np.uint64(sum(1 << (BITS * k) for k in range(_LANES)))
 
-    def compare(batches):
-        for (_, low, high), table in groups(batches, ["bucket", "low", "high"], ["class", "label", "block", "n_shingles", "bits"]):
-            number, label, block, size = (table.column(name).to_numpy() for name in ("class", "label", "block", "n_shingles"))
-            bits = matrix(table.column("bits")).view(np.uint64)
-            found = []
-            for i in np.flatnonzero(block == low):
-                other = np.flatnonzero((block == high) & (label != label[i]) & ((number > number[i]) if low == high else True))
-                near = 100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])
-                other = other[near]
-                x = bits[other] ^ bits[i]
-                folded = x
-                for k in range(1, BITS):
-                    folded = folded | (x >> np.uint64(k))
-                agree = _HASHES - np.bitwise_count(folded & ones).sum(axis=1, dtype=np.int64)
-                for j in other[agree >= least]:
-                    found.append((min(number[i], number[j]), max(number[i], number[j])))
-            yield batch_of_rows(arrow_schema("a long, b long"), found)
 
-    by = ["bucket", "low", "high"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long").distinct()
+def _compared(blocks, columns, compare, out):
+    by = ["bucket", "part", "block"]
+
+    def run(batches):
+        shingles = Shingles()
+        for key, unit in groups(batches, by, columns):
+            yield batch_of_rows(arrow_schema(out), compare(key, unit, shingles))
+
+    return blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, out)
+
+
+class _Block:
+    """The signatures of a unit: near(i) are the members that the asking row i may be similar to,
+    most similar first. Of two rows that may ask each other the smaller class does."""
+
+    _ONES = np.uint64(sum(1 << (BITS * k) for k in range(_LANES)))
+
+    def __init__(self, unit, percent):
+        self.number, self.label, self.asks, self.size = (unit.column(name).to_numpy() for name in ("class", "label", "asks", "n_shingles"))
+        self.label = self.label.copy()
+        self.bits = matrix(unit.column("bits")).view(np.uint64)
+        self.percent, self.least = percent, least_agreeing(percent)
+        self.asking, self.members = np.flatnonzero(self.asks == 1), np.flatnonzero(self.asks == 0)
+        # members whose own asking row is in this unit too
+        self.mutual = np.isin(self.number[self.members], self.number[self.asking])
+
+    def near(self, i):
+        other = self.members[(self.label[self.members] != self.label[i]) & (~self.mutual | (self.number[self.members] > self.number[i]))]
+        other = other[100 * np.minimum(self.size[other], self.size[i]) >= self.percent * np.maximum(self.size[other], self.size[i])]
+        x = self.bits[other] ^ self.bits[i]
+        folded = x
+        for k in range(1, BITS):
+            folded = folded | (x >> np.uint64(k))
+        agree = _HASHES - np.bitwise_count(folded & self._ONES).sum(axis=1, dtype=np.int64)
+        order = np.argsort(-agree, kind="stable")
+        return other[order][agree[order] >= self.least]
+
+
+def _doubtful(members, labels, classes, percent):
+    """The members whose signature comes near one of another component in their bucket: bucket, class, label."""
+    labelled = members.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("label"))
+    # a pair alone in its bucket has met as class and pivot
+    large = members.groupBy("bucket").count().filter("count > 2").select("bucket")
+    blocks = _in_blocks(labelled.join(large, "bucket"), BLOCK).join(classes.select("class", "n_shingles", "bits"), "class")
+
+    def compare(key, unit, _):
+        block, found = _Block(unit, percent), set()
+        for i in block.asking:
+            near = block.near(i)
+            if len(near):
+                found.update((i, *near))
+        return [(key[0], block.number[k], block.label[k]) for k in found]
+
+    out = "bucket long, class long, label long"
+    return lineage.cut(_compared(blocks, ["class", "label", "asks", "n_shingles", "bits"], compare, out).distinct(), "doubtful")
+
+
+def _joining(doubtful, classes, docs, width, percent):
+    """Confirmed links (a, b) between different components, enough to join them, inside buckets."""
+    texts = _texts(doubtful.select("class"), classes, docs)
+    blocks = _in_blocks(doubtful, TEXT_BLOCK).join(classes.select("class", "n_shingles", "bits", "keys"), "class").join(texts, "class")
+
+    def compare(key, unit, shingles):
+        block, found = _Block(unit, percent), []
+        keys, texts = matrix(unit.column("keys")), unit.column("text")
+        held = {}
+
+        def hashes(k):
+            if k not in held:
+                held[k] = shingles.hashes(texts[k].as_py(), width)
+            return held[k]
+
+        for i in block.asking:
+            for j in block.near(i):
+                # a pair is looked at in its first common bucket only
+                if block.label[i] == block.label[j] or keys[i][(keys[i] == keys[j]).argmax()] != key[0]:
+                    continue
+                if _similar(hashes(i), hashes(j), percent):
+                    found.append(tuple(sorted((block.number[i], block.number[j]))))
+                    block.label[block.label == block.label[j]] = block.label[i]
+        return found
+
+    columns = ["class", "label", "asks", "n_shingles", "bits", "keys", "text"]
+    return lineage.cut(_compared(blocks, columns, compare, "a long, b long"), "links")
 
 
 def near_duplicates(docs, width=5, percent=80):
@@ -241,10 +321,9 @@ def near_duplicates(docs, width=5, percent=80):
     tested = lineage.cut(_estimated(pairs, classes, percent), "pairs")
     links = _confirmed(tested, classes, docs, width, percent)
     labels = lineage.cut(components(links), "labels")
-    rest = lineage.cut(_left_over(members, labels, classes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.union(_confirmed(rest, classes, docs, width, percent))
-        labels = lineage.cut(components(links), "labels")
+    doubtful = _doubtful(members, labels, classes, percent)
+    if not doubtful.isEmpty():
+        labels = lineage.cut(components(links.union(_joining(doubtful, classes, docs, width, percent))), "labels")
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("text_key", "least_id", F.coalesce("root", "class").alias("root"))
     roots = known.groupBy("root").agg(F.min("least_id").alias("component"))
     named = known.join(roots, "root").select("text_key", "component")

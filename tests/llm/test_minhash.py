@@ -59,6 +59,7 @@ def test_what_pivots_leave_is_compared_in_blocks(make_docs, monkeypatch):
     pairs = [(k, " ".join(["start of all"] + choose.choices([f"v{n}" for n in range(60)], k=30))) for k in range(60)]
     pairs += [(100 + k, pairs[k][1] + " end") for k in range(0, 60, 5)]
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 5)
     monkeypatch.setattr(minhash, "ROWS", 1)
     monkeypatch.setattr(minhash, "BANDS", 240)
     found = minhash.near_duplicates(make_docs(pairs), 2).collect()
