@@ -32,6 +32,7 @@ SEED = 2048
 #: Local thresholds from here on prune by coordinates, and by this many of them.
 BY_COORDINATE, COORDINATES = 0.6, 4
 _EXACT = 2.0**53
+RESULT = "query_id long, rank int, vec_id long, score long"
 _SLACK = 1e-9
 
 
@@ -138,12 +139,16 @@ def top_products(vectors, k=10, every=100, scale=1024):
             yield batch(arrow_schema(asked), ids, records.column("row"), records.column("part"), floor)
 
     floors = queries.select("vec_id", "row", "vector", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")).mapInArrow(begin, asked)
-    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # one row for each ratio of lengths
+    buckets = F.array(*[F.struct(F.lit(row["bucket"]).alias("bucket"), F.lit(row["blocks"]).alias("blocks")) for row in sizes.collect()])
+    if not seed:
+        return vectors.sparkSession.createDataFrame([], RESULT)
     # each query meets every block of every bucket, each candidate every part of the queries
     asking = (
         floors.join(queries.select("row", "vector"), "row")
-        .crossJoin(F.broadcast(sizes))
-        .select("part", "bucket", spread.alias("block"), F.lit(1).alias("asks"), "vec_id", "row", "floor", "vector")
+        .withColumn("own", F.explode(buckets))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own.blocks") - 1)))
+        .select("part", "own.bucket", "block", F.lit(1).alias("asks"), "vec_id", "row", "floor", "vector")
     )
     offered = stored.join(F.broadcast(sizes), "bucket").select(
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
