@@ -96,6 +96,29 @@ SQL = {
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM components LEFT JOIN counts USING (vec_id)
     """,
+    "op5_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'
+            ), lambda x: x <> '') AS w FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s
+            FROM words
+        ),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ),
+        reached(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+        ),
+        components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN components USING (doc_id)
+    """,
     "op9_topk": f"""
         WITH whole AS ({_WHOLE}),
         numbers AS (SELECT vec_id, list_transform(v, lambda x: floor(1024 * x)) AS v FROM whole),
