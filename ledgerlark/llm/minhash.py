@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import arrow_schema, batch_of_rows, groups, lists, matrix
 from ledgerlark.llm.components import components
-from ledgerlark.llm.tokens import _Cache
+from ledgerlark.llm.tokens import CACHE_WORDS, Cache, release
 from ledgerlark.plans import lineage
 
 BANDS, ROWS, BITS = 40, 6, 4
@@ -52,7 +52,8 @@ class Shingles:
     text of fewer words than ``width`` is one shingle, one without words has none."""
 
     def __init__(self):
-        self.words = _Cache(xxhash.xxh3_64_intdigest, 400_000, 48)
+        release()
+        self.words = Cache(xxhash.xxh3_64_intdigest, CACHE_WORDS, 48)
 
     def hashes(self, text, width):
         words = text.encode("utf-8", "surrogatepass").lower().split()

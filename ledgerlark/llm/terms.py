@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import arrow_schema, batch_of_rows, lists
-from ledgerlark.llm.tokens import _Cache
+from ledgerlark.llm.tokens import CACHE_WORDS, Cache, release
 from ledgerlark.plans import lineage
 
 #: Hash buckets, terms kept for a model, labelled rows fitted on.
@@ -23,6 +23,8 @@ BUCKETS, TERMS, LABELLED = 1 << 18, 2048, 20_000
 #: Documents and chi-square that a kept term needs, so that chance finds few in a small sample.
 LEAST_DOCS, LEAST_CHI = 4, 12.0
 _WORD = re.compile(r"[^\W\d_]+")
+#: Bytes that may belong to a letter; others end a word.
+_LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _BEGINNINGS = (4, 5, 6)
 
 
@@ -30,17 +32,27 @@ def _hashed(term):
     return xxhash.xxh3_64_intdigest(term) % BUCKETS
 
 
-def _word_terms(word):
-    return tuple({_hashed(word), *(_hashed(f"{word[:n]}-") for n in _BEGINNINGS if len(word) >= n)})
+def _raw_words(text):
+    """The text in small letters as bytes, cut where no letter can be."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+
+
+def _word_terms(raw):
+    found = set()
+    for word in [raw.decode()] if raw.isascii() else _WORD.findall(raw.decode("utf-8", "replace")):
+        found.add(_hashed(word))
+        found.update(_hashed(f"{word[:n]}-") for n in _BEGINNINGS if len(word) >= n)
+    return tuple(found)
 
 
 def shape_terms(text, words):
     """Length, share of signs and digits, length of words and repetition of lines, in steps.
-    ``words`` are the text's runs of letters."""
+    ``words`` are the text's words as bytes."""
     parts, lines, plain = len(text.split()), text.split("\n"), sum(map(len, words))
+    size = len(text.encode("utf-8", "surrogatepass"))
     shapes = (
         ("words", int(math.log2(parts + 1))),
-        ("signs", round(10 * (1 - (plain + text.count(" ")) / max(1, len(text))))),
+        ("signs", round(10 * (1 - (plain + text.count(" ")) / max(1, size)))),
         ("letters", min(20, round(plain / max(1, parts)))),
         ("lines", round(5 * len(set(lines)) / len(lines))),
     )
@@ -51,9 +63,10 @@ class Terms:
     """of(text): the places among ``chosen`` buckets (or the buckets) of a text's terms."""
 
     def __init__(self, chosen=None, shapes=False):
+        release()
         self.place = None if chosen is None else {bucket: k for k, bucket in enumerate(chosen)}
         self.shapes = shapes
-        self.words = _Cache(self._places, 400_000, 48)
+        self.words = Cache(self._places, CACHE_WORDS, 48)
 
     def _known(self, buckets):
         return buckets if self.place is None else tuple(self.place[b] for b in buckets if b in self.place)
@@ -63,7 +76,7 @@ class Terms:
 
     def of(self, text):
         found = set()
-        words = _WORD.findall(text.lower())
+        words = _raw_words(text)
         for places in map(self.words.__getitem__, set(words)):
             if places:
                 found.update(places)

@@ -14,11 +14,10 @@ import ahocorasick
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import arrow_schema, batch_of_rows, lists
-from ledgerlark.llm.tokens import _Cache
+from ledgerlark.llm.tokens import CACHE_WORDS, Cache, release
 
 #: Fixed values of the library: the mark of a blank and the penalty of an unknown character.
 MARK, UNKNOWN_PENALTY = "▁", 10.0
-CACHE_WORDS = 500_000
 
 
 def unigram_vocabulary(model_file):
@@ -45,7 +44,7 @@ class Counter:
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         self.longest = max(len(piece) for piece, _ in vocabulary)
         self.byte_fallback = byte_fallback
-        self.words = _Cache(self._word, CACHE_WORDS, 48)
+        self.words = Cache(self._word, CACHE_WORDS, 48)
 
     def count(self, text):
         if not text:
@@ -97,6 +96,7 @@ def token_counts(docs, model_file, byte_fallback=True):
     out = "doc_id long, n_chars long, n_tokens long"
 
     def count(batches):
+        release()
         tokens = counter(model_file, byte_fallback).count
         for records in batches:
             yield batch_of_rows(arrow_schema(out), [(doc_id, len(text), tokens(text)) for doc_id, text in zip(*lists(records, "doc_id", "text"))])

@@ -14,7 +14,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries of a worker's caches of words and of their parts before the older half goes.
-CACHE_WORDS, CACHE_PIECES = 500_000, 250_000
+CACHE_WORDS, CACHE_PIECES = 250_000, 120_000
 #: Longer words are encoded anew each time.
 CACHE_CHARS = 48
 
@@ -22,7 +22,7 @@ CACHE_CHARS = 48
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class _Cache(dict):
+class Cache(dict):
     """Computes missing values; when full, keeps those of the last generation only."""
 
     def __init__(self, compute, limit, longest):
@@ -64,9 +64,9 @@ class Encoder:
         self.by_word = _drops_white_space(layout)
         self.special = [token["content"] for token in layout["added_tokens"]]
         self.letters = _byte_letters()
-        self.words = _Cache(self._word, CACHE_WORDS, CACHE_CHARS)
-        self.small = _Cache(self._small_word, CACHE_WORDS, CACHE_CHARS)
-        self.pieces = _Cache(self._piece, CACHE_PIECES, CACHE_CHARS)
+        self.words = Cache(self._word, CACHE_WORDS, CACHE_CHARS)
+        self.small = Cache(self._small_word, CACHE_WORDS, CACHE_CHARS)
+        self.pieces = Cache(self._piece, CACHE_PIECES, CACHE_CHARS)
 
     def ids(self, text):
         if not self.by_word:
@@ -120,5 +120,11 @@ def encoder(path):
     return Encoder(path)
 
 
+def release():
+    """Give up the caches of encoders. Workers outlive a stage; other operators call this
+    first, so that a worker holds the words of one operator at a time."""
+    encoder.cache_clear()
+
+
 def end_bytes(end_id):
     return np.array([end_id], dtype="<u4").tobytes()
