@@ -32,9 +32,9 @@ def _hashed(term):
     return xxhash.xxh3_64_intdigest(term) % BUCKETS
 
 
-def _raw_words(text):
-    """The text in small letters as bytes, cut where no letter can be."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+def _letters(text):
+    """The text in small letters as bytes, blank where no letter can be."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS)
 
 
 def _word_terms(raw):
@@ -45,11 +45,11 @@ def _word_terms(raw):
     return tuple(found)
 
 
-def shape_terms(text, words):
+def shape_terms(text, letters):
     """Length, share of signs and digits, length of words and repetition of lines, in steps.
-    ``words`` are the text's words as bytes."""
-    parts, lines, plain = len(text.split()), text.split("\n"), sum(map(len, words))
-    size = len(text.encode("utf-8", "surrogatepass"))
+    ``letters`` is the text as bytes with blanks for what is no letter."""
+    parts, lines = len(text.split()), text.split("\n")
+    plain, size = len(letters) - letters.count(b" "), len(letters)
     shapes = (
         ("words", int(math.log2(parts + 1))),
         ("signs", round(10 * (1 - (plain + text.count(" ")) / max(1, size)))),
@@ -76,12 +76,12 @@ class Terms:
 
     def of(self, text):
         found = set()
-        words = _raw_words(text)
-        for places in map(self.words.__getitem__, set(words)):
+        letters = _letters(text)
+        for places in map(self.words.__getitem__, set(letters.split())):
             if places:
                 found.update(places)
         if self.shapes:
-            found.update(self._known(shape_terms(text, words)))
+            found.update(self._known(shape_terms(text, letters)))
         return found
 
 
