@@ -3,13 +3,14 @@
 A wrapper is a union-free regular expression over the block tags and texts of a
 host's pages: elements, optional and repeated groups, and text slots. It starts as
 one page's tags and is aligned with the next page's again and again; what only one
-side has becomes optional, neighbours that repeat become a repeated group, texts that
-differ become a slot, and texts that all pages share stay known as fixed.
+side has becomes optional, neighbours that repeat become a repeated group, texts
+become slots. A slot keeps the hashes of the texts that it shows on every page so far,
+so what one page lacks is fixed no more.
 
 Regions are named on the wrapper: menus, headers, footers, sidebars, notices,
 adverts, forms and comments go, the article or main element stays; on hosts without
-one the body stays, but for texts that are fixed over the host. A page is then read
-along its wrapper and yields the texts of the regions that stay.
+one the body stays, but for texts that a slot shows on all pages of the host. A page is
+then read along its wrapper and yields the texts of the regions that stay.
 
 Each task folds its pages into one wrapper a host before anything is shuffled, and
 wrappers are merged in two steps, so a host with a third of all pages meets in a
@@ -17,6 +18,7 @@ task only as a few wrappers.
 """
 
 import functools
+import hashlib
 import html
 import json
 import re
@@ -153,16 +155,18 @@ def _main(symbol):
 
 
 # A wrapper is [symbol, optional, repeated, children]; a text is ["#", optional, repeated,
-# its fixed text or None]; a group of neighbours is ["(symbols)", ...] like an element.
+# hashes of the texts that it shows on every page]; a group of neighbours is
+# ["(symbols)", ...] like an element.
 
 
-def _fixed(text):
-    return text if len(text) <= 200 else None
+def _hash(text):
+    """A text's length and a hash of all of it."""
+    return f"{len(text)}-{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
 
 
 def wrapper_of(node):
     """A page's tree as the wrapper that fits it alone, repetitions folded."""
-    children = [["#", 0, 0, _fixed(child)] if isinstance(child, str) else wrapper_of(child) for child in node[1]]
+    children = [["#", 0, 0, [_hash(child)]] if isinstance(child, str) else wrapper_of(child) for child in node[1]]
     return [node[0], 0, 0, _folded(children)]
 
 
@@ -198,57 +202,103 @@ def _folded(items):
     return _grouped(items) if len(items) > CHILDREN else items
 
 
-def _grouped(items):
-    """Every kind of element that a long irregular list has, optional, in one repeated group."""
+def _kinds(items):
+    """One item for every symbol in a list, groups taken apart."""
     kinds = {}
     for item in items:
         for own in item[3] if item[0].startswith("(") else [item]:
             kinds[own[0]] = _merged(kinds[own[0]], own) if own[0] in kinds else own
-    return [["(*)", 0, 1, [[kind[0], 1, 1, kind[3]] for _, kind in sorted(kinds.items())]]]
+    return kinds
 
 
-def _merged(a, b):
-    """The wrapper of two elements, groups or texts of one symbol."""
+def _grouped(items, others=None):
+    """Every kind of element that a long irregular list has, optional, in one repeated
+    group; ``others`` are the list of other pages."""
+    kinds = _kinds(items)
+    if others is not None:
+        left, right = kinds, _kinds(others)
+        kinds = {k: _merged(left[k], right[k], True) if k in left and k in right else _lacking((left.get(k) or right[k])) for k in left | right}
+    return [["(*)", 0, 1, [[kind[0], 1, 1, *kind[3:]] for _, kind in sorted(kinds.items())]]]
+
+
+def _merged(a, b, pages=False):
+    """The wrapper of two elements, groups or texts of one symbol: neighbours on the same
+    pages, or with ``pages`` from different ones, where only what both show is fixed."""
     optional, repeated = a[1] | b[1], a[2] | b[2]
     if a[0] == "#":
-        return ["#", optional, repeated, a[3] if a[3] == b[3] else None]
-    return [a[0], optional, repeated, a[3] if a[3] == b[3] else _aligned(a[3], b[3])]
+        return ["#", optional, repeated, sorted(set(a[3]) & set(b[3]) if pages else set(a[3]) | set(b[3]))]
+    return [a[0], optional, repeated, _aligned(a[3], b[3], pages)]
+
+
+def _lacking(item):
+    """An item that some pages do not have: nothing in it is fixed."""
+    if item[0] == "#":
+        return ["#", *item[1:3], [], *item[4:]]
+    return [*item[:3], [_lacking(child) for child in item[3]]]
 
 
-def _aligned(left, right):
-    """Two lists of children as one: common symbols in order are merged, others optional."""
+def _hashes(item):
+    return set(item[3]) if item[0] == "#" else set().union(*map(_hashes, item[3]))
+
+
+def _runs(items, others):
+    """Neighbours that repeat in ``others`` as one repeated item."""
+    repeat, done = {item[0] for item in others if item[2]}, []
+    for item in items:
+        if done and done[-1][0] == item[0] and item[0] in repeat:
+            both = _merged(done[-1], item)
+            done[-1] = [both[0], both[1], 1, *both[3:]]
+        else:
+            done.append(item)
+    return done
+
+
+def _aligned(left, right, pages):
+    """Two lists of children as one: common symbols in order are merged, most with common
+    texts, others optional."""
+    left, right = _runs(left, right), _runs(right, left)
     n, m = len(left), len(right)
     if any(item[0] == "(*)" for item in left + right) or n * m > CELLS:
-        return _grouped(left + right)
+        return _grouped(left, right) if pages else _grouped(left + right)
+    names, others = [item[0] for item in left], [item[0] for item in right]
+    if names == others:
+        return _folded([_merged(a, b, pages) for a, b in zip(left, right)])
+    # a common text decides only between alignments of as many symbols
+    whole, texts = n + m, [list(map(_hashes, items)) for items in (left, right)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
-        row, below, symbol = best[i], best[i + 1], left[i][0]
+        row, below, symbol, own = best[i], best[i + 1], names[i], texts[0][i]
         for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if symbol == right[j][0] else max(below[j], row[j + 1])
+            row[j] = max(below[j], row[j + 1])
+            if symbol == others[j]:
+                row[j] = max(row[j], below[j + 1] + whole + (not own.isdisjoint(texts[1][j])))
+    one = _lacking if pages else list
     items, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and left[i][0] == right[j][0]:
-            items.append(_merged(left[i], right[j]))
+        if i < n and j < m and names[i] == others[j] and best[i][j] == best[i + 1][j + 1] + whole + (not texts[0][i].isdisjoint(texts[1][j])):
+            items.append(_merged(left[i], right[j], pages))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            items.append([left[i][0], 1, *left[i][2:]])
+            own = one(left[i])
+            items.append([own[0], 1, *own[2:]])
             i += 1
         else:
-            items.append([right[j][0], 1, *right[j][2:]])
+            own = one(right[j])
+            items.append([own[0], 1, *own[2:]])
             j += 1
     return _folded(items)
 
 
 def merge(a, b):
-    """The wrapper that fits what either fits."""
-    return _merged(a, b)
+    """The wrapper that fits what either fits, of different pages."""
+    return _merged(a, b, True)
 
 
 def expression(wrapper):
     """A wrapper as a regular expression over tags, for people to read."""
     symbol, optional, repeated, inner = wrapper
     if symbol == "#":
-        text = "#text" if inner is None else inner
+        text = "#fixed" if inner else "#text"
     else:
         text = " ".join(map(expression, inner))
         text = text if symbol.startswith("(") else f"<{symbol}> {text} </{symbol.split(' ')[0]}>"
@@ -256,59 +306,58 @@ def expression(wrapper):
     return f"({text}){sign}" if sign else text
 
 
-class _Places:
-    """Finds the wrapper's items for a list of children, from left to right and around."""
+class _Region:
+    """A wrapper's items of one symbol in one place: what they hold, by symbol, and the
+    hashes of the texts that all pages show there."""
 
-    def __init__(self, items):
-        self.flat = []
-        for item in items or ():
-            self.flat += item[3] if item[0].startswith("(") else [item]
-        self.at = 0
+    def __init__(self, items=()):
+        self.kids, self.fixed = {}, set()
+        self.add(items)
 
-    def find(self, symbol):
-        for k in [*range(self.at, len(self.flat)), *range(self.at)]:
-            if self.flat[k][0] == symbol:
-                # the next child may repeat this one
-                self.at = k if self.flat[k][2] else k + 1
-                return self.flat[k]
-        return None
+    def add(self, items):
+        for item in items:
+            if item[0] == "#":
+                self.fixed.update(item[3])
+            elif item[0].startswith("("):
+                self.add(item[3])
+            else:
+                self.kids.setdefault(item[0], _Region()).add(item[3])
 
 
-def _texts(node, wrapper, inside, drop_fixed):
-    places = _Places(wrapper[3] if wrapper else None)
+def _texts(node, region, inside):
+    """The texts of a region that stay, each with whether all pages show it there."""
     for child in node[1]:
         if isinstance(child, str):
-            slot = places.find("#")
-            if not (drop_fixed and slot and slot[3] is not None):
-                yield child
-        else:
-            item = places.find(child[0])
-            if not _gone(child[0], inside):
-                yield from _texts(child, item, inside or _main(child[0]), drop_fixed)
+            yield child, bool(region and region.fixed) and _hash(child) in region.fixed
+        elif not _gone(child[0], inside):
+            yield from _texts(child, region and region.kids.get(child[0]), inside or _main(child[0]))
 
 
-def _main_parts(node, wrapper):
-    """The outermost article and main elements outside regions that go, with their wrappers."""
-    places = _Places(wrapper[3] if wrapper else None)
+def _main_parts(node, region):
+    """The outermost article and main elements outside regions that go, with their regions."""
     for child in node[1]:
         if isinstance(child, str) or _gone(child[0], False):
             continue
-        item = places.find(child[0])
+        own = region and region.kids.get(child[0])
         if _main(child[0]):
-            yield child, item
+            yield child, own
         else:
-            yield from _main_parts(child, item)
+            yield from _main_parts(child, own)
 
 
 def main_text(page, wrapper=None, pages=1):
     """The main text of a page along its host's wrapper, which ``pages`` pages made."""
+    return _read(page, _Region(wrapper[3] if wrapper else ()), pages)
+
+
+def _read(page, region, pages):
     tree = parse(page or "")
-    parts = list(_main_parts(tree, wrapper))
+    parts = list(_main_parts(tree, region))
     if parts:
-        texts = [text for part, item in parts for text in _texts(part, item, True, False)]
-    else:
-        texts = list(_texts(tree, wrapper, False, pages >= FIXED_PAGES)) or list(_texts(tree, wrapper, False, False))
-    return " ".join(texts)
+        return " ".join(text for part, own in parts for text, _ in _texts(part, own, True))
+    texts = list(_texts(tree, region, False))
+    kept = [text for text, fixed in texts if not fixed] if pages >= FIXED_PAGES else []
+    return " ".join(kept or [text for text, _ in texts])
 
 
 def host_of(url):
@@ -336,10 +385,10 @@ def _rows(held):
 
 
 def infer(pages):
-    """One wrapper for each host of ``pages`` (url, html): host, pages, wrapper (JSON)."""
+    """One wrapper for each host of ``pages`` (url, html) with tags or text: host, pages, wrapper (JSON)."""
 
     def start(batches):
-        return _fold(batches, lambda records: ((host, 1, wrapper_of(parse(page))) for host, page in zip(*lists(records, "host", "html"))))
+        return _fold(batches, lambda records: ((host, 1, wrapper_of(tree)) for host, page in zip(*lists(records, "host", "html")) if (tree := parse(page))[1]))
 
     def again(batches):
         return _fold(batches, lambda records: ((host, n, json.loads(wrapper)) for host, n, wrapper in zip(*lists(records, "host", "pages", "wrapper"))))
@@ -357,14 +406,13 @@ def extract(pages, wrappers):
     wrapper tables are sent to the pages by the planner, large ones are joined by host."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
     out = "page_id long, url string, text string, n_chars long"
-    parsed = functools.lru_cache(maxsize=2048)
 
     def read(batches):
-        known = parsed(json.loads)
+        known = functools.lru_cache(maxsize=2048)(lambda wrapper: _Region(json.loads(wrapper)[3]))
         for records in batches:
             found = []
             for page_id, url, page, n, wrapper in zip(*lists(records, "page_id", "url", "html", "pages", "wrapper")):
-                text = main_text(page, known(wrapper) if wrapper else None, n or 1)
+                text = _read(page, known(wrapper) if wrapper else None, n or 1)
                 found.append((page_id, url, text, len(text)))
             yield batch_of_rows(arrow_schema(out), found)
 

@@ -1,6 +1,8 @@
 """Wrappers and main texts of pages, and their edge cases."""
 
+import functools
 import html
+import json
 import re
 
 import pytest
@@ -93,3 +95,18 @@ def test_hosts(spark):
     urls = ["http://A.example:80/x", "https://u@b.example?q", "c.example", "", None]
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select(wrappers.host_of(F.col("url")).alias("h"))
     assert [r.h for r in rows.collect()] == ["a.example", "b.example", "", "", ""]
+
+
+def host_wrapper(pages):
+    return functools.reduce(wrappers.merge, [wrappers.wrapper_of(wrappers.parse(page)) for page in pages])
+
+
+@pytest.mark.parametrize("block", ["<blockquote>Only here</blockquote>", "<table><tr><td>Only</table>", "<pre>Only here</pre>", "<div>Only here</div>"])
+def test_what_one_page_has_is_not_fixed(block):
+    long = "We use cookies. " * 30
+    pages = [f"<body><div>{long}</div><div><p>Story {k} is here</p></div>{block if k == 6 else ''}<div>All rights kept</div></body>" for k in range(10)]
+    for order in (pages, pages[::-1], pages[6:] + pages[:6]):
+        merged = json.loads(json.dumps(host_wrapper(order)))
+        wanted = " ".join(re.sub("<[^>]*>", " ", block).split())
+        assert wrappers.main_text(pages[6], merged, 10) == f"Story 6 is here {wanted}"
+        assert wrappers.main_text(pages[5], merged, 10) == "Story 5 is here"
