@@ -22,14 +22,16 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import arrow_schema, batch_of_rows, lists
 from ledgerlark.plans import lineage
 
-#: Elements nested deeper are read as part of their parent; longer lists of children, and
-#: larger alignments, become one repeated group of optional elements.
+#: Elements nested deeper are read as part of their parent, but for articles and regions that
+#: go, at most three levels more; longer lists of children, and larger alignments, become one
+#: repeated group of optional elements.
 DEEPEST, CHILDREN, CELLS = 48, 64, 40_000
 #: Neighbours of one symbol that repeat whatever their shape.
 ALIKE = 4
@@ -79,7 +81,11 @@ def parse(page):
     """The page as a tree of block elements: [symbol, children], texts as strings. Inline
     tags vanish, line breaks are white space, unclosed elements end where they must."""
     root = ["#page", []]
+    # every open element has an entry; one below DEEPEST shares its parent's node
     open_nodes, names, pieces, at = [root], ["#page"], [], 0
+    # nodes above an element, articles above it, and below DEEPEST: 1 in a region that goes,
+    # 2 in an article, 3 in a region that goes there
+    states, counts = [(1, 0, 0)], Counter()
 
     def flush():
         if pieces:
@@ -88,9 +94,14 @@ def parse(page):
             if words:
                 open_nodes[-1][1].append(" ".join(words))
 
-    def close(count):
+    def close(name):
         flush()
-        del open_nodes[count:], names[count:]
+        while True:
+            counts[names[-1]] -= 1
+            ended = names.pop()
+            del open_nodes[-1], states[-1]
+            if ended == name:
+                break
 
     while True:
         found = _TOKEN.search(page, at)
@@ -112,26 +123,34 @@ def parse(page):
         elif name in _VOID:
             pieces.append(" ")
         elif found["end"]:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if counts[name]:
+                close(name)
             pieces.append(" ")
         else:
-            if name in _ENDS_P and "p" in names:
-                close(len(names) - 1 - names[::-1].index("p"))
+            if name in _ENDS_P and counts["p"]:
+                close("p")
             ends = _ENDS.get(name, "").split()
-            for k in range(len(names) - 1, 0, -1) if ends else ():
+            for k in range(len(names) - 1, 0, -1) if any(counts[end] for end in ends) else ():
                 if names[k] in _KEEPS:
                     break
                 if names[k] in ends:
-                    close(k)
+                    close(names[k])
                     break
             flush()
             symbol = _symbol(name, found["attributes"])
-            if len(open_nodes) < DEEPEST or _gone(symbol, True):
+            depth, articles, deep = states[-1]
+            node, gone = open_nodes[-1], _gone(symbol, articles > 0)
+            own = deep
+            if depth >= DEEPEST:
+                own = deep + 1 if gone and deep in (0, 2) else 2 if not gone and _main(symbol) and deep < 2 else deep
+            if depth < DEEPEST or own != deep:
                 node = [symbol, []]
                 open_nodes[-1][1].append(node)
-                open_nodes.append(node)
-                names.append(name)
+                depth += 1
+            open_nodes.append(node)
+            names.append(name)
+            states.append((depth, articles + (not gone and _main(symbol)), own))
+            counts[name] += 1
     flush()
     return root
 

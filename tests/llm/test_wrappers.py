@@ -110,3 +110,13 @@ def test_what_one_page_has_is_not_fixed(block):
         wanted = " ".join(re.sub("<[^>]*>", " ", block).split())
         assert wrappers.main_text(pages[6], merged, 10) == f"Story 6 is here {wanted}"
         assert wrappers.main_text(pages[5], merged, 10) == "Story 5 is here"
+
+
+def test_end_tags_pair_up_below_the_deepest_level():
+    nest = "<div>" * 60 + "deep" + "</div>" * 60
+    assert wrappers.main_text(f"<html><body><div><article><p>before</p>{nest}<p>after</p></article></div><p>out</p></body></html>") == "before deep after"
+    assert wrappers.main_text("<p>out</p>" + "<div>" * 60 + "<article>in<nav>no</nav></article>" + "</div>" * 60 + "<p>out</p>") == "in"
+    for name in ("form", "nav", "article class='reply'", "div class='comment'"):
+        end = f"</{name.split()[0]}>"
+        page = f"<article>a{f'<{name}>' * 3000}no{end * 3000}b</article>"
+        assert wrappers.main_text(page, host_wrapper([page] * 3), 3) == "a b"
