@@ -65,16 +65,21 @@ _GONE_WORDS = set(
 _GONE_OUTSIDE = set("header banner masthead toolbar topbar side aside copyright legal skip".split())
 _GONE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _MAIN_WORDS = set("articlebody".split())
+#: A class or id with one of these pieces says what a page has or is, not what a region is.
+_SAYS = set("has have no not without with is hide show page layout template enabled disabled active open".split())
+#: Regions that go however much they hold, if their class or id has such a piece.
+_NEVER = set("comment comments disqus respond reply replies ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies".split())
 
 
 def _symbol(name, attributes):
-    """An element's name with the words of its class, id and role, numbers left out."""
+    """An element's name with its role and the words of its class and id, each with its
+    hyphens, numbers left out."""
     words = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         if key.lower() in ("class", "id", "role", "itemprop"):
             value = "".join(values).lower()
-            words.update(f"role={word}" for word in value.split()) if key.lower() == "role" else words.update(_WORD.findall(value))
-    return " ".join([name, *sorted(words)])
+            words.update(f"role={word}" for word in value.split()) if key.lower() == "role" else words.update("-".join(_WORD.findall(word)) for word in value.split())
+    return " ".join([name, *sorted(words - {""})])
 
 
 def parse(page):
@@ -157,15 +162,18 @@ def parse(page):
 
 @functools.lru_cache(maxsize=100_000)
 def _gone(symbol, inside):
-    """Whether a region isn't main text; ``inside``: it lies in the article."""
+    """Whether a region isn't main text: 0 if it is, 2 if it isn't, 1 if it isn't unless it
+    holds most text, as forms around a page do; ``inside``: it lies in the article."""
     name, *words = symbol.split(" ")
     roles = {word[5:] for word in words if word.startswith("role=")}
-    words = set(words)
+    words = {word for word in words if not word.startswith("role=")}
+    pieces = set().union(*(own for word in words if not (own := set(word.split("-"))) & _SAYS))
     if name in ("html", "body", "article", "main"):
-        return bool(words & {"comment", "comments", "reply", "advert", "ad"}) and name == "article"
-    if name in _GONE or words & _GONE_WORDS or roles & _GONE_ROLES:
-        return True
-    return not inside and (name == "header" or bool(words & _GONE_OUTSIDE))
+        return 2 * bool(pieces & {"comment", "comments", "reply", "advert", "ad"} and name == "article")
+    listed = _GONE_WORDS if inside else _GONE_WORDS | _GONE_OUTSIDE
+    if (name in _GONE and name != "form") or (name == "header" and not inside) or words & listed or roles & _GONE_ROLES or pieces & _NEVER:
+        return 2
+    return int(name == "form" or bool(pieces & listed))
 
 
 def _main(symbol):
@@ -173,6 +181,17 @@ def _main(symbol):
     return name in ("article", "main") or "role=main" in words or "role=article" in words or bool(_MAIN_WORDS & set(words))
 
 
+def _size(node, inside):
+    """Characters of a region, without what goes in it whatever it holds."""
+    return sum(len(child) if isinstance(child, str) else _size(child, inside or _main(child[0])) for child in node[1] if isinstance(child, str) or _gone(child[0], inside) < 2)
+
+
+def _stays(child, inside, whole):
+    """Whether a region is main text or holds most of the ``whole`` characters."""
+    gone = _gone(child[0], inside)
+    return not gone or (gone == 1 and 2 * _size(child, inside) > whole)
+
+
 # A wrapper is [symbol, optional, repeated, children]; a text is ["#", optional, repeated,
 # hashes of the texts that it shows on every page]; a group of neighbours is
 # ["(symbols)", ...] like an element.
@@ -343,25 +362,26 @@ class _Region:
                 self.kids.setdefault(item[0], _Region()).add(item[3])
 
 
-def _texts(node, region, inside):
+def _texts(node, region, inside, whole):
     """The texts of a region that stay, each with whether all pages show it there."""
     for child in node[1]:
         if isinstance(child, str):
             yield child, bool(region and region.fixed) and _hash(child) in region.fixed
-        elif not _gone(child[0], inside):
-            yield from _texts(child, region and region.kids.get(child[0]), inside or _main(child[0]))
+        elif _stays(child, inside, whole):
+            yield from _texts(child, region and region.kids.get(child[0]), inside or _main(child[0]), whole)
 
 
-def _main_parts(node, region):
-    """The outermost article and main elements outside regions that go, with their regions."""
+def _main_parts(node, region, whole):
+    """The outermost article and main elements with their regions: outside regions that
+    go, or without ``whole`` anywhere."""
     for child in node[1]:
-        if isinstance(child, str) or _gone(child[0], False):
+        if isinstance(child, str) or (not _stays(child, False, whole) if whole is not None else _main(child[0]) and _gone(child[0], False)):
             continue
         own = region and region.kids.get(child[0])
         if _main(child[0]):
             yield child, own
         else:
-            yield from _main_parts(child, own)
+            yield from _main_parts(child, own, whole)
 
 
 def main_text(page, wrapper=None, pages=1):
@@ -371,10 +391,16 @@ def main_text(page, wrapper=None, pages=1):
 
 def _read(page, region, pages):
     tree = parse(page or "")
-    parts = list(_main_parts(tree, region))
+    whole = _size(tree, False)
+    parts = list(_main_parts(tree, region, whole))
+    texts = [] if parts else list(_texts(tree, region, False, whole))
+    if not parts:
+        # articles only in regions that go, as where a layout has a sidebar's class: they hold more than what is outside
+        hidden = list(_main_parts(tree, region, None))
+        if sum(_size(part, True) for part, _ in hidden) > sum(len(text) for text, _ in texts):
+            parts = hidden
     if parts:
-        return " ".join(text for part, own in parts for text, _ in _texts(part, own, True))
-    texts = list(_texts(tree, region, False))
+        return " ".join(text for part, own in parts for text, _ in _texts(part, own, True, _size(part, True)))
     kept = [text for text, fixed in texts if not fixed] if pages >= FIXED_PAGES else []
     return " ".join(kept or [text for text, _ in texts])
 

@@ -120,3 +120,23 @@ def test_end_tags_pair_up_below_the_deepest_level():
         end = f"</{name.split()[0]}>"
         page = f"<article>a{f'<{name}>' * 3000}no{end * 3000}b</article>"
         assert wrappers.main_text(page, host_wrapper([page] * 3), 3) == "a b"
+
+
+LONG = "<p>The story of the day is told here</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *((f"<div class='layout {word}'><article>{LONG}</article><div class='sidebar'>no</div></div>", LONG[3:-4]) for word in ("has-sidebar", "no-comments", "with-nav", "search-page", "sidebar", "nav-left")),
+        (f"<form id='aspnetForm'><nav>no</nav><article>{LONG}</article></form>", LONG[3:-4]),
+        (f"<form><div>{LONG}</div><div class='footer'>no</div></form><p>end", LONG[3:-4] + " end"),
+        (f"<article><form>{LONG}</form><p>end</p></article>", LONG[3:-4] + " end"),
+        (f"<article><p>end</p><div class='comment-list'>{LONG}</div></article>", "end"),
+        (f"<div>{LONG}</div><aside class='related'><article>no</article></aside>", LONG[3:-4]),
+        (f"<article>{LONG}</article><aside class='related'><article>{LONG}{LONG}</article></aside>", LONG[3:-4]),
+        (f"<div>{LONG}</div><div class='site-footer'>no</div><form>Mail</form>", LONG[3:-4]),
+    ],
+)
+def test_containers_of_the_main_text_stay(page, text):
+    assert wrappers.main_text(f"<html><body>{page}</body></html>") == text
