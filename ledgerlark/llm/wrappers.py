@@ -7,10 +7,13 @@ side has becomes optional, neighbours that repeat become a repeated group, texts
 become slots. A slot keeps the hashes of the texts that it shows on every page so far,
 so what one page lacks is fixed no more.
 
-Regions are named on the wrapper: menus, headers, footers, sidebars, notices,
-adverts, forms and comments go, the article or main element stays; on hosts without
-one the body stays, but for texts that a slot shows on all pages of the host. A page is
-then read along its wrapper and yields the texts of the regions that stay.
+Regions are chosen on the wrapper of a host with FIXED_PAGES pages or more, by the text
+that varies over its pages: article and main elements are the main text if they hold at
+least half of it, else the body is; forms and regions of doubtful class names go unless
+they hold most of it; texts that a slot shows on all pages go. Tag and class names are
+the prior: menus, headers, footers, sidebars, notices, adverts and comments go, and on
+hosts with fewer pages names and the page's own text decide alone. A page is then read
+along its wrapper and yields the texts of the regions that stay.
 
 Each task folds its pages into one wrapper a host before anything is shuffled, and
 wrappers are merged in two steps, so a host with a third of all pages meets in a
@@ -35,7 +38,7 @@ from ledgerlark.plans import lineage
 DEEPEST, CHILDREN, CELLS = 48, 64, 40_000
 #: Neighbours of one symbol that repeat whatever their shape.
 ALIKE = 4
-#: Pages of a host before its fixed texts outside articles count as its template.
+#: Pages of a host before its wrapper decides what is template and what is main text.
 FIXED_PAGES = 4
 #: Wrappers held in a task before they are passed on.
 HOSTS = 4096
@@ -186,15 +189,9 @@ def _size(node, inside):
     return sum(len(child) if isinstance(child, str) else _size(child, inside or _main(child[0])) for child in node[1] if isinstance(child, str) or _gone(child[0], inside) < 2)
 
 
-def _stays(child, inside, whole):
-    """Whether a region is main text or holds most of the ``whole`` characters."""
-    gone = _gone(child[0], inside)
-    return not gone or (gone == 1 and 2 * _size(child, inside) > whole)
-
-
 # A wrapper is [symbol, optional, repeated, children]; a text is ["#", optional, repeated,
-# hashes of the texts that it shows on every page]; a group of neighbours is
-# ["(symbols)", ...] like an element.
+# hashes of the texts that it shows on every page, characters on all pages]; a group of
+# neighbours is ["(symbols)", ...] like an element.
 
 
 def _hash(text):
@@ -204,7 +201,7 @@ def _hash(text):
 
 def wrapper_of(node):
     """A page's tree as the wrapper that fits it alone, repetitions folded."""
-    children = [["#", 0, 0, [_hash(child)]] if isinstance(child, str) else wrapper_of(child) for child in node[1]]
+    children = [["#", 0, 0, [_hash(child)], len(child)] if isinstance(child, str) else wrapper_of(child) for child in node[1]]
     return [node[0], 0, 0, _folded(children)]
 
 
@@ -264,7 +261,7 @@ def _merged(a, b, pages=False):
     pages, or with ``pages`` from different ones, where only what both show is fixed."""
     optional, repeated = a[1] | b[1], a[2] | b[2]
     if a[0] == "#":
-        return ["#", optional, repeated, sorted(set(a[3]) & set(b[3]) if pages else set(a[3]) | set(b[3]))]
+        return ["#", optional, repeated, sorted(set(a[3]) & set(b[3]) if pages else set(a[3]) | set(b[3])), a[4] + b[4]]
     return [a[0], optional, repeated, _aligned(a[3], b[3], pages)]
 
 
@@ -334,7 +331,7 @@ def merge(a, b):
 
 def expression(wrapper):
     """A wrapper as a regular expression over tags, for people to read."""
-    symbol, optional, repeated, inner = wrapper
+    symbol, optional, repeated, inner, *_ = wrapper
     if symbol == "#":
         text = "#fixed" if inner else "#text"
     else:
@@ -345,21 +342,61 @@ def expression(wrapper):
 
 
 class _Region:
-    """A wrapper's items of one symbol in one place: what they hold, by symbol, and the
-    hashes of the texts that all pages show there."""
+    """A wrapper's items of one symbol in one place: what they hold, by symbol, the hashes
+    of the texts that all ``pages`` show there, and the characters that vary, without what
+    goes whatever it holds."""
 
-    def __init__(self, items=()):
-        self.kids, self.fixed = {}, set()
-        self.add(items)
+    def __init__(self, items=(), pages=1):
+        self.kids, self.fixed, self.size = {}, set(), 0
+        self._add(items)
+        self._weigh(pages, False)
 
-    def add(self, items):
+    def _add(self, items):
         for item in items:
             if item[0] == "#":
                 self.fixed.update(item[3])
+                self.size += item[4]
             elif item[0].startswith("("):
-                self.add(item[3])
+                self._add(item[3])
             else:
-                self.kids.setdefault(item[0], _Region()).add(item[3])
+                if item[0] not in self.kids:
+                    self.kids[item[0]] = _Region()
+                self.kids[item[0]]._add(item[3])
+
+    def _weigh(self, pages, inside):
+        varies = max(0, self.size - pages * sum(int(key.split("-")[0]) for key in self.fixed))
+        for symbol, kid in self.kids.items():
+            kid._weigh(pages, inside or _main(symbol))
+            varies += kid.varies if _gone(symbol, inside) < 2 else 0
+        self.varies = varies
+
+    def mains(self, whole):
+        """The varying characters of article and main elements, and of all that stays."""
+        inside, total = 0, self.varies
+        for symbol, kid in self.kids.items():
+            if not _stays(symbol, None, kid, False, whole):
+                total -= kid.varies if _gone(symbol, False) < 2 else 0
+            elif _main(symbol):
+                inside += kid.varies
+            else:
+                part, rest = kid.mains(whole)
+                inside, total = inside + part, total - kid.varies + rest
+        return inside, total
+
+
+def _whole(node, region, inside, pages):
+    """What a region is compared with: varying characters of the wrapper, or the page's own."""
+    varies = region.varies if region and pages >= FIXED_PAGES else 0
+    return varies, 0 if varies else _size(node, inside)
+
+
+def _stays(symbol, node, region, inside, whole):
+    """Whether a region is main text or holds most of the ``whole``."""
+    gone = _gone(symbol, inside)
+    if gone != 1:
+        return not gone
+    varies, size = whole
+    return 2 * (region.varies if region else 0) > varies if varies else 2 * _size(node, inside) > size
 
 
 def _texts(node, region, inside, whole):
@@ -367,42 +404,59 @@ def _texts(node, region, inside, whole):
     for child in node[1]:
         if isinstance(child, str):
             yield child, bool(region and region.fixed) and _hash(child) in region.fixed
-        elif _stays(child, inside, whole):
-            yield from _texts(child, region and region.kids.get(child[0]), inside or _main(child[0]), whole)
+            continue
+        own = region and region.kids.get(child[0])
+        if _stays(child[0], child, own, inside, whole):
+            yield from _texts(child, own, inside or _main(child[0]), whole)
 
 
 def _main_parts(node, region, whole):
     """The outermost article and main elements with their regions: outside regions that
     go, or without ``whole`` anywhere."""
     for child in node[1]:
-        if isinstance(child, str) or (not _stays(child, False, whole) if whole is not None else _main(child[0]) and _gone(child[0], False)):
+        if isinstance(child, str):
             continue
         own = region and region.kids.get(child[0])
+        if not _stays(child[0], child, own, False, whole) if whole else _main(child[0]) and _gone(child[0], False):
+            continue
         if _main(child[0]):
             yield child, own
         else:
             yield from _main_parts(child, own, whole)
 
 
+def _length(texts):
+    return sum(len(text) for text, _ in texts)
+
+
 def main_text(page, wrapper=None, pages=1):
     """The main text of a page along its host's wrapper, which ``pages`` pages made."""
-    return _read(page, _Region(wrapper[3] if wrapper else ()), pages)
+    return _read(page, _Region(wrapper[3] if wrapper else (), pages), pages)
 
 
 def _read(page, region, pages):
     tree = parse(page or "")
-    whole = _size(tree, False)
+    whole = _whole(tree, region, False, pages)
     parts = list(_main_parts(tree, region, whole))
-    texts = [] if parts else list(_texts(tree, region, False, whole))
+    if parts and whole[0]:
+        inside, total = region.mains(whole)
+        # teasers: the host's text is elsewhere
+        named = 2 * inside >= total
+    else:
+        named = True
+    texts = [] if parts and named else list(_texts(tree, region, False, whole))
     if not parts:
         # articles only in regions that go, as where a layout has a sidebar's class: they hold more than what is outside
         hidden = list(_main_parts(tree, region, None))
-        if sum(_size(part, True) for part, _ in hidden) > sum(len(text) for text, _ in texts):
+        if sum(_size(part, True) for part, _ in hidden) > _length(texts):
             parts = hidden
-    if parts:
-        return " ".join(text for part, own in parts for text, _ in _texts(part, own, True, _size(part, True)))
-    kept = [text for text, fixed in texts if not fixed] if pages >= FIXED_PAGES else []
-    return " ".join(kept or [text for text, _ in texts])
+    if parts and named:
+        texts = [found for part, own in parts for found in _texts(part, own, True, _whole(part, own, True, pages))]
+    kept = [found for found in texts if not found[1]] if pages >= FIXED_PAGES else []
+    # an article that is mostly the same on all pages is a copy, no template
+    if parts and named and 2 * _length(kept) <= _length(texts):
+        kept = texts
+    return " ".join(text for text, _ in kept or texts)
 
 
 def host_of(url):
@@ -453,11 +507,11 @@ def extract(pages, wrappers):
     out = "page_id long, url string, text string, n_chars long"
 
     def read(batches):
-        known = functools.lru_cache(maxsize=2048)(lambda wrapper: _Region(json.loads(wrapper)[3]))
+        known = functools.lru_cache(maxsize=2048)(lambda wrapper, pages: _Region(json.loads(wrapper)[3], pages))
         for records in batches:
             found = []
             for page_id, url, page, n, wrapper in zip(*lists(records, "page_id", "url", "html", "pages", "wrapper")):
-                text = _read(page, known(wrapper) if wrapper else None, n or 1)
+                text = _read(page, known(wrapper, n) if wrapper else None, n or 1)
                 found.append((page_id, url, text, len(text)))
             yield batch_of_rows(arrow_schema(out), found)
 

@@ -140,3 +140,20 @@ LONG = "<p>The story of the day is told here</p>"
 )
 def test_containers_of_the_main_text_stay(page, text):
     assert wrappers.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def test_the_wrapper_decides_on_hosts_with_articles():
+    share = "<p>Share this story with your friends</p>"
+    pages = [f"<body><article>{share}<h1>Title {k}</h1><p>{f'Words of story {k}. ' * 9}</p></article><div>Other {k}</div></body>" for k in range(6)]
+    wanted = f"Title 3 {(f'Words of story {3}. ' * 9).strip()}"
+    assert wrappers.main_text(pages[3], host_wrapper(pages), 6) == wanted
+    assert wrappers.main_text(pages[3], host_wrapper(pages[3:4]), 1) == "Share this story with your friends " + wanted
+    # copies of one article are no template
+    copies = [pages[3]] * 5 + [pages[3].replace("Title 3", "Title 4")]
+    assert wrappers.main_text(copies[0], host_wrapper(copies), 6) == "Share this story with your friends " + wanted
+    # articles that are teasers only
+    teasers = [f"<body><div class='text'><h1>T{k}</h1><p>{f'Words of story {k}. ' * 9}</p></div><article>Next: {k}</article></body>" for k in range(6)]
+    assert wrappers.main_text(teasers[3], host_wrapper(teasers), 6) == f"T3 {(f'Words of story {3}. ' * 9).strip()} Next: 3"
+    # a form with most of what varies stays on pages where it is short
+    forms = [f"<body><form><p>{f'Words of story {k}. ' * (9 if k else 1)}</p></form><div>Place {k} and a date</div></body>" for k in range(6)]
+    assert wrappers.main_text(forms[0], host_wrapper(forms), 6) == "Words of story 0. Place 0 and a date"
