@@ -12,7 +12,8 @@ from ledgerlark.llm import minhash, mixing, packing, toxicity
 from ledgerlark.llm.common import table
 from ledgerlark.plans import lineage
 
-#: Weights of the domains; no document's rate falls below 1, and the tokens grow by half at most.
+#: Weights of the domains; no document's rate falls below 1, and the tokens grow by half at most,
+#: so a domain with too many tokens may miss its weight, which the stage logs.
 TARGETS = {"low": 0.05, "clean": 0.94, "toxic": 0.01}
 LEAST_RATE, MOST_GROWTH = 1.0, 1.5
 VOCABULARY, END_ID = "word_bpe_49k.json", 1

@@ -8,29 +8,38 @@ are fitted by projected gradients with momentum to minimise
 
 where a_i is the document's part of all tokens, p_id its posterior and t_d the target
 of the domain as a part of all tokens; the second term keeps rates near 1 where the
-targets leave a choice. Posteriors are rounded to 256ths, and the gradient of a rate
-depends on the posterior alone, so documents are first summed into cells of equal
-posteriors, whose number the rounding bounds. An iteration is one sum over the cells;
+targets leave a choice. The gradient of a rate depends on the posterior alone, so
+documents are first summed into cells of nearly equal posteriors, whose number a grid
+bounds; a cell keeps its sums unrounded. An iteration is one sum over the cells;
 a cell's rate is replayed from the residuals of all iterations, a short list, so
 nothing is written in between and the documents get their rates by the same formula.
+Tokens are counted with the vocabulary that the texts are packed with.
 """
 
+import logging
+
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.llm import terms
 from ledgerlark.llm.common import lists
+from ledgerlark.llm.tokens import Counts
 from ledgerlark.plans import lineage
 
-#: Steps of a posterior, iterations, weight of rates near 1.
+#: Steps of a posterior's square root for the cells, iterations, weight of rates near 1.
 GRID, ITERATIONS, NEAR_ONE = 256, 40, 1e-3
 #: An end to the iterations: no domain's part of all tokens moves by more.
 SETTLED = 1e-5
+#: A domain that misses its weight by more is worth a warning.
+MISS = 0.01
 PASSES, STEP_ROWS, RATE, PENALTY = 8, 128, 0.3, 1e-3
 
 DOMAINS = ("low", "clean", "toxic")
+VOCABULARY = "word_bpe_49k.json"
 
 
 def domain_of_labels(labels):
@@ -85,82 +94,95 @@ def fit_domains(docs, labels, most=terms.LABELLED):
     return buckets, model
 
 
-def _rounded(posterior):
-    """Parts of GRID that add up to it: rounded down, the largest remainders up."""
-    exact = posterior * GRID
-    whole = np.floor(exact).astype(np.int64)
-    order = np.argsort(-(exact - whole), axis=1, kind="stable")
-    lack = GRID - whole.sum(axis=1)
-    np.put_along_axis(whole, order, np.take_along_axis(whole, order, 1) + (np.arange(whole.shape[1])[None] < lack[:, None]), 1)
-    return whole
-
-
-def _judged(rows, model, kept):
-    """``rows`` (a column ``kept`` and text) with the text gone: ``kept``, n_tokens (words
-    between white space) and a part for each domain, in GRID parts."""
+def _judged(rows, model, kept, counted=True):
+    """``rows`` (a column ``kept`` and text) with the text gone: ``kept``, n_tokens if
+    ``counted``, and the posterior of each domain."""
     buckets, classifier = model
-    measured = ["n_tokens", *(f"part_{name}" for name in DOMAINS)]
-    schema = T.StructType([rows.schema[kept], *(T.StructField(name, T.LongType()) for name in measured)])
+    path = public_tokenizers.path(VOCABULARY)
+    names = [f"p_{name}" for name in DOMAINS]
+    counts = [T.StructField("n_tokens", T.LongType())] if counted else []
+    schema = T.StructType([rows.schema[kept], *counts, *(T.StructField(name, T.DoubleType()) for name in names)])
 
     def judge(batches):
-        known = terms.Terms(buckets, shapes=True)
+        known, count = terms.Terms(buckets, shapes=True), Counts(path).of if counted else None
         for records in batches:
             texts = [text or "" for text in lists(records, "text")[0]]
             flat, starts = terms.joined([sorted(known.of(text)) for text in texts])
-            parts = _rounded(classifier.posterior(flat, starts))
-            columns = [records.column(records.schema.get_field_index(kept)), pa.array([len(text.split()) for text in texts], pa.int64()), *(pa.array(part) for part in parts.T)]
-            yield pa.RecordBatch.from_arrays(columns, [kept, *measured])
+            columns = [records.column(records.schema.get_field_index(kept))]
+            if counted:
+                columns.append(pa.array([count(text) for text in texts], pa.int64()))
+            columns += [pa.array(part) for part in classifier.posterior(flat, starts).T]
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return rows.mapInArrow(judge, schema)
 
 
 def posteriors(docs, model):
-    """doc_id, n_tokens and part_<domain> for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_tokens and p_<domain> for every row of ``docs`` (doc_id, text)."""
     return _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "doc_id")
 
 
 def _parts():
-    return [F.col(f"part_{name}") / float(GRID) for name in DOMAINS]
+    return [F.col(f"p_{name}") for name in DOMAINS]
+
+
+def least_rate(floor):
+    """A column: the lowest rate of a document, ``floor`` or, if that is a mapping, its
+    entry for the document's main domain, 0 if it has none."""
+    if not isinstance(floor, dict):
+        return F.lit(float(floor))
+    parts, found = _parts(), F.lit(0.0)
+    for part, name in zip(parts, DOMAINS):
+        found = F.when(part == F.greatest(*parts), F.lit(float(floor.get(name, 0)))).otherwise(found)
+    return found
 
 
 def rate(history, step, floor, near_one=NEAR_ONE):
     """A column: the rate that the iterations in ``history`` (pull for each domain, momentum)
     lead to for a document's posterior."""
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before"))
+    least = floor if isinstance(floor, Column) else least_rate(floor)
     if not history:
-        return F.lit(max(1.0, float(floor)))
+        return F.greatest(F.lit(1.0), least)
     steps = F.array(*[F.struct(*[F.lit(float(q)).alias(f"q{d}") for d, q in enumerate(pull)], F.lit(float(beta)).alias("beta")) for pull, beta in history])
     parts = _parts()
 
     def move(state, one):
         ahead = state["r"] + one["beta"] * (state["r"] - state["before"])
         pull = sum((parts[d] * one[f"q{d}"] for d in range(len(parts))), F.lit(0.0))
-        return F.struct(F.greatest(F.lit(float(floor)), ahead - F.lit(step) * (pull + F.lit(near_one) * (ahead - 1))).alias("r"), state["r"].alias("before"))
+        return F.struct(F.greatest(least, ahead - F.lit(step) * (pull + F.lit(near_one) * (ahead - 1))).alias("r"), state["r"].alias("before"))
 
     return F.aggregate(steps, start, move)["r"]
 
 
 def fit_rates(rows, targets, floor=0.0, budget=None, most_growth=None):
-    """The iterations and step that fit ``rows`` (n_tokens and parts) to ``targets``, the
-    weight of each domain: (history, step, now, wanted), the last two as parts of all tokens.
+    """The iterations and step that fit ``rows`` (n_tokens and posteriors) to ``targets``, the
+    weight of each domain: (history, step, now, wanted, reached), the last three as parts of
+    all present tokens.
 
-    ``budget`` is the total as a multiple of the present tokens, 1 if not given; with
-    ``most_growth`` it is the smallest at which no domain has to shrink, up to that."""
+    ``budget`` is the total as a multiple of the present tokens. If it isn't given it is 1,
+    with a mapping as ``floor`` the smallest at which no domain with a floor has to shrink,
+    and with ``most_growth`` the smallest at which no domain at all has to, up to that."""
     weight = np.array([max(0.0, float(targets.get(name, 0))) for name in DOMAINS])
     if not weight.sum():
         raise ValueError("targets name no domain")
     weight = weight / weight.sum()
-    names = [f"part_{name}" for name in DOMAINS]
-    cells = lineage.cut(rows.groupBy(*names).agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells")
-    parts, pairs = _parts(), [(d, e) for d in range(len(DOMAINS)) for e in range(len(DOMAINS))]
-    sums = cells.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * p).alias(f"s{d}") for d, p in enumerate(parts)], *[F.sum(F.col("n_tokens") * parts[d] * parts[e]).alias(f"m{d}{e}") for d, e in pairs]).first()
+    parts, names, many = _parts(), [f"p_{name}" for name in DOMAINS], range(len(DOMAINS))
+    near = [F.floor(F.sqrt(part) * GRID).alias(f"near_{d}") for d, part in enumerate(parts)]
+    summed = [F.sum(F.col("n_tokens") * part).alias(name) for part, name in zip(parts, names)]
+    found = rows.filter("n_tokens > 0").groupBy(*near, least_rate(floor).alias("least")).agg(F.sum("n_tokens").alias("n"), *summed)
+    cells = lineage.cut(found.select("least", F.col("n").alias("n_tokens"), *[(F.col(name) / F.col("n")).alias(name) for name in names]), "mixing-cells")
+    pairs = [(d, e) for d in many for e in many]
+    sums = cells.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * p).alias(f"s{d}") for d, p in enumerate(parts)], *[F.sum(F.col("n_tokens") * F.col("least") * p).alias(f"h{d}") for d, p in enumerate(parts)], *[F.sum(F.col("n_tokens") * parts[d] * parts[e]).alias(f"m{d}{e}") for d, e in pairs]).first()
     total = float(sums["n"] or 0)
     if not total:
-        return [], 1.0, np.zeros(len(DOMAINS)), weight
+        return [], 1.0, np.zeros(len(DOMAINS)), weight, np.zeros(len(DOMAINS))
     now = np.array([sums[f"s{d}"] / total for d in range(len(DOMAINS))])
     if most_growth:
         needed = max((n / w for n, w in zip(now, weight) if w > 0), default=1.0)
         budget = min(max(needed, 1.0), most_growth)
+    elif budget is None and isinstance(floor, dict):
+        budget = max([1.0, *(sums[f"h{d}"] / total / weight[d] for d in many if weight[d] and floor.get(DOMAINS[d]))])
     wanted = weight * (budget or 1.0)
     scale = np.maximum(wanted, 1e-3)
     moments = np.array([[sums[f"m{d}{e}"] / total for e in range(len(DOMAINS))] for d in range(len(DOMAINS))])
@@ -171,17 +193,20 @@ def fit_rates(rows, targets, floor=0.0, budget=None, most_growth=None):
         beta, momentum = (momentum - 1) / after, after
         ahead = here + beta * (here - before)
         history.append(((ahead - wanted) / scale, beta))
-        own = cells.withColumn("rate", rate(history, step, floor))
+        own = cells.withColumn("rate", rate(history, step, F.col("least")))
         found = own.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * p).alias(f"s{d}") for d, p in enumerate(parts)]).first()
         before, here = here, np.array([found[d] / total for d in range(len(DOMAINS))])
         if np.abs(here - before).max() < SETTLED and np.abs(here - ahead).max() < SETTLED:
             break
-    return history, float(step), now, wanted
+    told = [f"{name} {now[d]:.4f} -> {here[d] / here.sum():.4f}, wanted {weight[d]:.4f}" for d, name in enumerate(DOMAINS)] if here.sum() else []
+    logging.getLogger(__name__).log(logging.WARNING if told and np.abs(here / here.sum() - weight).max() > MISS else logging.INFO, "parts of the tokens: %s", "; ".join(told))
+    return history, float(step), now, wanted, here
 
 
 def mixing(docs, labels, targets, floor=0.0, budget=None, most_growth=None, most=terms.LABELLED):
     """Rates for ``docs`` (doc_id, text) by which the domains' expected tokens come to
-    ``targets``: doc_id, n_tokens, p_<domain> for each domain, rate, copies. Copies are
+    ``targets``, as near as the rates' ``floor`` lets them (a number, or one for each main
+    domain; a miss is logged): doc_id, n_tokens, p_<domain> for each domain, rate, copies. Copies are
     the rate's whole part, and one more for that part of the ids that its rest says.
 
     ``labels`` (doc_id, quality, toxic) teach the domains low, clean and toxic; without
@@ -190,9 +215,9 @@ def mixing(docs, labels, targets, floor=0.0, budget=None, most_growth=None, most
     their own, equal ids equal copies. An empty table gives no rows. Other columns are
     not read."""
     rows = lineage.cut(posteriors(docs, fit_domains(docs, domain_of_labels(labels), most)), "posteriors")
-    history, step, _, _ = fit_rates(rows, targets, floor, budget, most_growth)
+    history, step, *_ = fit_rates(rows, targets, floor, budget, most_growth)
     rated = rows.withColumn("rate", F.round(rate(history, step, floor), 6))
-    return rated.select("doc_id", "n_tokens", *[part.alias(f"p_{name}") for part, name in zip(_parts(), DOMAINS)], "rate", _copies(F.col("doc_id")).alias("copies"))
+    return rated.select("doc_id", "n_tokens", *[f"p_{name}" for name in DOMAINS], "rate", _copies(F.col("doc_id")).alias("copies"))
 
 
 def _copies(doc_id):
@@ -204,8 +229,8 @@ def mixed(docs, labels, targets, floor=0.0, budget=None, most_growth=None, most=
     """The rows of ``docs``, with all their columns, as often as ``mixing`` gives copies. The
     texts are judged again instead of being stored or joined to their rates."""
     model = fit_domains(docs, domain_of_labels(labels), most)
-    history, step, _, _ = fit_rates(posteriors(docs, model), targets, floor, budget, most_growth)
+    history, step, *_ = fit_rates(posteriors(docs, model), targets, floor, budget, most_growth)
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    rated = _judged(whole, model, "row").withColumn("rate", F.round(rate(history, step, floor), 6))
+    rated = _judged(whole, model, "row", counted=False).withColumn("rate", F.round(rate(history, step, floor), 6))
     copies = _copies(F.col("row.doc_id").cast("long"))
     return rated.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")

@@ -123,3 +123,27 @@ def test_terms():
     assert words.of("") == set() and words.of("%% 12") == set()
     assert words.of("Wort wort, WORT") == words.of("wort")
     assert words.of("inflected") & words.of("inflecting")
+
+
+def test_over_represented_domains_shrink(spark, make_docs, labelled):
+    pairs, labels = labelled
+    hot = [(5000 + k, " ".join(word + "%$%$" for word in text.split())) for k, text in pairs[:360] if k % 6 in (3, 4)] + [(k, t) for k, t in pairs if k % 6 != 0]
+    docs, targets = make_docs(hot), {"low": 0.05, "clean": 0.95}
+    rows = mixing.mixing(docs, frame(spark, labels), targets, {"clean": 1.0}).collect()
+    reached = np.array(totals(rows)) / sum(totals(rows))
+    assert sum(r.n_tokens * r.p_low for r in rows) / sum(r.n_tokens for r in rows) > 0.3
+    assert reached[0] == pytest.approx(0.05, abs=0.01)
+    assert all(r.rate >= 1 for r in rows if r.p_clean > 0.5)
+
+
+def test_tokens_are_those_of_the_vocabulary_and_posteriors_unrounded(spark, make_docs, labelled):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    pairs, labels = labelled
+    texts = ["x" * 400, "你好世界" * 50, "Two\nWords!", "", None, "A  b\tc <|endoftext|> é"]
+    rows = {r.doc_id: r for r in mixing.mixing(make_docs(pairs + [(7000 + k, t) for k, t in enumerate(texts)]), frame(spark, labels), {"low": 0.3, "clean": 0.6, "toxic": 0.1}).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for k, text in [*enumerate(texts, 7000), *pairs[:20]]:
+        assert rows[k].n_tokens == len(library.encode(text or "", add_special_tokens=False).ids)
+    assert any(0 < r.p_toxic < 1 / 512 for r in rows.values())
