@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_all_registered():
     names = set(contract.queries())
-    assert {name.split("_")[0] for name in names if name.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in names if name.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names
 
 
