@@ -258,9 +258,9 @@ SQL["op12_audits"] = rf"""
 """
 
 SQL["op13_factors"] = """
-    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    sized AS (SELECT *, length(h) // 2 AS n FROM texts),
-    strings AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS string FROM (SELECT r, doc_id, h, unnest(range(greatest(n - 49, 0))) AS i FROM sized)),
+    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS h FROM documents),
+    sized AS (SELECT *, octet_length(h) AS n FROM texts),
+    strings AS (SELECT r, doc_id, i, array_slice(h, i + 1, i + 50) AS string FROM (SELECT r, doc_id, h, unnest(range(greatest(n - 49, 0))) AS i FROM sized)),
     firsts AS (SELECT string, min(doc_id) AS first FROM strings GROUP BY string),
     starts AS (SELECT r, i FROM strings JOIN firsts USING (string) WHERE first < doc_id),
     marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM starts),
@@ -270,7 +270,7 @@ SQL["op13_factors"] = """
         SELECT r, start, stop, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS before FROM spans
         UNION ALL SELECT r, n, n, coalesce(max(stop), 0) FROM sized LEFT JOIN spans USING (r) GROUP BY r, n
     ),
-    kept AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (gaps.start - before)), '' ORDER BY gaps.start, before) AS h FROM gaps JOIN sized USING (r) GROUP BY r),
+    kept AS (SELECT r, string_agg(hex(array_slice(h, before + 1, gaps.start)), '' ORDER BY gaps.start, before) AS h FROM gaps JOIN sized USING (r) GROUP BY r),
     removed AS (SELECT r, CAST(sum(stop - start) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
     SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
     FROM sized JOIN kept USING (r) LEFT JOIN removed USING (r)
