@@ -1,15 +1,12 @@
 """Reading and writing the stored tables.
 
-All readers take a declared schema. Writers never overwrite a path that the same
-job reads: a changed table becomes a new version next to the old one, and a small
-pointer file for each version names the folders that hold it.
+All readers take a declared schema. Writers never overwrite files that the same job
+reads: a changed partition is stored elsewhere first.
 """
 
-import json
-import uuid
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +26,7 @@ CSV_OPTIONS = {
     "emptyValue": "",
 }
 
-#: Buckets of the predictions; an upsert rewrites those of its customers.
+#: Partitions of the predictions by customer; an upsert overwrites those of its customers.
 PREDICTION_BUCKETS = 64
 
 # Fixed value: rows per insert batch of the load step.
@@ -186,100 +183,57 @@ def merge_predictions(target, updates, key="customer_id"):
     return kept.select(*columns).unionByName(latest)
 
 
-def _store(spark, path):
-    """The file system that holds ``path``, and the path as it names it."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+def _prediction_bucket(buckets):
+    return F.pmod(F.xxhash64("customer_id"), F.lit(buckets)).cast("int")
 
 
-def _names(spark, path):
-    """Names in a folder; none if there is no such folder. Other failures are raised."""
-    files, place = _store(spark, path)
-    return [status.getPath().getName() for status in files.listStatus(place)] if files.exists(place) else []
-
-
-def current_version(spark, root):
-    """Number of the committed version below ``root``, or None."""
-    numbers = [int(name) for name in _names(spark, f"{root}/versions") if name.isdigit()]
-    return max(numbers, default=None)
-
-
-def _folders(spark, root, version):
-    """The folder that holds each bucket in a version."""
-    if version is None:
-        return {}
-    text = spark.read.text(f"{root}/versions/{version}", wholetext=True).first()[0]
-    return {int(bucket): folder for bucket, folder in json.loads(text).items()}
-
-
-def _read_buckets(spark, root, folders, buckets):
-    paths = [f"{root}/data/{folders[bucket]}/bucket={bucket}" for bucket in sorted(buckets)]
-    return spark.read.schema(PREDICTIONS).parquet(*paths) if paths else spark.createDataFrame([], PREDICTIONS)
-
-
-def read_current(spark, root):
-    version = current_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"no committed predictions below {root}")
-    folders = _folders(spark, root, version)
-    return _read_buckets(spark, root, folders, folders)
+def read_current(spark, path):
+    """The stored predictions, one row a customer."""
+    stored = T.StructType([*PREDICTIONS.fields, T.StructField("bucket", T.IntegerType())])
+    try:
+        return spark.read.schema(stored).parquet(path).drop("bucket")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no predictions at {path}") from error
+        raise
 
 
-def _commit(spark, root, version, folders):
-    """Create the pointer file of a version; False if another writer has been faster. The
-    store must be able to create a file only if there is none, as file systems are."""
-    files, place = _store(spark, f"{root}/versions/{version}")
-    if files.exists(place):
-        return False
+def _stored_buckets(spark, path, touched):
+    """Rows of the touched partitions; other partitions' files are not listed for the scan."""
+    stored = T.StructType([*PREDICTIONS.fields, T.StructField("bucket", T.IntegerType())])
     try:
-        out = files.create(place, False)
-    except Py4JJavaError as error:
-        if "FileAlreadyExists" in str(error.java_exception) or files.exists(place):
-            return False
+        table = spark.read.schema(stored).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], PREDICTIONS)
         raise
-    out.write(bytearray(json.dumps(folders).encode()))
-    out.close()
-    return True
+    return table.where(F.col("bucket").isin(touched)).drop("bucket")
 
 
-def upsert_predictions(spark, root, updates, attempts=20):
-    """Insert or replace predictions by customer and commit the result as one new version.
+def upsert_predictions(spark, path, updates, buckets=PREDICTION_BUCKETS):
+    """Insert or replace predictions by customer; the partitions written, by number.
 
-    Customers are hashed to buckets, and only those that the updates touch are written,
-    into a folder of the attempt's own. The commit creates the next version's pointer
-    file, which names the folder of each bucket; if another writer has created it
-    meanwhile, the merge is done again on that writer's version. Readers see the old
-    version until then; what failed attempts wrote is not referenced by any version.
+    The table is partitioned by a hash of the customer. Partitions that the updates touch
+    are merged by a join, stored on their own, and then replace the old ones by a dynamic
+    partition overwrite; the files of all other partitions stay as they are. There is one writer
+    at a time, as with any plain folder of files, and ``buckets`` is the same in every call.
     """
     updates = cut(updates.select(*PREDICTIONS.fieldNames()).where(F.col("customer_id").isNotNull()), "updates")
-    if updates.isEmpty():
+    bucket = _prediction_bucket(buckets)
+    touched = sorted(row[0] for row in updates.select(bucket).distinct().collect())
+    if not touched:
         raise ValueError("no predictions to save")
-    bucket = F.pmod(F.xxhash64("customer_id"), F.lit(PREDICTION_BUCKETS)).cast("int")
-    touched = {row[0] for row in updates.select(bucket).distinct().collect()}
-    for _ in range(attempts):
-        version = current_version(spark, root)
-        folders = _folders(spark, root, version)
-        target = _read_buckets(spark, root, folders, touched & set(folders))
-        folder = uuid.uuid4().hex
-        merged = merge_predictions(target, updates).withColumn("bucket", bucket)
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/data/{folder}")
-        number = 1 if version is None else version + 1
-        if _commit(spark, root, number, {**folders, **dict.fromkeys(touched, folder)}):
-            return number
-    raise RuntimeError(f"{attempts} attempts to commit below {root} met other writers")
-
-
-def remove_old_versions(spark, root, keep=3):
-    """Delete all but the last ``keep`` versions and the folders that none of those names.
-    Run it while no upsert is under way."""
-    numbers = sorted(int(name) for name in _names(spark, f"{root}/versions") if name.isdigit())
-    kept = {folder for number in numbers[-keep:] for folder in _folders(spark, root, number).values()}
-    stale = [f"{root}/versions/{number}" for number in numbers[:-keep]]
-    stale += [f"{root}/data/{name}" for name in _names(spark, f"{root}/data") if name not in kept]
-    for path in stale:
-        files, place = _store(spark, path)
-        files.delete(place, True)
+    # stored before the overwrite, which must not read the files that it replaces
+    merged = cut(merge_predictions(_stored_buckets(spark, path, touched), updates), "merged")
+    (
+        merged.withColumn("bucket", bucket)
+        .hint("rebalance", "bucket")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+    return touched
 
 
 def read_predictions(predictions, n=None):

@@ -28,7 +28,7 @@ def append_new_files(spark, source, target, checkpoint, files_per_batch=1000):
 
 
 def upsert_stream(predictions, root, checkpoint):
-    """Upsert a stream of predictions into the versioned table below ``root``. Replaying
+    """Upsert a stream of predictions into the partitioned table at ``root``. Replaying
     a batch after a failure writes the same rows again, so the result is unchanged."""
 
     def upsert(batch, _):

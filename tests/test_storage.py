@@ -1,4 +1,4 @@
-"""Stored tables: CSV round trip, appends, versioned upsert, constraints, streams, display text."""
+"""Stored tables: CSV round trip, appends, upsert by partition, constraints, streams, display text."""
 
 from datetime import datetime
 from decimal import Decimal
@@ -19,58 +19,60 @@ def scored(spark, rows):
     return spark.createDataFrame(built, PREDICTIONS)
 
 
+def stored_files(spark, path):
+    files = spark.read.parquet(path).select(F.input_file_name()).distinct().collect()
+    found = {}
+    for (name,) in files:
+        found.setdefault(int(name.split("bucket=")[1].split("/")[0]), set()).add(name)
+    return found
+
+
 def test_upsert_replaces_inserts_and_refuses_nothing(spark):
-    root = scratch_path(spark, "predictions")
+    path = scratch_path(spark, "predictions")
     with pytest.raises(FileNotFoundError):
-        store.read_current(spark, root)
-    assert store.upsert_predictions(spark, root, scored(spark, [(1, "0.1", "LOW", 1), (2, "0.9", "HIGH", 1)])) == 1
+        store.read_current(spark, path)
+    assert len(store.upsert_predictions(spark, path, scored(spark, [(1, "0.1", "LOW", 1), (2, "0.9", "HIGH", 1)]))) == 2
     updates = scored(spark, [(2, "0.2", "LOW", 2), (3, "0.6", "MEDIUM", 2), (3, "0.7", "MEDIUM", 3)])
-    assert store.upsert_predictions(spark, root, updates) == 2
-    current = {row.customer_id: row for row in store.read_current(spark, root).collect()}
+    assert len(store.upsert_predictions(spark, path, updates)) == 2
+    current = {row.customer_id: row for row in store.read_current(spark, path).collect()}
     assert {c: str(r.churn_probability) for c, r in current.items()} == {1: "0.100000", 2: "0.200000", 3: "0.700000"}
     with pytest.raises(ValueError):
-        store.upsert_predictions(spark, root, scored(spark, []))
-    assert store.current_version(spark, root) == 2
-
-
-def test_unfinished_upsert_is_invisible(spark):
-    root = scratch_path(spark, "predictions")
-    store.upsert_predictions(spark, root, scored(spark, [(1, "0.1", "LOW", 1)]))
-    scored(spark, [(9, "0.9", "HIGH", 1)]).write.parquet(f"{root}/version=2")
-    assert [row.customer_id for row in store.read_current(spark, root).collect()] == [1]
-    store.upsert_predictions(spark, root, scored(spark, [(2, "0.2", "LOW", 1)]))
-    assert {row.customer_id for row in store.read_current(spark, root).collect()} == {1, 2}
-
-
-def test_interleaved_writers_lose_nothing(spark, monkeypatch):
-    root = scratch_path(spark, "predictions")
-    store.upsert_predictions(spark, root, scored(spark, [(c, "0.1", "LOW", 1) for c in range(1, 200)]))
-    plain, calls = store._commit, []
-
-    def slow(*arguments):
-        calls.append(arguments)
-        if len(calls) == 1:
-            store.upsert_predictions(spark, root, scored(spark, [(1, "0.9", "HIGH", 2), (500, "0.9", "HIGH", 2)]))
-        return plain(*arguments)
-
-    monkeypatch.setattr(store, "_commit", slow)
-    assert store.upsert_predictions(spark, root, scored(spark, [(2, "0.8", "HIGH", 2), (1, "0.7", "MEDIUM", 1)])) == 3
-    found = {row.customer_id: str(row.churn_probability) for row in store.read_current(spark, root).collect()}
-    assert len(found) == 200 and len(calls) == 3
-    assert (found[1], found[2], found[500], found[3]) == ("0.700000", "0.800000", "0.900000", "0.100000")
-    before, after = store._folders(spark, root, 1), store._folders(spark, root, 3)
-    assert sum(before[bucket] != after[bucket] for bucket in before) <= 3
-    store.remove_old_versions(spark, root, keep=1)
-    assert store.current_version(spark, root) == 3 and store.read_current(spark, root).count() == 200
-    assert store._names(spark, f"{root}/versions") == ["3"]
-
-
-def test_unreadable_pointer_is_an_error(spark):
-    root = scratch_path(spark, "predictions")
-    store.upsert_predictions(spark, root, scored(spark, [(1, "0.1", "LOW", 1)]))
-    assert store._commit(spark, root, 2, {0: "x"}) and not store._commit(spark, root, 2, {0: "y"})
-    with pytest.raises(Exception):
-        store.upsert_predictions(spark, root, scored(spark, [(c, "0.1", "LOW", 1) for c in range(500)]))
+        store.upsert_predictions(spark, path, scored(spark, []))
+    stored = store.read_current(spark, path)
+    assert stored.columns == PREDICTIONS.fieldNames() and stored.count() == 3
+
+
+def test_untouched_partitions_keep_their_files(spark):
+    path = scratch_path(spark, "predictions")
+    every = store.upsert_predictions(spark, path, scored(spark, [(c, "0.1", "LOW", 1) for c in range(1, 300)]))
+    assert every == sorted(set(every)) and len(every) > 50
+    before = stored_files(spark, path)
+    touched = store.upsert_predictions(spark, path, scored(spark, [(1, "0.9", "HIGH", 2), (5000, "0.9", "HIGH", 2)]))
+    after = stored_files(spark, path)
+    assert 1 <= len(touched) <= 2
+    assert {bucket for bucket in after if before.get(bucket) != after[bucket]} == set(touched)
+    found = {r.customer_id: str(r.churn_probability) for r in store.read_current(spark, path).collect()}
+    assert len(found) == 300 and (found[1], found[5000], found[2]) == ("0.900000", "0.900000", "0.100000")
+
+
+def test_upsert_reads_touched_partitions_only(spark):
+    path = scratch_path(spark, "predictions")
+    store.upsert_predictions(spark, path, scored(spark, [(c, "0.1", "LOW", 1) for c in range(1, 300)]))
+    plan = store._stored_buckets(spark, path, [3, 4])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "IN (3,4)" in plan
+
+
+def test_interrupted_upsert_leaves_the_old_rows(spark, monkeypatch):
+    path = scratch_path(spark, "predictions")
+    store.upsert_predictions(spark, path, scored(spark, [(1, "0.1", "LOW", 1)]))
+
+    def fails(*arguments):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "merge_predictions", fails)
+    with pytest.raises(RuntimeError):
+        store.upsert_predictions(spark, path, scored(spark, [(1, "0.9", "HIGH", 2)]))
+    assert [str(r.churn_probability) for r in store.read_current(spark, path).collect()] == ["0.100000"]
 
 
 def test_coverage(spark):
