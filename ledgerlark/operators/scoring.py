@@ -9,7 +9,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.training import predict
-from ledgerlark.plans.lineage import scratch_path
 from ledgerlark.schemas import MODEL_FEATURES, PROBABILITY
 
 # Risk bounds and the recommended action per risk level.
@@ -53,58 +52,49 @@ def score_customers(modeling, model, scored_at):
 # ---- attribution ---------------------------------------------------------------
 
 
-def _tree_nodes(spark, booster):
-    """Node rows of a fitted boosted model, from its saved form. At most trees x nodes rows."""
-    path = scratch_path(spark, "booster")
-    booster.write().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    trees = {}
-    for row in rows:
-        trees.setdefault(row.treeID, {})[row.id] = row
-    return trees
-
-
-def _leaves(node, nodes, bounds=None):
-    """(value, {feature: (low, high, share)}) for every leaf below ``node``: the value
-    interval each path feature must lie in, and the share of training rows that
-    follows the path when that feature is unknown."""
+def _leaves(tree, node=0, bounds=None):
+    """(value, {feature: (low, high, null, share)}) for every leaf below ``node``: the interval each
+    path feature must lie in, whether a null follows the path, and the share of the training
+    weight (hessian sums) that follows it when that feature is unknown."""
     bounds = bounds or {}
-    if node.leftChild < 0:
-        yield node.prediction, bounds
+    if tree.feature[node] < 0:
+        yield tree.value[node], bounds
         return
-    feature, threshold = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
-    low, high, share = bounds.get(feature, (-np.inf, np.inf, 1.0))
-    for child, interval in (
-        (nodes[node.leftChild], (low, min(high, threshold))),
-        (nodes[node.rightChild], (max(low, threshold), high)),
+    feature, threshold = tree.feature[node], tree.threshold[node]
+    low, high, null, share = bounds.get(feature, (-np.inf, np.inf, True, 1.0))
+    for child, interval, takes_null in (
+        (tree.left[node], (low, min(high, threshold)), tree.null_left[node]),
+        (tree.right[node], (max(low, threshold), high), not tree.null_left[node]),
     ):
-        part = share * child.rawCount / node.rawCount
-        yield from _leaves(child, nodes, {**bounds, feature: (*interval, part)})
+        part = share * tree.cover[child] / tree.cover[node]
+        yield from _leaves(tree, child, {**bounds, feature: (*interval, null and takes_null, part)})
 
 
-def leaf_tables(spark, booster):
-    """Leaves as arrays, grouped by how many features their path uses."""
+def leaf_tables(model):
+    """Leaves of a boosted model as arrays, grouped by how many features their path uses."""
     grouped = {}
-    for tree, nodes in _tree_nodes(spark, booster).items():
-        # A boosted probability is 1 / (1 + exp(-2 * margin)), hence the factor 2 for log-odds.
-        weight = 2.0 * booster.treeWeights[tree]
-        for value, bounds in _leaves(nodes[0], nodes):
-            grouped.setdefault(len(bounds), []).append((weight * value, sorted(bounds.items())))
+    for tree in model.trees:
+        for value, bounds in _leaves(tree):
+            grouped.setdefault(len(bounds), []).append((value, sorted(bounds.items())))
     tables = {}
     for size, leaves in grouped.items():
+        def column(k, leaves=leaves, size=size):
+            return np.array([[b[k] for _, b in path] for _, path in leaves]).reshape(len(leaves), size)
+
         tables[size] = {
             "value": np.array([value for value, _ in leaves]),
             "feature": np.array([[f for f, _ in path] for _, path in leaves], dtype=int).reshape(len(leaves), size),
-            "low": np.array([[b[0] for _, b in path] for _, path in leaves]).reshape(len(leaves), size),
-            "high": np.array([[b[1] for _, b in path] for _, path in leaves]).reshape(len(leaves), size),
-            "share": np.array([[b[2] for _, b in path] for _, path in leaves]).reshape(len(leaves), size),
+            "low": column(0),
+            "high": column(1),
+            "null": column(2).astype(bool),
+            "share": column(3),
         }
     return tables
 
 
-def base_value(tables):
-    """Mean log-odds over the training rows: the attribution of knowing nothing."""
-    return float(sum((t["value"] * t["share"].prod(axis=1)).sum() for t in tables.values()))
+def base_value(model, tables):
+    """Mean log-odds over the training weight: the attribution of knowing nothing."""
+    return model.base + float(sum((t["value"] * t["share"].prod(axis=1)).sum() for t in tables.values()))
 
 
 def shapley_values(tables, inputs, n_features, rows_per_step=1024):
@@ -121,7 +111,7 @@ def shapley_values(tables, inputs, n_features, rows_per_step=1024):
             if size == 0:
                 continue
             values = rows[:, table["feature"]]
-            inside = ((values > table["low"]) & (values <= table["high"])).astype(float)
+            inside = np.where(np.isnan(values), table["null"], (values > table["low"]) & (values <= table["high"])).astype(float)
             share = table["share"]
             for j in range(size):
                 others = [i for i in range(size) if i != j]
@@ -147,11 +137,10 @@ def attributions(df, model):
     bounded by the number of trees and their depth, travels.
     """
     spark = df.sparkSession
-    booster = model.stages[-1]
-    tables = leaf_tables(spark, booster)
-    shared = spark.sparkContext.broadcast((tables, base_value(tables)))
+    tables = leaf_tables(model)
+    shared = spark.sparkContext.broadcast((tables, base_value(model, tables)))
     names = list(MODEL_FEATURES)
-    prepared = model.stages[0].transform(df.select("customer_id", *names)).select(
+    prepared = model.prepare(df.select("customer_id", *names)).select(
         "customer_id",
         *[F.col(c).cast("double").alias(c) for c in names],
         *[F.col(f"model_{c}").alias(f"model_{c}") for c in names],
@@ -178,7 +167,7 @@ def attributions(df, model):
     )
     explained = prepared.mapInPandas(explain, schema)
     # pandas has no null double; a missing value comes back as NaN.
-    return explained.withColumn("feature_value", F.nanvl("feature_value", F.lit(None).cast("double")))
+    return explained.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("feature_value", "model_value")})
 
 
 def linear_attributions(df, coefficients, means):

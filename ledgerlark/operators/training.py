@@ -8,8 +8,9 @@ applies precisely the same numbers.
 from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import ranking
 from ledgerlark.functions.exact import count_if, ratio
+from ledgerlark.operators import boosting
 from ledgerlark.operators.sales import churn_population
 from ledgerlark.plans.lineage import cut
 from ledgerlark.schemas import MODEL_FEATURES
@@ -159,19 +161,35 @@ def train_random_forest(train, trees=FOREST_TREES, depth=FOREST_DEPTH, seed=SEED
     return _fit(bounded, _imputed(feature_medians(train)), classifier)
 
 
-def train_boosted(train, config=BOOSTED, seed=SEED):
-    """Boosted trees with row and feature sampling of 0.8."""
-    classifier = GBTClassifier(
-        maxIter=config["trees"],
-        maxDepth=config["depth"],
-        stepSize=config["rate"],
-        minInstancesPerNode=config["min_child"],
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        lossType="logistic",
-        seed=seed,
-    )
-    return _fit(train, _imputed(feature_medians(train)), classifier)
+def train_boosted(train, config=BOOSTED, seed=SEED, impute=True):
+    """Boosted trees with row and column sampling of 0.8 a tree. Nulls are the training median as in
+    the study, or without ``impute`` a value of their own that learns its side."""
+    return boost_all({"train": train}, {"model": config}, seed, impute)["train", "model"]
+
+
+def boost_all(parts, configs, seed=SEED, impute=True):
+    """``{(part, config): model}`` for every table of training rows and every setting, in one series of
+    jobs. Settings that differ in the number of trees only share one fit."""
+    texts = {}
+    for name, rows in parts.items():
+        texts[name] = _imputed(feature_medians(rows)) if impute else {c: f"CAST({c} AS DOUBLE)" for c in MODEL_FEATURES}
+    longest = {}
+    for name, config in configs.items():
+        shape = tuple(sorted((k, v) for k, v in config.items() if k != "trees"))
+        if shape not in longest or configs[longest[shape]]["trees"] < config["trees"]:
+            longest[shape] = name
+    prepared = {
+        name: rows.select("customer_id", "churned", *[F.expr(text).alias(c) for c, text in texts[name].items()])
+        for name, rows in parts.items()
+    }
+    fitted = boosting.fit_boosted(prepared, {name: configs[name] for name in longest.values()}, MODEL_FEATURES, seed=seed)
+    models = {}
+    for part in parts:
+        for name, config in configs.items():
+            shape = tuple(sorted((k, v) for k, v in config.items() if k != "trees"))
+            base, trees = fitted[part, longest[shape]]
+            models[part, name] = boosting.BoostedModel(texts[part], base, trees[: config["trees"]])
+    return models
 
 
 def train_final(train):
@@ -184,17 +202,26 @@ def predict(model, df):
     keep = [c for c in df.columns if c not in ("churn_probability", "prediction")]
     return scored.select(
         *keep,
-        vector_to_array("probability")[1].alias("churn_probability"),
+        (F.col("probability") if isinstance(model, boosting.BoostedModel) else vector_to_array("probability"))[1].alias("churn_probability"),
         F.col("prediction").cast("int").alias("prediction"),
     )
 
 
-def save_model(model, path):
-    model.write().overwrite().save(path)
+def save_model(spark, model, path):
+    """A boosted model as one line of text below ``path``, any other as a pipeline."""
+    if isinstance(model, boosting.BoostedModel):
+        spark.createDataFrame([(model.text(),)], "value string").write.mode("overwrite").text(f"{path}/boosted")
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path):
-    """The saved pipeline; a missing one is an error of its own kind."""
+def load_model(spark, path):
+    """The saved model; a missing one is an error of its own kind."""
+    try:
+        return boosting.BoostedModel.of_text(spark.read.text(f"{path}/boosted").first()[0])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
     try:
         return PipelineModel.load(path)
     except Exception as error:
@@ -342,13 +369,14 @@ def fit_all(fits, parallelism=8):
         return {name: future.result() for name, future in futures.items()}
 
 
-def config_sweep(train, test, configs=None, parallelism=8, models=None):
+def config_sweep(train, test, configs=None, models=None):
     """Train and test AUC of each boosted configuration, best first. Already fitted
     ``models`` are used as they are."""
     models = dict(models or {})
     configs = configs or SWEEP
-    fits = {name: (lambda c=config: train_boosted(train, c)) for name, config in configs.items() if name not in models}
-    models.update(fit_all(fits, parallelism))
+    missing = {name: config for name, config in configs.items() if name not in models}
+    if missing:
+        models.update({name: model for (_, name), model in boost_all({"train": train}, missing).items()})
     return train_test_auc({name: models[name] for name in configs}, train, test)
 
 
@@ -363,7 +391,11 @@ def cross_validate(fits, folded, k=5, parallelism=8):
         for name, fit in fits.items()
         for fold in range(k)
     }
-    models = fit_all(jobs, parallelism)
+    return _judged_folds(fit_all(jobs, parallelism), folded)
+
+
+def _judged_folds(models, folded):
+    """The same for fitted ``{(name, fold): model}``."""
     scored = [
         predict(model, folded).select(
             "churned", "prediction", "churn_probability", (F.col("fold") == fold).alias("held_out"),
@@ -396,15 +428,28 @@ def cv_summary(per_fold):
     )
 
 
-def cv_config_sweep(folded, k=5, configs=None, parallelism=8):
-    configs = configs or SWEEP
-    fits = {name: (lambda rows, c=config: train_boosted(rows, c)) for name, config in configs.items()}
-    return cv_summary(cross_validate(fits, folded, k, parallelism))
+def cv_folds(folded, k=5, configs=None):
+    """Metrics of each configuration and fold; all fits grow together."""
+    folded = cut(folded.select("customer_id", *MODEL_FEATURES, "churned", "fold"), "folds")
+    models = boost_all({fold: folded.where(F.col("fold") != fold) for fold in range(k)}, configs or SWEEP)
+    return _judged_folds({(name, fold): model for (fold, name), model in models.items()}, folded)
+
+
+def cv_config_sweep(folded, k=5, configs=None):
+    return cv_summary(cv_folds(folded, k, configs))
+
+
+def staged_auc(model, df, after):
+    """AUC of a boosted model after each of these numbers of trees, from one scoring pass."""
+    rows = model.staged(df.select("churned", *MODEL_FEATURES), after).select("churned", "trees", "churn_probability")
+    judged = rows.withColumn("prediction", F.when(F.col("churn_probability") > 0.5, 1).otherwise(0))
+    return binary_metrics(judged, "trees").select("trees", "roc_auc")
 
 
 def feature_importance(spark, model):
     """Gain importance of each feature in a fitted tree model; sums to 1."""
-    weights = model.stages[-1].featureImportances
+    booster = model.stages[-1]
+    weights = booster.importances() if isinstance(booster, boosting.BoostedModel) else booster.featureImportances
     rows = [(name, float(weights[i])) for i, name in enumerate(MODEL_FEATURES)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 

@@ -64,24 +64,23 @@ def tree_model(split, model, trees, depth):
     return fitted_model(split, model).withColumn("size_holds", F.lit(inside))
 
 
-def sweep(aucs):
-    """Names, and whether the two AUC lie between 0 and 1 with the stored gap."""
+def sweep(aucs, train, test):
+    """Names, rows of both parts, and whether the two AUC lie between 0 and 1 with the stored gap."""
     bounded = F.col("train_auc").between(0, 1) & F.col("test_auc").between(0, 1)
     gap = F.abs(F.col("train_auc") - F.col("test_auc") - F.col("gap")) < _TOLERANCE
-    return aucs.select("model", (bounded & gap).alias("bounded"))
+    sizes = [F.lit(part.count()).cast("bigint").alias(name) for name, part in (("train_rows", train), ("test_rows", test))]
+    return aucs.select("model", *sizes, (bounded & gap).alias("bounded"))
 
 
 def folds(per_fold, folded):
-    """Held-out rows of each model and fold, and whether the figures are within bounds."""
+    """Held-out and fitted rows of each model and fold, and whether the figures are within bounds."""
     figures = ("test_auc", "test_f1", "test_precision", "test_recall", "train_auc")
     inside = reduce(lambda left, right: left & right, [F.col(name).between(0, 1) for name in figures])
+    total = folded.count()
     rows = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("held_out_rows"))
-    return per_fold.join(rows, "fold").select("model", "fold", "held_out_rows", inside.alias("bounded"))
-
-
-def fold_means(means):
-    inside = F.col("cv_auc_mean").between(0, 1) & F.col("cv_auc_std").between(0, 0.5) & F.col("train_auc_mean").between(0, 1)
-    return means.select("model", inside.alias("bounded"))
+    return per_fold.join(rows, "fold").select(
+        "model", "fold", "held_out_rows", (F.lit(total) - F.col("held_out_rows")).cast("bigint").alias("train_rows"), inside.alias("bounded")
+    )
 
 
 def importance(weights):

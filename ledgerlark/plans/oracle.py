@@ -687,6 +687,36 @@ SPLIT = f"""split AS (
   FROM churn_modeling)"""
 
 
+FOLDED = f"""folded AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) - 1) % 5 AS INT) AS fold
+  FROM split WHERE NOT is_test)"""
+BOOSTED_NAMES = ("boosted_1", "boosted_2", "boosted_3", "boosted_4")
+
+
+def _histogram():
+    """Sampled training rows by feature and bin with the first gradients. A value's bin is the
+    number of bounds below it; bounds are the greatest values of 255 parts of equal counts, but the last."""
+    from ledgerlark.operators.boosting import BINS, UNIT, row_sample
+
+    factor, offset = row_sample(0)
+    share = "(SELECT avg(CAST(churned AS DOUBLE)) FROM split WHERE NOT is_test)"
+    sampled = f"NOT is_test AND (CAST({_HASH} AS HUGEINT) * {factor} + {offset}) % 4294967296 < {int(0.8 * (1 << 32))}"
+    parts = []
+    for name in MODEL_FEATURES:
+        value = f"CAST({name} AS DOUBLE)"
+        bounds = (
+            f"(SELECT list(top ORDER BY top)[:-2] AS tops FROM (SELECT max(v) AS top FROM (SELECT {value} AS v, "
+            f"(count(*) OVER (ORDER BY {value}) * {BINS} + count(*) OVER () - 1) // count(*) OVER () AS place "
+            f"FROM split WHERE NOT is_test AND {name} IS NOT NULL) AS placed GROUP BY place) AS ends)"
+        )
+        parts.append(
+            f"SELECT '{name}' AS feature, CAST(CASE WHEN {name} IS NULL THEN -1 ELSE len(list_filter(tops, lambda top: top < {value})) END AS INT) AS bin, "
+            f"CAST(round(({share} - churned) * {UNIT}) AS BIGINT) AS gradient, CAST(round({share} * (1 - {share}) * {UNIT}) AS BIGINT) AS hessian "
+            f"FROM split, {bounds} AS bounds WHERE {sampled}"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def training_queries():
     counts = ", ".join(
         f"count(*) FILTER ({test} is_test AND churned = {label}) AS {part}_{name}"
@@ -766,25 +796,32 @@ class_scores AS (
             )
         },
         **{
-            name: "SELECT * FROM (VALUES " + ", ".join(f"('{model}', true)" for model in models) + ") AS t(model, bounded)"
-            for name, models in (
-                ("train_test_auc", ("logistic", "logistic_log", "final")),
-                ("config_sweep", ("boosted_1", "boosted_2", "boosted_3", "boosted_4")),
-                ("cv_config_sweep", ("boosted_1", "boosted_2", "boosted_3", "boosted_4")),
+            name: statement(
+                "SELECT model, count(*) FILTER (NOT is_test) AS train_rows, count(*) FILTER (is_test) AS test_rows, true AS bounded "
+                f"FROM split, (VALUES {', '.join(f"('{model}')" for model in models)}) AS m(model) GROUP BY model",
+                "modeling", ctes=SPLIT,
             )
+            for name, models in (("train_test_auc", ("logistic", "logistic_log", "final")), ("config_sweep", BOOSTED_NAMES))
         },
+        **{
+            name: statement(
+                "SELECT model, fold, count(*) AS held_out_rows, CAST((SELECT count(*) FROM folded) - count(*) AS BIGINT) AS train_rows, "
+                f"true AS bounded FROM folded, (VALUES {', '.join(f"('{model}')" for model in models)}) AS m(model) GROUP BY model, fold",
+                "modeling", ctes=f"{SPLIT},\n{FOLDED}",
+            )
+            for name, models in (("cross_validate", ("logistic",)), ("cv_config_sweep", BOOSTED_NAMES))
+        },
+        "boosting_root_histogram": statement(
+            f"SELECT feature, bin, count(*) AS rows, CAST(sum(gradient) AS BIGINT) AS gradient, CAST(sum(hessian) AS BIGINT) AS hessian FROM ({_histogram()}) AS binned "
+            "GROUP BY feature, bin",
+            "modeling", ctes=SPLIT,
+        ),
         "model_metrics_table": statement(
             "SELECT 'boosted trees' AS model, count(*) AS total_customers, count(*) FILTER (churned = 1) AS churned_customers, "
             "count(*) FILTER (churned = 0) AS active_customers, CAST(sum(churned) AS DOUBLE) / count(churned) AS churn_rate, "
             "count(*) FILTER (is_test) AS test_rows, true AS whole FROM split",
             "modeling", ctes=SPLIT,
         ),
-        "cross_validate": statement(
-            "SELECT 'logistic' AS model, fold, count(*) AS held_out_rows, true AS bounded FROM (SELECT "
-            f"CAST((row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, customer_id) - 1) % 5 AS INT) AS fold "
-            "FROM split WHERE NOT is_test) AS f GROUP BY fold",
-            "modeling", ctes=SPLIT,
-        ),
         "score_customers": statement(
             "SELECT customer_id, true AS level_holds, true AS class_holds, true AS stored_holds, "
             "TIMESTAMP '2001-08-01 00:00:00' AS prediction_date FROM churn_modeling",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.exact import ratio
 from ledgerlark.operators import (
     audit,
+    boosting,
     churn,
     cleaning,
     dashboard,
@@ -216,8 +217,8 @@ def _upserted(t):
 
 def _reloaded(t):
     path = scratch_path(t.spark, "model")
-    training.save_model(t.final, path)
-    return training.load_model(path)
+    training.save_model(t.spark, t.final, path)
+    return training.load_model(t.spark, path)
 
 
 SOURCES = {
@@ -263,8 +264,8 @@ def _logged(t):
     return logged.select("customer_id", *[F.round(c, 9).alias(c) for c in training.LOG_FEATURES])
 
 
-def _folds(t):
-    return training.stratified_kfold(t.train)
+#: Numbers of trees after which the final model is judged.
+STAGES = [1, 10, 25, 50, 100, 150, 200]
 
 
 TRAINING = {
@@ -276,26 +277,29 @@ TRAINING = {
     "binary_metrics": lambda t: training.binary_metrics(t.judged),
     "classification_report": lambda t: training.classification_report(t.judged),
     "confusion_matrix": lambda t: training.confusion_matrix(t.judged),
-    "stratified_kfold": lambda t: _folds(t).select("customer_id", "churned", "fold"),
+    "stratified_kfold": lambda t: training.stratified_kfold(t.train).select("customer_id", "churned", "fold"),
     "train_logistic": lambda t: checks.logistic_model(t.split, t.logistic),
     "train_logistic_log": lambda t: checks.logistic_model(t.split, t.logistic_log),
     "train_final": lambda t: checks.tree_model(t.split, t.final, training.FINAL["trees"], training.FINAL["depth"]),
     "feature_importance": lambda t: checks.importance(training.feature_importance(t.spark, t.final)),
     "model_metrics_table": lambda t: checks.metrics_table(t.model_metrics, t.split),
-    "train_test_auc": lambda t: checks.sweep(
-        training.train_test_auc({"logistic": t.logistic, "logistic_log": t.logistic_log, "final": t.final}, t.train, t.test)
-    ),
-    "cross_validate": lambda t: checks.folds(
-        training.cross_validate({"logistic": training.train_logistic}, _folds(t)), _folds(t)
-    ),
+    "boosting_root_histogram": lambda t: boosting.root_histogram(t.train, MODEL_FEATURES),
+    "staged_auc": lambda t: training.staged_auc(t.final, t.test, STAGES),
+    "feature_importance_measured": lambda t: training.feature_importance(t.spark, t.final),
+    "train_test_auc": lambda t: checks.sweep(t.model_aucs, t.train, t.test),
+    "train_test_auc_measured": lambda t: t.model_aucs,
+    "cross_validate": lambda t: checks.folds(t.logistic_folds, t.folded),
+    "cross_validate_measured": lambda t: t.logistic_folds,
 }
 
 # Fits of many trees; they take minutes whatever the size of the input.
 LONG_TRAINING = {
     "train_random_forest": lambda t: checks.tree_model(t.split, t.forest, training.FOREST_TREES, training.FOREST_DEPTH),
     "train_boosted": lambda t: checks.tree_model(t.split, t.boosted, training.BOOSTED["trees"], training.BOOSTED["depth"]),
-    "config_sweep": lambda t: checks.sweep(training.config_sweep(t.train, t.test, models={"boosted_3": t.final})),
-    "cv_config_sweep": lambda t: checks.fold_means(training.cv_config_sweep(_folds(t))),
+    "config_sweep": lambda t: checks.sweep(t.sweep_aucs, t.train, t.test),
+    "config_sweep_measured": lambda t: t.sweep_aucs,
+    "cv_config_sweep": lambda t: checks.folds(t.boosted_folds, t.folded),
+    "cv_config_sweep_measured": lambda t: training.cv_summary(t.boosted_folds),
 }
 
 

@@ -176,6 +176,27 @@ class Tables:
     def final(self):
         return training.train_final(self.train)
 
+    @cached_property
+    def folded(self):
+        return cut(training.stratified_kfold(self.train), "folded")
+
+    @cached_property
+    def model_aucs(self):
+        models = {"logistic": self.logistic, "logistic_log": self.logistic_log, "final": self.final}
+        return cut(training.train_test_auc(models, self.train, self.test), "aucs")
+
+    @cached_property
+    def sweep_aucs(self):
+        return cut(training.config_sweep(self.train, self.test, models={"boosted_3": self.final}), "sweep")
+
+    @cached_property
+    def logistic_folds(self):
+        return cut(training.cross_validate({"logistic": training.train_logistic}, self.folded), "logistic-folds")
+
+    @cached_property
+    def boosted_folds(self):
+        return cut(training.cv_folds(self.folded), "boosted-folds")
+
     @cached_property
     def model_metrics(self):
         """The quality of the final model as training stores it; reports read it."""

@@ -80,41 +80,39 @@ def test_attributions_add_up_to_the_margin(modeling, model):
         assert 1 / (1 + exp(-row.log_odds)) == pytest.approx(row.churn_probability, abs=1e-6)
 
 
-def test_attributions_equal_brute_force(spark, modeling, model):
-    """Shapley values by their definition, with the tree's own conditional expectation."""
-    booster = model.stages[-1]
-    trees = scoring._tree_nodes(spark, booster)
-
-    def expectation(node, nodes, row, known):
-        if node.leftChild < 0:
-            return node.prediction
-        left, right = nodes[node.leftChild], nodes[node.rightChild]
-        feature = node.split.featureIndex
-        if feature in known:
-            chosen = left if row[feature] <= node.split.leftCategoriesOrThreshold[0] else right
-            return expectation(chosen, nodes, row, known)
-        parts = [expectation(child, nodes, row, known) * child.rawCount / node.rawCount for child in (left, right)]
-        return sum(parts)
-
-    medians = training.feature_medians(modeling)
-    rows = [
-        [float(medians[c]) if r[c] is None else float(r[c]) for c in MODEL_FEATURES]
-        for r in modeling.orderBy("customer_id").limit(3).collect()
-    ]
-    everyone = range(len(MODEL_FEATURES))
-    found = scoring.shapley_values(scoring.leaf_tables(spark, booster), np.array(rows), len(MODEL_FEATURES))
-    for i, row in enumerate(rows):
-        def value(known):
-            return sum(2 * booster.treeWeights[t] * expectation(nodes[0], nodes, row, known) for t, nodes in trees.items())
+def test_attributions_equal_brute_force(modeling, model, split):
+    """Shapley values by their definition, with the tree's own conditional expectation; nulls imputed, or a value of their own."""
+    with_nulls = training.train_boosted(split.where(~F.col("is_test")), SMALL, impute=False)
+
+    def expectation(tree, node, row, known):
+        if tree.feature[node] < 0:
+            return tree.value[node]
+        left, right = tree.left[node], tree.right[node]
+        value = row[tree.feature[node]]
+        if tree.feature[node] in known:
+            goes_left = tree.null_left[node] if np.isnan(value) else value <= tree.threshold[node]
+            return expectation(tree, left if goes_left else right, row, known)
+        return sum(expectation(tree, child, row, known) * tree.cover[child] / tree.cover[node] for child in (left, right))
 
-        for j in everyone:
-            others = [f for f in everyone if f != j]
-            total = 0.0
-            for size in range(len(others) + 1):
-                weight = factorial(size) * factorial(len(others) - size) / factorial(len(others) + 1)
-                for known in combinations(others, size):
-                    total += weight * (value({*known, j}) - value(set(known)))
-            assert found[i, j] == pytest.approx(total, abs=1e-9)
+    everyone = range(len(MODEL_FEATURES))
+    some = modeling.where("average_order_gap is null").limit(2).unionByName(modeling.orderBy("customer_id").limit(2))
+    for fitted in (model, with_nulls):
+        inputs = fitted.prepare(some).select(*[f"model_{c}" for c in MODEL_FEATURES]).collect()
+        rows = np.array([[np.nan if v is None else v for v in r] for r in inputs])
+        found = scoring.shapley_values(scoring.leaf_tables(fitted), rows, len(MODEL_FEATURES))
+        for i, row in enumerate(rows):
+            def value(known):
+                return sum(expectation(tree, 0, row, known) for tree in fitted.trees)
+
+            for j in everyone:
+                others = [f for f in everyone if f != j]
+                total = 0.0
+                for size in range(len(others) + 1):
+                    weight = factorial(size) * factorial(len(others) - size) / factorial(len(others) + 1)
+                    for known in combinations(others, size):
+                        total += weight * (value({*known, j}) - value(set(known)))
+                assert found[i, j] == pytest.approx(total, abs=1e-9)
+    assert np.isnan(rows).any()
 
 
 def test_importance_sums_to_one(spark, model):
@@ -138,11 +136,11 @@ def test_risk_edges(spark):
 
 def test_saved_model_scores_the_same(spark, modeling, model):
     path = scratch_path(spark, "model")
-    training.save_model(model, path)
-    row = scoring.prediction_roundtrip(modeling, model, training.load_model(path)).first()
+    training.save_model(spark, model, path)
+    row = scoring.prediction_roundtrip(modeling, model, training.load_model(spark, path)).first()
     assert row.max_probability_difference == 0.0 and row.class_differences == 0
     with pytest.raises(FileNotFoundError):
-        training.load_model(path + "-missing")
+        training.load_model(spark, path + "-missing")
 
 
 def test_sweeps_report_every_configuration(split):
@@ -169,15 +167,14 @@ def test_small_trees_pass_the_checks(split, model):
         row = checks.tree_model(split, fitted, trees, depth).first()
         assert row.auc_holds and row.size_holds
         assert row.train_churned + row.train_active == train.count()
-    # few boosting steps start too far from the share to beat it
-    assert row.beats_share
+        assert row.beats_share
     assert not checks.tree_model(split, forest, 8, 2).first().size_holds
     configs = {"a": {**SMALL, "trees": 2}, "b": {**SMALL, "trees": 3, "depth": 2}}
-    swept = checks.sweep(training.config_sweep(train, test, configs, models={"a": model})).collect()
-    assert {(row.model, row.bounded) for row in swept} == {("a", True), ("b", True)}
+    swept = checks.sweep(training.config_sweep(train, test, configs, {"a": model}), train, test).collect()
+    assert {(row.model, row.train_rows, row.test_rows, row.bounded) for row in swept} == {(name, train.count(), test.count(), True) for name in "ab"}
     folded = training.stratified_kfold(train, 2)
-    means = checks.fold_means(training.cv_config_sweep(folded, 2, {"a": configs["a"]})).collect()
-    assert [(row.model, row.bounded) for row in means] == [("a", True)]
+    found = checks.folds(training.cv_folds(folded, 2, configs), folded).collect()
+    assert len(found) == 4 and all(row.bounded and row.train_rows + row.held_out_rows == train.count() for row in found)
 
 
 def test_gradient_check_sees_an_unfinished_fit(split):
