@@ -29,20 +29,26 @@ def table_samples(df, order, n=5):
     return head.unionByName(tail)
 
 
-def missing_summary(df):
-    """Per column: missing values and their percentage of rows, worst first."""
-    entries = [
-        F.struct(F.lit(name).alias("column_name"), count_if(F.col(name).isNull()).alias("missing_count"))
-        for name in df.columns
-    ]
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*entries).alias("entries"))
+def missing_measures(columns):
+    """Counts that ``missing_summary`` needs; they can also be observed while a table is written."""
+    return {"rows": F.count(F.lit(1)), **{f"missing_{name}": count_if(F.col(name).isNull()) for name in columns}}
+
+
+def missing_table(counts, columns):
+    """``missing_summary`` of one row of those counts."""
+    entries = [F.struct(F.lit(name).alias("column_name"), F.col(f"missing_{name}").alias("missing_count")) for name in columns]
     return (
-        wide.select("rows", F.inline("entries"))
+        counts.select("rows", F.inline(F.array(*entries)))
         .select("column_name", "missing_count", rounded_ratio("missing_count", "rows", 100).alias("missing_percentage"))
         .orderBy(F.desc("missing_percentage"), "column_name")
     )
 
 
+def missing_summary(df):
+    """Per column: missing values and their percentage of rows, worst first."""
+    return missing_table(df.agg(*[column.alias(name) for name, column in missing_measures(df.columns).items()]), df.columns)
+
+
 def value_counts(df, column, n=None, normalize=False):
     """Frequencies of one column, most frequent first; nulls are not counted."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
@@ -155,14 +161,17 @@ def date_range(df, column):
     )
 
 
+def invalid_value_measures():
+    loss = F.sum(F.when(F.col("price") <= 0, F.col("quantity") * F.col("price")))
+    return {
+        "negative_quantity": count_if(F.col("quantity") < 0),
+        "nonpositive_price": count_if(F.col("price") <= 0),
+        "nonpositive_price_revenue": F.coalesce(loss, F.lit(0)).cast("decimal(38,4)"),
+    }
+
+
 def invalid_value_counts(df):
-    return df.agg(
-        count_if(F.col("quantity") < 0).alias("negative_quantity"),
-        count_if(F.col("price") <= 0).alias("nonpositive_price"),
-        F.coalesce(F.sum(F.when(F.col("price") <= 0, F.col("quantity") * F.col("price"))), F.lit(0))
-        .cast("decimal(38,4)")
-        .alias("nonpositive_price_revenue"),
-    )
+    return df.agg(*[column.alias(name) for name, column in invalid_value_measures().items()])
 
 
 def invalid_value_rows(df, order, n=20):

@@ -39,7 +39,12 @@ def label_counts(labels):
 
 
 def _known_lines(lines, cutoff):
-    return identified(lines).where(F.col("invoice_date") <= _midnight(cutoff))
+    """Lines up to the cut-off. Lines stored by month are read up to its month only: a
+    condition on the date alone would open every file."""
+    known = identified(lines).where(F.col("invoice_date") <= _midnight(cutoff))
+    if "invoice_month" in lines.columns:
+        known = known.where(F.col("invoice_month") <= F.lit(str(cutoff)[:7]))
+    return known
 
 
 def customer_orders(lines, cutoff=DEFAULT_CUTOFF):
@@ -76,15 +81,43 @@ def order_gaps(orders):
     )
 
 
-def _product_summary(lines, cutoff):
-    pairs = _known_lines(lines, cutoff).groupBy("customer_id", "stock_code").agg(F.sum("quantity").alias("quantity"))
-    return pairs.groupBy("customer_id").agg(
-        F.count("stock_code").alias("unique_products"), F.sum("quantity").alias("total_quantity")
+def _customer_days(lines, cutoff):
+    """Per customer and order day the orders and their revenue, and in one row without a day the
+    products and units: two groupings of one scan.
+
+    Grouping sets make order rows (customer, invoice) and product rows (customer, stock code) of each
+    line before the shuffle; a customer with most lines is spread by invoice and code. The day's
+    row then carries the previous order day; a window runs over at most the days of the data.
+    """
+    both = [[F.col("customer_id"), F.col("invoice")], [F.col("customer_id"), F.col("stock_code")]]
+    first = _known_lines(lines, cutoff).groupingSets(both, F.col("customer_id"), F.col("invoice"), F.col("stock_code")).agg(
+        (F.grouping("stock_code") == 1).alias("is_order"),
+        F.to_date(F.min("invoice_date")).alias("day"),
+        F.sum("revenue").cast(MONEY).alias("revenue"),
+        F.sum("quantity").alias("quantity"),
+    )
+    order = F.col("is_order")
+    days = first.groupBy("customer_id", F.when(order, F.col("day")).alias("order_date")).agg(
+        count_if(order).alias("orders"),
+        F.sum(F.when(order, F.col("revenue"))).alias("day_revenue"),
+        count_if(~order & F.col("stock_code").isNotNull()).alias("products"),
+        F.sum(F.when(~order, F.col("quantity"))).alias("quantity"),
     )
+    # the row without a day comes first, so the first day's gap is null
+    by_day = Window.partitionBy("customer_id").orderBy("order_date")
+    return days.withColumn("day_gap", F.datediff("order_date", F.lag("order_date").over(by_day)))
 
 
-def _feature_table(summary, lines, cutoff):
-    return summary.join(_product_summary(lines, cutoff), "customer_id").select(
+def _feature_table(lines, cutoff, **summary):
+    """``summary``: how frequency, value, gap sum and gap count follow from a customer's days."""
+    totals = _customer_days(lines, cutoff).groupBy("customer_id").agg(
+        F.min("order_date").alias("first_day"),
+        F.max("order_date").alias("last_day"),
+        F.sum("products").alias("unique_products"),
+        F.sum("quantity").alias("total_quantity"),
+        *[column.alias(name) for name, column in summary.items()],
+    )
+    return totals.select(
         "customer_id",
         F.datediff(F.lit(cutoff).cast("date"), "last_day").alias("recency_days"),
         "frequency",
@@ -107,28 +140,26 @@ def churn_features(lines, cutoff=DEFAULT_CUTOFF):
     """
     n = F.col("orders")
     first_day = F.col("day_gap").isNull()
-    summary = order_day_totals(customer_orders(lines, cutoff)).groupBy("customer_id").agg(
-        F.min("order_date").alias("first_day"),
-        F.max("order_date").alias("last_day"),
-        F.sum(n * n).alias("frequency"),
-        F.sum(n * F.col("day_revenue")).alias("monetary_value"),
-        F.sum(n * F.coalesce("day_gap", F.lit(0))).alias("gap_sum"),
-        F.sum(F.when(first_day, n * (n - 1)).otherwise(n * n)).alias("gap_count"),
+    return _feature_table(
+        lines,
+        cutoff,
+        frequency=F.sum(n * n),
+        monetary_value=F.sum(n * F.col("day_revenue")),
+        gap_sum=F.sum(n * F.coalesce("day_gap", F.lit(0))),
+        gap_count=F.sum(F.when(first_day, n * (n - 1)).otherwise(n * n)),
     )
-    return _feature_table(summary, lines, cutoff)
 
 
 def churn_features_exact(lines, cutoff=DEFAULT_CUTOFF):
     """Churn features with every order counted once."""
-    summary = customer_orders(lines, cutoff).groupBy("customer_id").agg(
-        F.min("order_date").alias("first_day"),
-        F.max("order_date").alias("last_day"),
-        F.count(F.lit(1)).alias("frequency"),
-        F.sum("order_revenue").alias("monetary_value"),
-        F.datediff(F.max("order_date"), F.min("order_date")).alias("gap_sum"),
-        (F.count(F.lit(1)) - 1).alias("gap_count"),
+    return _feature_table(
+        lines,
+        cutoff,
+        frequency=F.sum("orders"),
+        monetary_value=F.sum("day_revenue"),
+        gap_sum=F.datediff(F.max("order_date"), F.min("order_date")),
+        gap_count=F.sum("orders") - 1,
     )
-    return _feature_table(summary, lines, cutoff)
 
 
 def _ranges(df, columns):

@@ -101,7 +101,7 @@ def positive_price_lines(lines):
 
 def sales_lines(lines):
     """Paid, positive, not cancelled."""
-    return lines.where((F.col("price") > 0) & (F.col("quantity") > 0) & ~F.col("is_cancellation"))
+    return lines.where(is_sale())
 
 
 def customer_lines(lines):
@@ -135,23 +135,43 @@ def cleaning_report(lines):
     )
 
 
-def quality_checks(lines):
-    """One row per rule: rule, violations, passed."""
+def is_sale():
+    """Paid, positive, not cancelled."""
+    return (F.col("price") > 0) & (F.col("quantity") > 0) & ~F.col("is_cancellation")
+
+
+def quality_measures(columns, among=None):
+    """Violations by rule as counts, of the rows that meet ``among``; they can also be observed
+    while a table is written."""
     # Required column names, fixed by the table contract.
     required = [
         "invoice", "stock_code", "description", "quantity", "invoice_date", "price", "customer_id", "country", "revenue",
     ]
-    missing = sum(name not in lines.columns for name in required)
+    missing = sum(name not in columns for name in required)
     product = F.col("quantity") * F.col("price")
     off = F.abs(F.col("revenue") - product) >= F.lit(REVENUE_TOLERANCE).cast("decimal(4,2)")
-    counted = lines.agg(
-        F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("not_empty"),
-        F.lit(missing).cast("bigint").alias("required_columns"),
-        count_if(F.col("invoice").isNull()).alias("invoice_present"),
-        count_if(F.col("stock_code").isNull()).alias("stock_code_present"),
-        count_if(F.col("customer_id").isNull()).alias("customer_id_present"),
-        count_if(~F.coalesce(F.col("quantity") > 0, F.lit(False))).alias("quantity_positive"),
-        count_if(~F.coalesce(F.col("price") > 0, F.lit(False))).alias("price_positive"),
-        count_if(F.coalesce(off, F.lit(True))).alias("revenue_matches"),
-    )
-    return counted.unpivot([], counted.columns, "rule", "violations").withColumn("passed", F.col("violations") == 0)
+    among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    violations = {
+        "invoice_present": F.col("invoice").isNull(),
+        "stock_code_present": F.col("stock_code").isNull(),
+        "customer_id_present": F.col("customer_id").isNull(),
+        "quantity_positive": ~F.coalesce(F.col("quantity") > 0, F.lit(False)),
+        "price_positive": ~F.coalesce(F.col("price") > 0, F.lit(False)),
+        "revenue_matches": F.coalesce(off, F.lit(True)),
+    }
+    return {
+        "not_empty": F.when(count_if(among) == 0, 1).otherwise(0).cast("bigint"),
+        # a constant counted as an aggregate, so that it can be observed too
+        "required_columns": F.coalesce(F.max(F.lit(missing)), F.lit(missing)).cast("bigint"),
+        **{name: count_if(among & bad) for name, bad in violations.items()},
+    }
+
+
+def quality_table(counts):
+    """One row per rule of one row of those counts: rule, violations, passed."""
+    return counts.unpivot([], counts.columns, "rule", "violations").withColumn("passed", F.col("violations") == 0)
+
+
+def quality_checks(lines):
+    """One row per rule: rule, violations, passed."""
+    return quality_table(lines.agg(*[column.alias(name) for name, column in quality_measures(lines.columns).items()]))

@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+from pyspark.sql import Observation
+
 _local_dirs = {}
 
 
@@ -46,6 +48,19 @@ def remove_run(spark):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def observed(df, measures, name="observed"):
+    """``df`` with aggregate ``measures`` that are taken in the pass that writes it, and a function
+    that gives them as a frame of one row once it is written."""
+    observation = Observation(name)
+    spark, kinds = df.sparkSession, df.agg(*[column.alias(k) for k, column in measures.items()]).schema
+
+    def values():
+        found = observation.get
+        return spark.createDataFrame([tuple(found[field.name] for field in kinds)], kinds)
+
+    return df.observe(observation, *[column.alias(k) for k, column in measures.items()]), values
+
+
 def cut(df, name="table"):
     """Write ``df`` once and read it back: later jobs scan columns of the stored
     table instead of recomputing it, and losing an executor costs a re-read."""

@@ -288,6 +288,7 @@ def audit_queries():
             f"UNION ALL SELECT * FROM (SELECT {every}, 'tail' AS part FROM raw_lines ORDER BY {descending} LIMIT 5)"
         ),
         "missing_summary": statement(missing),
+        "missing_summary_observed": statement(missing),
         "describe_all": statement(summary),
         "duplicate_count": statement(
             f"SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {every} FROM raw_lines)) AS BIGINT) AS duplicate_rows, "
@@ -302,10 +303,10 @@ def audit_queries():
             "SELECT min(invoice_date) AS first_date, max(invoice_date) AS last_date, "
             "CAST(date_diff('day', CAST(min(invoice_date) AS DATE), CAST(max(invoice_date) AS DATE)) AS INT) AS total_days FROM sales_lines"
         ),
-        "invalid_value_counts": statement(
+        **dict.fromkeys(("invalid_value_counts", "invalid_value_counts_observed"), statement(
             "SELECT count(*) FILTER (quantity < 0) AS negative_quantity, count(*) FILTER (price <= 0) AS nonpositive_price, "
             "CAST(coalesce(sum(CASE WHEN price <= 0 THEN quantity * price END), 0) AS DECIMAL(38,4)) AS nonpositive_price_revenue FROM raw_lines"
-        ),
+        )),
         "invalid_value_rows": statement(
             f"SELECT {every} FROM raw_lines WHERE price <= 0 ORDER BY {ascending} LIMIT 20"
         ),
@@ -390,9 +391,17 @@ def cleaning_queries():
             f"FROM {_FAULTY} WHERE invoice IS NULL OR stock_code IS NULL GROUP BY 1"
         ),
         "quality_checks": statement(checks),
+        "quality_checks_observed": statement(checks),
     }
 
 
+MIXED_CASE = """mixed AS (
+  SELECT stock_code, CASE WHEN quantity % 2 = 0 THEN upper(country) ELSE country END AS country,
+         CASE WHEN quantity % 2 = 0 THEN upper(description) ELSE description END AS description, quantity, revenue FROM sales_lines)"""
+FEW = """few AS (
+  SELECT DISTINCT customer_id FROM customer_lines WHERE invoice_date > TIMESTAMP '2001-05-03' ORDER BY customer_id LIMIT 10)"""
+
+
 def sales_queries():
     month = "CAST(date_trunc('month', invoice_date) AS DATE)"
     revenue, units = money("sum(revenue)"), big("sum(quantity)")
@@ -449,6 +458,41 @@ def sales_queries():
         "returns_summary_identified": statement(
             f"SELECT count(DISTINCT customer_id) AS customers_with_returns, {returned} AND customer_id IS NOT NULL"
         ),
+        "distinct_counts_by_quarter": statement(
+            f"SELECT CAST(date_trunc('quarter', invoice_date) AS DATE) AS quarter, {buyers} AS customers, {orders} AS orders, "
+            "true AS customers_close, true AS orders_close FROM sales_lines WHERE customer_id IS NOT NULL GROUP BY 1"
+        ),
+        "country_totals_any_case": statement(
+            f"SELECT lower(country) AS country, count(*) AS lines, {units} AS quantity, {revenue} AS revenue FROM mixed GROUP BY country COLLATE NOCASE, lower(country)",
+            ctes=MIXED_CASE,
+        ),
+        "product_totals_any_case": statement(
+            f"SELECT lower(stock_code) AS stock_code, lower(description) AS description, count(*) AS lines, {units} AS quantity, {revenue} AS revenue "
+            "FROM mixed GROUP BY lower(stock_code), lower(description)",
+            ctes=MIXED_CASE,
+        ),
+        "product_units_any_case": statement(
+            f"SELECT p.stock_code, p.description, {units} AS quantity FROM (SELECT DISTINCT stock_code, description FROM sales_lines) p "
+            "JOIN mixed m ON p.stock_code = m.stock_code AND p.description COLLATE NOCASE = m.description COLLATE NOCASE GROUP BY ALL",
+            ctes=MIXED_CASE,
+        ),
+        "customer_purchases_sql": statement(
+            "SELECT customer_id, CAST(position AS INT) AS position, invoice, invoice_date, stock_code, description, quantity, price, revenue FROM ("
+            "SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY invoice_date DESC, invoice, stock_code, quantity, price, description) AS position "
+            "FROM sales_lines WHERE customer_id IN (SELECT customer_id FROM few)) WHERE position <= 5",
+            ctes=FEW,
+        ),
+        "customer_trend_sql": statement(
+            f"SELECT customer_id, {month} AS month, {orders} AS orders, {units} AS quantity, {revenue} AS revenue "
+            "FROM sales_lines WHERE customer_id IN (SELECT customer_id FROM few) GROUP BY 1, 2",
+            ctes=FEW,
+        ),
+        "customer_profile_sql": statement(
+            "SELECT c.customer_id, c.country, r.rfm_score, r.customer_segment, p.churn_probability, p.risk_level FROM customers c "
+            "LEFT JOIN customer_rfm r ON c.customer_id = r.customer_id LEFT JOIN pseudo_predictions p ON c.customer_id = p.customer_id "
+            "WHERE c.customer_id IN (SELECT customer_id FROM few) AND p.churn_probability >= 0.25",
+            "rfm", "dimensions", "predictions", ctes=FEW,
+        ),
         "purchase_history": statement(
             "SELECT customer_id, CAST(position AS INT) AS position, invoice, invoice_date, stock_code, description, quantity, price, revenue FROM ("
             "SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY invoice_date DESC, invoice, stock_code, quantity, price, description) AS position "
@@ -657,6 +701,7 @@ def source_queries():
         "write_clean_csv": statement(f"SELECT {CLEAN} FROM customer_lines"),
         "prepare_lines_for_load": statement(f"SELECT {LOADED} FROM sales_lines"),
         "append_lines": statement(f"SELECT {LOADED} FROM sales_lines"),
+        "bucketed_modeling": statement("SELECT * FROM churn_modeling", "modeling"),
         "materialize": statement("SELECT * FROM sold_features", "sold"),
         "update_columns": statement("SELECT customer_id, r_score, f_score, m_score, rfm_score FROM customer_rfm", "rfm"),
         "upsert_predictions": statement(
@@ -900,6 +945,16 @@ def scoring_queries():
             "modeling", ctes=_attributions(),
         ),
         "recommendation": statement(f"SELECT customer_id, risk_level, {ACTIONS} FROM pseudo_predictions", "predictions"),
+        "customer_360_model": statement(
+            f"""SELECT b.customer_id, c.country, {', '.join('f.' + c for c in MODEL_FEATURES)}, r.rfm_score, r.customer_segment,
+                m.customer_id IS NOT NULL AS predicted, m.customer_id IS NOT NULL AS explained, true AS drivers_hold, true AS advised
+                FROM (SELECT DISTINCT customer_id FROM customer_lines WHERE invoice_date > TIMESTAMP '2001-05-03') b
+                LEFT JOIN customers c ON b.customer_id = c.customer_id
+                LEFT JOIN churn_features f ON b.customer_id = f.customer_id
+                LEFT JOIN customer_rfm r ON b.customer_id = r.customer_id
+                LEFT JOIN churn_modeling m ON b.customer_id = m.customer_id""",
+            "modeling", "rfm", "dimensions",
+        ),
         "customer_360": statement(
             f"""SELECT b.customer_id, c.country, c.first_purchase_date, c.last_purchase_date, c.total_orders, c.total_revenue,
                 {', '.join('f.' + c for c in MODEL_FEATURES)}, r.r_score, r.f_score, r.m_score, r.rfm_score, r.customer_segment,
@@ -1053,6 +1108,31 @@ rules AS (
     + (NOT contains(text, 'HIGH >= 75%'))::INT AS BIGINT) FROM reports)"""
 
 
+def _package():
+    """Records and totals of the package's blocks from the plain definitions."""
+    known = "sales_lines WHERE customer_id IS NOT NULL"
+    months = "count(DISTINCT date_trunc('month', invoice_date))"
+    top = "(SELECT sum({c}) AS x FROM sales_lines GROUP BY stock_code, description ORDER BY x DESC LIMIT 20)"
+    blocks = {
+        "executive_kpis": ("1", "sum(revenue)", known),
+        "monthly_revenue": (months, "sum(revenue)", known),
+        "monthly_revenue_detail": (months, "sum(quantity)", known),
+        "rfm_segments": ("count(DISTINCT customer_segment)", "sum(monetary_value)", "customer_rfm"),
+        "customer_countries": ("count(*)", "sum(n)", "(SELECT count(DISTINCT customer_id) AS n FROM customers WHERE country IS NOT NULL GROUP BY country)"),
+        "country_revenue": ("count(DISTINCT country)", "sum(revenue)", f"{known} AND country IS NOT NULL"),
+        "product_revenue": ("count(*)", "sum(x)", top.format(c="revenue")),
+        "product_quantity": ("count(*)", "sum(x)", top.format(c="quantity")),
+        "churn_training_summary": ("1", "count(*)", "churn_modeling"),
+        "churn_feature_statistics": ("count(DISTINCT churned)", "count(*)", "churn_modeling"),
+        "churn_risk_distribution": ("NULL", "count(*)", "churn_modeling"),
+        "churn_model_summary": ("1", "count(*)", "churn_modeling"),
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS block, CAST({records} AS INT) AS records, {money(total)} AS total FROM {source}"
+        for name, (records, total, source) in blocks.items()
+    )
+
+
 def report_queries():
     per_gap = "CASE WHEN frequency > 1 THEN CAST(monetary_value AS DOUBLE) / (frequency - 1) END"
     return {
@@ -1061,6 +1141,7 @@ def report_queries():
             f"'2001-08-01T00:00:00' AS scored_at, {per_gap} AS nested_per_gap FROM churn_modeling",
             "modeling",
         ),
+        "report_package_figures": statement(_package(), "modeling", "rfm", "dimensions"),
         "report_grounding_check": statement(
             "SELECT *, violations = 0 AS passed FROM rules", "dimensions", ctes=REPORTS
         ),

@@ -10,6 +10,7 @@ from ledgerlark.operators import (
     cleaning,
     dashboard,
     features,
+    lookup,
     predictions,
     report,
     rfm,
@@ -63,6 +64,8 @@ AUDIT = {
     "duplicate_rows": lambda t: audit.duplicate_rows(t.raw),
     "distinct_profile": _distinct_profiles,
     "distinct_values": lambda t: audit.distinct_values(t.modeling, "churned"),
+    "missing_summary_observed": lambda t: audit.missing_table(t.written_raw[1](), t.raw.columns),
+    "invalid_value_counts_observed": lambda t: t.written_raw[1]().select(*audit.invalid_value_measures()),
     "date_range": lambda t: audit.date_range(t.sales, "invoice_date"),
     "invalid_value_counts": lambda t: audit.invalid_value_counts(t.raw),
     "invalid_value_rows": lambda t: audit.invalid_value_rows(t.raw, _RAW_ORDER),
@@ -88,21 +91,52 @@ CLEANING = {
     "cleaning_report_faulty": lambda t: cleaning.cleaning_report(cleaning.typed_lines(_without_keys(t.raw))),
     "rejected_line_counts": lambda t: _reject_counts(cleaning.typed_lines(_without_keys(t.raw))),
     "quality_checks": lambda t: cleaning.quality_checks(t.sales),
+    "quality_checks_observed": lambda t: cleaning.quality_table(t.written_clean[1]()),
 }
 
+
+def _mixed_case(t):
+    """Sales lines whose texts come in capitals where an even number of pieces was sold."""
+    capital = F.col("quantity") % 2 == 0
+    return t.sales.withColumns({c: F.when(capital, F.upper(c)).otherwise(F.col(c)) for c in ("country", "description")})
+
+
+def _counts_by_quarter(t):
+    """Exact counts of every quarter, which is stored nowhere, and whether merged sketches come within 3 %."""
+    quarter = F.date_trunc("quarter", "month").cast("date")
+    exact = sales.exact_counts(t.orders.withColumn("quarter", quarter), "quarter")
+    near = sales.estimated_counts(t.count_sketches.withColumn("quarter", quarter), "quarter").withColumnsRenamed({"customers": "c", "orders": "o"})
+    close = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 0.03 * F.col(y)
+    return exact.join(near, "quarter").select(
+        "quarter", "customers", "orders", close("c", "customers").alias("customers_close"), close("o", "orders").alias("orders_close")
+    )
+
+def _few_ids(t):
+    """Ten customers to look up: the first of those active in the label window."""
+    return [row.customer_id for row in t.buyers_after_cutoff.orderBy("customer_id").limit(10).collect()]
+
+
 SALES = {
-    "executive_kpis": lambda t: sales.executive_kpis(t.sales, t.modeling),
-    "monthly_revenue": lambda t: sales.monthly_revenue(t.sales),
-    "monthly_revenue_detail": lambda t: sales.monthly_revenue_detail(t.sales),
-    "year_month_revenue": lambda t: sales.year_month_revenue(t.sales),
-    "country_summary": lambda t: sales.country_summary(t.sales),
-    "country_revenue": lambda t: sales.country_revenue(t.sales),
+    "executive_kpis": lambda t: sales.executive_kpis(t.orders, t.modeling),
+    "monthly_revenue": lambda t: sales.monthly_revenue(t.orders),
+    "monthly_revenue_detail": lambda t: sales.monthly_revenue_detail(t.orders),
+    "year_month_revenue": lambda t: sales.year_month_revenue(t.orders),
+    "country_summary": lambda t: sales.country_summary(t.orders),
+    "country_revenue": lambda t: sales.country_revenue(t.orders),
     "customer_countries": lambda t: sales.customer_countries(t.customers),
     "top_customers": lambda t: sales.top_customers(t.sales),
-    "product_revenue": lambda t: sales.product_revenue(t.sales),
-    "product_quantity": lambda t: sales.product_quantity(t.sales),
+    "product_revenue": lambda t: sales.product_revenue(t.sold_products),
+    "product_quantity": lambda t: sales.product_quantity(t.sold_products),
     "returns_summary": lambda t: sales.returns_summary(t.clean),
     "returns_summary_identified": lambda t: sales.returns_summary(t.clean, identified_only=True),
+    "distinct_counts_by_quarter": _counts_by_quarter,
+    "estimated_counts_by_country": lambda t: sales.estimated_counts(t.count_sketches, "country"),
+    "country_totals_any_case": lambda t: sales.totals_any_case(_mixed_case(t), "country"),
+    "product_totals_any_case": lambda t: sales.totals_any_case(_mixed_case(t), "stock_code", "description"),
+    "product_units_any_case": lambda t: sales.matched_any_case(_mixed_case(t), t.sold_products),
+    "customer_purchases_sql": lambda t: lookup.purchases(t.spark, t.sales, _few_ids(t), 5),
+    "customer_trend_sql": lambda t: lookup.trend(t.spark, t.sales, _few_ids(t)),
+    "customer_profile_sql": lambda t: lookup.profile(t.spark, _few_ids(t), t.customers, t.rfm, t.predictions, 0.25),
     "purchase_history": lambda t: sales.purchase_history(t.sales, t.modeling),
     "customer_purchase_trend": lambda t: sales.customer_purchase_trend(t.sales, t.modeling),
 }
@@ -153,10 +187,10 @@ RFM = {
 CHURN = {
     "churn_labels": lambda t: t.build_labels(),
     "label_counts": lambda t: churn.label_counts(t.labels),
-    "customer_orders": lambda t: churn.customer_orders(t.customer_lines, t.cutoff),
-    "order_gaps": lambda t: churn.order_gaps(churn.customer_orders(t.customer_lines, t.cutoff)),
+    "customer_orders": lambda t: churn.customer_orders(t.monthly_customer_lines, t.cutoff),
+    "order_gaps": lambda t: churn.order_gaps(churn.customer_orders(t.monthly_customer_lines, t.cutoff)),
     "churn_features": lambda t: t.build_churn_features(),
-    "churn_features_exact": lambda t: churn.churn_features_exact(t.customer_lines, t.cutoff),
+    "churn_features_exact": lambda t: churn.churn_features_exact(t.monthly_customer_lines, t.cutoff),
     "churn_feature_ranges": lambda t: churn.churn_feature_ranges(t.churn_features),
     "feature_label_counts": lambda t: churn.feature_label_counts(t.churn_features, t.labels),
     "churn_modeling": lambda t: churn.churn_modeling(t.build_churn_features(), t.build_labels()),
@@ -208,6 +242,16 @@ def _materialized(t):
     return t.spark.read.schema(CUSTOMER_FEATURES).parquet(path)
 
 
+def _joined_by_bucket(t):
+    """The modelling table from two bucketed tables, joined where they lie."""
+    names = {}
+    for name, frame in (("features", t.build_churn_features()), ("labels", t.build_labels())):
+        path = scratch_path(t.spark, f"bucketed-{name}")
+        names[name] = path.rsplit("/", 1)[1].replace("-", "_")
+        store.materialize(frame, names[name], "customer_id", store.JOIN_BUCKETS, path)
+    return churn.churn_modeling(t.spark.table(names["features"]).hint("merge"), t.spark.table(names["labels"]))
+
+
 def _upserted(t):
     root = scratch_path(t.spark, "predictions")
     store.upsert_predictions(t.spark, root, t.predictions)
@@ -231,6 +275,7 @@ SOURCES = {
     ),
     "append_lines": _appended,
     "materialize": _materialized,
+    "bucketed_modeling": _joined_by_bucket,
     "update_columns": lambda t: store.update_columns(
         t.rfm.select("customer_id", "r_score", "f_score", "m_score"),
         {"rfm_score": F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")])},
@@ -318,6 +363,26 @@ def _customer_360(t):
     return rows.select(*[c for c in rows.columns if c not in lists], *[_driver_names(c) for c in lists])
 
 
+def _explained(t):
+    """The lookup on the fitted model: profile, and whether a customer of the modelling table has a
+    prediction, drivers that raise and factors that lower the risk, strongest first, three at most."""
+    attr = scoring.attributions(t.modeling, t.final)
+    rows = scoring.customer_360(t.buyers_after_cutoff, t.customers, t.churn_features, t.rfm, t.model_predictions, attr)
+
+    def holds(name, sign):
+        effects = F.transform(name, lambda d: d["shap_value"] * sign)
+        falling = F.array_sort(effects) == F.reverse(effects)
+        return (F.size(name) <= 3) & F.forall(effects, lambda x: x > 0) & falling
+
+    drivers = F.coalesce(holds("churn_drivers", 1), F.lit(True)) & F.coalesce(holds("protective_factors", -1), F.lit(True))
+    some = F.coalesce(F.size("churn_drivers"), F.lit(0)) + F.coalesce(F.size("protective_factors"), F.lit(0)) > 0
+    return rows.select(
+        "customer_id", "country", *MODEL_FEATURES, "rfm_score", "customer_segment",
+        F.col("churn_probability").isNotNull().alias("predicted"), some.alias("explained"), drivers.alias("drivers_hold"),
+        (F.col("recommendation").isNotNull() == F.col("risk_level").isNotNull()).alias("advised"),
+    )
+
+
 def _ranked(rows):
     return rows.select("customer_id", "position", "feature", "feature_value", "shap_value")
 
@@ -338,6 +403,10 @@ SCORING = {
     ),
     "recommendation": lambda t: scoring.recommendation(t.predictions).select("customer_id", "risk_level", "recommendation"),
     "customer_360": _customer_360,
+    "customer_360_model": _explained,
+    "customer_360_model_measured": lambda t: scoring.customer_360(
+        t.buyers_after_cutoff, t.customers, t.churn_features, t.rfm, t.model_predictions, scoring.attributions(t.modeling, t.final)
+    ),
     "prediction_roundtrip": lambda t: scoring.prediction_roundtrip(t.modeling, t.final, _reloaded(t)),
 }
 
@@ -354,7 +423,7 @@ PREDICTION_REPORTS = {
 
 
 def _monthly(t):
-    return sales.monthly_revenue_detail(t.sales)
+    return sales.monthly_revenue_detail(t.orders)
 
 
 def _high_risk_table(t):
@@ -378,11 +447,11 @@ DASHBOARD = {
     "peak_months": lambda t: dashboard.peak_months(_monthly(t)),
     "monthly_series": lambda t: dashboard.monthly_series(_monthly(t)),
     "monthly_total_units": lambda t: dashboard.monthly_total_units(_monthly(t)),
-    "top_countries": lambda t: dashboard.top_countries(sales.country_revenue(t.sales)),
-    "product_labels": lambda t: dashboard.product_labels(sales.product_revenue(t.sales)),
-    "product_labels_by_quantity": lambda t: dashboard.product_labels(sales.product_quantity(t.sales), "quantity"),
+    "top_countries": lambda t: dashboard.top_countries(sales.country_revenue(t.orders)),
+    "product_labels": lambda t: dashboard.product_labels(sales.product_revenue(t.sold_products)),
+    "product_labels_by_quantity": lambda t: dashboard.product_labels(sales.product_quantity(t.sold_products), "quantity"),
     "business_takeaways": lambda t: dashboard.business_takeaways(
-        sales.country_revenue(t.sales), sales.product_revenue(t.sales, 1), sales.product_quantity(t.sales, 1)
+        sales.country_revenue(t.orders), sales.product_revenue(t.sold_products, 1), sales.product_quantity(t.sold_products, 1)
     ),
     "risk_share": lambda t: dashboard.risk_share(predictions.risk_distribution(t.predictions)),
     "segment_overview": lambda t: dashboard.segment_overview(t.rfm),
@@ -395,17 +464,17 @@ DASHBOARD = {
 
 
 def _report_blocks(t):
-    lines, modeling = t.sales, t.modeling
+    modeling = t.modeling
     down = lambda name: -F.col(name)
     return {
-        "executive_kpis": (sales.executive_kpis(lines, modeling), []),
-        "monthly_revenue": (sales.monthly_revenue(lines), [F.col("month")]),
-        "monthly_revenue_detail": (sales.monthly_revenue_detail(lines), [F.col("month")]),
+        "executive_kpis": (sales.executive_kpis(t.orders, modeling), []),
+        "monthly_revenue": (sales.monthly_revenue(t.orders), [F.col("month")]),
+        "monthly_revenue_detail": (sales.monthly_revenue_detail(t.orders), [F.col("month")]),
         "rfm_segments": (rfm.rfm_segments(t.rfm), [down("revenue"), F.col("segment")]),
         "customer_countries": (sales.customer_countries(t.customers), [down("customers"), F.col("country")]),
-        "country_revenue": (sales.country_revenue(lines), [down("revenue"), F.col("country")]),
-        "product_revenue": (sales.product_revenue(lines), [down("revenue"), F.col("stock_code"), F.col("description")]),
-        "product_quantity": (sales.product_quantity(lines), [down("quantity"), F.col("stock_code"), F.col("description")]),
+        "country_revenue": (sales.country_revenue(t.orders), [down("revenue"), F.col("country")]),
+        "product_revenue": (sales.product_revenue(t.sold_products), [down("revenue"), F.col("stock_code"), F.col("description")]),
+        "product_quantity": (sales.product_quantity(t.sold_products), [down("quantity"), F.col("stock_code"), F.col("description")]),
         "churn_model_summary": (t.model_metrics, []),
         "churn_training_summary": (churn.churn_population_summary(modeling), []),
         "churn_feature_statistics": (churn.churn_feature_statistics(modeling), [F.col("churned")]),
@@ -428,7 +497,32 @@ def _unsafe_numbers(t):
     )
 
 
+#: What the package's blocks are checked by: a figure to add up, and whether their rows depend on a model.
+_BLOCK_FIGURES = {
+    "executive_kpis": "total_revenue", "monthly_revenue": "revenue", "monthly_revenue_detail": "quantity", "rfm_segments": "revenue",
+    "customer_countries": "customers", "country_revenue": "revenue", "product_revenue": "revenue", "product_quantity": "quantity",
+    "churn_training_summary": "total_customers", "churn_feature_statistics": "customers", "churn_risk_distribution": "customers",
+    "churn_model_summary": "total_customers",
+}
+_MODEL_ROWS = ("churn_risk_distribution",)
+
+
+def _package_figures(t):
+    """Records and the sum of one figure of each block, read back from the package's texts."""
+    package = report.report_package(t.spark, _report_blocks(t), "1995-01-01", t.end)
+    parts = []
+    for name, figure in _BLOCK_FIGURES.items():
+        kind = f"array<struct<{figure}: decimal(38,2)>>"
+        text = F.when(F.col(name).startswith("["), F.col(name)).otherwise(F.concat(F.lit("["), F.col(name), F.lit("]")))
+        rows = F.from_json(text, kind)
+        total = F.aggregate(rows, F.lit(0).cast("decimal(38,2)"), lambda sum_, row: (sum_ + row[figure]).cast("decimal(38,2)"))
+        count = F.lit(None) if name in _MODEL_ROWS else F.size(rows)
+        parts.append(F.struct(F.lit(name).alias("block"), count.cast("int").alias("records"), total.alias("total")))
+    return package.select(F.inline(F.array(*parts)))
+
+
 REPORT = {
+    "report_package_figures": _package_figures,
     "report_package": lambda t: report.report_package(t.spark, _report_blocks(t), "1995-01-01", t.end),
     "json_safe": lambda t: report.json_safe(_unsafe_numbers(t)).select(
         "customer_id", "gap", F.col("measures")[0].alias("recency"), F.col("measures")[1].alias("per_gap"),

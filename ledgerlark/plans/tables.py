@@ -10,9 +10,9 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.exact import mean
-from ledgerlark.operators import churn, cleaning, features, rfm, scoring, training
+from ledgerlark.operators import audit, churn, cleaning, features, rfm, sales, scoring, training
 from ledgerlark.plans import checks
-from ledgerlark.plans.lineage import cut, scratch_path
+from ledgerlark.plans.lineage import cut, observed, scratch_path
 from ledgerlark.schemas import MODEL_FEATURES
 from ledgerlark.sources import tables as store
 from ledgerlark.sources import testdata
@@ -50,12 +50,33 @@ class Tables:
     # ---- lines ----
 
     @cached_property
+    def written_raw(self):
+        """Raw lines as stored, and what was counted while they were written."""
+        lines = testdata.raw_lines(self.spark, self.sf_dir)
+        lines, counts = observed(lines, audit.missing_measures(lines.columns) | audit.invalid_value_measures(), "raw-lines")
+        return cut(lines, "raw-lines"), counts
+
+    @property
     def raw(self):
-        return cut(testdata.raw_lines(self.spark, self.sf_dir), "raw-lines")
+        return self.written_raw[0]
 
     @cached_property
+    def written_clean(self):
+        """Clean lines as stored, with the month that they are partitioned by, and the violations of
+        their sales counted while they were written."""
+        path = scratch_path(self.spark, "clean-lines")
+        lines = cleaning.clean(self.raw)
+        lines, counts = observed(lines, cleaning.quality_measures(lines.columns, cleaning.is_sale()), "clean-lines")
+        store.write_lines(lines, path)
+        return store.read_lines(self.spark, path), counts
+
+    @property
+    def monthly_clean(self):
+        return self.written_clean[0]
+
+    @property
     def clean(self):
-        return cut(cleaning.clean(self.raw), "clean-lines")
+        return self.monthly_clean.drop(store.MONTH)
 
     @property
     def sales(self):
@@ -65,6 +86,30 @@ class Tables:
     def customer_lines(self):
         return cleaning.customer_lines(self.sales)
 
+    @property
+    def monthly_customer_lines(self):
+        """The same with the stored month, for reports that need some months only."""
+        return cleaning.customer_lines(cleaning.sales_lines(self.monthly_clean))
+
+    @cached_property
+    def report_totals(self):
+        path = scratch_path(self.spark, "report-totals")
+        totals = sales.report_totals(self.sales)
+        totals.write.partitionBy("kind").parquet(path)
+        return self.spark.read.schema(totals.schema).parquet(path)
+
+    @cached_property
+    def count_sketches(self):
+        return cut(sales.count_sketches(self.orders), "count-sketches")
+
+    @property
+    def orders(self):
+        return sales.order_table(self.report_totals)
+
+    @property
+    def sold_products(self):
+        return sales.product_table(self.report_totals)
+
     # ---- customers and products ----
 
     @cached_property
@@ -111,7 +156,7 @@ class Tables:
         return cut(self.build_churn_features(), "churn-features")
 
     def build_churn_features(self):
-        return churn.churn_features(self.customer_lines, self.cutoff)
+        return churn.churn_features(self.monthly_customer_lines, self.cutoff)
 
     @cached_property
     def modeling(self):

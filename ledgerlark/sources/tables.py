@@ -26,9 +26,15 @@ CSV_OPTIONS = {
     "emptyValue": "",
 }
 
+#: The column that stored lines are partitioned by, as 2011-09.
+MONTH = "invoice_month"
+
 #: Partitions of the predictions by customer; an upsert overwrites those of its customers.
 PREDICTION_BUCKETS = 64
 
+#: Buckets of stored tables that are joined by customer.
+JOIN_BUCKETS = 32
+
 # Fixed value: rows per insert batch of the load step.
 LOAD_BATCH_ROWS = 10000
 
@@ -107,8 +113,13 @@ def write_lines(df, path):
     The rebalance hint gathers a month's rows into few files and splits a month that
     outgrows one task.
     """
-    monthly = df.withColumn("invoice_month", F.date_format("invoice_date", "yyyy-MM"))
-    monthly.hint("rebalance", "invoice_month").write.mode("overwrite").partitionBy("invoice_month").parquet(path)
+    monthly = df.withColumn(MONTH, F.date_format("invoice_date", "yyyy-MM"))
+    monthly.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+
+
+def read_lines(spark, path):
+    """Clean lines with the month they are stored by; conditions on it leave out files."""
+    return spark.read.schema(T.StructType([*CLEAN_LINES.fields, T.StructField(MONTH, T.StringType())])).parquet(path)
 
 
 def prepare_lines_for_load(lines):
@@ -134,12 +145,15 @@ def append_lines_jdbc(lines, url, table, properties=None):
     )
 
 
-def materialize(df, target, bucket_by=None, buckets=None):
-    """Store a derived table at a path, or as a catalog table bucketed on a join key."""
+def materialize(df, target, bucket_by=None, buckets=None, path=None):
+    """Store a derived table at a path, or as a catalog table bucketed on a join key (at ``path``, if
+    given). Rows are dealt to their buckets first, so that a bucket is one file and not one a task;
+    tables of as many buckets on the same key then join without a shuffle."""
     if bucket_by is None:
         df.write.mode("overwrite").parquet(target)
-    else:
-        df.write.mode("overwrite").bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(target)
+        return
+    dealt = df.repartition(buckets, bucket_by).write.mode("overwrite").bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    (dealt.option("path", path) if path else dealt).saveAsTable(target)
 
 
 def update_columns(df, assignments):

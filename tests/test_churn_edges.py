@@ -104,7 +104,7 @@ def test_zero_revenue_gives_no_rate(spark):
 def test_empty_lines_give_zeros(spark):
     empty = lines(spark, [])
     modeling = spark.createDataFrame([], CHURN_MODELING)
-    row = sales.executive_kpis(empty, modeling).first()
+    row = sales.executive_kpis(sales.order_table(sales.report_totals(empty)), modeling).first()
     assert row.total_customers == row.total_orders == row.total_quantity == row.churned_customers == 0
     assert row.average_order_value == 0.0 and row.churn_rate == 0.0 and row.first_transaction_date is None
     assert sales.returns_summary(empty, True).first().returned_value == 0
