@@ -9,6 +9,7 @@ CURRENCY_SYMBOL = "£"
 FORBIDDEN_SYMBOL = "$"
 CUSTOMER_PATTERN = r"Customer (\d+)"
 STOCK_CODE_PATTERN = r"Stock Code (\w+)"
+AMOUNT_PATTERN = r"£\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
 THRESHOLD_WORDING = ["LOW < 50%", "MEDIUM >= 50% and < 75%", "HIGH >= 75%"]
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -120,3 +121,28 @@ def report_grounding_check(reports, customers, products):
         .withColumn("passed", F.col("violations") == 0)
         .drop("found")
     )
+
+
+def report_amounts_check(reports, figures):
+    """One row per report: amounts of money in its text, those that no figure supports, and whether
+    there are none.
+
+    ``figures`` (amount) are the verified ones. An amount counts once a report; thousands
+    separators are ignored, and an amount given in whole pounds matches a figure that rounds to it.
+    """
+    said = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(AMOUNT_PATTERN), F.lit(1))))
+    plain = F.replace("said", F.lit(","), F.lit(""))
+    mentions = reports.select("report_id", said.alias("said")).select("report_id", "said", plain.alias("plain"))
+    mentions = mentions.withColumn("whole", ~F.contains("plain", F.lit("."))).withColumn("amount", F.col("plain").cast("decimal(38,2)"))
+    known = figures.select(F.col("amount").cast("decimal(38,2)").alias("amount")).where(F.col("amount").isNotNull())
+    exact = known.select("amount", F.lit(False).alias("whole"))
+    rounded = known.select(F.round("amount", 0).cast("decimal(38,2)").alias("amount"), F.lit(True).alias("whole"))
+    supported = exact.unionByName(rounded).distinct()
+    missing = mentions.join(supported, ["amount", "whole"], "left_anti")
+
+    def counted(rows, name):
+        return rows.groupBy("report_id").agg(F.count(F.lit(1)).alias(name))
+
+    found = reports.select("report_id").distinct().join(counted(mentions, "amounts"), "report_id", "left").join(counted(missing, "unsupported"), "report_id", "left")
+    found = found.withColumns({name: F.coalesce(name, F.lit(0)) for name in ("amounts", "unsupported")})
+    return found.withColumn("passed", F.col("unsupported") == 0)

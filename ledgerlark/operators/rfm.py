@@ -26,19 +26,21 @@ def rfm_score_code(scored):
     return scored.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
 
 
+# Segment names and score bounds, in order of precedence, and the name of all others.
+SEGMENT_RULES = [
+    ("Champions", "r_score >= 4 AND f_score >= 4 AND m_score >= 4"),
+    ("Loyal Customers", "r_score >= 4 AND f_score >= 3 AND m_score >= 3"),
+    ("New / Promising", "r_score >= 4 AND f_score <= 2"),
+    ("At Risk", "r_score <= 2 AND f_score >= 3 AND m_score >= 3"),
+    ("Lost / Inactive", "r_score <= 2 AND f_score <= 2"),
+]
+OTHER_SEGMENT = "Potential Loyalists"
+
+
 def rfm_segment(scored):
     """Name the segment of each score combination; the first matching rule wins."""
-    r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
-    # Segment names and score bounds, in order of precedence.
-    rules = [
-        ("Champions", (r >= 4) & (f >= 4) & (m >= 4)),
-        ("Loyal Customers", (r >= 4) & (f >= 3) & (m >= 3)),
-        ("New / Promising", (r >= 4) & (f <= 2)),
-        ("At Risk", (r <= 2) & (f >= 3) & (m >= 3)),
-        ("Lost / Inactive", (r <= 2) & (f <= 2)),
-    ]
-    matched = F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules], F.lit("Potential Loyalists"))
-    return scored.withColumn("customer_segment", matched)
+    named = [F.when(F.expr(rule), F.lit(name)) for name, rule in SEGMENT_RULES]
+    return scored.withColumn("customer_segment", F.coalesce(*named, F.lit(OTHER_SEGMENT)))
 
 
 def customer_rfm(features, k=5):

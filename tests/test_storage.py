@@ -224,3 +224,13 @@ def test_grounding_rules(spark):
     assert found[("bad", "codes_not_called_customers")] == 1
     assert found[("bad", "stock_codes_exist")] == 1
     assert found[("bad", "thresholds_worded")] == 3
+
+
+def test_amounts_need_a_figure(spark):
+    figures = spark.createDataFrame([("1234.50",), ("99.99",), (None,)], "amount string")
+    texts = spark.createDataFrame(
+        [("good", "£1,234.50 and £ 100, again £1234.50"), ("bad", "£1,234.51, £1,235, £98 and $7"), ("none", "no money"), ("null", None)],
+        "report_id string, text string",
+    )
+    found = {r.report_id: (r.amounts, r.unsupported, r.passed) for r in report.report_amounts_check(texts, figures).collect()}
+    assert found == {"good": (3, 0, True), "bad": (3, 2, False), "none": (0, 0, True), "null": (0, 0, True)}
