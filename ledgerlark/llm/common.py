@@ -24,6 +24,18 @@ def batch_of_rows(schema, rows):
     return batch(schema, *(zip(*rows) if rows else [[] for _ in schema]))
 
 
+#: Rows of a piece of a record batch that is worked on at once.
+PIECE_ROWS = 512
+
+
+def pieces(batches, rows=PIECE_ROWS):
+    """Record batches in small pieces: what a map makes of whole texts on the way is then a
+    few megabytes, however many rows the engine puts in a batch."""
+    for records in batches:
+        for at in range(0, records.num_rows, rows):
+            yield records.slice(at, rows)
+
+
 def lists(record_batch, *names):
     """Columns as Python lists, whatever their order in the batch."""
     return [record_batch.column(record_batch.schema.get_field_index(name)).to_pylist() for name in names]

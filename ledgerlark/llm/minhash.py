@@ -23,7 +23,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import arrow_schema, batch_of_rows, groups, lists, matrix
+from ledgerlark.llm.common import arrow_schema, batch_of_rows, groups, lists, matrix, pieces
 from ledgerlark.llm.components import components
 from ledgerlark.llm.tokens import CACHE_WORDS, Cache, release
 from ledgerlark.plans import lineage
@@ -124,7 +124,7 @@ def _signatures(docs, width):
 
     def sign(batches):
         shingles, last = Shingles(), (None, None)
-        for records in batches:
+        for records in pieces(batches):
             found = []
             for doc_id, text, key in zip(*lists(records, "doc_id", "text", "text_key")):
                 if key != last[0]:
@@ -295,16 +295,10 @@ def _joining(doubtful, classes, docs, width, percent):
     return lineage.cut(_compared(blocks, columns, compare, "a long, b long"), "links")
 
 
-def near_duplicates(docs, width=5, percent=80):
-    """Groups of near-duplicate ``docs`` (doc_id, text): doc_id, n_shingles,
-    component_id, kept. Links join texts with 100 x intersection >= percent x union
-    of their word shingles.
-
-    Texts without words, null ones among them, have no shingles and are linked with
-    nothing. Equal texts are linked. Rows with one doc_id stay rows of their own and
-    count for what their texts are; null ids name no component: a group's component
-    is its smallest id that isn't null, null if there is none. An empty table gives
-    no rows. Other columns are not read."""
+def _grouped(docs, width, percent):
+    """doc_id, text_key (md5), n_shingles, group and component of every row of ``docs``: rows of one
+    group are near-duplicates of each other, a row without words is in none. Two groups have one
+    component if rows of one doc_id differ and each is the smallest of its group."""
     signed = lineage.cut(_signatures(docs, width), "signatures")
     classes = lineage.cut(
         signed.filter("n_shingles > 0")
@@ -327,11 +321,39 @@ def near_duplicates(docs, width=5, percent=80):
         labels = lineage.cut(components(links.union(_joining(doubtful, classes, docs, width, percent))), "labels")
     known = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").select("text_key", "least_id", F.coalesce("root", "class").alias("root"))
     roots = known.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = known.join(roots, "root").select("text_key", "component")
+    named = known.join(roots, "root").select("text_key", "component", F.col("root").alias("group"))
+    return signed.select("doc_id", "n_shingles", "text_key").join(named, "text_key", "left")
+
+
+def near_duplicates(docs, width=5, percent=80):
+    """Groups of near-duplicate ``docs`` (doc_id, text): doc_id, n_shingles,
+    component_id, kept. Links join texts with 100 x intersection >= percent x union
+    of their word shingles.
+
+    Texts without words, null ones among them, have no shingles and are linked with
+    nothing. Equal texts are linked. Rows with one doc_id stay rows of their own and
+    count for what their texts are; null ids name no component: a group's component
+    is its smallest id that isn't null, null if there is none. An empty table gives
+    no rows. Other columns are not read."""
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return (
-        signed.select("doc_id", "n_shingles", "text_key")
-        .join(named, "text_key", "left")
+        _grouped(docs, width, percent)
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def one_of_each(docs, width=5, percent=80):
+    """``docs``, with all their columns, without all but one row of each group of near-duplicates: the
+    row of the smallest doc_id, of several with it that of the smallest md5 of the text, of equal
+    rows any. Rows without words and rows without doc_id all stay."""
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    rows = _grouped(docs, width, percent).filter("n_shingles > 0 and doc_id is not null")
+    least = rows.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    chosen = lineage.cut(least.select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key")), "kept-rows")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("kept_id"), key.alias("kept_key"))
+    # what `bytes.split` of the shingles sees as a word
+    wordless = ~F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    always = F.col("kept_id").isNull() | wordless
+    single = whole.filter(~always).join(chosen, ["kept_id", "kept_key"], "left_semi").dropDuplicates(["kept_id", "kept_key"])
+    return single.select("row.*").unionByName(whole.filter(always).select("row.*"))

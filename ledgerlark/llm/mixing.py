@@ -16,6 +16,7 @@ nothing is written in between and the documents get their rates by the same form
 Tokens are counted with the vocabulary that the texts are packed with.
 """
 
+import itertools
 import logging
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.llm import terms
-from ledgerlark.llm.common import lists
-from ledgerlark.llm.tokens import Counts
+from ledgerlark.llm.common import lists, pieces
+from ledgerlark.llm.tokens import Encoder
 from ledgerlark.plans import lineage
 
 #: Steps of a posterior's square root for the cells, iterations, weight of rates near 1.
@@ -38,6 +39,9 @@ SETTLED = 1e-5
 MISS = 0.01
 PASSES, STEP_ROWS, RATE, PENALTY = 8, 128, 0.3, 1e-3
 
+#: Words of a worker's table.
+TABLE_WORDS = 400_000
+
 DOMAINS = ("low", "clean", "toxic")
 VOCABULARY = "word_bpe_49k.json"
 
@@ -50,6 +54,62 @@ def domain_of_labels(labels):
     return one.select("doc_id", number.cast("int").alias("label"))
 
 
+class Words:
+    """of(texts): the number of each text's ids under a vocabulary and the places of its terms
+    among ``buckets``, from one table of words that serves both.
+
+    A blank-separated word that the table lacks is put together from what is known of its parts,
+    which are far fewer. The table holds at most ``TABLE_WORDS`` words before a piece of the rows and
+    then starts anew, its parts with it."""
+
+    def __init__(self, path, buckets):
+        self.encoder = Encoder(path)
+        self.terms = terms.Terms(buckets, shapes=True)
+        self.size = max(1, len(buckets))
+        self._clear()
+
+    def _clear(self):
+        self.index = {}  # word: its row in the arrays
+        self.encoder.forget_counts()
+        self.terms.parts.clear()
+        self.counts, self.places, self.starts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def _learn(self, words):
+        """Add words to the table."""
+        words = list(words)
+        counts = np.fromiter(map(self.encoder.count_of_word, words), dtype=np.int64, count=len(words))
+        places = self.terms.places_of(words)
+        first = len(self.index)
+        self.index.update(zip(words, range(first, first + len(words))))
+        self.counts = np.concatenate([self.counts, counts])
+        lengths = np.fromiter(map(len, places), dtype=np.int64, count=len(places))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.places = np.concatenate([self.places, np.fromiter(itertools.chain.from_iterable(places), dtype=np.int64, count=int(lengths.sum()))])
+
+    def of(self, texts):
+        """Numbers of ids, and the places of all texts one after another with where each text starts."""
+        if not self.encoder.by_word:
+            return [len(self.encoder._plain(text)) // 4 for text in texts], terms.joined([sorted(self.terms.of(text)) for text in texts])
+        split = [self.encoder.words_of(text) for text in texts]
+        words = list(itertools.chain.from_iterable(split))
+        if len(self.index) > TABLE_WORDS:
+            self._clear()
+        unknown = set(words).difference(self.index)
+        if unknown:
+            self._learn(unknown)
+        row = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        owner = np.repeat(np.arange(len(texts)), [len(part) for part in split])
+        counts = np.bincount(owner, self.counts[row], len(texts)).astype(np.int64)
+        held = np.zeros((len(texts), self.size), dtype=bool)
+        lengths = self.starts[row + 1] - self.starts[row]
+        offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        held[np.repeat(owner, lengths), self.places[np.repeat(self.starts[row], lengths) + offset]] = True
+        for k, text in enumerate(texts):
+            held[k, list(self.terms.shape_of(text))] = True
+        owner, flat = np.nonzero(held)
+        return counts, (flat, np.searchsorted(owner, np.arange(len(texts) + 1)))
+
+
 class Softmax:
     """Log-linear posteriors over classes from places of terms."""
 
@@ -94,24 +154,20 @@ def fit_domains(docs, labels, most=terms.LABELLED):
     return buckets, model
 
 
-def _judged(rows, model, kept, counted=True):
-    """``rows`` (a column ``kept`` and text) with the text gone: ``kept``, n_tokens if
-    ``counted``, and the posterior of each domain."""
+def _judged(rows, model, kept):
+    """``rows`` (a column ``kept`` and text) with the text gone: ``kept``, n_tokens, and the
+    posterior of each domain."""
     buckets, classifier = model
     path = public_tokenizers.path(VOCABULARY)
     names = [f"p_{name}" for name in DOMAINS]
-    counts = [T.StructField("n_tokens", T.LongType())] if counted else []
-    schema = T.StructType([rows.schema[kept], *counts, *(T.StructField(name, T.DoubleType()) for name in names)])
+    schema = T.StructType([rows.schema[kept], T.StructField("n_tokens", T.LongType()), *(T.StructField(name, T.DoubleType()) for name in names)])
 
     def judge(batches):
-        known, count = terms.Terms(buckets, shapes=True), Counts(path).of if counted else None
-        for records in batches:
-            texts = [text or "" for text in lists(records, "text")[0]]
-            flat, starts = terms.joined([sorted(known.of(text)) for text in texts])
-            columns = [records.column(records.schema.get_field_index(kept))]
-            if counted:
-                columns.append(pa.array([count(text) for text in texts], pa.int64()))
-            columns += [pa.array(part) for part in classifier.posterior(flat, starts).T]
+        known = Words(path, buckets)
+        for records in pieces(batches):
+            counts, places = known.of([text or "" for text in lists(records, "text")[0]])
+            columns = [records.column(records.schema.get_field_index(kept)), pa.array(counts, pa.int64())]
+            columns += [pa.array(part) for part in classifier.posterior(*places).T]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return rows.mapInArrow(judge, schema)
@@ -226,11 +282,12 @@ def _copies(doc_id):
 
 
 def mixed(docs, labels, targets, floor=0.0, budget=None, most_growth=None, most=terms.LABELLED):
-    """The rows of ``docs``, with all their columns, as often as ``mixing`` gives copies. The
-    texts are judged again instead of being stored or joined to their rates."""
+    """The rows of ``docs``, with all their columns, as often as ``mixing`` gives copies. Each
+    text is judged once and stored next to its count and posterior."""
     model = fit_domains(docs, domain_of_labels(labels), most)
-    history, step, *_ = fit_rates(posteriors(docs, model), targets, floor, budget, most_growth)
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    rated = _judged(whole, model, "row", counted=False).withColumn("rate", F.round(rate(history, step, floor), 6))
+    rows = lineage.cut(_judged(whole, model, "row"), "judged-rows")
+    history, step, *_ = fit_rates(rows.drop("row"), targets, floor, budget, most_growth)
+    rated = rows.withColumn("rate", F.round(rate(history, step, floor), 6))
     copies = _copies(F.col("row.doc_id").cast("long"))
     return rated.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")

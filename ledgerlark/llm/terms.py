@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import arrow_schema, batch_of_rows, lists
+from ledgerlark.llm.common import arrow_schema, batch_of_rows, lists, pieces
 from ledgerlark.llm.tokens import CACHE_WORDS, Cache, release
 from ledgerlark.plans import lineage
 
@@ -25,6 +25,7 @@ LEAST_DOCS, LEAST_CHI = 4, 12.0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Bytes that may belong to a letter; others end a word.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
+_LETTERS_AND_LINES = _LETTERS[:10] + b"\n" + _LETTERS[11:]
 _BEGINNINGS = (4, 5, 6)
 
 
@@ -32,17 +33,22 @@ def _hashed(term):
     return xxhash.xxh3_64_intdigest(term) % BUCKETS
 
 
-def _letters(text):
+def letters(text):
     """The text in small letters as bytes, blank where no letter can be."""
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS)
 
 
-def _word_terms(raw):
-    found = set()
+def _parts(raw):
+    """A word, and what its beginnings are known by, for each word in small letters."""
     for word in [raw.decode()] if raw.isascii() else _WORD.findall(raw.decode("utf-8", "replace")):
-        found.add(_hashed(word))
-        found.update(_hashed(f"{word[:n]}-") for n in _BEGINNINGS if len(word) >= n)
-    return tuple(found)
+        yield word
+        for n in _BEGINNINGS:
+            if len(word) >= n:
+                yield f"{word[:n]}-"
+
+
+def _word_terms(raw):
+    return tuple({_hashed(part) for part in _parts(raw)})
 
 
 def shape_terms(text, letters):
@@ -66,7 +72,7 @@ class Terms:
         release()
         self.place = None if chosen is None else {bucket: k for k, bucket in enumerate(chosen)}
         self.shapes = shapes
-        self.words = Cache(self._places, CACHE_WORDS, 48)
+        self.words, self.parts = Cache(self._places, CACHE_WORDS, 48), {}
 
     def _known(self, buckets):
         return buckets if self.place is None else tuple(self.place[b] for b in buckets if b in self.place)
@@ -74,14 +80,32 @@ class Terms:
     def _places(self, word):
         return self._known(_word_terms(word))
 
+    def places_of(self, words):
+        """Places of the terms of each of ``words``, which hold no line feeds."""
+        found, parts, none = [], self.parts, frozenset()
+        for raw in "\n".join(words).lower().encode("utf-8", "surrogatepass").translate(_LETTERS_AND_LINES).split(b"\n"):
+            of_word = none
+            for part in raw.split():
+                places = parts.get(part)
+                if places is None:
+                    places = frozenset(self._places(part))
+                    if len(part) <= 48:
+                        parts[part] = places
+                of_word = of_word | places if of_word else places
+            found.append(of_word)
+        return found
+
+    def shape_of(self, text):
+        return self._known(shape_terms(text, letters(text)))
+
     def of(self, text):
         found = set()
-        letters = _letters(text)
-        for places in map(self.words.__getitem__, set(letters.split())):
+        plain = letters(text)
+        for places in map(self.words.__getitem__, set(plain.split())):
             if places:
                 found.update(places)
         if self.shapes:
-            found.update(self._known(shape_terms(text, letters)))
+            found.update(self._known(shape_terms(text, plain)))
         return found
 
 
@@ -95,7 +119,7 @@ def labelled_terms(docs, labels, shapes=False, most=LABELLED):
 
     def extract(batches):
         terms = Terms(shapes=shapes)
-        for records in batches:
+        for records in pieces(batches):
             found = [(doc_id, label, sorted(terms.of(text))) for doc_id, label, text in zip(*lists(records, "doc_id", "label", "text"))]
             yield batch_of_rows(arrow_schema(out), found)
 
@@ -139,6 +163,10 @@ def joined(rows):
 
 
 def row_sums(values, starts):
-    """Sums over each row's slice, 0 for an empty row."""
-    total = np.concatenate([np.zeros((1,) + values.shape[1:]), np.cumsum(values, axis=0)])
-    return total[starts[1:]] - total[starts[:-1]]
+    """Sums over each row's slice, 0 for an empty row. A row's sum depends on its own values
+    only, so equal texts score alike whatever rows stand beside them."""
+    found = np.zeros((len(starts) - 1,) + values.shape[1:])
+    some = np.flatnonzero(starts[1:] > starts[:-1])
+    if len(some):
+        found[some] = np.add.reduceat(values, starts[some], axis=0)
+    return found

@@ -15,8 +15,6 @@ from tokenizers import Tokenizer
 
 #: Entries of a worker's caches of words and of their parts before the older half goes.
 CACHE_WORDS, CACHE_PIECES = 250_000, 120_000
-#: The same for numbers of ids, which are held next to the words of another operator.
-COUNTED_WORDS = 100_000
 #: Longer words are encoded anew each time.
 CACHE_CHARS = 48
 
@@ -81,6 +79,26 @@ class Encoder:
                 text, words = small, self.small
         return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
+    def forget_counts(self):
+        self.part_counts = Cache(lambda piece: len(self._piece(piece)) // 4, CACHE_WORDS, CACHE_CHARS)
+
+    def count_of_word(self, word):
+        """The number of a word's ids; ``forget_counts`` comes first."""
+        if word.isascii() and not any(token in word for token in self.special):
+            if word.isalpha():
+                return self.part_counts[word.lower()]
+            return sum(map(self.part_counts.__getitem__, _LATIN_PATTERN.findall(word.lower())))
+        return len(self._word(word)) // 4
+
+    def words_of(self, text):
+        """The blank-separated words of a text, in small letters where no normal form changes it;
+        their ids one after another are the text's."""
+        if _PLAIN.fullmatch(text):
+            small = text.lower()
+            if not any(token in small for token in self.special):
+                text = small
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def _plain(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -105,26 +123,6 @@ class Encoder:
         return np.array([token.id for token in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
 
 
-class Counts(Encoder):
-    """of(text): the number of the text's ids, from a cache of words' numbers."""
-
-    def __init__(self, path):
-        super().__init__(path)
-        self.numbers = Cache(lambda word: len(self._word(word)) // 4, COUNTED_WORDS, CACHE_CHARS)
-        self.small_numbers = Cache(lambda word: len(self._small_word(word)) // 4, COUNTED_WORDS, CACHE_CHARS)
-        self.pieces = Cache(self._piece, COUNTED_WORDS // 2, CACHE_CHARS)
-
-    def of(self, text):
-        if not self.by_word:
-            return len(self._plain(text)) // 4
-        numbers = self.numbers
-        if _PLAIN.fullmatch(text):
-            small = text.lower()
-            if not any(token in small for token in self.special):
-                text, numbers = small, self.small_numbers
-        return sum(map(numbers.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
-
-
 def _drops_white_space(layout):
     steps = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     return (

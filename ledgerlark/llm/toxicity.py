@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import terms
-from ledgerlark.llm.common import arrow_schema, batch, lists
+from ledgerlark.llm.common import arrow_schema, batch, lists, pieces
 
 #: Factors of a term, passes over the sample, rows a step, step size, penalties.
 FACTORS, PASSES, STEP_ROWS, RATE, PENALTY, PAIR_PENALTY = 4, 12, 128, 0.15, 1e-4, 1e-3
@@ -98,7 +98,7 @@ def keep_below(docs, model, at_least=0.7):
 
     def keep(batches):
         scores = _scores(*model)
-        for records in batches:
+        for records in pieces(batches):
             yield records.filter(pa.array(scores(lists(records, "text")[0]) < at_least))
 
     return docs.mapInArrow(keep, docs.schema)
@@ -110,7 +110,7 @@ def score(docs, model, at_least=0.7):
 
     def judge(batches):
         scores = _scores(*model)
-        for records in batches:
+        for records in pieces(batches):
             ids, texts = lists(records, "doc_id", "text")
             yield batch(arrow_schema(out), ids, scores(texts))
 
