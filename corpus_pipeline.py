@@ -2,8 +2,9 @@
 sources are mixed to target weights, and what remains is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns rows with the columns of ``docs``, the
-last one the pieces of sequences. Null and empty texts pass all filters; rows without an
-id stay, since no group can name them; repeated rows are near-duplicates of each other.
+last one the pieces of sequences. Texts without words pass all filters, repeated ones too; rows
+without an id stay, since no group can name them; repeated rows with words are near-duplicates
+of each other, and rows of one id with different texts are documents of their own.
 """
 
 import public_tokenizers
@@ -26,12 +27,7 @@ def reject_toxic(spark, docs, sf_dir):
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    groups = lineage.cut(minhash.near_duplicates(docs, width=5, percent=80), "near-duplicates")
-    kept = groups.filter("kept").groupBy("doc_id").count()
-    found = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.filter("count > 1").isEmpty():
-        found = found.dropDuplicates(["doc_id", "text"])
-    return found.union(docs.filter("doc_id is null"))
+    return minhash.one_of_each(docs, width=5, percent=80)
 
 
 def mix_domains(spark, docs, sf_dir):
