@@ -48,11 +48,19 @@ def remove_run(spark):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def observed(df, measures, name="observed"):
-    """``df`` with aggregate ``measures`` that are taken in the pass that writes it, and a function
-    that gives them as a frame of one row once it is written."""
+def side_session(spark):
+    """A session of its own for a write that is observed. A session that has observed something
+    can't be sent along with a task any more, which model pipelines of this version do."""
+    side = spark.newSession()
+    side.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return side
+
+
+def observed(spark, df, measures, name="observed"):
+    """``df``, of a side session, with aggregate ``measures`` that are taken in the pass that writes it, and
+    a function that gives them as a frame of one row of ``spark`` once it is written."""
     observation = Observation(name)
-    spark, kinds = df.sparkSession, df.agg(*[column.alias(k) for k, column in measures.items()]).schema
+    kinds = df.agg(*[column.alias(k) for k, column in measures.items()]).schema
 
     def values():
         found = observation.get

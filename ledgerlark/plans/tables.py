@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.exact import mean
 from ledgerlark.operators import audit, churn, cleaning, features, rfm, sales, scoring, training
 from ledgerlark.plans import checks
-from ledgerlark.plans.lineage import cut, observed, scratch_path
+from ledgerlark.plans.lineage import cut, observed, scratch_path, side_session
 from ledgerlark.schemas import MODEL_FEATURES
 from ledgerlark.sources import tables as store
 from ledgerlark.sources import testdata
@@ -51,22 +51,30 @@ class Tables:
 
     @cached_property
     def written_raw(self):
-        """Raw lines as stored, and what was counted while they were written."""
-        lines = testdata.raw_lines(self.spark, self.sf_dir)
-        lines, counts = observed(lines, audit.missing_measures(lines.columns) | audit.invalid_value_measures(), "raw-lines")
-        return cut(lines, "raw-lines"), counts
+        """Raw lines as stored, what was counted while they were written, and their path."""
+        path = scratch_path(self.spark, "raw-lines")
+        lines = testdata.raw_lines(side_session(self.spark), self.sf_dir)
+        measures = audit.missing_measures(lines.columns) | audit.invalid_value_measures()
+        lines, counts = observed(self.spark, lines, measures, "raw-lines")
+        lines.write.parquet(path)
+        return self.spark.read.schema(lines.schema).parquet(path), counts, path
 
     @property
     def raw(self):
         return self.written_raw[0]
 
+    @property
+    def raw_aside(self):
+        """The stored raw lines in a session of their own."""
+        return side_session(self.spark).read.schema(self.raw.schema).parquet(self.written_raw[2])
+
     @cached_property
     def written_clean(self):
         """Clean lines as stored, with the month that they are partitioned by, and the violations of
         their sales counted while they were written."""
         path = scratch_path(self.spark, "clean-lines")
-        lines = cleaning.clean(self.raw)
-        lines, counts = observed(lines, cleaning.quality_measures(lines.columns, cleaning.is_sale()), "clean-lines")
+        lines = cleaning.clean(self.raw_aside)
+        lines, counts = observed(self.spark, lines, cleaning.quality_measures(lines.columns, cleaning.is_sale()), "clean-lines")
         store.write_lines(lines, path)
         return store.read_lines(self.spark, path), counts
 

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from ledgerlark.operators import audit, churn, cleaning, lookup, sales
-from ledgerlark.plans import lineage, registry
+from ledgerlark.plans import checks, lineage, registry
 from ledgerlark.plans.tables import tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -83,13 +83,25 @@ def test_observed_counts_cost_no_scan(t):
 
 
 def test_observed_counts_of_faulty_and_empty_lines(spark, t):
-    for lines in (t.clean.limit(0), cleaning.typed_lines(registry._without_keys(t.raw))):
-        seen, counts = lineage.observed(lines, cleaning.quality_measures(lines.columns, cleaning.is_sale()))
-        lineage.cut(seen)
-        wanted = cleaning.quality_checks(cleaning.sales_lines(lines))
+    for lines in (cleaning.clean(t.raw_aside.limit(0)), cleaning.typed_lines(registry._without_keys(t.raw_aside))):
+        seen, counts = lineage.observed(spark, lines, cleaning.quality_measures(lines.columns, cleaning.is_sale()))
+        stored = spark.read.parquet(written(seen))
+        wanted = cleaning.quality_checks(cleaning.sales_lines(stored))
         assert cleaning.quality_table(counts()).exceptAll(wanted).count() == 0
 
 
+def written(frame):
+    path = lineage.scratch_path(frame.sparkSession, "seen")
+    frame.write.parquet(path)
+    return path
+
+
+def test_models_fit_after_observed_writes(t):
+    """Observing a write leaves the session fit for model pipelines."""
+    assert t.written_clean[1]().count() == 1
+    assert checks.logistic_model(t.split, t.logistic).first().at_rest
+
+
 def test_sketches_are_read_instead_of_orders(t):
     estimate = sales.estimated_counts(t.count_sketches, "country")
     assert scans(estimate, "report-totals") == scans(estimate, "clean-lines") == 0 and scans(estimate, "count-sketches") == 1
