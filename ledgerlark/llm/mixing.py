@@ -22,6 +22,7 @@ import logging
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +40,8 @@ SETTLED = 1e-5
 MISS = 0.01
 PASSES, STEP_ROWS, RATE, PENALTY = 8, 128, 0.3, 1e-3
 
-#: Words of a worker's table.
-TABLE_WORDS = 400_000
+#: Words of a worker's table, and their characters.
+TABLE_WORDS, TABLE_CHARS = 400_000, 16_000_000
 
 DOMAINS = ("low", "clean", "toxic")
 VOCABULARY = "word_bpe_49k.json"
@@ -59,28 +60,28 @@ class Words:
     among ``buckets``, from one table of words that serves both.
 
     A blank-separated word that the table lacks is put together from what is known of its parts,
-    which are far fewer. The table holds at most ``TABLE_WORDS`` words before a piece of the rows and
-    then starts anew, its parts with it."""
+    which are far fewer. The different words of a piece of the rows are found by a dictionary encoding, so
+    that each is looked up once. The table holds at most ``TABLE_WORDS`` words, or ``TABLE_CHARS``
+    characters of them, before a piece of the rows and then starts anew; so do the parts."""
 
     def __init__(self, path, buckets):
         self.encoder = Encoder(path)
         self.terms = terms.Terms(buckets, shapes=True)
         self.size = max(1, len(buckets))
+        self.encoder.forget_counts()
         self._clear()
 
     def _clear(self):
-        self.index = {}  # word: its row in the arrays
-        self.encoder.forget_counts()
-        self.terms.parts.clear()
+        self.index, self.chars = {}, 0  # word: its row in the arrays
         self.counts, self.places, self.starts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def _learn(self, words):
         """Add words to the table."""
-        words = list(words)
-        counts = np.fromiter(map(self.encoder.count_of_word, words), dtype=np.int64, count=len(words))
+        counts = np.array(self.encoder.counts_of(words), dtype=np.int64)
         places = self.terms.places_of(words)
         first = len(self.index)
         self.index.update(zip(words, range(first, first + len(words))))
+        self.chars += sum(map(len, words))
         self.counts = np.concatenate([self.counts, counts])
         lengths = np.fromiter(map(len, places), dtype=np.int64, count=len(places))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
@@ -90,18 +91,28 @@ class Words:
         """Numbers of ids, and the places of all texts one after another with where each text starts."""
         if not self.encoder.by_word:
             return [len(self.encoder._plain(text)) // 4 for text in texts], terms.joined([sorted(self.terms.of(text)) for text in texts])
-        split = [self.encoder.words_of(text) for text in texts]
-        words = list(itertools.chain.from_iterable(split))
-        if len(self.index) > TABLE_WORDS:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.index) > TABLE_WORDS or self.chars > TABLE_CHARS:
             self._clear()
-        unknown = set(words).difference(self.index)
+        if max(len(self.terms.parts), len(self.encoder.part_counts)) > TABLE_WORDS:
+            self.terms.parts.clear()
+            self.encoder.forget_counts()
+        rows = list(map(self.index.get, words))
+        unknown = [k for k, row in enumerate(rows) if row is None]
         if unknown:
-            self._learn(unknown)
-        row = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-        owner = np.repeat(np.arange(len(texts)), [len(part) for part in split])
+            first = len(self.index)
+            self._learn([words[k] for k in unknown])
+            for row, k in enumerate(unknown, first):
+                rows[k] = row
+        row = np.array(rows, dtype=np.int64)[coded.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         counts = np.bincount(owner, self.counts[row], len(texts)).astype(np.int64)
         held = np.zeros((len(texts), self.size), dtype=bool)
         lengths = self.starts[row + 1] - self.starts[row]
+        some = np.flatnonzero(lengths)
+        row, owner, lengths = row[some], owner[some], lengths[some]
         offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         held[np.repeat(owner, lengths), self.places[np.repeat(self.starts[row], lengths) + offset]] = True
         for k, text in enumerate(texts):

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import arrow_schema, batch_of_rows, lists, pieces
-from ledgerlark.llm.tokens import CACHE_WORDS, Cache, release
+from ledgerlark.llm.tokens import CACHE_PIECES, CACHE_WORDS, Cache, release
 from ledgerlark.plans import lineage
 
 #: Hash buckets, terms kept for a model, labelled rows fitted on.
@@ -38,17 +38,9 @@ def letters(text):
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS)
 
 
-def _parts(raw):
-    """A word, and what its beginnings are known by, for each word in small letters."""
-    for word in [raw.decode()] if raw.isascii() else _WORD.findall(raw.decode("utf-8", "replace")):
-        yield word
-        for n in _BEGINNINGS:
-            if len(word) >= n:
-                yield f"{word[:n]}-"
-
-
-def _word_terms(raw):
-    return tuple({_hashed(part) for part in _parts(raw)})
+def _beginnings(stem):
+    """The buckets of the beginnings of a word's first letters."""
+    return tuple(_hashed(f"{stem[:n]}-") for n in _BEGINNINGS if len(stem) >= n)
 
 
 def shape_terms(text, letters):
@@ -70,28 +62,37 @@ class Terms:
 
     def __init__(self, chosen=None, shapes=False):
         release()
-        self.place = None if chosen is None else {bucket: k for k, bucket in enumerate(chosen)}
+        self.known = int if chosen is None else {bucket: k for k, bucket in enumerate(chosen)}.get
         self.shapes = shapes
         self.words, self.parts = Cache(self._places, CACHE_WORDS, 48), {}
+        self.stems = Cache(lambda stem: self._known(_beginnings(stem)), CACHE_PIECES, 48)
 
     def _known(self, buckets):
-        return buckets if self.place is None else tuple(self.place[b] for b in buckets if b in self.place)
-
-    def _places(self, word):
-        return self._known(_word_terms(word))
+        return tuple(place for place in map(self.known, buckets) if place is not None)
+
+    def _places(self, raw):
+        """Words share their beginnings, so a new word costs one hash mostly."""
+        found = ()
+        for word in (raw.decode(),) if raw.isascii() else _WORD.findall(raw.decode("utf-8", "replace")):
+            own = self.known(_hashed(word))
+            if own is not None:
+                found += (own,)
+            if len(word) >= _BEGINNINGS[0]:
+                found += self.stems[word[: _BEGINNINGS[-1]]]
+        return found
 
     def places_of(self, words):
-        """Places of the terms of each of ``words``, which hold no line feeds."""
-        found, parts, none = [], self.parts, frozenset()
+        """Places of the terms of each of ``words``, which hold no line feeds; some more than once."""
+        found, parts = [], self.parts
         for raw in "\n".join(words).lower().encode("utf-8", "surrogatepass").translate(_LETTERS_AND_LINES).split(b"\n"):
-            of_word = none
+            of_word = ()
             for part in raw.split():
                 places = parts.get(part)
                 if places is None:
-                    places = frozenset(self._places(part))
+                    places = self._places(part)
                     if len(part) <= 48:
                         parts[part] = places
-                of_word = of_word | places if of_word else places
+                of_word += places
             found.append(of_word)
         return found
 

@@ -59,10 +59,7 @@ class Encoder:
     """ids(text): the text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path):
-        self.tokenizer = Tokenizer.from_file(path)
-        layout = json.loads(self.tokenizer.to_str())
-        self.by_word = _drops_white_space(layout)
-        self.special = [token["content"] for token in layout["added_tokens"]]
+        self.tokenizer, self.by_word, self.special = _loaded(path)
         self.letters = _byte_letters()
         self.words = Cache(self._word, CACHE_WORDS, CACHE_CHARS)
         self.small = Cache(self._small_word, CACHE_WORDS, CACHE_CHARS)
@@ -80,24 +77,28 @@ class Encoder:
         return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     def forget_counts(self):
-        self.part_counts = Cache(lambda piece: len(self._piece(piece)) // 4, CACHE_WORDS, CACHE_CHARS)
-
-    def count_of_word(self, word):
-        """The number of a word's ids; ``forget_counts`` comes first."""
-        if word.isascii() and not any(token in word for token in self.special):
-            if word.isalpha():
-                return self.part_counts[word.lower()]
-            return sum(map(self.part_counts.__getitem__, _LATIN_PATTERN.findall(word.lower())))
-        return len(self._word(word)) // 4
-
-    def words_of(self, text):
-        """The blank-separated words of a text, in small letters where no normal form changes it;
-        their ids one after another are the text's."""
-        if _PLAIN.fullmatch(text):
-            small = text.lower()
-            if not any(token in small for token in self.special):
-                text = small
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.part_counts = {}
+
+    def counts_of(self, words):
+        """The number of ids of each of ``words``, which hold no ASCII white space, from the
+        numbers of their parts; ``forget_counts`` comes first."""
+        known, found, tokenize = self.part_counts, [], self.tokenizer.model.tokenize
+        held = "\n".join(words)
+        special = [token for token in self.special if token in held]
+        for word in words:
+            if not (word.isascii() or _PLAIN.fullmatch(word)) or special and any(token in word for token in special):
+                found.append(len(self._word(word)) // 4)
+                continue
+            small, total = word.lower(), 0
+            for part in (small,) if small.isalpha() else _LATIN_PATTERN.findall(small):
+                count = known.get(part)
+                if count is None:
+                    count = len(tokenize(self._spelling(part)))
+                    if len(part) <= CACHE_CHARS:
+                        known[part] = count
+                total += count
+            found.append(total)
+        return found
 
     def _plain(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -116,8 +117,11 @@ class Encoder:
             return self._piece(word)
         return b"".join(map(self.pieces.__getitem__, _LATIN_PATTERN.findall(word)))
 
+    def _spelling(self, piece):
+        return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+
     def _piece(self, piece):
-        return self._spelt(piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters))
+        return self._spelt(self._spelling(piece))
 
     def _spelt(self, piece):
         return np.array([token.id for token in self.tokenizer.model.tokenize(piece)], dtype="<u4").tobytes()
@@ -134,6 +138,15 @@ def _drops_white_space(layout):
     )
 
 
+@functools.lru_cache(maxsize=2)
+def _loaded(path):
+    """A vocabulary file: the library's tokenizer, whether its words stand alone, its added tokens.
+    It stays in a worker, as it doesn't grow with the texts."""
+    tokenizer = Tokenizer.from_file(path)
+    layout = json.loads(tokenizer.to_str())
+    return tokenizer, _drops_white_space(layout), [token["content"] for token in layout["added_tokens"]]
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path):
     """One encoder for each worker process and vocabulary file."""
