@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ledgerlark.llm import terms
 from ledgerlark.llm.common import lists, pieces
-from ledgerlark.llm.tokens import Encoder
+from ledgerlark.llm.tokens import Encoder, held
 from ledgerlark.plans import lineage
 
 #: Steps of a posterior's square root for the cells, iterations, weight of rates near 1.
@@ -62,7 +62,8 @@ class Words:
     A blank-separated word that the table lacks is put together from what is known of its parts,
     which are far fewer. The different words of a piece of the rows are found by a dictionary encoding, so
     that each is looked up once. The table holds at most ``TABLE_WORDS`` words, or ``TABLE_CHARS``
-    characters of them, before a piece of the rows and then starts anew; so do the parts."""
+    characters of them, before a piece of the rows; then the words that several pieces had stay,
+    half a table at most, and the parts start anew. A worker keeps the table for its later tasks."""
 
     def __init__(self, path, buckets):
         self.encoder = Encoder(path)
@@ -74,18 +75,37 @@ class Words:
     def _clear(self):
         self.index, self.chars = {}, 0  # word: its row in the arrays
         self.counts, self.places, self.starts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.pieces = np.zeros(0, dtype=np.int32)  # pieces of the rows that had the word
+
+    def _thin(self):
+        """Keep the words of most pieces."""
+        kept = np.flatnonzero(self.pieces > 1)
+        kept = np.sort(kept[np.argsort(-self.pieces[kept], kind="stable")[: TABLE_WORDS // 2]])
+        chosen = np.zeros(len(self.index), dtype=bool)
+        chosen[kept] = True
+        words = list(itertools.compress(self.index, chosen))
+        chars, counts, starts, places = sum(map(len, words)), self.counts[kept], self.starts, self.places
+        self._clear()
+        if 2 * chars > TABLE_CHARS:
+            return
+        lengths = starts[kept + 1] - starts[kept]
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.places = places[np.arange(lengths.sum()) + np.repeat(starts[kept] - self.starts[:-1], lengths)]
+        self.counts, self.chars, self.pieces = counts, chars, np.zeros(len(kept), dtype=np.int32)
+        self.index = dict(zip(words, range(len(words))))
 
     def _learn(self, words):
         """Add words to the table."""
         counts = np.array(self.encoder.counts_of(words), dtype=np.int64)
         places = self.terms.places_of(words)
         first = len(self.index)
-        self.index.update(zip(words, range(first, first + len(words))))
         self.chars += sum(map(len, words))
+        self.pieces = np.concatenate([self.pieces, np.zeros(len(words), dtype=np.int32)])
         self.counts = np.concatenate([self.counts, counts])
         lengths = np.fromiter(map(len, places), dtype=np.int64, count=len(places))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.places = np.concatenate([self.places, np.fromiter(itertools.chain.from_iterable(places), dtype=np.int64, count=int(lengths.sum()))])
+        self.index.update(zip(words, range(first, first + len(words))))
 
     def of(self, texts):
         """Numbers of ids, and the places of all texts one after another with where each text starts."""
@@ -95,7 +115,7 @@ class Words:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.index) > TABLE_WORDS or self.chars > TABLE_CHARS:
-            self._clear()
+            self._thin()
         if max(len(self.terms.parts), len(self.encoder.part_counts)) > TABLE_WORDS:
             self.terms.parts.clear()
             self.encoder.forget_counts()
@@ -106,7 +126,9 @@ class Words:
             self._learn([words[k] for k in unknown])
             for row, k in enumerate(unknown, first):
                 rows[k] = row
-        row = np.array(rows, dtype=np.int64)[coded.indices.to_numpy()]
+        rows = np.array(rows, dtype=np.int64)
+        self.pieces[rows] += 1
+        row = rows[coded.indices.to_numpy()]
         owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         counts = np.bincount(owner, self.counts[row], len(texts)).astype(np.int64)
         held = np.zeros((len(texts), self.size), dtype=bool)
@@ -168,13 +190,13 @@ def fit_domains(docs, labels, most=terms.LABELLED):
 def _judged(rows, model, kept):
     """``rows`` (a column ``kept`` and text) with the text gone: ``kept``, n_tokens, and the
     posterior of each domain."""
-    buckets, classifier = model
+    buckets, classifier = tuple(model[0]), model[1]
     path = public_tokenizers.path(VOCABULARY)
     names = [f"p_{name}" for name in DOMAINS]
     schema = T.StructType([rows.schema[kept], T.StructField("n_tokens", T.LongType()), *(T.StructField(name, T.DoubleType()) for name in names)])
 
     def judge(batches):
-        known = Words(path, buckets)
+        known = held(Words, path, buckets)
         for records in pieces(batches):
             counts, places = known.of([text or "" for text in lists(records, "text")[0]])
             columns = [records.column(records.schema.get_field_index(kept)), pa.array(counts, pa.int64())]

@@ -147,16 +147,27 @@ def _loaded(path):
     return tokenizer, _drops_white_space(layout), [token["content"] for token in layout["added_tokens"]]
 
 
-@functools.lru_cache(maxsize=2)
+#: What this worker process holds from task to task: one entry.
+_held = {}
+
+
+def held(make, *key):
+    """make(*key), which this worker keeps until other caches are asked for."""
+    if (make, key) not in _held:
+        release()
+        _held[make, key] = make(*key)
+    return _held[make, key]
+
+
 def encoder(path):
-    """One encoder for each worker process and vocabulary file."""
-    return Encoder(path)
+    """The worker's encoder for a vocabulary file."""
+    return held(Encoder, path)
 
 
 def release():
-    """Give up the caches of encoders. Workers outlive a stage; other operators call this
+    """Give up the caches held. Workers outlive a stage; other operators call this
     first, so that a worker holds the words of one operator at a time."""
-    encoder.cache_clear()
+    _held.clear()
 
 
 def end_bytes(end_id):

@@ -4,9 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from ledgerlark.llm import mixing, terms, toxicity
+from ledgerlark.llm.tokens import Encoder
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +162,25 @@ def test_tokens_are_those_of_the_vocabulary_and_posteriors_unrounded(spark, make
     for k, text in [*enumerate(texts, 7000), *pairs[:20]]:
         assert rows[k].n_tokens == len(library.encode(text or "", add_special_tokens=False).ids)
     assert any(0 < r.p_toxic < 1 / 512 for r in rows.values())
+
+
+def test_a_small_table_of_words_changes_nothing(monkeypatch):
+    """Counts and terms are the same whatever words a worker's table still holds."""
+    numbers = np.random.default_rng(5)
+    texts = [" ".join(f"Wort{numbers.zipf(1.3) % 900}x{k % 3}," for k in range(40)) for _ in range(600)] + ["", "é ß" * 5]
+    path, buckets = public_tokenizers.path(mixing.VOCABULARY), sorted({terms._hashed(f"wort{k}") for k in range(50)} | {terms._hashed("wort-")})
+
+    def judged():
+        words, found = mixing.Words(path, buckets), []
+        for at in range(0, len(texts), 20):
+            counts, (flat, starts) = words.of(texts[at : at + 20])
+            found.append((counts.tolist(), flat.tolist(), starts.tolist()))
+        return found, len(words.index)
+
+    whole, most = judged()
+    assert [n for counts, *_ in whole for n in counts] == [len(Encoder(path).ids(text)) // 4 for text in texts]
+    for words, chars in ((most // 4, 10**6), (most, 2000)):
+        monkeypatch.setattr(mixing, "TABLE_WORDS", words)
+        monkeypatch.setattr(mixing, "TABLE_CHARS", chars)
+        small, held = judged()
+        assert small == whole and held < most
