@@ -70,18 +70,25 @@ _GONE_ROLES = set("navigation banner contentinfo complementary search dialog ale
 _MAIN_WORDS = set("articlebody".split())
 #: A class or id with one of these pieces says what a page has or is, not what a region is.
 _SAYS = set("has have no not without with is hide show page layout template enabled disabled active open".split())
+#: Texts of an article that a class or id does not make a region: paragraphs go only by a class of
+#: _NEVER, headings and cells never.
+_HEADINGS = set("h1 h2 h3 h4 h5 h6 td th caption figcaption".split())
+_TEXTS = _HEADINGS | {"p"}
+#: What else the id of a region inside an article may say; other words make it the slug of a heading.
+_REGION_WORDS = set("section list area thread box block wrap wrapper container form content holder panel body post article page site title count main top bottom left right js id".split())
 #: Regions that go however much they hold, if their class or id has such a piece.
 _NEVER = set("comment comments disqus respond reply replies ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies".split())
 
 
 def _symbol(name, attributes):
-    """An element's name with its role and the words of its class and id, each with its
+    """An element's name with its role, its id and the words of its class, each with its
     hyphens, numbers left out."""
     words = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         if key.lower() in ("class", "id", "role", "itemprop"):
             value = "".join(values).lower()
-            words.update(f"role={word}" for word in value.split()) if key.lower() == "role" else words.update("-".join(_WORD.findall(word)) for word in value.split())
+            sign = {"role": "role=", "id": "id="}.get(key.lower(), "")
+            words.update(sign + (word if sign == "role=" else own) for word in value.split() if (own := "-".join(_WORD.findall(word))) or sign == "role=")
     return " ".join([name, *sorted(words - {""})])
 
 
@@ -169,7 +176,14 @@ def _gone(symbol, inside):
     holds most text, as forms around a page do; ``inside``: it lies in the article."""
     name, *words = symbol.split(" ")
     roles = {word[5:] for word in words if word.startswith("role=")}
-    words = {word for word in words if not word.startswith("role=")}
+    ids = {word[3:] for word in words if word.startswith("id=")}
+    words = {word for word in words if not word.startswith(("role=", "id="))}
+    if inside and name in _TEXTS:
+        return 2 * bool(words & _NEVER and name not in _HEADINGS)
+    if inside:
+        # headings lend their words to the ids of sections
+        ids = {word for word in ids if set(word.split("-")) <= _GONE_WORDS | _REGION_WORDS}
+    words |= ids
     pieces = set().union(*(own for word in words if not (own := set(word.split("-"))) & _SAYS))
     if name in ("html", "body", "article", "main"):
         return 2 * bool(pieces & {"comment", "comments", "reply", "advert", "ad"} and name == "article")
@@ -181,7 +195,7 @@ def _gone(symbol, inside):
 
 def _main(symbol):
     name, *words = symbol.split(" ")
-    return name in ("article", "main") or "role=main" in words or "role=article" in words or bool(_MAIN_WORDS & set(words))
+    return name in ("article", "main") or "role=main" in words or "role=article" in words or bool(_MAIN_WORDS & {word.removeprefix("id=") for word in words})
 
 
 def _size(node, inside):

@@ -157,3 +157,34 @@ def test_the_wrapper_decides_on_hosts_with_articles():
     # a form with most of what varies stays on pages where it is short
     forms = [f"<body><form><p>{f'Words of story {k}. ' * (9 if k else 1)}</p></form><div>Place {k} and a date</div></body>" for k in range(6)]
     assert wrappers.main_text(forms[0], host_wrapper(forms), 6) == "Words of story 0. Place 0 and a date"
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        "<h2 id='navigation'>{}</h2>",
+        "<h3 class='footer' id='related-work'>{}</h3>",
+        "<section id='reply-to-critics'><p>{}</p></section>",
+        "<div id='search-methods'>{}</div>",
+        "<p class='login'>{}</p>",
+        "<table><tr><td class='ad' id='menu'>{}</td></tr></table>",
+    ],
+)
+@pytest.mark.parametrize("same", [True, False])
+def test_words_of_headings_are_no_regions(block, same):
+    """Slugs of headings and classes of texts inside an article cost nothing, on one page and on a host's."""
+    pages = [f"<body><nav>menu</nav><article><p>{k} opens {'plainly ' * 9}</p>{block.format(f'kept {k}')}<p>{k} ends</p></article></body>" for k in range(6)]
+    if not same:
+        pages[1:] = [page.replace(block.format(f"kept {k}"), "") for k, page in enumerate(pages[1:], 1)]
+    wrapper = functools.reduce(wrappers.merge, [wrappers.wrapper_of(wrappers.parse(page)) for page in pages])
+    wanted = f"0 opens {'plainly ' * 9}kept 0 0 ends"
+    assert wrappers.main_text(pages[0]) == wanted
+    assert wrappers.main_text(pages[0], wrapper, len(pages)) == wanted
+
+
+@pytest.mark.parametrize(
+    "block",
+    ["<div id='disqus_thread'>x</div>", "<section id='comments'><p>x</p></section>", "<ol id='comment-list'><li>x</ol>", "<div class='reader-comments'>x</div>", "<p class='ad'>x</p>", "<div class='ad' id='a1'>x</div>"],
+)
+def test_comments_and_adverts_inside_articles_go(block):
+    assert wrappers.main_text(f"<body><article><p>A text</p>{block}<p>goes on</p></article></body>") == "A text goes on"
