@@ -7,7 +7,8 @@ much is pruned, never what is found. For a query of length |q| and a block whose
 longest vector has length l, a candidate counts only if its cosine reaches
 score / (|q| l), the local threshold:
 
-* above 1 the block is skipped;
+* above 1 the block is skipped; by the longest vector of its bucket the query is not even
+  sent there, nor a candidate to queries that its length cannot serve;
 * high thresholds prune by coordinates: on the query's largest coordinates, a unit
   vector of such a cosine lies in a known interval;
 * low ones prune by length: of the candidates in falling length, a prefix remains.
@@ -93,6 +94,44 @@ def _search(queries, floor, query_ids, candidates, ids, k):
             yield q, ids[:stop], row
 
 
+def _in_reach_of(need, length):
+    """Whether vectors of a length reach a need: a floor by the query's length."""
+    return need <= length * (1 + _SLACK)
+
+
+def _need():
+    return F.when(F.col("floor") <= 0, F.lit(0.0)).when(F.col("length") > 0, F.col("floor") / F.col("length")).otherwise(float("inf"))
+
+
+def _needs(floors, parts):
+    """The least need among the queries of each part."""
+    least = {row["part"]: row["need"] for row in floors.groupBy("part").agg(F.min(_need()).alias("need")).collect()}
+    return [least.get(part, math.inf) for part in range(parts)]
+
+
+def _asking(floors, sizes):
+    """Queries dealt to the blocks of the buckets whose longest vector reaches their need;
+    ``sizes`` has one row for each ratio of lengths."""
+    buckets = F.array(*[F.struct(*[F.lit(row[name]).alias(name) for name in ("bucket", "blocks", "longest")]) for row in sizes])
+    return (
+        floors.withColumn("own", F.explode(buckets))
+        .filter(_in_reach_of(_need(), F.col("own.longest")))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own.blocks") - 1)))
+        .select("part", "own.bucket", "block", F.lit(1).alias("asks"), "vec_id", "row", "floor", "vector")
+    )
+
+
+def _offered(stored, sizes, needs):
+    """Candidates dealt to a block of their bucket, once for each part of the queries with a
+    need, out of ``needs``, that their length reaches."""
+    return (
+        stored.join(F.broadcast(sizes), "bucket")
+        .select("*", F.posexplode(F.array(*[F.lit(float(need)) for need in needs])).alias("part", "need"))
+        .filter(_in_reach_of(F.col("need"), F.col("length")))
+        .select("part", "bucket", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "row", F.lit(0.0).alias("floor"), "vector")
+    )
+
+
 def top_products(vectors, k=10, every=100, scale=1024):
     """For each query, a row of ``vectors`` (vec_id, embedding) whose id is divisible by
     ``every``, the k rows with the highest inner products: query_id, rank, vec_id, score.
@@ -115,7 +154,7 @@ def top_products(vectors, k=10, every=100, scale=1024):
         .withColumn("row", F.monotonically_increasing_id()),
         "whole-vectors",
     )
-    sizes = stored.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = stored.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("length").alias("longest"))
     queries = stored.filter(F.col("vec_id") % every == 0)
     parts = max(1, math.ceil(queries.count() / QUERIES))
     longest = stored.orderBy(F.desc("length"), "row").limit(SEED // 2)
@@ -138,28 +177,11 @@ def top_products(vectors, k=10, every=100, scale=1024):
                     floor[q] = float(np.partition(rest, len(rest) - k)[len(rest) - k])
             yield batch(arrow_schema(asked), ids, records.column("row"), records.column("part"), floor)
 
-    floors = queries.select("vec_id", "row", "vector", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")).mapInArrow(begin, asked)
-    # one row for each ratio of lengths
-    buckets = F.array(*[F.struct(F.lit(row["bucket"]).alias("bucket"), F.lit(row["blocks"]).alias("blocks")) for row in sizes.collect()])
     if not seed:
         return vectors.sparkSession.createDataFrame([], RESULT)
-    # each query meets every block of every bucket, each candidate every part of the queries
-    asking = (
-        floors.join(queries.select("row", "vector"), "row")
-        .withColumn("own", F.explode(buckets))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own.blocks") - 1)))
-        .select("part", "own.bucket", "block", F.lit(1).alias("asks"), "vec_id", "row", "floor", "vector")
-    )
-    offered = stored.join(F.broadcast(sizes), "bucket").select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-        "bucket",
-        F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"),
-        F.lit(0).alias("asks"),
-        "vec_id",
-        "row",
-        F.lit(0.0).alias("floor"),
-        "vector",
-    )
+    floors = queries.select("vec_id", "row", "vector", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")).mapInArrow(begin, asked)
+    floors = lineage.cut(floors.join(queries.select("row", "length", "vector"), "row"), "query-floors")
+    asking, offered = _asking(floors, sizes.collect()), _offered(stored, sizes, _needs(floors, parts))
     out = "query_row long, query_id long, vec_id long, score long"
 
     def search(batches):

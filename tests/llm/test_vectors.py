@@ -85,3 +85,23 @@ def test_coordinates_never_lose_a_candidate(threshold):
     for query in [*unit[:20], np.array([1.0, 0, 0, 0])]:
         keep = topk._in_reach(query, unit, threshold)
         assert not (unit @ query >= threshold)[~keep].any()
+
+
+def test_buckets_out_of_reach_are_not_dealt(spark, make_vectors, monkeypatch):
+    """Neither queries nor candidates go where lengths rule a result out, and nothing is lost."""
+    random, dealt = np.random.default_rng(8), {}
+    rows = [(k, (random.normal(size=8) * (100 if k < 60 else 1.05 ** (k % 40) / 50)).tolist()) for k in range(1200)]
+    for name in ("_asking", "_offered"):
+        monkeypatch.setattr(topk, name, lambda *given, name=name, own=getattr(topk, name): dealt.setdefault(name, own(*given)))
+    found = sorted(tuple(r) for r in topk.top_products(make_vectors(rows), 5, 20).collect())
+    whole = {k: [math.floor(1024 * float(np.float32(x))) for x in v] for k, v in rows}
+    wanted = []
+    for q in range(0, 1200, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], y)), k) for k, y in whole.items() if k != q)[:5]
+        wanted += [(q, rank + 1, k, -score) for rank, (score, k) in enumerate(best)]
+    assert found == sorted(wanted)
+    lengths = {k: math.sqrt(sum(x * x for x in v)) for k, v in whole.items()}
+    many = len({math.floor(math.log(length) / math.log(topk.RATIO)) for length in lengths.values()})
+    # sixty long vectors hold all results: short candidates stay where they are, and queries skip their buckets
+    assert 60 <= dealt["_offered"].count() < 200
+    assert dealt["_asking"].count() < 60 * many / 2
