@@ -7,6 +7,9 @@ from pyspark.sql import Observation
 
 _local_dirs = {}
 
+#: Partitions that a side session shuffles lines to before small ones are put together; with few, each would spill.
+LINE_PARTITIONS = 512
+
 
 def shared_dir(spark):
     """The folder named by ``spark.checkpoint.dir``.
@@ -52,7 +55,9 @@ def side_session(spark):
     """A session of its own for a write that is observed. A session that has observed something
     can't be sent along with a task any more, which model pipelines of this version do."""
     side = spark.newSession()
-    side.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    side.conf.set("spark.sql.shuffle.partitions", partitions)
+    side.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(LINE_PARTITIONS, int(partitions))))
     return side
 
 

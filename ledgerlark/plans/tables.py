@@ -75,7 +75,7 @@ class Tables:
         path = scratch_path(self.spark, "clean-lines")
         lines = cleaning.clean(self.raw_aside)
         lines, counts = observed(self.spark, lines, cleaning.quality_measures(lines.columns, cleaning.is_sale()), "clean-lines")
-        store.write_lines(lines, path)
+        store.write_lines(lines, path, dealt=True)
         return store.read_lines(self.spark, path), counts
 
     @property

@@ -107,14 +107,15 @@ def write_clean_csv(df, path):
     _texts(df, _one_line).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
-def write_lines(df, path):
+def write_lines(df, path, dealt=False):
     """Clean lines as parquet, partitioned by month so that date cut-offs prune files.
 
     The rebalance hint gathers a month's rows into few files and splits a month that
-    outgrows one task.
+    outgrows one task. Lines ``dealt`` by ranges of time already, as ``cleaning.clean`` leaves
+    them, are written as they are.
     """
     monthly = df.withColumn(MONTH, F.date_format("invoice_date", "yyyy-MM"))
-    monthly.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    (monthly if dealt else monthly.hint("rebalance", MONTH)).write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
 def read_lines(spark, path):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators import audit, cleaning
 from ledgerlark.schemas import CLEAN_LINES, TRANSACTIONS
+from ledgerlark.sources import tables as store
 
 HEADER = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 ROWS = [
@@ -90,3 +91,18 @@ def test_describe_mixed_columns(spark):
     assert (found["nothing"].value_count, found["nothing"].top_value, found["nothing"].top_count) == (0, None, None)
     assert (found["n"].value_count, found["n"].mean_value, found["n"].p50, found["n"].max_value) == (4, 4.0, 2.5, 10.0)
     assert found["n"].top_value is None and found["t"].mean_value is None
+
+
+def test_lines_are_shuffled_once_until_they_are_stored_by_month(spark, raw, tmp_path):
+    """Equal rows and months meet by one shuffle, and no aggregate holds all rows of a task before it."""
+    many = spark.createDataFrame(ROWS * 2 + ROWS[:1] * 50, raw.schema)
+    lines = cleaning.clean(many)
+    monthly = lines.withColumn("month", F.date_format("invoice_date", "yyyy-MM"))
+    plan = monthly._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange ") == 1
+    assert plan.index("HashAggregate") < plan.index("Exchange ") and "HashAggregate" not in plan[plan.index("Exchange "):]
+    store.write_lines(lines, str(tmp_path / "lines"), dealt=True)
+    found = store.read_lines(spark, str(tmp_path / "lines"))
+    once = cleaning.clean(raw)
+    assert found.count() == once.count() == 5
+    assert found.select(*once.columns).exceptAll(once).count() == 0
