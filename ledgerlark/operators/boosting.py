@@ -2,8 +2,9 @@
 
 Features are cut into at most ``BINS`` bins of equal counts, found by exact running counts. A
 fit keeps blocks of rows (bin codes, label, hash, margins); each level of a tree is one
-aggregation of gradient and hessian sums for all of its nodes, features and bins, and only
-those sums reach the driver. Rows that one task holds grow a whole tree there. Several fits that differ in settings or rows grow in lockstep, so
+aggregation of gradient and hessian sums by node, for the features and bins that it may split by.
+Tasks meet by node, choose its split, and only that reaches the driver. Rows that one task holds
+grow a whole tree there. Several fits that differ in settings or rows grow in lockstep, so
 a sweep over settings and folds costs the jobs of its deepest fit.
 
 Gradients are rounded to 2^-30 and summed as whole numbers: the trees depend neither on the
@@ -39,6 +40,8 @@ LEAST_GAIN = 1e-6
 STORED_EVERY = 50
 #: Rows that one task sums; a level of a tree is so short that smaller tasks cost more than they share.
 TASK_ROWS = 1 << 17
+#: Nodes whose splits one task chooses.
+TASK_NODES = 8
 _M32 = (1 << 32) - 1
 
 
@@ -228,13 +231,11 @@ class _Fit:
             slots[node] = slot
         return self.part, self.place, self.tree, slots, self.config.get("rows", 0.8)
 
-    def grow(self, sums):
+    def grow(self, choices):
         following = []
-        for slot, node in enumerate(self.open):
-            gradient, hessian = (float(sums[slot, kind, self.columns[0]].sum()) / UNIT for kind in (0, 1))
+        for (gradient, hessian, found), node in zip(choices, self.open):
             if node == 0:
                 self.tree.value[0], self.tree.cover[0] = _leaf(gradient, hessian, self.config["rate"]), hessian
-            found = best_split(sums[slot], self.columns, self.config)
             if found:
                 bounds = self.edges[found["feature"]]  # the last bin has none: all values part from the nulls
                 threshold = bounds[found["bin"]] if found["bin"] < len(bounds) else float("inf")
@@ -242,14 +243,21 @@ class _Fit:
         self.open = following
 
 
-def _grown(fits, sums_of):
-    """One more tree of each fit, level by level; ``sums_of`` gives the sums of all nodes of a level."""
+def choose(sums, columns, config):
+    """Gradient and hessian of one node, and its best split, of sums by (kind, column, bin)."""
+    gradient, hessian = (float(sums[kind, 0].sum()) / UNIT for kind in (0, 1))
+    found = best_split(sums, range(len(columns)), config)
+    return gradient, hessian, found and {**found, "feature": columns[found["feature"]]}
+
+
+def _grown(fits, choices_of):
+    """One more tree of each fit, level by level; ``choices_of`` gives ``choose`` for the nodes of a level."""
     for level in range(max(fit.config["depth"] for fit in fits)):
         asked = [fit for fit in fits if fit.open and level < fit.config["depth"]]
         if asked:
-            sums = sums_of([fit.wish() for fit in asked])
+            choices = choices_of(asked)
             for k, fit in enumerate(asked):
-                fit.grow(sums[k])
+                fit.grow([choices[k, slot] for slot in range(len(fit.open))])
     return [fit.tree for fit in fits]
 
 
@@ -263,8 +271,36 @@ def _sum_blocks(blocks, wishes, number, features):
     yield found
 
 
+def _node_sums(blocks, wishes, columns, number, features):
+    """``((model, slot), sums)`` of a task's rows: gradients and hessians of the columns a tree may split by."""
+    for k, sums in next(_sum_blocks(blocks, wishes, number, features)).items():
+        for slot, node in enumerate(sums):
+            yield (k, slot), node[:2, columns[k]]
+
+
+def _asked(fits):
+    return [fit.wish() for fit in fits], [fit.columns for fit in fits], [fit.config for fit in fits]
+
+
 def _grown_here(blocks, fits, number, features):
-    return _grown(fits, lambda wishes: next(_sum_blocks(blocks, wishes, number, features)))
+    def choices(asked):
+        wishes, columns, configs = _asked(asked)
+        return {key: choose(sums, columns[key[0]], configs[key[0]]) for key, sums in _node_sums(blocks, wishes, columns, number, features)}
+
+    return _grown(fits, choices)
+
+
+def _grown_apart(state, fits, number, features, tasks):
+    """The same on rows of several tasks: sums meet by node, where its split is chosen."""
+
+    def choices(asked):
+        wishes, columns, configs = _asked(asked)
+        nodes = sum(len(fit.open) for fit in asked)
+        parts = state.mapPartitions(lambda blocks: _node_sums(blocks, wishes, columns, number, features))
+        sums = parts.reduceByKey(np.add, min(tasks, -(-nodes // TASK_NODES)))
+        return dict(sums.map(lambda pair: (pair[0], choose(pair[1], columns[pair[0][0]], configs[pair[0][0]]))).collect())
+
+    return _grown(fits, choices)
 
 
 def _merged(left, right):
@@ -335,7 +371,7 @@ def fit_boosted(parts, configs, names, label="churned", key="customer_id", seed=
         if tasks == 1:  # one task holds all rows and so all sums: it grows the whole tree in one job
             trees = state.mapPartitions(lambda blocks, g=growing, n=number: [_grown_here(list(blocks), g, n, len(names))]).first()
         else:
-            trees = _grown(growing, lambda wishes, n=number: state.mapPartitions(lambda b: _sum_blocks(b, wishes, n, len(names))).treeReduce(_merged))
+            trees = _grown_apart(state, growing, number, len(names), tasks)
         for fit, tree in zip(growing, trees):
             models[fit.name].append(tree)
         added = [(fit.part, fit.place, tree) for fit, tree in zip(growing, trees)]

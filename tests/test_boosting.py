@@ -1,7 +1,10 @@
 """Boosted trees against a plain growth over all rows, and their distributed forms."""
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import boosting, training
@@ -173,3 +176,19 @@ def test_degenerate_tables(spark, table):
 def test_features_of_the_study_are_numeric(spark):
     edges = boosting.bin_edges(tables(spark, "/root/testdata/sf0.001").modeling, MODEL_FEATURES)
     assert all(list(v) == sorted(set(v)) and len(v) < boosting.BINS for v in edges.values())
+
+
+def test_only_choices_reach_the_driver(table, monkeypatch):
+    """Tasks that share a fit send the driver splits, not histograms, and the trees stay the same."""
+    sent, collect = [], RDD.collect
+
+    def measured(self):
+        found = collect(self)
+        sent.append(len(pickle.dumps(found)))
+        return found
+
+    alone = boosting.fit_boosted({"x": table}, {"y": CONFIG}, NAMES)["x", "y"]
+    monkeypatch.setattr(RDD, "collect", measured)
+    shared = boosting.fit_boosted({"x": table.repartition(4)}, {"y": CONFIG}, NAMES, task_rows=125)["x", "y"]
+    assert [nested(t) for t in shared[1]] == [nested(t) for t in alone[1]]
+    assert sent and max(sent) < 3 * 256 * 8
