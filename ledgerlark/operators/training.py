@@ -44,6 +44,8 @@ SWEEP = {
 FOREST_TREES, FOREST_DEPTH = 300, 30
 # Rows a forest is fitted on at most, since its nodes grow with them and meet on the driver.
 FOREST_ROWS = 200_000
+# Rows of those that one task adds up; the limit on rows leaves them in one partition.
+FOREST_TASK_ROWS = 1 << 13
 
 
 # ---- splitting -----------------------------------------------------------------
@@ -153,12 +155,15 @@ def train_logistic_log(train, max_iter=1000):
 def train_random_forest(train, trees=FOREST_TREES, depth=FOREST_DEPTH, seed=SEED, most_rows=FOREST_ROWS, min_rows_per_leaf=1):
     """Bagged trees, fitted on at most ``most_rows`` labelled rows in hash order: nodes, and so
     the model that the driver puts together, grow with the rows and shrink with
-    ``min_rows_per_leaf``. Medians are taken over all rows."""
+    ``min_rows_per_leaf``. Medians are taken over all rows. Deep trees keep the node of each row
+    instead of walking down from the root at every level."""
     classifier = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, minInstancesPerNode=min_rows_per_leaf
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, minInstancesPerNode=min_rows_per_leaf,
+        cacheNodeIds=True,
     )
     bounded = train.orderBy(ranking.portable_hash(F.col("customer_id"), seed), "customer_id").limit(most_rows)
-    return _fit(bounded, _imputed(feature_medians(train)), classifier)
+    tasks = max(1, -(-min(train.count(), most_rows) // FOREST_TASK_ROWS))
+    return _fit(bounded.repartition(tasks, "customer_id"), _imputed(feature_medians(train)), classifier)
 
 
 def train_boosted(train, config=BOOSTED, seed=SEED, impute=True):

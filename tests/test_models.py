@@ -160,6 +160,16 @@ def test_forest_with_few_trees(split):
     assert 0 <= row.roc_auc <= 1
 
 
+def test_forest_rows_are_shared_by_tasks(split, monkeypatch):
+    train, seen = split.where(~F.col("is_test")), []
+    monkeypatch.setattr(training, "FOREST_TASK_ROWS", -(-train.count() // 4))
+    monkeypatch.setattr(training, "_fit", lambda rows, expressions, classifier: seen.append((rows, classifier)))
+    training.train_random_forest(train, trees=3, depth=4)
+    rows, classifier = seen[0]
+    assert rows.rdd.getNumPartitions() == 4 and classifier.getCacheNodeIds()
+    assert rows.exceptAll(train).count() == 0 and rows.count() == train.count()
+
+
 def test_small_trees_pass_the_checks(split, model):
     train, test = split.where(~F.col("is_test")).drop("is_test"), split.where(F.col("is_test")).drop("is_test")
     forest = training.train_random_forest(train, trees=8, depth=6, min_rows_per_leaf=3)
