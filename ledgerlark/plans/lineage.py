@@ -10,6 +10,10 @@ _local_dirs = {}
 #: Partitions that a side session shuffles lines to before small ones are put together; with few, each would spill.
 LINE_PARTITIONS = 512
 
+#: Bytes of lines, read or shuffled, that one of its tasks takes: as rows of an aggregate or a sort they are
+#: some ten times as many, which have to fit a core's share of an executor's memory.
+LINE_BYTES = "16m"
+
 
 def shared_dir(spark):
     """The folder named by ``spark.checkpoint.dir``.
@@ -52,12 +56,15 @@ def remove_run(spark):
 
 
 def side_session(spark):
-    """A session of its own for a write that is observed. A session that has observed something
-    can't be sent along with a task any more, which model pipelines of this version do."""
+    """A session of its own for steps that write, shuffle or group all lines, in tasks small enough not to
+    spill. Observed writes need one too: a session that has observed something can't be sent along
+    with a task any more, which model pipelines of this version do."""
     side = spark.newSession()
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     side.conf.set("spark.sql.shuffle.partitions", partitions)
     side.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(LINE_PARTITIONS, int(partitions))))
+    side.conf.set("spark.sql.files.maxPartitionBytes", LINE_BYTES)
+    side.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", LINE_BYTES)
     return side
 
 
@@ -74,10 +81,10 @@ def observed(spark, df, measures, name="observed"):
     return df.observe(observation, *[column.alias(k) for k, column in measures.items()]), values
 
 
-def cut(df, name="table"):
-    """Write ``df`` once and read it back: later jobs scan columns of the stored
-    table instead of recomputing it, and losing an executor costs a re-read."""
-    spark = df.sparkSession
+def cut(df, name="table", spark=None):
+    """Write ``df`` once and read it back, in ``spark`` if that is not its own session: later jobs scan columns of
+    the stored table instead of recomputing it, and losing an executor costs a re-read."""
+    spark = spark or df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

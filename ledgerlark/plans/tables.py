@@ -70,13 +70,13 @@ class Tables:
 
     @cached_property
     def written_clean(self):
-        """Clean lines as stored, with the month that they are partitioned by, and the violations of
-        their sales counted while they were written."""
+        """Clean lines as stored, with the month that they are partitioned by, the violations of
+        their sales counted while they were written, and their path."""
         path = scratch_path(self.spark, "clean-lines")
         lines = cleaning.clean(self.raw_aside)
         lines, counts = observed(self.spark, lines, cleaning.quality_measures(lines.columns, cleaning.is_sale()), "clean-lines")
         store.write_lines(lines, path, dealt=True)
-        return store.read_lines(self.spark, path), counts
+        return store.read_lines(self.spark, path), counts, path
 
     @property
     def monthly_clean(self):
@@ -86,6 +86,11 @@ class Tables:
     def clean(self):
         return self.monthly_clean.drop(store.MONTH)
 
+    @property
+    def clean_aside(self):
+        """The stored clean lines, with their month, in a session of their own: for tables that group every line."""
+        return store.read_lines(side_session(self.spark), self.written_clean[2])
+
     @property
     def sales(self):
         return cleaning.sales_lines(self.clean)
@@ -122,17 +127,17 @@ class Tables:
 
     @cached_property
     def features(self):
-        return cut(self.build_features(), "features")
+        return cut(self.build_features(), "features", self.spark)
 
     def build_features(self):
-        return features.customer_features(self.sales)
+        return features.customer_features(cleaning.sales_lines(self.clean_aside))
 
     @cached_property
     def features_with_returns(self):
-        return cut(self.build_features_with_returns(), "features-returns")
+        return cut(self.build_features_with_returns(), "features-returns", self.spark)
 
     def build_features_with_returns(self):
-        return features.customer_features(self.clean)
+        return features.customer_features(self.clean_aside)
 
     @cached_property
     def rfm(self):
@@ -144,7 +149,7 @@ class Tables:
 
     @cached_property
     def customers(self):
-        return cut(features.customers_dim(self.customer_lines), "customers")
+        return cut(features.customers_dim(cleaning.customer_lines(cleaning.sales_lines(self.clean_aside))), "customers", self.spark)
 
     @cached_property
     def products(self):
@@ -161,10 +166,10 @@ class Tables:
 
     @cached_property
     def churn_features(self):
-        return cut(self.build_churn_features(), "churn-features")
+        return cut(self.build_churn_features(), "churn-features", self.spark)
 
     def build_churn_features(self):
-        return churn.churn_features(self.monthly_customer_lines, self.cutoff)
+        return churn.churn_features(cleaning.customer_lines(cleaning.sales_lines(self.clean_aside)), self.cutoff)
 
     @cached_property
     def modeling(self):

@@ -37,6 +37,17 @@ def test_month_filter_changes_nothing(t):
     assert whole.exceptAll(pruned).count() == pruned.exceptAll(whole).count() == 0 and whole.count() > 0
 
 
+def test_tables_that_group_every_line_are_built_in_small_tasks(t):
+    """Their aggregates hold about a row for each line, so a task reads and gathers few; what is stored is of the main session."""
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for frame in (t.raw_aside, t.build_features(), t.build_features_with_returns(), t.build_churn_features()):
+        assert [frame.sparkSession.conf.get(name) for name in settings] == [lineage.LINE_BYTES] * 2
+        assert int(frame.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= lineage.LINE_PARTITIONS
+    usual = [t.spark.conf.get(name) for name in settings]
+    for frame in (t.features, t.churn_features, t.customers):
+        assert [frame.sparkSession.conf.get(name) for name in settings] == usual != [lineage.LINE_BYTES] * 2
+
+
 def test_reports_count_without_copying_rows(t):
     reports = [
         sales.executive_kpis(t.orders, t.modeling), sales.monthly_revenue(t.orders), sales.monthly_revenue_detail(t.orders),
