@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ledgerlark.operators.training import predict
 from ledgerlark.schemas import MODEL_FEATURES, PROBABILITY
 
+#: Splits whose outcomes are tabled together; trees that are deeper are explained leaf by leaf.
+TABLE_SPLITS = 8
+
 # Risk bounds and the recommended action per risk level.
 MEDIUM_FROM = 0.50
 HIGH_FROM = 0.75
@@ -70,10 +73,19 @@ def _leaves(tree, node=0, bounds=None):
         yield from _leaves(tree, child, {**bounds, feature: (*interval, null and takes_null, part)})
 
 
-def leaf_tables(model):
-    """Leaves of a boosted model as arrays, grouped by how many features their path uses."""
+def _paths(tree, node=0, path=()):
+    """(value, ((split, whether it goes left), ...)) for every leaf below ``node``."""
+    if tree.feature[node] < 0:
+        yield tree.value[node], path
+        return
+    yield from _paths(tree, tree.left[node], (*path, (node, True)))
+    yield from _paths(tree, tree.right[node], (*path, (node, False)))
+
+
+def leaf_tables(model, trees=None):
+    """Leaves of a boosted model, or of some of its trees, as arrays, grouped by how many features their path uses."""
     grouped = {}
-    for tree in model.trees:
+    for tree in model.trees if trees is None else trees:
         for value, bounds in _leaves(tree):
             grouped.setdefault(len(bounds), []).append((value, sorted(bounds.items())))
     tables = {}
@@ -97,6 +109,22 @@ def base_value(model, tables):
     return model.base + float(sum((t["value"] * t["share"].prod(axis=1)).sum() for t in tables.values()))
 
 
+def _effects(value, inside, share):
+    """A leaf's Shapley value of each feature on its path, the last axis of ``inside`` and ``share``."""
+    size = share.shape[-1]
+    for j in range(size):
+        others = [i for i in range(size) if i != j]
+        weight = np.zeros(inside.shape[:-1])
+        for taken in range(size):
+            factor = factorial(taken) * factorial(size - taken - 1) / factorial(size)
+            for known in combinations(others, taken):
+                product = np.full(inside.shape[:-1], factor)
+                for i in others:
+                    product = product * (inside[..., i] if i in known else share[..., i])
+                weight += product
+        yield value * (inside[..., j] - share[..., j]) * weight
+
+
 def shapley_values(tables, inputs, n_features, rows_per_step=1024):
     """Exact path-dependent Shapley values of a batch.
 
@@ -112,34 +140,71 @@ def shapley_values(tables, inputs, n_features, rows_per_step=1024):
                 continue
             values = rows[:, table["feature"]]
             inside = np.where(np.isnan(values), table["null"], (values > table["low"]) & (values <= table["high"])).astype(float)
-            share = table["share"]
-            for j in range(size):
-                others = [i for i in range(size) if i != j]
-                weight = np.zeros(inside.shape[:2])
-                for taken in range(size):
-                    factor = factorial(taken) * factorial(size - taken - 1) / factorial(size)
-                    for known in combinations(others, taken):
-                        product = np.full(inside.shape[:2], factor)
-                        for i in others:
-                            product = product * (inside[:, :, i] if i in known else share[:, i])
-                        weight += product
-                effect = table["value"] * (inside[:, :, j] - share[:, j]) * weight
+            for j, effect in enumerate(_effects(table["value"], inside, table["share"])):
                 columns = np.eye(n_features)[table["feature"][:, j]]
                 result[start : start + rows_per_step] += effect @ columns
     return result
 
 
+def outcome_tables(trees, n_features):
+    """The attributions that a tree adds, for every outcome of its splits: a row's outcomes are then all
+    that has to be found out. Leaves are taken together as long as their paths meet at most
+    ``TABLE_SPLITS`` splits: ``(splits, attributions by outcome)``, where bit k of an outcome is set
+    if a row goes left at split k, and a split is its feature, its threshold and the side of nulls."""
+    tables = []
+    for tree in trees:
+        groups = []
+        for value, path in _paths(tree):
+            nodes = {node for node, _ in path}
+            if not groups or len(groups[-1][0] | nodes) > TABLE_SPLITS:
+                groups.append((set(), []))
+            groups[-1][0].update(nodes)
+            groups[-1][1].append((value, path))
+        for nodes, leaves in groups:
+            order = sorted(nodes)
+            left = np.arange(1 << len(order))[:, None] >> np.arange(len(order)) & 1 == 1
+            table = np.zeros((len(left), n_features))
+            for value, path in leaves:
+                inside, share = {}, {}
+                for node, goes_left in path:
+                    feature, child = tree.feature[node], (tree.left if goes_left else tree.right)[node]
+                    inside[feature] = inside.get(feature, True) & (left[:, order.index(node)] == goes_left)
+                    share[feature] = share.get(feature, 1.0) * tree.cover[child] / tree.cover[node]
+                if path:
+                    known = np.stack([inside[f] for f in inside], axis=1).astype(float)
+                    for feature, effect in zip(inside, _effects(value, known, np.array([share[f] for f in inside]))):
+                        table[:, feature] += effect
+            tables.append(([(tree.feature[n], tree.threshold[n], tree.null_left[n]) for n in order], table))
+    return tables
+
+
+def tabled_values(tables, inputs, n_features, rows_per_step=8192):
+    """The values of ``shapley_values`` for a batch, looked up by the outcomes of each row's splits."""
+    result = np.zeros((len(inputs), n_features))
+    for start in range(0, len(inputs), rows_per_step):
+        columns = np.ascontiguousarray(inputs[start : start + rows_per_step].T)
+        null = np.isnan(columns)
+        for splits, table in tables:
+            outcome = np.zeros(columns.shape[1], dtype=np.intp)
+            for bit, (feature, threshold, null_left) in enumerate(splits):
+                left = columns[feature] <= threshold
+                outcome += (left | null[feature] if null_left else left) * (1 << bit)
+            result[start : start + rows_per_step] += table[outcome]
+    return result
+
+
 def attributions(df, model):
     """Log-odds attribution of every feature for every customer, as long rows.
 
     ``feature_value`` is the stored value, ``model_value`` the imputed one the model
-    saw. Rows are explained in Arrow batches where they are; only the leaf table,
-    bounded by the number of trees and their depth, travels.
+    saw. Rows are explained in Arrow batches where they are; only tables bounded by
+    the number of trees and their depth travel.
     """
     spark = df.sparkSession
-    tables = leaf_tables(model)
-    shared = spark.sparkContext.broadcast((tables, base_value(model, tables)))
     names = list(MODEL_FEATURES)
+    tabled = outcome_tables([tree for tree in model.trees if tree.depth <= TABLE_SPLITS], len(names))
+    deep = leaf_tables(model, [tree for tree in model.trees if tree.depth > TABLE_SPLITS])
+    shared = spark.sparkContext.broadcast((tabled, deep, base_value(model, leaf_tables(model))))
     prepared = model.prepare(df.select("customer_id", *names)).select(
         "customer_id",
         *[F.col(c).cast("double").alias(c) for c in names],
@@ -147,10 +212,10 @@ def attributions(df, model):
     )
 
     def explain(batches):
-        leaf_groups, base = shared.value
+        tabled, deep, base = shared.value
         for batch in batches:
             inputs = batch[[f"model_{c}" for c in names]].to_numpy(dtype=float)
-            effects = shapley_values(leaf_groups, inputs, len(names))
+            effects = tabled_values(tabled, inputs, len(names)) + shapley_values(deep, inputs, len(names))
             yield pd.DataFrame(
                 {
                     "customer_id": np.repeat(batch["customer_id"].to_numpy(), len(names)),
@@ -216,9 +281,24 @@ def mean_absolute_attribution(attr):
     )
 
 
-def _as_list(ranked, name):
-    entry = F.struct("position", "feature", "feature_value", "shap_value")
-    return ranked.groupBy("customer_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+def _driver_lists(attr, k=3):
+    """``top_drivers`` and ``protective_factors`` as a list a customer each, null if there are none. Both come
+    from one grouping, at most one effect a feature, so that attributions are computed once."""
+    effect = F.struct("feature", "feature_value", "shap_value")
+    grouped = attr.groupBy("customer_id").agg(F.collect_list(effect).alias("effects"))
+
+    def strongest(sign):
+        wanted = F.filter("effects", lambda e: e["shap_value"] * sign > 0)
+        ordered = F.array_sort(F.transform(wanted, lambda e: F.struct((e["shap_value"] * -sign).alias("order"), e["feature"], e["feature_value"], e["shap_value"])))
+        first = F.transform(
+            F.slice(ordered, 1, k),
+            lambda e, i: F.struct(
+                (i + 1).alias("position"), e["feature"].alias("feature"), e["feature_value"].alias("feature_value"), e["shap_value"].alias("shap_value")
+            ),
+        )
+        return F.when(F.exists("effects", lambda e: e["shap_value"] * sign > 0), first)
+
+    return grouped.select("customer_id", strongest(1).alias("churn_drivers"), strongest(-1).alias("protective_factors"))
 
 
 def customer_360(ids, customers, churn_features, rfm, predictions, attr):
@@ -229,12 +309,7 @@ def customer_360(ids, customers, churn_features, rfm, predictions, attr):
     scores = rfm.select("customer_id", "r_score", "f_score", "m_score", "rfm_score", "customer_segment")
     forecast = recommendation(predictions.select("customer_id", "churn_probability", "prediction", "risk_level"))
     joined = wanted.join(customers, "customer_id", "left").join(churn_features, "customer_id", "left")
-    for part in (
-        scores,
-        forecast,
-        _as_list(top_drivers(attr), "churn_drivers"),
-        _as_list(protective_factors(attr), "protective_factors"),
-    ):
+    for part in (scores, forecast, _driver_lists(attr)):
         joined = joined.join(part, "customer_id", "left")
     return joined
 

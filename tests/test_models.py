@@ -115,6 +115,34 @@ def test_attributions_equal_brute_force(modeling, model, split):
     assert np.isnan(rows).any()
 
 
+@pytest.mark.parametrize("depth", [3, 5])
+def test_tabled_attributions_equal_those_by_leaves(modeling, split, depth):
+    """Looked up by the outcomes of splits, trees of more splits than a table holds included."""
+    fitted = training.train_boosted(split.where(~F.col("is_test")), {**SMALL, "depth": depth, "min_child": 1}, impute=False)
+    inputs = fitted.prepare(modeling).select(*[f"model_{c}" for c in MODEL_FEATURES]).toPandas().to_numpy(dtype=float)
+    rows, wide = np.vstack([inputs, np.full((1, inputs.shape[1]), np.nan)]), len(MODEL_FEATURES)
+    tables, by_leaf = scoring.outcome_tables(fitted.trees, wide), scoring.leaf_tables(fitted)
+    assert len(tables) >= len(fitted.trees) and all(len(splits) <= scoring.TABLE_SPLITS for splits, _ in tables)
+    assert depth == 3 or len(tables) > len(fitted.trees)
+    assert np.abs(scoring.tabled_values(tables, rows, wide) - scoring.shapley_values(by_leaf, rows, wide)).max() < 1e-12
+
+
+def test_lookup_computes_attributions_once(spark, modeling, model):
+    """Both driver lists come from one evaluation, and hold what ``top_drivers`` and ``protective_factors`` find."""
+    attr = scoring.attributions(modeling, model)
+    lists = scoring._driver_lists(attr)
+    assert lists._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    found = {r.customer_id: r for r in lists.collect()}
+    assert len(found) == modeling.count()
+    for name, ranked in (("churn_drivers", scoring.top_drivers(attr)), ("protective_factors", scoring.protective_factors(attr))):
+        wanted = {}
+        for r in ranked.orderBy("customer_id", "position").collect():
+            wanted.setdefault(r.customer_id, []).append((r.position, r.feature, r.feature_value, r.shap_value))
+        assert {c: [tuple(e) for e in r[name]] for c, r in found.items() if r[name] is not None} == wanted
+    none = attr.where("customer_id < 100").withColumn("shap_value", F.when(F.col("feature") == "frequency", 0.0))
+    assert all(r.churn_drivers is None and r.protective_factors is None for r in scoring._driver_lists(none).collect())
+
+
 def test_importance_sums_to_one(spark, model):
     rows = training.feature_importance(spark, model).collect()
     assert len(rows) == 8 and sum(row.importance for row in rows) == pytest.approx(1.0)
