@@ -183,7 +183,12 @@ def feature_sample(df, n=10):
 
 def customers_dim(lines):
     """Customer dimension derived from the lines."""
-    return _per_customer(lines).select(
+    return customers_of_features(_per_customer(lines))
+
+
+def customers_of_features(features):
+    """The same as columns of the feature table of those lines, for jobs that need that too."""
+    return features.select(
         "customer_id",
         "country",
         "first_purchase_date",

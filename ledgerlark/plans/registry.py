@@ -359,7 +359,7 @@ def _driver_names(name):
 
 def _customer_360(t):
     rows = scoring.customer_360(
-        t.buyers_after_cutoff, t.customers, t.churn_features, t.rfm, t.predictions, t.linear_attributions
+        t.buyers_after_cutoff, t.scored_customers, t.churn_features, t.rfm, t.predictions, t.linear_attributions
     )
     lists = ("churn_drivers", "protective_factors")
     return rows.select(*[c for c in rows.columns if c not in lists], *[_driver_names(c) for c in lists])
@@ -369,7 +369,7 @@ def _explained(t):
     """The lookup on the fitted model: profile, and whether a customer of the modelling table has a
     prediction, drivers that raise and factors that lower the risk, strongest first, three at most."""
     attr = scoring.attributions(t.modeling, t.final)
-    rows = scoring.customer_360(t.buyers_after_cutoff, t.customers, t.churn_features, t.rfm, t.model_predictions, attr)
+    rows = scoring.customer_360(t.buyers_after_cutoff, t.scored_customers, t.churn_features, t.rfm, t.model_predictions, attr)
 
     def holds(name, sign):
         effects = F.transform(name, lambda d: d["shap_value"] * sign)
@@ -407,7 +407,7 @@ SCORING = {
     "customer_360": _customer_360,
     "customer_360_model": _explained,
     "customer_360_model_measured": lambda t: scoring.customer_360(
-        t.buyers_after_cutoff, t.customers, t.churn_features, t.rfm, t.model_predictions, scoring.attributions(t.modeling, t.final)
+        t.buyers_after_cutoff, t.scored_customers, t.churn_features, t.rfm, t.model_predictions, scoring.attributions(t.modeling, t.final)
     ),
     "prediction_roundtrip": lambda t: scoring.prediction_roundtrip(t.modeling, t.final, _reloaded(t)),
 }

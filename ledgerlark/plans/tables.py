@@ -151,6 +151,11 @@ class Tables:
     def customers(self):
         return cut(features.customers_dim(cleaning.customer_lines(cleaning.sales_lines(self.clean_aside))), "customers", self.spark)
 
+    @property
+    def scored_customers(self):
+        """The customer dimension of the stored features, which the RFM scores need anyway."""
+        return features.customers_of_features(self.features)
+
     @cached_property
     def products(self):
         return cut(features.products_dim(self.sales), "products")

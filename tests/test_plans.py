@@ -6,7 +6,7 @@ import pytest
 
 from ledgerlark.operators import audit, churn, cleaning, lookup, sales
 from ledgerlark.plans import checks, lineage, registry
-from ledgerlark.plans.tables import tables
+from ledgerlark.plans.tables import Tables, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -48,6 +48,15 @@ def test_tables_that_group_every_line_are_built_in_small_tasks(t):
         assert [frame.sparkSession.conf.get(name) for name in settings] == usual != [lineage.LINE_BYTES] * 2
 
 
+def test_lookup_takes_customers_from_features(spark):
+    """A lookup groups lines for the features only, which hold the customer dimension too."""
+    fresh = Tables(spark, SF_DIR)
+    assert registry._customer_360(fresh).count() > 0
+    assert "features" in vars(fresh) and "customers" not in vars(fresh)
+    assert fresh.scored_customers.schema.simpleString() == fresh.customers.schema.simpleString()
+    assert fresh.scored_customers.exceptAll(fresh.customers).count() == fresh.customers.exceptAll(fresh.scored_customers).count() == 0
+
+
 def test_reports_count_without_copying_rows(t):
     reports = [
         sales.executive_kpis(t.orders, t.modeling), sales.monthly_revenue(t.orders), sales.monthly_revenue_detail(t.orders),
