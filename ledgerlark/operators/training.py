@@ -10,7 +10,7 @@ from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import ranking
 from ledgerlark.functions.exact import count_if, ratio
-from ledgerlark.operators import boosting
+from ledgerlark.operators import boosting, forest
 from ledgerlark.operators.sales import churn_population
 from ledgerlark.plans.lineage import cut
 from ledgerlark.schemas import MODEL_FEATURES
@@ -42,9 +42,7 @@ SWEEP = {
     "boosted_4": {"trees": 150, "depth": 3, "rate": 0.05, "min_child": 10},
 }
 FOREST_TREES, FOREST_DEPTH = 300, 30
-# Rows a forest is fitted on at most, since its nodes grow with them and meet on the driver.
-FOREST_ROWS = 200_000
-# Rows of those that one task adds up; the limit on rows leaves them in one partition.
+# Rows that one task of a forest's fit cuts into bins and deals to the trees.
 FOREST_TASK_ROWS = 1 << 13
 
 
@@ -152,18 +150,15 @@ def train_logistic_log(train, max_iter=1000):
     return train_logistic(train, LOG_FEATURES, max_iter)
 
 
-def train_random_forest(train, trees=FOREST_TREES, depth=FOREST_DEPTH, seed=SEED, most_rows=FOREST_ROWS, min_rows_per_leaf=1):
-    """Bagged trees, fitted on at most ``most_rows`` labelled rows in hash order: nodes, and so
-    the model that the driver puts together, grow with the rows and shrink with
-    ``min_rows_per_leaf``. Medians are taken over all rows. Deep trees keep the node of each row
-    instead of walking down from the root at every level."""
-    classifier = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, minInstancesPerNode=min_rows_per_leaf,
-        cacheNodeIds=True,
+def train_random_forest(train, trees=FOREST_TREES, depth=FOREST_DEPTH, seed=SEED, min_rows_per_leaf=1):
+    """Bagged trees, fitted on all labelled rows (see ``operators/forest.py``). Each row's node is kept
+    from level to level instead of walking down from the root."""
+    classifier = forest.ForestClassifier(
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=min_rows_per_leaf,
+        maxBins=forest.BINS, cacheNodeIds=True,
     )
-    bounded = train.orderBy(ranking.portable_hash(F.col("customer_id"), seed), "customer_id").limit(most_rows)
-    tasks = max(1, -(-min(train.count(), most_rows) // FOREST_TASK_ROWS))
-    return _fit(bounded.repartition(tasks, "customer_id"), _imputed(feature_medians(train)), classifier)
+    tasks = max(1, -(-train.count() // FOREST_TASK_ROWS))
+    return _fit(train.repartition(tasks, "customer_id"), _imputed(feature_medians(train)), classifier)
 
 
 def train_boosted(train, config=BOOSTED, seed=SEED, impute=True):
